@@ -63,17 +63,24 @@ class Scoring:
 _SPANS = "array<struct<kind:string,start:bigint,end:bigint,text:string,score:double>>"
 
 
-def _found(text: str, kind: str, pattern: str, hint: str, label: str | None = None) -> Column:
-    """All leftmost non-overlapping matches with their code point positions, from the matches and the gaps between them."""
-    quoted = pattern.replace("\\", "\\\\").replace("'", "\\'")
-    hinted = hint.replace("\\", "\\\\").replace("'", "\\'")
+def _quoted(pattern: str) -> str:
+    return pattern.replace("\\", "\\\\").replace("'", "\\'")
+
+
+def _matches(text: str, pattern: str, hint: str) -> Column:
+    """All leftmost non-overlapping matches, as strings."""
+    return F.expr(f"case when {text} rlike '{_quoted(hint)}' then regexp_extract_all({text}, '{_quoted(pattern)}', 0) else cast(array() as array<string>) end")
+
+
+def _placed(text: str, kind: str, pattern: str, matches: str) -> Column:
+    """The matches with their code point positions, from the gaps between them."""
     return F.expr(
-        f"""case when {text} rlike '{hinted}' then aggregate(
-              arrays_zip(regexp_extract_all({text}, '{quoted}', 0) as m, slice(split({text}, '{quoted}', -1), 1, size(regexp_extract_all({text}, '{quoted}', 0))) as gap),
+        f"""case when size({matches}) > 0 then aggregate(
+              zip_with({matches}, slice(split({text}, '{_quoted(pattern)}', -1), 1, size({matches})), (m, gap) -> named_struct('m', m, 'gap', gap)),
               named_struct('at', 0L, 'out', cast(array() as {_SPANS})),
               (acc, x) -> named_struct(
                 'at', acc.at + length(x.gap) + length(x.m),
-                'out', concat(acc.out, array(named_struct('kind', '{label or kind}', 'start', acc.at + length(x.gap), 'end', acc.at + length(x.gap) + length(x.m), 'text', x.m, 'score', 0.0D)))),
+                'out', concat(acc.out, array(named_struct('kind', '{kind}', 'start', acc.at + length(x.gap), 'end', acc.at + length(x.gap) + length(x.m), 'text', x.m, 'score', 0.0D)))),
               acc -> acc.out) else cast(array() as {_SPANS}) end"""
     )
 
@@ -128,9 +135,19 @@ def find_personal_data(docs: DataFrame, *, text: str = "text", scoring: Scoring
     s = scoring
     kept = [c for c in docs.columns if c.lower() not in ("pii", "pii_base", "_t")]
     base = docs.select(*[docs[c] for c in kept], F.coalesce(docs[text].cast("string"), F.lit("")).alias("_t"))
-    found = base.select(*kept, "_t", *[_found("_t", k, p, HINT[k]).alias(f"_b_{k}") for k, p in BASE.items()])
-    valid = found.select(*kept, "_t", *[F.expr(f"filter(_b_{k}, x -> {_VALID[k]})").alias(f"_v_{k}") for k in BASE])
-    more = valid.select("*", *[_found("_t", k, p, HINT[k], "phone" if k == "local_phone" else k).alias(f"_p_{k}") for k, p in PROPOSED.items()])
+    matched = base.select(
+        *kept,
+        "_t",
+        *[_matches("_t", p, HINT[k]).alias(f"_mb_{k}") for k, p in BASE.items()],
+        *[_matches("_t", p, HINT[k]).alias(f"_mp_{k}") for k, p in PROPOSED.items()],
+    )
+    found = matched.select(
+        *kept,
+        "_t",
+        *[_placed("_t", k, p, f"_mb_{k}").alias(f"_b_{k}") for k, p in BASE.items()],
+        *[_placed("_t", "phone" if k == "local_phone" else k, p, f"_mp_{k}").alias(f"_p_{k}") for k, p in PROPOSED.items()],
+    )
+    more = found.select(*kept, "_t", *[f"_p_{k}" for k in PROPOSED], *[F.expr(f"filter(_b_{k}, x -> {_VALID[k]})").alias(f"_v_{k}") for k in BASE])
     scored = []
     for k in PROPOSED:
         own = "phone" if k == "local_phone" else k
