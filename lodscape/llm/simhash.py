@@ -9,6 +9,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .common import written
 from .components import connected_components
@@ -34,7 +35,7 @@ def fingerprint_of(text: str | None, words: int = 3, seed: int = 42) -> int:
     return int(np.packbits((2 * ones > len(h)).astype(np.uint8), bitorder="little").view("<i8")[0])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def fingerprint(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for t in texts:
         yield pd.Series([fingerprint_of(x) for x in t], dtype="int64")
