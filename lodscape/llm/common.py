@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def public_vocabulary(name: str) -> str:
+    """Where the installed package of public vocabularies keeps a file; every machine has its own copy."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z lower-cased, every other character left alone."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -42,3 +50,18 @@ def lower_ascii(c: Column) -> Column:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+class Memo(dict):
+    """Answers of a function on short strings, kept in a worker; emptied when it holds ``most``."""
+
+    def __init__(self, function: Callable[[str], object], most: int = 300_000, longest: int = 64):
+        self._function, self._most, self._longest = function, most, longest
+
+    def __missing__(self, key: str):
+        value = self._function(key)
+        if len(key) <= self._longest:
+            if len(self) >= self._most:
+                self.clear()
+            self[key] = value
+        return value
