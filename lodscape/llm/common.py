@@ -53,15 +53,19 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 class Memo(dict):
-    """Answers of a function on short strings, kept in a worker; emptied when it holds ``most``."""
+    """Answers of a function on short keys, kept in a worker: at least the last ``most / 2`` that were asked for, at most ``most``."""
 
-    def __init__(self, function: Callable[[str], object], most: int = 300_000, longest: int = 64):
-        self._function, self._most, self._longest = function, most, longest
+    def __init__(self, function: Callable[[str], object], most: int = 400_000, longest: int = 64):
+        self._function, self._half, self._longest, self._older = function, most // 2, longest, {}
 
     def __missing__(self, key: str):
-        value = self._function(key)
-        if len(key) <= self._longest:
-            if len(self) >= self._most:
-                self.clear()
-            self[key] = value
+        value = self._older.get(key)
+        if value is None:
+            value = self._function(key)
+            if len(key) > self._longest:
+                return value
+        if len(self) >= self._half:
+            self._older = dict(self)
+            self.clear()
+        self[key] = value
         return value

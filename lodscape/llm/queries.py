@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, media, packing, pii, simhash, url_rules
+from . import html_text, media, packing, pii, sentencepieces, simhash, url_rules
 from .common import public_vocabulary, table, written
 
 # The rules of the url query.
@@ -46,12 +46,26 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data_digest(pii.find_personal_data(table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
+def op8_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_vocabulary("piece_bpe_32k.model")
+    encoded = sentencepieces.encode_pieces(table(spark, sf_dir, "documents", "doc_id", "text"), model)
+    decoded = sentencepieces.decode_pieces(encoded, model)
+    return decoded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_ids"),
+        F.crc32("ids").alias("ids_crc32"),
+        F.length("decoded").cast("long").alias("n_chars_decoded"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        F.coalesce(F.col("decoded") == F.translate("text", sentencepieces.SPACE, " "), F.col("decoded") == "").alias("round_trip"),
+    )
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_url_filters, op2_html_text, op4_simhash, op5_packing, op7_pii, op10_media]
+    found = [op1_url_filters, op2_html_text, op4_simhash, op5_packing, op7_pii, op8_sentencepieces, op10_media]
     return {f.__name__: f for f in found}
 
 
