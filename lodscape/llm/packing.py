@@ -6,19 +6,19 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Memo, written
 
-_BLANKS = re.compile(r"[\t\n\v\f\r ]+")
 # Characters whose lower case and normal form are one character each, and how the tokenizer cuts words of them.
 _SIMPLE = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 _CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
 
 
-def word_encoder(path: str) -> Callable[[list[str | None]], list[bytes]]:
-    """An encoder of texts to ids (little-endian unsigned 32 bits), for a tokenizer that drops white space.
+def word_encoder(path: str) -> Callable[[bytes | None], bytes]:
+    """An encoder of texts (UTF-8) to ids (little-endian unsigned 32 bits), for a tokenizer that drops white space.
 
     Its pre-tokenizer never joins what white space parts, so the ids of a text are those of its
     white-space-separated words in turn, and each word's are kept for its next occurrence. Words of
@@ -29,37 +29,24 @@ def word_encoder(path: str) -> Callable[[list[str | None]], list[bytes]]:
 
     tokenizer = Tokenizer.from_file(path)
     model, as_bytes = tokenizer.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    packed = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
+    special = re.compile("|".join(re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()) or "(?!)")
 
     def of_piece(piece: str) -> bytes:
         if not piece.isascii():
             piece = as_bytes.pre_tokenize_str(piece)[0][0]
-        return b"".join([t.id.to_bytes(4, "little") for t in model.tokenize(piece)])
+        return b"".join([packed[t.id] for t in model.tokenize(piece)])
 
     pieces = Memo(of_piece)
-    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
-    def of_word(word: str) -> bytes:
-        if _SIMPLE.fullmatch(word) and not any(s in word for s in special):
-            return b"".join([pieces[p] for p in _CUT.findall(word.lower())])
-        return b"".join([i.to_bytes(4, "little") for i in tokenizer.encode(word, add_special_tokens=False).ids])
+    def of_word(raw: bytes) -> bytes:
+        word = raw.decode("utf-8", "replace")
+        if _SIMPLE.fullmatch(word) and not special.search(word):
+            return b"".join(map(pieces.__getitem__, _CUT.findall(word.lower())))
+        return b"".join([packed[i] for i in tokenizer.encode(word, add_special_tokens=False).ids])
 
     known = Memo(of_word)
-    return lambda texts: [b"".join(map(known.__getitem__, _BLANKS.split(t))) if t else b"" for t in texts]
-
-
-def _batches(texts: pd.Series, chars: int = 4_000_000) -> Iterator[list[str | None]]:
-    """The texts in runs of about ``chars`` characters."""
-    run: list[str | None] = []
-    size = 0
-    for t in texts:
-        t = t if isinstance(t, str) else None
-        run.append(t)
-        size += len(t or "")
-        if size >= chars:
-            yield run
-            run, size = [], 0
-    if run:
-        yield run
+    return lambda text: b"".join(map(known.__getitem__, text.split())) if text else b""
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, *, size: int = 2048, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -71,25 +58,22 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, size: int = 2048, end_id: i
     """
     closing = end_id.to_bytes(4, "little")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_encoder(tokenizer)
+        schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
         for b in batches:
-            at = 0
-            for run in _batches(b["text"]):
-                names = b["doc_id"].iloc[at : at + len(run)]
-                at += len(run)
-                rows = []
-                for name, ids in zip(names, encode(run)):
-                    ids += closing
+            for at in range(0, len(b), 512):
+                part = b.slice(at, 512)
+                rows: list[tuple] = []
+                for name, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    ids = encode(text) + closing
                     for p, start in enumerate(range(0, len(ids), 4 * size)):
-                        part = ids[start : start + 4 * size]
-                        rows.append((name, p, start // 4, len(part) // 4, part))
-                out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids"])
-                out["doc_id"] = out["doc_id"].astype("Int64")
-                yield out
-
-    given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return given.mapInPandas(cut, "doc_id long, piece int, start long, length long, ids binary")
+                        piece = ids[start : start + 4 * size]
+                        rows.append((name, p, start // 4, len(piece) // 4, piece))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text"))
+    return given.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary")
 
 
 def fill_bins(lengths: list[int], capacity: int) -> list[list[int]]:

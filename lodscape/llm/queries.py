@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, media, packing, pii, sentencepieces, simhash, url_rules
+from . import html_text, media, packing, pii, quality, rules, sentencepieces, simhash, url_rules
 from .common import public_vocabulary, table, written
 
 # The rules of the url query.
@@ -42,6 +42,13 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = quality.learn_quality(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score_quality(docs, model)
+    return scored.select("doc_id", quality.is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data_digest(pii.find_personal_data(table(spark, sf_dir, "documents", "doc_id", "text")))
 
@@ -60,12 +67,19 @@ def op8_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rules.judge_quality(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"
+    )
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_url_filters, op2_html_text, op4_simhash, op5_packing, op7_pii, op8_sentencepieces, op10_media]
+    found = [op1_url_filters, op2_html_text, op4_simhash, op5_packing, op6_quality_classifier, op7_pii, op8_sentencepieces, op9_quality_rules, op10_media]
     return {f.__name__: f for f in found}
 
 
