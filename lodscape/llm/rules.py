@@ -122,7 +122,7 @@ def jensen_shannon(counts: str, reference: list[float]) -> Column:
 
 
 def judge_quality(
-    docs: DataFrame, *, text: str = "text", lang: str = "lang", most_classes: float = 0.30, most_words: float = 0.75, least_chars: int = 200, least_words: int = 60
+    docs: DataFrame, *, text: str = "text", lang: str = "lang", most_classes: float = 0.27, most_words: float = 0.40, least_chars: int = 200, least_words: int = 60
 ) -> DataFrame:
     """All columns of ``docs`` plus the counts, ``class_distance``, ``word_distance``, ``base_failed`` and ``kept``.
 
