@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, media, packing, pii, quality, rules, sentencepieces, simhash, url_rules
+from . import html_text, media, packing, pii, quality, rules, sentencepieces, simhash, substrings, url_rules
 from .common import public_vocabulary, table, written
 
 # The rules of the url query.
@@ -30,6 +30,10 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", "n_chars")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.cut_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = simhash.simhash_classes(table(spark, sf_dir, "documents", "doc_id", "text"))
     return classes.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -79,7 +83,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_url_filters, op2_html_text, op4_simhash, op5_packing, op6_quality_classifier, op7_pii, op8_sentencepieces, op9_quality_rules, op10_media]
+    found = [op1_url_filters, op2_html_text, op3_substring_dedup, op4_simhash, op5_packing, op6_quality_classifier, op7_pii, op8_sentencepieces, op9_quality_rules, op10_media]
     return {f.__name__: f for f in found}
 
 
