@@ -9,6 +9,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Tables counted to have at most so many rows of an id and little else may be broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.

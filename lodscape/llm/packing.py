@@ -245,5 +245,9 @@ def pack(pieces: DataFrame, *, size: int = 2048, length: str = "length", group_r
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, *, size: int = 2048, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, piece, start, length, ids, sequence_id, offset)`` for every piece of every document."""
-    return pack(written(token_pieces(docs, tokenizer, size=size, end_id=end_id, doc_id=doc_id, text=text), "pieces"), size=size)
+    """``(doc_id, piece, start, length, ids, sequence_id, offset)`` for every piece of every document.
+    Ids are written once and moved once; what is packed in rounds is only the pieces' lengths."""
+    pieces = token_pieces(docs, tokenizer, size=size, end_id=end_id, doc_id=doc_id, text=text)
+    pieces = written(pieces.withColumn("_piece", F.monotonically_increasing_id()), "pieces")
+    plan = pack(pieces.select("_piece", "length"), size=size)
+    return pieces.join(plan.select("_piece", "sequence_id", "offset"), "_piece").drop("_piece")

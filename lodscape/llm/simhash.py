@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import written
+from .common import BROADCAST_ROWS, written
 from .components import connected_components
 
 #: A-Z to a-z in bytes of UTF-8.
@@ -95,8 +95,8 @@ def simhash_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
 
 def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bucket: int = 1024) -> DataFrame:
-    """The rows of ``docs``, one for each class of near-duplicates: the one with the smallest id.
-    Rows without an id are kept only where no row of their fingerprint has one; rows that repeat an id stay together."""
+    """The rows of ``docs``, one document for each class of near-duplicates: the one with the smallest id.
+    Rows without an id are kept; rows that repeat an id are one document and stay or go together."""
     cls = simhash_classes(docs, doc_id=doc_id, text=text, bucket=bucket)
-    keep = cls.where("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(keep, docs[doc_id].cast("long").eqNullSafe(keep["_id"]), "left_semi")
+    gone = written(cls.groupBy("doc_id").agg(F.min("component_id").alias("first")).where("doc_id <> first").select(F.col("doc_id").alias("_id")), "near-copies")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, docs[doc_id].cast("long") == gone["_id"], "left_anti")

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, written
+from .common import BROADCAST_ROWS, Memo, written
 from .components import connected_components
 
 #: Words of a shingle, least similarity of two paragraphs, and least words of a passage or paragraph that is cut.
@@ -27,8 +27,6 @@ PIECE = 16
 LEAST_COVER, EXTENT = 16, 17
 #: Up to so many paragraphs in a band's bucket are compared with each other; beyond it see :func:`similar_paragraphs`.
 BUCKET = 24
-#: Tables of at most so many documents may be broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 200_000
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
