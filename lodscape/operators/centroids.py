@@ -73,3 +73,9 @@ def error_benefit(zoom: int, depth: int = DEEP) -> Column:
         .when((F.col("level") < 8) | (cost == 0), dbl(MOST))
         .otherwise(F.element_at("errors", zoom + 1) * F.ln(F.col("cnt").cast("double")) / cost)
     )
+
+
+def plain_error_benefit(zoom: int, depth: int = DEEP) -> Column:
+    """Image error at a zoom for each sample more, without regard to counts (needs ``errors``)."""
+    cost = F.col("children") - 1
+    return F.when(is_leaf(depth), dbl(0)).when(cost == 0, dbl(MOST)).otherwise(F.element_at("errors", zoom + 1) / cost)

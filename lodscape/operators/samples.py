@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import settled
 from .pyramid import DEEP, deep_cells, levels, morton
 from .render import Pixels, metric, renderer
 
@@ -91,16 +92,19 @@ def _picked(level: int, kind: str, error: str):
 _NODE = "level int, ci long, cj long, cnt long, point_id long, x double, y double, children int, errors array<double>"
 
 
-def error_nodes(points: DataFrame, depth: int = DEEP, *, kind: str = "disc", error: str = "l2", checkpoint_every: int = 6) -> DataFrame:
+def error_nodes(points: DataFrame, depth: int = DEEP, *, kind: str = "disc", error: str = "l2") -> DataFrame:
     """``(level, ci, cj, cnt, point_id, x, y, children, errors)`` for every non-empty cell, built upwards level by level.
 
     A cell with one child takes its sample with error 0 by plain columns; only cells that branch are
-    drawn, in Arrow batches of families of at most four. Every few levels the lineage is cut by a checkpoint.
+    drawn, in Arrow batches of families of at most four. Every level is written
+    once, as the next one and the result both read it.
     """
     zero = F.array(*[F.lit(0.0)] * ZOOMS)
-    at = deep_cells(points, depth).select(
+    at = deep_cells(points, depth)
+    at = at.select(
         F.lit(depth).alias("level"), "ci", "cj", "cnt", F.col("first.point_id").alias("point_id"), F.col("first.mx").alias("x"), F.col("first.my").alias("y"), F.lit(0).alias("children"), zero.alias("errors")
     )
+    at = settled(at, f"level-{depth}")
     out = at
     for level in range(depth - 1, -1, -1):
         families = at.groupBy(F.shiftright("ci", 1).alias("pi"), F.shiftright("cj", 1).alias("pj")).agg(F.collect_list(F.struct("ci", "cj", "cnt", "point_id", "x", "y")).alias("f"))
@@ -108,7 +112,6 @@ def error_nodes(points: DataFrame, depth: int = DEEP, *, kind: str = "disc", err
             F.lit(level).alias("level"), F.col("pi").alias("ci"), F.col("pj").alias("cj"), F.col("f")[0]["cnt"].alias("cnt"), F.col("f")[0]["point_id"].alias("point_id"), F.col("f")[0]["x"].alias("x"), F.col("f")[0]["y"].alias("y"), F.lit(1).alias("children"), zero.alias("errors")
         )
         at = single.unionByName(families.where("size(f) > 1").mapInPandas(_picked(level, kind, error), _NODE))
-        if level % checkpoint_every == 0 and points.sparkSession.sparkContext.getCheckpointDir():
-            at = at.checkpoint()
+        at = settled(at, f"level-{level}")
         out = out.unionByName(at)
     return out

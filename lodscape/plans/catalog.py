@@ -445,6 +445,17 @@ def op_f3_error_benefit(spark, sf_dir):
     return samples.error_nodes(points(spark, sf_dir), 10).select("level", "ci", "cj", centroids.error_benefit(2, 10).alias("benefit"))
 
 
+@query()
+def op_f6_query_time_benefit(spark, sf_dir):
+    return samples.error_nodes(points(spark, sf_dir), 10).select("level", "ci", "cj", centroids.plain_error_benefit(2, 10).alias("benefit"))
+
+
+@query()
+def op_f7_error_best_first(spark, sf_dir):
+    nodes = samples.error_nodes(points(spark, sf_dir), NODES)
+    return best_first.best_first(nodes, centroids.error_benefit(REGION.zoom, NODES), REGION, 200)
+
+
 _MAX = num(centroids.MOST)
 
 
