@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, DataType, StringType, StructField, StructType
 
 #: Tables counted to have at most so many rows of an id and little else may be broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 200_000
@@ -65,10 +68,28 @@ class Memo(dict):
         value = self._older.get(key)
         if value is None:
             value = self._function(key)
-            if len(key) > self._longest:
+            if isinstance(key, (str, bytes)) and len(key) > self._longest:
                 return value
         if len(self) >= self._half:
             self._older = dict(self)
             self.clear()
         self[key] = value
         return value
+
+
+def with_computed(df: DataFrame, name: str, kind: DataType, source: Column, make: Callable[[], Callable]) -> DataFrame:
+    """``df`` and a column ``name`` (string or binary): ``make()``, called once for each task, gives the function of
+    ``source``'s values. Rows go through Arrow a few at a time, so a worker holds few of them as Python objects."""
+    wide = df.select("*", source.alias("_source"))
+    fields = StructType([*df.schema.fields, StructField(name, kind)])
+    arrow = {StringType(): pa.string(), BinaryType(): pa.binary()}[kind]
+
+    def computed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        function = make()
+        for b in batches:
+            for i in range(0, len(b), 512):
+                part = b.slice(i, 512)
+                values = pa.array([function(v) for v in part.column(part.num_columns - 1).to_pylist()], arrow)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], values], names=[*part.schema.names[:-1], name])
+
+    return wide.mapInArrow(computed, fields)

@@ -7,12 +7,10 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
-from .common import Memo
+from .common import Memo, with_computed
 
 #: What stands for a space.
 SPACE = "▁"
@@ -49,10 +47,13 @@ class PieceCodec:
         self._unknown = p.unk_id()
         self._bytes = {int(p.id_to_piece(i)[3:5], 16): i for i in range(n) if p.is_byte(i)}
         self._commit_every = commit_every
-        #: Pieces that merging their own characters gives; no others can come up.
-        self._whole = {piece for piece in self.ids if len(piece) > 1 and len(self._merged(piece)) == 1}
-        self._pairs: Memo = Memo(self._own_pair, most=1_000_000)
-        self._known: Memo = Memo(lambda unit: np.fromiter(self._stream(unit), dtype="<u4").tobytes())
+        self._piece = {i: piece for piece, i in self.ids.items()}
+        self._packed = [i.to_bytes(4, "little") for i in range(n)]
+        #: Characters that stand next to each other in some piece: between any others all paths have a boundary.
+        self._joined = {piece[k : k + 2] for piece in self.ids for k in range(len(piece) - 1)}
+        self._lines = not any("\n" in piece for piece in self.ids)
+        self._pairs: Memo = Memo(self._own_pair, most=300_000)
+        self._known: Memo = Memo(self._unit, most=400_000)
         self._text = [b""] * n
         for piece, i in self.ids.items():
             self._text[i] = piece.replace(SPACE, " ").encode()
@@ -74,60 +75,90 @@ class PieceCodec:
             i = best[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
-    def _own_pair(self, pair: tuple[str, str]) -> bool:
-        return not pair[0] or self._merged(pair[0] + pair[1]) == list(pair)
-
-    def _stream(self, chars: Iterable[str]) -> Iterator[int]:
-        """Ids of a stream of characters, given out as soon as they are final."""
-        tail, most = "", self.longest
-        pieces: dict[int, str] = {0: ""}  # by end: the last piece of that prefix
-        whole, pairs = self._whole, self._pairs
-        committed = end = 0
-        for c in chars:
-            end += 1
-            tail = tail + c if end <= most else tail[1:] + c
-            for n in range(1, len(tail) + 1):
-                piece = tail[-n:]
-                if (n == 1 or piece in whole) and pairs[pieces[end - n], piece]:
-                    pieces[end] = piece
-                    break
-            if end - committed >= self._commit_every + self.longest:
-                meet = self._meeting(pieces, committed, end)
-                yield from self._given(pieces, committed, meet)
-                pieces = {i: p for i, p in pieces.items() if i >= min(meet, end - self.longest)}
-                committed = meet
-        yield from self._given(pieces, committed, end)
-
-    def _meeting(self, pieces: dict[int, str], committed: int, end: int) -> int:
+    @functools.cached_property
+    def _whole(self) -> dict[str, int]:
+        """Pieces that merging their own characters gives, and single characters; no others can come up."""
+        return {piece: i for piece, i in self.ids.items() if len(self._merged(piece)) == 1}
+
+    def _own_pair(self, pair: int) -> bool:
+        left, right = self._piece[pair >> 16], self._piece[pair & 0xFFFF]
+        if left[-1] + right[0] not in self._joined:
+            return True
+        return left + right not in self._whole and self._merged(left + right) == [left, right]
+
+    def _unit(self, unit: str) -> bytes:
+        if len(unit) > 1 and unit[-2:] not in self._joined:
+            return self._known[unit[:-1]] + self._known[unit[-1]]
+        return b"".join(self.stream([unit]))
+
+    def stream(self, chunks: Iterable[str]) -> Iterator[bytes]:
+        """Ids of a stream of text (spaces already :data:`SPACE`), given out as soon as they are final."""
+        most, every, whole, pairs = self.longest, self._commit_every, self._whole, self._pairs
+        text = ""  # what is not committed yet, after up to the longest piece's length of what is
+        last: list[int] = [-1]  # by end in text: the last piece of that prefix, -1 for a character that is no piece
+        sizes: list[int] = [0]  # and its length
+        committed = 0
+        for chunk in chunks:
+            for at in range(0, len(chunk), every):
+                begin = len(text)
+                text += chunk[at : at + every]
+                for end in range(begin + 1, len(text) + 1):
+                    found, size = -1, 1
+                    if text[end - 1] in whole:  # else it merges with nothing
+                        for start in range(end - 1, max(end - most, 0) - 1, -1):
+                            i = whole.get(text[start:end])
+                            if i is not None:
+                                before = last[start]
+                                if before < 0 or pairs[before << 16 | i]:
+                                    found, size = i, end - start
+                                    break
+                    last.append(found)
+                    sizes.append(size)
+                if len(text) - committed > most + every:
+                    meet = self._meeting(sizes, committed)
+                    yield self._given(text, last, sizes, committed, meet)
+                    drop = max(0, min(meet, len(text) - most))
+                    text, last, sizes, committed = text[drop:], last[drop:], sizes[drop:], meet - drop
+        yield self._given(text, last, sizes, committed, len(text))
+
+    def _meeting(self, sizes: list[int], committed: int) -> int:
         """The last boundary that the paths of all positions that can still be continued have in common."""
+        end = len(sizes) - 1
         heads = set(range(max(committed, end - self.longest + 1), end + 1))
         while len(heads) > 1:
-            last = max(heads)
-            heads.remove(last)
-            heads.add(last - len(pieces[last]))
+            head = max(heads)
+            heads.remove(head)
+            heads.add(head - sizes[head])
         return heads.pop()
 
-    def _given(self, pieces: dict[int, str], begin: int, end: int) -> list[int]:
-        path = []
+    def _given(self, text: str, last: list[int], sizes: list[int], begin: int, end: int) -> bytes:
+        out = []
         while end > begin:
-            path.append(pieces[end])
-            end -= len(pieces[end])
-        ids = []
-        for piece in reversed(path):
-            if piece in self.ids:
-                ids.append(self.ids[piece])
+            i = last[end]
+            if i >= 0:
+                out.append(self._packed[i])
             elif self._bytes:
-                ids.extend(self._bytes[b] for b in piece.encode("utf-8", "surrogatepass"))
-            elif not ids or ids[-1] != self._unknown:
-                ids.append(self._unknown)
-        return ids
+                out.append(b"".join(self._packed[self._bytes[b]] for b in text[end - 1].encode("utf-8", "surrogatepass")))
+            else:
+                out.append(self._packed[self._unknown])
+            end -= sizes[end]
+        return b"".join(reversed(out))
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit numbers; none for an empty text."""
         if not text:
             return b""
-        units = _UNITS.findall(SPACE + text.replace(" ", SPACE))
-        return b"".join(map(self._known.__getitem__, units))
+        known, out = self._known, []
+        for k, line in enumerate(text.split("\n") if self._lines else [text]):
+            if k:
+                out.append(known["\n"])
+            if "  " in line or SPACE in line or line[-1:] == " " or not k and line[:1] == " ":
+                out += map(known.__getitem__, _UNITS.findall((line if k else " " + line).replace(" ", SPACE)))
+            elif line or not k:
+                first, *words = line.split(" ")
+                out.append(known[first if k else SPACE + first])
+                out += [known[SPACE + w] for w in words]
+        return b"".join(out)
 
     def decode(self, ids: bytes | None) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""
@@ -143,25 +174,13 @@ def encode_pieces(docs: DataFrame, model: str, *, text: str = "text") -> DataFra
     encoded in memory proportional to their ids; repeated rows are encoded one by one; a column named
     ``ids`` is replaced; an empty table stays empty."""
 
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = codec(model)
-        for b in batches:
-            yield pd.Series([own.encode(t) for t in b], dtype="object")
-
-    encoded.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     kept = [c for c in docs.columns if c.lower() != "ids"]
-    return docs.select(*[docs[c] for c in kept], F.pandas_udf(encoded, BinaryType())(docs[text].cast("string")).alias("ids"))
+    return with_computed(docs.select(*kept), "ids", BinaryType(), docs[text].cast("string"), lambda: codec(model).encode)
 
 
 def decode_pieces(encoded: DataFrame, model: str, *, ids: str = "ids") -> DataFrame:
     """All columns of ``encoded`` plus ``decoded``, the text of its ids: the text that was encoded,
     but for the character U+2581, which the model takes for a space. Null ids give the empty text."""
 
-    def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = codec(model)
-        for b in batches:
-            yield pd.Series([own.decode(x) for x in b], dtype="object")
-
-    decoded.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     kept = [c for c in encoded.columns if c.lower() != "decoded"]
-    return encoded.select(*[encoded[c] for c in kept], F.pandas_udf(decoded, StringType())(encoded[ids]).alias("decoded"))
+    return with_computed(encoded.select(*kept), "decoded", StringType(), encoded[ids], lambda: codec(model).decode)
