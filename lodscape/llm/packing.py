@@ -221,7 +221,7 @@ def pack(pieces: DataFrame, *, size: int = 2048, length: str = "length", group_r
                     order.append(i)
                     sequence.append(((round_no << 40) + int(key[0])) << 20 | b)
                     offset.append(at)
-                    left.append(not last and fill < size - size // 32)
+                    left.append(not last and fill < size - size // 256)
                     at += n[i]
             out = rows.iloc[order][kept].reset_index(drop=True)
             out["sequence_id"], out["offset"], out["_left"] = sequence, offset, left
