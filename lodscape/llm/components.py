@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_folder
+from .common import written
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -13,21 +13,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star rounds (each a group-by and a join) contract every
     component to a star around its smallest node in about log(n) rounds; each round is
-    checkpointed in the shared folder. Rows with a null end and self-loops are ignored;
+    written to the shared folder. Rows with a null end and self-loops are ignored;
     an empty edge list gives an empty result. Nodes without an edge do not appear.
     """
-    shared_folder(edges.sparkSession)
 
     def mark(e: DataFrame):
         r = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         return r["n"], r["h"]
 
-    e = (
-        edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        .where("u is not null and v is not null and u <> v")
-        .distinct()
-        .checkpoint()
-    )
+    e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u is not null and v is not null and u <> v").distinct()
+    e = written(e, "edges")
     seen = mark(e)
     for _ in range(max_rounds):
         if not seen[0]:
@@ -37,13 +32,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("low"))
         small = large.join(low, "u")
-        e = (
-            small.select(F.col("v").alias("u"), F.col("low").alias("v"))
-            .union(small.select("u", F.col("low").alias("v")))
-            .where("u <> v")
-            .distinct()
-            .checkpoint()
-        )
+        e = small.select(F.col("v").alias("u"), F.col("low").alias("v")).union(small.select("u", F.col("low").alias("v"))).where("u <> v").distinct()
+        e = written(e, "edges")
         now = mark(e)
         if now == seen:
             break

@@ -12,13 +12,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Memo, written
+from .common import BROADCAST_ROWS, written
 from .components import connected_components
 
 #: Words of a shingle, least similarity of two paragraphs, and least words of a passage or paragraph that is cut.
 SHINGLE, SIMILARITY, LEAST_WORDS = 5, 0.8, 50
-#: 10 bands of 3 rows: a pair at similarity 0.8 shares a band with probability 0.9992.
-BANDS, ROWS = 10, 3
+#: 14 bands of 4 rows: a pair at similarity 0.8 shares a band with probability 0.9994, one at 0.2 with 0.02.
+BANDS, ROWS = 14, 4
 #: A piece begins where a word pair's hash is the least among so many neighbours on either side.
 REACH = 3
 #: Longer pieces (one word again and again) are cut into pieces of so many words.
@@ -27,16 +27,12 @@ PIECE = 16
 LEAST_COVER, EXTENT = 16, 17
 #: Up to so many paragraphs in a band's bucket are compared with each other; beyond it see :func:`similar_paragraphs`.
 BUCKET = 24
+HUB_ROUNDS = 2
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-@functools.lru_cache(maxsize=1)
-def _word_hashes() -> Memo:
-    return Memo(xxhash.xxh64_intdigest)
-
-
 @functools.lru_cache(maxsize=1)
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
     r = np.random.default_rng(2024)
@@ -51,7 +47,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def hashed_words(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_word_hashes().__getitem__, words), dtype=np.uint64, count=len(words))
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
 def shingles_of(hashes: np.ndarray) -> np.ndarray:
@@ -64,78 +60,92 @@ def shingles_of(hashes: np.ndarray) -> np.ndarray:
     return h
 
 
-def bands_of(shingles: np.ndarray) -> list[int]:
+def bands_of(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A row of band hashes for each paragraph; ``starts``: where its shingles begin."""
     a, b = _permutations()
-    least = np.full(len(a), np.iinfo(np.uint64).max)
-    for i in range(0, len(shingles), 65_536):
-        block = shingles[i : i + 65_536]
-        least = np.minimum(least, [(block * x + y >> np.uint64(20)).min() for x, y in zip(a, b)])
-    rows = least.astype(np.uint64).reshape(BANDS, ROWS)
-    h = np.arange(BANDS, dtype=np.uint64)
+    rows = np.empty((len(a), len(starts)), dtype=np.uint64)
+    for k in range(len(a)):
+        rows[k] = np.minimum.reduceat((shingles * a[k] + b[k]) >> np.uint64(20), starts)
+    rows = rows.reshape(BANDS, ROWS, -1)
+    h = np.repeat(np.arange(BANDS, dtype=np.uint64)[:, None], len(starts), axis=1)
     for k in range(ROWS):
         h = _mixed(h * _MULTIPLIER + rows[:, k])
-    return h.view(np.int64).tolist()
+    return np.ascontiguousarray(h.T).view(np.int64)
 
 
-def pieces_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, words, key) of the pieces between content-defined cuts; equal runs of words are cut alike but at their ends."""
+def pieces_of(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(pieces of each document, first word, words, key) for documents of so many words each, their words in one row.
+    Pieces lie between content-defined cuts: equal runs of words are cut alike but at their ends."""
     n = len(hashes)
     if not n:
         none = np.zeros(0, dtype=np.int64)
-        return none, none, none
-    pair = _mixed(hashes * _MULTIPLIER + np.append(hashes[1:], np.uint64(0)))
-    wide = np.concatenate([np.full(REACH, np.iinfo(np.uint64).max), pair, np.full(REACH, np.iinfo(np.uint64).max)])
+        return np.zeros(len(sizes), dtype=np.int64), none, none, none
+    most = np.iinfo(np.uint64).max
+    begin = np.cumsum(sizes) - sizes
+    full = sizes > 0
+    following = np.append(hashes[1:], np.uint64(0))
+    following[(begin + sizes - 1)[full]] = 0
+    # documents are kept apart by so many places of the greatest hash
+    gap = np.repeat(np.arange(len(sizes)), sizes) * REACH
+    place = np.arange(n) + gap + REACH
+    wide = np.full(n + (len(sizes) + 1) * REACH, most, dtype=np.uint64)
+    pair = _mixed(hashes * _MULTIPLIER + following)
+    wide[place] = pair
     cut = np.ones(n, dtype=bool)
     for k in range(1, REACH + 1):
-        cut &= (pair < wide[REACH - k : REACH - k + n]) & (pair <= wide[REACH + k : REACH + k + n])
-    cut[0] = True
+        cut &= (pair < wide[place - k]) & (pair <= wide[place + k])
+    cut[begin[full]] = True
     start = np.flatnonzero(cut)
     size = np.diff(np.append(start, n))
     long = np.repeat(size > 2 * PIECE, size)
-    cut[long & ((np.arange(n) - np.repeat(start, size)) % PIECE == 0)] = True
-    start = np.flatnonzero(cut)
-    size = np.diff(np.append(start, n))
+    if long.any():
+        cut[long & ((np.arange(n) - np.repeat(start, size)) % PIECE == 0)] = True
+        start = np.flatnonzero(cut)
+        size = np.diff(np.append(start, n))
     at = np.arange(n) - np.repeat(start, size)
     terms = _mixed(hashes + (at.astype(np.uint64) + np.uint64(1)) * _MULTIPLIER)
     key = _mixed(np.add.reduceat(terms, start) + size.astype(np.uint64))
-    return start, size, key.view(np.int64)
-
-
-def _lines_of(raw: bytes) -> tuple[list[bytes], list[tuple[int, int]]]:
-    """The words of a text, and (first word, words) of each of its lines."""
-    words: list[bytes] = []
-    lines = []
-    for line in raw.split(b"\n"):
-        own = line.split()
-        lines.append((len(words), len(own)))
-        words += own
-    return words, lines
+    owner = np.searchsorted(begin[full], start, side="right") - 1
+    each = np.zeros(len(sizes), dtype=np.int64)
+    each[full] = np.bincount(owner, minlength=int(full.sum()))
+    return each, start - begin[full][owner], size, key.view(np.int64)
 
 
-_LINE = pa.struct([("at", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64()))])
-_PIECE = pa.struct([("at", pa.int64()), ("n", pa.int64()), ("key", pa.int64())])
+def _lists(counts: list[int] | np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i in range(0, len(b), 256):
             part = b.slice(i, 256)
-            lines_out, pieces_out = [], []
+            words: list[bytes] = []
+            sizes, line_counts, line_at, line_n, keys, line_first = [], [], [], [], [], []
             for raw in part.column(1).to_pylist():
-                words, lines = _lines_of(raw or b"")
-                h = hashed_words(words)
-                lines_out.append(
-                    [
-                        {"at": at, "n": n, "key": xxhash.xxh3_128_digest(b" ".join(words[at : at + n])), "bands": bands_of(shingles_of(h[at : at + n]))}
-                        for at, n in lines
-                        if n >= LEAST_WORDS
-                    ]
-                )
-                pieces_out.append(pieces_of(h))
-            offsets = np.cumsum([0, *(len(p[0]) for p in pieces_out)]).astype(np.int32)
-            flat = [pa.array(np.concatenate([p[k] for p in pieces_out]), pa.int64()) for k in range(3)]
-            pieces = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(flat, names=["at", "n", "key"]))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lines_out, pa.list_(_LINE)), pieces], names=["doc_id", "lines", "pieces"])
+                begin, n_lines = len(words), 0
+                for line in (raw or b"").split(b"\n"):
+                    own = line.split()
+                    if len(own) >= LEAST_WORDS:
+                        n_lines += 1
+                        line_first.append(len(words))
+                        line_at.append(len(words) - begin)
+                        line_n.append(len(own))
+                        keys.append(xxhash.xxh3_128_digest(b" ".join(own)))
+                    words += own
+                sizes.append(len(words) - begin)
+                line_counts.append(n_lines)
+            h = hashed_words(words)
+            bands = np.zeros((0, BANDS), dtype=np.int64)
+            if line_first:
+                every = shingles_of(h)
+                n = np.array(line_n) - SHINGLE + 1
+                starts = np.cumsum(n) - n
+                bands = bands_of(every[np.arange(n.sum()) - np.repeat(starts, n) + np.repeat(line_first, n)], starts)
+            banded = _lists(np.full(len(bands), BANDS), pa.array(bands.reshape(-1)))
+            lines = pa.StructArray.from_arrays([pa.array(line_at, pa.int64()), pa.array(line_n, pa.int64()), pa.array(keys, pa.binary()), banded], names=["at", "n", "key", "bands"])
+            each, *columns = pieces_of(h, np.array(sizes, dtype=np.int64))
+            pieces = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["at", "n", "key"])
+            yield pa.RecordBatch.from_arrays([part.column(0), _lists(line_counts, lines), _lists(each, pieces)], names=["doc_id", "lines", "pieces"])
 
 
 def _beside(docs: DataFrame, items: DataFrame, how: str = "inner") -> DataFrame:
@@ -177,8 +187,9 @@ def similar_paragraphs(docs: DataFrame, distinct: DataFrame) -> DataFrame:
 
     ``distinct``: ``(key, first, at, n, bands)``. Paragraphs that share a band are candidates. In
     buckets of up to :data:`BUCKET` all are compared. In larger ones each is compared with one hub;
-    then only what is not yet in the component that holds most of the bucket is compared with all of
-    the bucket, so no link between components is missed, and copies of one paragraph cost a
+    then what is not yet in the component that holds most of the bucket is compared with all of the
+    bucket that is not in its own component: hub by hub for :data:`HUB_ROUNDS` rounds, then all of
+    what is left. So no link between components is missed, and copies of one paragraph cost a
     comparison each.
     """
     banded = written(distinct.select("key", F.posexplode("bands").alias("band", "value")).select("key", F.xxhash64("band", "value").alias("bucket")), "bands")
@@ -194,28 +205,22 @@ def similar_paragraphs(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     links = _verified(docs, distinct, pairs.distinct(), "near")
     if not crowded:
         return links
-    while True:
+    for _ in range(HUB_ROUNDS + 1):
         parts = connected_components(links)
-        placed = written(
-            members.select("bucket", "key").join(parts, members["key"] == parts["node"], "left").select("bucket", "key", F.coalesce("component", "key").alias("part")), "placed"
-        )
-        counts = placed.groupBy("bucket", "part").agg(F.count("*").alias("n"))
-        main = counts.groupBy("bucket").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
+        placed = members.select("bucket", "key").join(parts, members["key"] == parts["node"], "left").select("bucket", "key", F.coalesce("component", "key").alias("part"))
+        placed = written(placed, "placed")
+        main = placed.groupBy("bucket", "part").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max_by("part", F.struct("c", "part")).alias("main"))
         rest = written(placed.join(main, "bucket").where("part <> main").select("bucket", "key", "part"), "rest")
-        if rest.isEmpty():
-            return links
-        sizes = rest.groupBy("bucket").agg(F.count("*").alias("left"), F.min("key").alias("hub"))
-        few = rest.join(sizes.where(F.col("left") <= BUCKET).select("bucket"), "bucket")
-        hubs = rest.join(sizes.where(F.col("left") > BUCKET).select("bucket", F.col("hub").alias("key")), ["bucket", "key"], "left_semi")
-        x, y = few.union(hubs).alias("x"), placed.alias("y")
+        sizes = rest.groupBy("bucket").agg(F.count("*").alias("left"), F.min("key").alias("key"))
+        far = sizes.where(F.col("left") > BUCKET)
+        last = far.isEmpty() or _ == HUB_ROUNDS
+        x = (rest if last else rest.join(far.select("bucket", "key"), ["bucket", "key"], "left_semi")).alias("x")
+        y = placed.alias("y")
         more = x.join(y, F.expr("x.bucket = y.bucket and x.part <> y.part")).select(F.least("x.key", "y.key").alias("u"), F.greatest("x.key", "y.key").alias("v"))
-        done = hubs.isEmpty()
-        found = _verified(docs, distinct, more.distinct(), "rest-near")
-        # a hub without a link leaves its buckets: it has been compared with all of them
-        members = written(members.select("bucket", "key").join(hubs.select("bucket", "key"), ["bucket", "key"], "left_anti"), "members")
-        links = written(links.union(found).distinct(), "links")
-        if done:
-            return links
+        links = written(links.union(_verified(docs, distinct, more.distinct(), "rest-near")).distinct(), "links")
+        if last:
+            break
+    return links
 
 
 def _verified(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
