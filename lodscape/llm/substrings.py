@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 import re
 from collections.abc import Callable, Iterator
 
@@ -27,7 +28,6 @@ PIECE = 16
 LEAST_COVER, EXTENT = 16, 17
 #: Up to so many paragraphs in a band's bucket are compared with each other; beyond it see :func:`similar_paragraphs`.
 BUCKET = 24
-HUB_ROUNDS = 2
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -186,41 +186,84 @@ def similar_paragraphs(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """``(u, v)`` links between keys of different paragraphs of which the Jaccard similarity is 0.8 or more.
 
     ``distinct``: ``(key, first, at, n, bands)``. Paragraphs that share a band are candidates. In
-    buckets of up to :data:`BUCKET` all are compared. In larger ones each is compared with one hub;
-    then what is not yet in the component that holds most of the bucket is compared with all of the
-    bucket that is not in its own component: hub by hub for :data:`HUB_ROUNDS` rounds, then all of
-    what is left. So no link between components is missed, and copies of one paragraph cost a
-    comparison each.
+    buckets of up to :data:`BUCKET` all are compared. In larger ones each is compared with one hub, the
+    member that lies in most of them; :func:`_crowded_pairs` finds the links that are still missing
+    between components, so copies of one paragraph cost a comparison each and no link is lost.
     """
     banded = written(distinct.select("key", F.posexplode("bands").alias("band", "value")).select("key", F.xxhash64("band", "value").alias("bucket")), "bands")
-    buckets = written(banded.groupBy("bucket").agg(F.count("*").alias("size"), F.min("key").alias("hub")).where("size > 1"), "buckets")
+    buckets = written(banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
     small = banded.join(buckets.where(F.col("size") <= BUCKET).select("bucket"), "bucket")
     a, b = small.alias("a"), small.alias("b")
     pairs = a.join(b, F.expr("a.bucket = b.bucket and a.key < b.key")).select(F.col("a.key").alias("u"), F.col("b.key").alias("v"))
-    large = buckets.where(F.col("size") > BUCKET)
+    large = buckets.where(F.col("size") > BUCKET).select("bucket")
     crowded = not large.isEmpty()
     if crowded:
-        members = written(banded.join(large.select("bucket", "hub"), "bucket"), "members")
-        pairs = pairs.union(members.where("key <> hub").select(F.col("hub").alias("u"), F.col("key").alias("v")))
+        members = written(banded.join(large, "bucket"), "members")
+        often = members.groupBy("key").agg(F.count("*").alias("often"))
+        hubs = members.join(often, "key").groupBy("bucket").agg(F.max_by("key", F.struct("often", "key")).alias("hub"))
+        pairs = pairs.union(members.join(hubs, "bucket").where("key <> hub").select(F.least("hub", "key").alias("u"), F.greatest("hub", "key").alias("v")))
     links = _verified(docs, distinct, pairs.distinct(), "near")
     if not crowded:
         return links
-    for _ in range(HUB_ROUNDS + 1):
-        parts = connected_components(links)
-        placed = members.select("bucket", "key").join(parts, members["key"] == parts["node"], "left").select("bucket", "key", F.coalesce("component", "key").alias("part"))
-        placed = written(placed, "placed")
-        main = placed.groupBy("bucket", "part").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max_by("part", F.struct("c", "part")).alias("main"))
-        rest = written(placed.join(main, "bucket").where("part <> main").select("bucket", "key", "part"), "rest")
-        sizes = rest.groupBy("bucket").agg(F.count("*").alias("left"), F.min("key").alias("key"))
-        far = sizes.where(F.col("left") > BUCKET)
-        last = far.isEmpty() or _ == HUB_ROUNDS
-        x = (rest if last else rest.join(far.select("bucket", "key"), ["bucket", "key"], "left_semi")).alias("x")
-        y = placed.alias("y")
-        more = x.join(y, F.expr("x.bucket = y.bucket and x.part <> y.part")).select(F.least("x.key", "y.key").alias("u"), F.greatest("x.key", "y.key").alias("v"))
-        links = written(links.union(_verified(docs, distinct, more.distinct(), "rest-near")).distinct(), "links")
-        if last:
-            break
-    return links
+    parts = connected_components(links)
+    nodes = members.select("key").distinct().join(parts, F.col("key") == F.col("node"), "left").select("key", F.coalesce("component", "key").alias("part"))
+    return links.union(_verified(docs, distinct, _crowded_pairs(docs, distinct, written(nodes, "nodes")), "crowded"))
+
+
+def _size_class(n: int) -> int:
+    return int(math.log(n) / math.log(1.05) + 1e-9)
+
+
+def _prefixes(tokens: list[int]) -> list[tuple[int, int, int, bool]]:
+    """(token, smaller size class, larger one, whether this is the smaller set): what a set of a size shares
+    with any set of similarity 0.8 or more. ``tokens`` are in one order for all sets. Sets of sizes a <= b so
+    similar have at least 0.8 / 1.8 * (a + b) tokens in common, so the first of these is among the first
+    a + 1 less that number of the one, and b + 1 less that number of the other."""
+    n, own, out = len(tokens), _size_class(len(tokens)), []
+    low, high = math.ceil(SIMILARITY * n - 1e-9), math.floor(n / SIMILARITY + 1e-9)
+    for other in range(_size_class(max(low, 1)), _size_class(high) + 1):
+        least = math.ceil(1.05**other - 1e-6)
+        for smaller, size in ((True, max(least, n)), (False, max(least, low))):
+            if (smaller and other < own) or (not smaller and other > own):
+                continue
+            common = math.ceil(SIMILARITY / (1 + SIMILARITY) * (n + size) - 1e-9)
+            pair = (own, other) if smaller else (other, own)
+            out += [(t, *pair, smaller) for t in tokens[: max(0, n - common + 1)]]
+    return out
+
+
+def _crowded_pairs(docs: DataFrame, distinct: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(u, v)`` candidates for links between different components among ``nodes`` (``key, part``).
+
+    Shingles are ordered by how few of the nodes have them, the rarest first; two nodes so similar
+    share one of their first few (:func:`_prefixes`). In each group of a shingle and two size classes,
+    only nodes that are not in the component that holds most of the group are paired with the rest of it.
+    """
+    wanted = distinct.join(nodes.select("key"), "key").select(F.col("first").alias("doc_id"), F.col("key").alias("id"), "at", "n")
+    sets = _looked_up(docs, wanted, "crowded-shingles", _paragraph)
+    tokens = sets.select(F.col("id").alias("key"), F.explode("found").alias("token"))
+    ranked = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("df")), "token").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, len(b), 64):
+                keys, rows = [], []
+                for key, t in zip(b.column(0).slice(i, 64).to_pylist(), b.column(1).slice(i, 64).to_pylist()):
+                    own = _prefixes([x["token"] for x in t])
+                    keys += [key] * len(own)
+                    rows += own
+                columns = list(zip(*rows)) if rows else [[], [], [], []]
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["key", "token", "small", "large", "is_small"])
+
+    found = ranked.mapInArrow(entries, "key binary, token bigint, small int, large int, is_small boolean")
+    found = written(found.select("key", F.xxhash64("token", "small", "large").alias("slot"), "is_small").join(nodes, "key"), "prefixes")
+    counts = found.groupBy("slot", "part").agg(F.count("*").alias("c"))
+    main = counts.groupBy("slot").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    rest = found.join(main, "slot").where("part <> main")
+    x, y = rest.alias("x"), found.alias("y")
+    pairs = x.join(y, F.expr("x.slot = y.slot and x.is_small <> y.is_small and x.part <> y.part"))
+    return pairs.select(F.least("x.key", "y.key").alias("u"), F.greatest("x.key", "y.key").alias("v")).distinct()
 
 
 def _verified(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
