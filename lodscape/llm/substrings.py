@@ -24,6 +24,8 @@ BANDS, ROWS = 14, 4
 REACH = 3
 #: Longer pieces (one word again and again) are cut into pieces of so many words.
 PIECE = 16
+#: A piece's place is its first word, shifted by so many bits, and its number of words, at most twice the above.
+PLACE_BITS = 6
 #: Whole pieces must cover so many words before a run is looked at, and it is then extended by so many words on either side.
 LEAST_COVER, EXTENT = 16, 17
 #: Up to so many paragraphs in a band's bucket are compared with each other; beyond it see :func:`similar_paragraphs`.
@@ -144,13 +146,16 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             banded = _lists(np.full(len(bands), BANDS), pa.array(bands.reshape(-1)))
             lines = pa.StructArray.from_arrays([pa.array(line_at, pa.int64()), pa.array(line_n, pa.int64()), pa.array(keys, pa.binary()), banded], names=["at", "n", "key", "bands"])
             each, *columns = pieces_of(h, np.array(sizes, dtype=np.int64))
-            pieces = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["at", "n", "key"])
-            yield pa.RecordBatch.from_arrays([part.column(0), _lists(line_counts, lines), _lists(each, pieces)], names=["doc_id", "lines", "pieces"])
+            start, size, key = columns
+            pieces = pa.StructArray.from_arrays([pa.array(start << PLACE_BITS | size, pa.int64()), pa.array(key, pa.int64())], names=["place", "key"])
+            texts = pa.array([xxhash.xxh3_128_digest(raw or b"") for raw in part.column(1).to_pylist()], pa.binary())
+            columns = [part.column(0), texts, pa.array(sizes, pa.int64()), _lists(line_counts, lines), _lists(each, pieces)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "words", "lines", "pieces"])
 
 
-def _beside(docs: DataFrame, items: DataFrame, how: str = "inner") -> DataFrame:
-    """``docs`` joined with a table of one row a document: broadcast if it was counted to be small, else by a shuffle."""
-    return docs.join(F.broadcast(items) if items.count() <= BROADCAST_ROWS else items, "doc_id", how)
+def _small(df: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it was counted to be small; larger ones are joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def _looked_up(docs: DataFrame, wanted: DataFrame, name: str, find: Callable[[list[bytes], np.ndarray, dict], list[int]]) -> DataFrame:
@@ -168,7 +173,7 @@ def _looked_up(docs: DataFrame, wanted: DataFrame, name: str, find: Callable[[li
                     found.append(find(h, item))
             yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(1).type.value_type.field("id").type), pa.array(found, pa.list_(pa.int64()))], names=["id", "found"])
 
-    return written(_beside(docs, per_doc).select("raw", "items").mapInArrow(look, f"id {kind}, found array<bigint>"), name)
+    return written(docs.join(_small(per_doc), "doc_id").select("raw", "items").mapInArrow(look, f"id {kind}, found array<bigint>"), name)
 
 
 def _paragraph(h: np.ndarray, item: dict) -> list[int]:
@@ -176,31 +181,40 @@ def _paragraph(h: np.ndarray, item: dict) -> list[int]:
 
 
 def _context(h: np.ndarray, item: dict) -> list[int]:
-    """The words on one side of a place, the nearest first: before it if n is 0, else after those n words."""
-    at, n = item["at"], item["n"]
-    side = h[max(0, at - EXTENT) : at][::-1] if not n else h[at + n : at + n + EXTENT]
+    """The words next to a piece, the nearest first: before it if n is 0, else after it. The piece begins at word
+    ``at``, or, if that is negative, is the document's first with the key that the id names."""
+    at, size = item["at"] >> PLACE_BITS, item["at"] & (1 << PLACE_BITS) - 1
+    if item["at"] < 0:
+        _, start, sizes, keys = pieces_of(h, np.array([len(h)]))
+        found = np.flatnonzero(keys == item["id"]["key"])
+        if not len(found):
+            return []
+        at, size = int(start[found[0]]), int(sizes[found[0]])
+    side = h[max(0, at - EXTENT) : at][::-1] if not item["n"] else h[at + size : at + size + EXTENT]
     return side.view(np.int64).tolist()
 
 
 def similar_paragraphs(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """``(u, v)`` links between keys of different paragraphs of which the Jaccard similarity is 0.8 or more.
 
-    ``distinct``: ``(key, first, at, n, bands)``. Paragraphs that share a band are candidates. In
+    ``distinct``: ``(key, first, at, n, bands)``, its keys numbers. Paragraphs that share a band are candidates. In
     buckets of up to :data:`BUCKET` all are compared. In larger ones each is compared with one hub, the
     member that lies in most of them; :func:`_crowded_pairs` finds the links that are still missing
     between components, so copies of one paragraph cost a comparison each and no link is lost.
     """
     banded = written(distinct.select("key", F.posexplode("bands").alias("band", "value")).select("key", F.xxhash64("band", "value").alias("bucket")), "bands")
-    buckets = written(banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
-    small = banded.join(buckets.where(F.col("size") <= BUCKET).select("bucket"), "bucket")
+    buckets = banded.groupBy("bucket").agg(F.count("*").alias("size"), F.min("key").alias("u"), F.max("key").alias("v")).where("size > 1")
+    buckets = written(buckets, "buckets")
+    pairs = buckets.where("size = 2").select("u", "v")
+    small = banded.join(_small(buckets.where(F.col("size").between(3, BUCKET)).select("bucket")), "bucket")
     a, b = small.alias("a"), small.alias("b")
-    pairs = a.join(b, F.expr("a.bucket = b.bucket and a.key < b.key")).select(F.col("a.key").alias("u"), F.col("b.key").alias("v"))
+    pairs = pairs.union(a.join(b, F.expr("a.bucket = b.bucket and a.key < b.key")).select(F.col("a.key").alias("u"), F.col("b.key").alias("v")))
     large = buckets.where(F.col("size") > BUCKET).select("bucket")
     crowded = not large.isEmpty()
     if crowded:
-        members = written(banded.join(large, "bucket"), "members")
+        members = written(banded.join(_small(large), "bucket"), "members")
         often = members.groupBy("key").agg(F.count("*").alias("often"))
-        hubs = members.join(often, "key").groupBy("bucket").agg(F.max_by("key", F.struct("often", "key")).alias("hub"))
+        hubs = members.join(often, "key").groupBy("bucket").agg(F.max("often").alias("often")).join(members.join(often, "key"), ["bucket", "often"]).groupBy("bucket").agg(F.max("key").alias("hub"))
         pairs = pairs.union(members.join(hubs, "bucket").where("key <> hub").select(F.least("hub", "key").alias("u"), F.greatest("hub", "key").alias("v")))
     links = _verified(docs, distinct, pairs.distinct(), "near")
     if not crowded:
@@ -254,9 +268,9 @@ def _crowded_pairs(docs: DataFrame, distinct: DataFrame, nodes: DataFrame) -> Da
                     rows += own
                 columns = list(zip(*rows)) if rows else [[], [], [], []]
                 kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["key", "token", "small", "large", "is_small"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["key", "token", "small", "large", "is_small"])
 
-    found = ranked.mapInArrow(entries, "key binary, token bigint, small int, large int, is_small boolean")
+    found = ranked.mapInArrow(entries, "key bigint, token bigint, small int, large int, is_small boolean")
     found = written(found.select("key", F.xxhash64("token", "small", "large").alias("slot"), "is_small").join(nodes, "key"), "prefixes")
     counts = found.groupBy("slot", "part").agg(F.count("*").alias("c"))
     main = counts.groupBy("slot").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
@@ -277,58 +291,60 @@ def _verified(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, name: str)
     return written(both.where(F.col("s") >= SIMILARITY * F.col("t")).select("u", "v"), f"{name}-links")
 
 
+def _copies(units: DataFrame) -> DataFrame:
+    """``(doc_id, at, n, source)``: whole documents to cut, since an earlier one has the same text."""
+    texts = units.where(F.col("words") >= LEAST_WORDS).select("doc_id", "text_key", "words")
+    firsts = texts.groupBy("text_key").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source <> last")
+    copies = texts.join(firsts, "text_key").where("doc_id <> source").groupBy("doc_id").agg(F.max("words").alias("n"), F.min("source").alias("source"))
+    return written(copies.select("doc_id", F.lit(0).cast("long").alias("at"), "n", "source"), "copies")
+
+
 def _paragraph_cuts(docs: DataFrame, units: DataFrame) -> DataFrame:
     """``(doc_id, at, n, source)``: whole paragraphs to cut."""
     lines = units.select("doc_id", F.explode("lines").alias("x")).select("doc_id", "x.*")
-    each = lines.groupBy("key").agg(
-        F.min(F.struct("doc_id", "at", "n")).alias("x"), F.max("doc_id").alias("last"), F.first("bands").alias("bands")
-    )
-    distinct = written(each.select("key", F.col("x.doc_id").alias("first"), "last", "x.at", "x.n", "bands"), "paragraphs")
+    each = lines.groupBy(F.col("key").alias("text")).agg(F.min(F.struct("doc_id", "at", "n")).alias("x"), F.max("doc_id").alias("last"), F.first("bands").alias("bands"))
+    each = each.select(F.monotonically_increasing_id().alias("key"), "text", F.col("x.doc_id").alias("first"), "last", "x.at", "x.n", "bands")
+    distinct = written(each, "paragraphs")
     parts = connected_components(similar_paragraphs(docs, distinct))
-    grouped = distinct.select("key", "first", "last").join(parts, distinct["key"] == parts["node"], "left").select("key", "first", "last", F.coalesce("component", "key").alias("part"))
+    grouped = distinct.select("key", "text", "first", "last").join(parts, distinct["key"] == parts["node"], "left").select("text", "first", "last", F.coalesce("component", "key").alias("part"))
     sources = grouped.groupBy("part").agg(F.min("first").alias("source"))
-    repeated = grouped.join(sources, "part").where("last <> source").select("key", "source")
-    return lines.select("doc_id", "at", "n", "key").join(repeated, "key").where("doc_id <> source").select("doc_id", "at", "n", "source")
+    repeated = grouped.join(sources, "part").where("last <> source").select("text", "source")
+    return lines.select("doc_id", "at", "n", F.col("key").alias("text")).join(repeated, "text").where("doc_id <> source").select("doc_id", "at", "n", "source")
 
 
 def _passage_cuts(docs: DataFrame, units: DataFrame) -> DataFrame:
     """``(doc_id, at, n, source)``: passages within or across paragraphs to cut."""
-    pieces = units.select("doc_id", F.explode("pieces").alias("x")).select("doc_id", "x.at", "x.n", "x.key")
-    repeated = pieces.groupBy("key").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("last")).where("last <> first.doc_id").select("key", "first")
-    hits = pieces.join(repeated, "key").where("doc_id <> first.doc_id").select("doc_id", "at", "n", "first")
-    # a document's hits, merged into runs: (at, end, the first piece's source, the last piece's source and its words)
+    pieces = units.select("doc_id", F.explode("pieces").alias("x")).select("doc_id", "x.place", "x.key")
+    repeated = pieces.groupBy("key").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source <> last").select("key", "source")
+    hits = pieces.join(repeated, "key").where("doc_id <> source").select("doc_id", "place", "key", "source")
+    # a document's hits, merged into runs of pieces that follow each other, with the first and the last piece of each
+    piece = "struct<place:bigint,key:bigint,source:bigint>"
     runs = F.expr(
-        """aggregate(array_sort(collect_list(struct(at, n, first))), cast(array() as array<struct<at:bigint,end:bigint,head:struct<doc_id:bigint,at:bigint>,tail:struct<doc_id:bigint,at:bigint>,tail_at:bigint,tail_n:bigint>>),
-             (acc, x) -> case when size(acc) > 0 and element_at(acc, -1).end = x.at
-               then concat(slice(acc, 1, size(acc) - 1), array(named_struct('at', element_at(acc, -1).at, 'end', x.at + x.n, 'head', element_at(acc, -1).head, 'tail', x.first, 'tail_at', x.at, 'tail_n', x.n)))
-               else concat(acc, array(named_struct('at', x.at, 'end', x.at + x.n, 'head', x.first, 'tail', x.first, 'tail_at', x.at, 'tail_n', x.n))) end)"""
+        f"""aggregate(array_sort(collect_list(struct(place, key, source))), cast(array() as array<struct<end:bigint,head:{piece},tail:{piece}>>),
+             (acc, x) -> case when size(acc) > 0 and element_at(acc, -1).end = shiftright(x.place, {PLACE_BITS})
+               then concat(slice(acc, 1, size(acc) - 1), array(named_struct('end', shiftright(x.place, {PLACE_BITS}) + (x.place & {(1 << PLACE_BITS) - 1}), 'head', element_at(acc, -1).head, 'tail', x)))
+               else concat(acc, array(named_struct('end', shiftright(x.place, {PLACE_BITS}) + (x.place & {(1 << PLACE_BITS) - 1}), 'head', x, 'tail', x))) end)"""
     )
-    found = hits.groupBy("doc_id").agg(runs.alias("runs")).select("doc_id", F.explode("runs").alias("r")).select("doc_id", "r.*")
+    found = hits.groupBy("doc_id").agg(runs.alias("runs")).select("doc_id", F.explode("runs").alias("r")).select("doc_id", F.shiftright("r.head.place", PLACE_BITS).alias("at"), "r.*")
     found = written(found.where(F.col("end") - F.col("at") >= LEAST_COVER), "runs")
-    place = lambda doc, at, n, side: F.struct(doc.alias("doc_id"), at.alias("at"), n.alias("n"), F.lit(side).alias("side"))
-    zero = F.lit(0).cast("long")
-    sides = F.array(
-        place(F.col("doc_id"), F.col("at"), zero, "before"),
-        place(F.col("head.doc_id"), F.col("head.at"), zero, "before"),
-        place(F.col("doc_id"), F.col("tail_at"), F.col("tail_n"), "after"),
-        place(F.col("tail.doc_id"), F.col("tail.at"), F.col("tail_n"), "after"),
-    )
-    wanted = found.select(F.explode(sides).alias("p")).select("p.*").distinct().select("doc_id", F.struct("doc_id", "at", "n").alias("id"), "at", "n")
+    none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    place = lambda doc, key, at, n: F.struct(doc.alias("doc_id"), F.struct(doc.alias("doc_id"), key.alias("key"), at.alias("at"), n.alias("n")).alias("id"), at.alias("at"), n.alias("n"))
+    sides = {
+        "own_before": place(F.col("doc_id"), none, F.col("head.place"), none),
+        "its_before": place(F.col("head.source"), F.col("head.key"), F.lit(-1).cast("long"), none),
+        "own_after": place(F.col("doc_id"), none, F.col("tail.place"), one),
+        "its_after": place(F.col("tail.source"), F.col("tail.key"), F.lit(-1).cast("long"), one),
+    }
+    wanted = found.select(F.explode(F.array(*sides.values())).alias("p")).select("p.*").distinct()
     contexts = _looked_up(docs, wanted, "contexts", _context)
-    for name, doc, at, n in (
-        ("own_before", "doc_id", "at", zero),
-        ("its_before", "head.doc_id", "head.at", zero),
-        ("own_after", "doc_id", "tail_at", F.col("tail_n")),
-        ("its_after", "tail.doc_id", "tail.at", F.col("tail_n")),
-    ):
-        key = F.struct(F.col(doc).alias("doc_id"), F.col(at).alias("at"), n.alias("n"))
-        found = found.withColumn("_k", F.xxhash64(key)).join(contexts.select(F.xxhash64("id").alias("_k"), F.col("found").alias(name)), "_k").drop("_k")
+    for name, side in sides.items():
+        found = found.withColumn("_k", F.xxhash64(side["id"])).join(contexts.select(F.xxhash64("id").alias("_k"), F.col("found").alias(name)), "_k").drop("_k")
     alike = lambda x, y: F.expr(f"coalesce(nullif(array_position(zip_with({x}, {y}, (a, b) -> a <=> b), false), 0) - 1, least(size({x}), size({y})))")
     wide = found.select(
         "doc_id",
         (F.col("at") - alike("own_before", "its_before")).alias("at"),
         (F.col("end") + alike("own_after", "its_after")).alias("end"),
-        F.col("head.doc_id").alias("source"),
+        F.col("head.source").alias("source"),
     )
     return wide.select("doc_id", "at", (F.col("end") - F.col("at")).alias("n"), "source").where(F.col("n") >= LEAST_WORDS)
 
@@ -371,7 +387,8 @@ def cut_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     Paragraphs (lines of 50 words or more) are banded by MinHash of five-word shingles; those that
     share a band and have a Jaccard similarity of 0.8 or more are one component. Passages that are no
     whole paragraph are found by content-defined pieces: runs of pieces that an earlier document holds
-    too, extended word by word, of 50 words or more. A component or passage stays in the document with
+    too, extended word by word, of 50 words or more. Whole copies are found by their text first, so that
+    they take part as one document. A component or passage stays in the document with
     the smallest id, wherever it stands there, and is cut from all others.
 
     Null texts stay null; rows without an id are left alone; rows that repeat an id are one document;
@@ -380,13 +397,15 @@ def cut_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     """
     kept = [c for c in docs.columns if c.lower() not in ("n_cut_words", "repeats_of")]
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("raw")).where("doc_id is not null")
-    units = written(own.mapInArrow(_units, "doc_id bigint, lines array<struct<at:bigint,n:bigint,key:binary,bands:array<bigint>>>, pieces array<struct<at:bigint,n:bigint,key:bigint>>"), "units")
-    cuts = _paragraph_cuts(own, units).union(_passage_cuts(own, units))
+    schema = "doc_id bigint, text_key binary, words bigint, lines array<struct<at:bigint,n:bigint,key:binary,bands:array<bigint>>>, pieces array<struct<place:bigint,key:bigint>>"
+    units = written(own.mapInArrow(_units, schema), "units")
+    copies = _copies(units)
+    units = units.join(_small(copies.select("doc_id")), "doc_id", "left_anti")
+    cuts = copies.union(_paragraph_cuts(own, units)).union(_passage_cuts(own, units))
     spans = cuts.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("at", "n", "source"))).alias("_spans"))
     spans = written(spans, "cuts").withColumnRenamed("doc_id", "_id")
     keyed = docs.select(*[docs[c] for c in kept], docs[doc_id].cast("long").alias("_id"), docs[text].cast("string").alias("_text"))
-    small = spans.count() <= BROADCAST_ROWS
-    joined = keyed.join(F.broadcast(spans) if small else spans, "_id", "left")
+    joined = keyed.join(_small(spans), "_id", "left")
     fields = joined.schema
     out = joined.where("_spans is null").unionByName(joined.where("_spans is not null").mapInArrow(_cut, fields))
     words = F.expr("""aggregate(coalesce(_spans, array()), named_struct('end', 0L, 'n', 0L),
