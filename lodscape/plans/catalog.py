@@ -232,6 +232,25 @@ def op_b23_id_colour(spark, sf_dir):
     return e.select("event_id", r.alias("r"), g.alias("g"), b.alias("b"), J.rgb_id(r, g, b).alias("back"))
 
 
+_SHOWN = pixel_matrix(1920, 978, -95.0, 37.5, 5, 30, 15)
+
+
+@query(
+    f"WITH {O.POINTS}, w AS (SELECT point_id, {_WX} AS x, {_WY} AS y FROM pts) SELECT point_id, "
+    + ", ".join(f"round(({num(_SHOWN[r, 0])} * x + {num(_SHOWN[r, 1])} * y + {num(_SHOWN[r, 3])}) / ({num(_SHOWN[3, 0])} * x + {num(_SHOWN[3, 1])} * y + {num(_SHOWN[3, 3])}), 3) + 0 AS {n}" for r, n in ((0, "px"), (1, "py")))
+    + " FROM w"
+)
+def op_b21_tilted_screen(spark, sf_dir):
+    p = points(spark, sf_dir)
+    x, y, _ = screen_xy(p["lng"], p["lat"], _SHOWN)
+    return p.select("point_id", (F.round(x, 3) + dbl(0)).alias("px"), (F.round(y, 3) + dbl(0)).alias("py"))
+
+
+@query(f"WITH {O.PLACED} SELECT point_id, {_r('mx * 256', 'px')}, {_r('my * 256', 'py')} FROM m")
+def op_b22_tile_pixels(spark, sf_dir):
+    return mercator(spark, sf_dir).select("point_id", r6(F.col("mx") * dbl(J.TILE)).alias("px"), r6(F.col("my") * dbl(J.TILE)).alias("py"))
+
+
 # --- filters -----------------------------------------------------------------------------------
 
 
@@ -253,6 +272,12 @@ def op_c2_wildcard(spark, sf_dir):
     return p.where(P.keyword_is(p["keyword"], "%")).groupBy("keyword").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {O.POINTS} SELECT keyword, count(*) AS n FROM pts WHERE ts BETWEEN '2024-01-05' AND '2024-01-10' GROUP BY 1")
+def op_c3_closed_slice(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return p.where(P.in_slice(p["ts"], "2024-01-05 00:00:00", "2024-01-10 00:00:00", closed=True)).groupBy("keyword").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {O.PLACED} SELECT point_id FROM m WHERE {O.inside(REGION)}")
 def op_c4_rectangle(spark, sf_dir):
     p = mercator(spark, sf_dir)
@@ -288,6 +313,22 @@ def op_c10_bounds(spark, sf_dir):
     return p.where(P.in_bounds(p["lng"], p["lat"], -110, 30, -80, 45)).select("point_id")
 
 
+@query(f"WITH {O.PLACED}, c AS (SELECT point_id, CAST(floor(mx * 512) AS BIGINT) AS ci, CAST(floor(my * 512) AS BIGINT) AS cj, 9 AS level FROM m) SELECT point_id FROM c WHERE {O.meets(CITY)}")
+def op_c7_cell_filter(spark, sf_dir):
+    p = pyramid.placed(points(spark, sf_dir)).select("point_id", J.cell(F.col("mx"), 9).alias("ci"), J.cell(F.col("my"), 9).alias("cj"))
+    return p.where(P.cell_meets(F.lit(9), F.col("ci"), F.col("cj"), CITY)).select("point_id")
+
+
+@query(
+    """WITH b AS (SELECT event_id, CAST(event_id * 37 % 360 - 180 AS DOUBLE) AS w, CAST(event_id * 53 % 150 - 75 AS DOUBLE) AS s FROM events)
+    SELECT event_id FROM b WHERE w <= -80 AND w + 5 >= -110 AND s <= 45 AND s + 5 >= 30"""
+)
+def op_c10_bounds_overlap(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    b = e.select("event_id", (F.col("event_id") * 37 % 360 - 180).cast("double").alias("w"), (F.col("event_id") * 53 % 150 - 75).cast("double").alias("s"))
+    return b.where(P.bounds_overlap((b["w"], b["s"], b["w"] + 5, b["s"] + 5), -110, 30, -80, 45)).select("event_id")
+
+
 # --- spatial index -----------------------------------------------------------------------------
 
 
@@ -304,6 +345,16 @@ def op_d3_range(spark, sf_dir):
     return found.agg(F.count("*").alias("n"), F.count_distinct("point_id").alias("ids"), F.min("point_id").alias("first"), F.max("point_id").alias("last"))
 
 
+@query(f"WITH {O.PLACED}, {O.tree(16, 0)}, z AS (SELECT {' + '.join(f'(((deep.ci >> {b}) & 1) << {2 * b}) + (((deep.cj >> {b}) & 1) << {2 * b + 1})' for b in range(16))} AS z, cnt FROM deep) SELECT z, CAST(sum(cnt) AS BIGINT) AS n FROM z GROUP BY 1")
+def op_d1_clustered(spark, sf_dir):
+    return pyramid.clustered(points(spark, sf_dir), 8).groupBy("z").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {O.PLACED}, {O.pixels(REGION)} SELECT i, j, count(*) AS positions FROM (SELECT DISTINCT i, j, lng, lat FROM px) GROUP BY 1, 2")
+def op_d4_distinct_positions(spark, sf_dir):
+    return reducers.snapped(points(spark, sf_dir), REGION).select("i", "j", "lng", "lat").distinct().groupBy("i", "j").agg(F.count("*").alias("positions"))
+
+
 @query(f"WITH {O.POINTS} SELECT {_r('lng', 'lng')}, {_r('lat', 'lat')}, count(*) AS n, min(point_id) AS first FROM pts GROUP BY lng, lat")
 def op_d5_duplicates(spark, sf_dir):
     return points(spark, sf_dir).groupBy("lng", "lat").agg(F.count("*").alias("n"), F.min("point_id").alias("first")).select(r6("lng").alias("lng"), r6("lat").alias("lat"), "n", "first")
@@ -557,6 +608,12 @@ def op_g8_visual_error(spark, sf_dir):
     return reducers.visual_error(*_even(spark, sf_dir), ODD)
 
 
+@query(f"WITH {O.PLACED}, {O.pixels(ODD)}, a AS (SELECT DISTINCT i, j FROM px WHERE keyword = 'click'), b AS (SELECT DISTINCT i, j FROM px WHERE keyword = 'view') SELECT count(*) AS error FROM a FULL JOIN b ON a.i = b.i AND a.j = b.j WHERE a.i IS NULL OR b.i IS NULL")
+def op_g7_snap_difference(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return reducers.visual_error(p.where("keyword = 'click'"), p.where("keyword = 'view'"), ODD).select("error")
+
+
 def _discs(df: DataFrame) -> DataFrame:
     x0, y0, x1, y1 = ODD.mercator
     p = J.with_mercator(df)
