@@ -98,5 +98,5 @@ def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     """The rows of ``docs``, one document for each class of near-duplicates: the one with the smallest id.
     Rows without an id are kept; rows that repeat an id are one document and stay or go together."""
     cls = simhash_classes(docs, doc_id=doc_id, text=text, bucket=bucket)
-    gone = written(cls.groupBy("doc_id").agg(F.min("component_id").alias("first")).where("doc_id <> first").select(F.col("doc_id").alias("_id")), "near-copies")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, docs[doc_id].cast("long") == gone["_id"], "left_anti")
+    gone = written(cls.groupBy("doc_id").agg(F.min("component_id").alias("first")).where("doc_id <> first").select(F.col("doc_id").alias("_lodscape_id")), "near-copies")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, docs[doc_id].cast("long") == gone["_lodscape_id"], "left_anti")
