@@ -144,7 +144,7 @@ def shared_passages():
 
 def test_cut_repeats(spark, shared_passages):
     texts = shared_passages
-    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in texts.items()], DOC).withColumn("repeats_of", F.lit("clash"))
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in texts.items()], DOC).withColumns({c: F.lit("clash") for c in ("repeats_of", "_id", "_text", "_spans", "key")})
     got = {x["doc_id"]: x for x in substrings.cut_repeats(docs).collect()}
     assert set(got) == set(texts)
     gone = expected_cuts(texts)
