@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable, Iterator
 
@@ -17,13 +18,14 @@ _SIMPLE = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 _CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
 
 
+@functools.lru_cache(maxsize=2)
 def word_encoder(path: str) -> Callable[[bytes | None], bytes]:
     """An encoder of texts (UTF-8) to ids (little-endian unsigned 32 bits), for a tokenizer that drops white space.
 
     Its pre-tokenizer never joins what white space parts, so the ids of a text are those of its
     white-space-separated words in turn, and each word's are kept for its next occurrence. Words of
     ASCII and Latin-1 letters are lower-cased and cut here and given to the tokenizer's model, all
-    other words go through the whole tokenizer.
+    other words go through the whole tokenizer. A worker makes one encoder and keeps it.
     """
     from tokenizers import Tokenizer, pre_tokenizers
 
