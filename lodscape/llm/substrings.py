@@ -117,40 +117,45 @@ def _lists(counts: list[int] | np.ndarray, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _few(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """The same rows, so few at a time that a worker holds little of them as Python objects."""
     for b in batches:
-        for i in range(0, len(b), 256):
-            part = b.slice(i, 256)
-            words: list[bytes] = []
-            sizes, line_counts, line_at, line_n, keys, line_first = [], [], [], [], [], []
-            for raw in part.column(1).to_pylist():
-                begin, n_lines = len(words), 0
-                for line in (raw or b"").split(b"\n"):
-                    own = line.split()
-                    if len(own) >= LEAST_WORDS:
-                        n_lines += 1
-                        line_first.append(len(words))
-                        line_at.append(len(words) - begin)
-                        line_n.append(len(own))
-                        keys.append(xxhash.xxh3_128_digest(b" ".join(own)))
-                    words += own
-                sizes.append(len(words) - begin)
-                line_counts.append(n_lines)
-            h = hashed_words(words)
-            bands = np.zeros((0, BANDS), dtype=np.int64)
-            if line_first:
-                every = shingles_of(h)
-                n = np.array(line_n) - SHINGLE + 1
-                starts = np.cumsum(n) - n
-                bands = bands_of(every[np.arange(n.sum()) - np.repeat(starts, n) + np.repeat(line_first, n)], starts)
-            banded = _lists(np.full(len(bands), BANDS), pa.array(bands.reshape(-1)))
-            lines = pa.StructArray.from_arrays([pa.array(line_at, pa.int64()), pa.array(line_n, pa.int64()), pa.array(keys, pa.binary()), banded], names=["at", "n", "key", "bands"])
-            each, *columns = pieces_of(h, np.array(sizes, dtype=np.int64))
-            start, size, key = columns
-            pieces = pa.StructArray.from_arrays([pa.array(start << PLACE_BITS | size, pa.int64()), pa.array(key, pa.int64())], names=["place", "key"])
-            texts = pa.array([xxhash.xxh3_128_digest(raw or b"") for raw in part.column(1).to_pylist()], pa.binary())
-            columns = [part.column(0), texts, pa.array(sizes, pa.int64()), _lists(line_counts, lines), _lists(each, pieces)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "words", "lines", "pieces"])
+        for i in range(0, len(b), rows):
+            yield b.slice(i, rows)
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in _few(batches):
+        words: list[bytes] = []
+        sizes, line_counts, line_at, line_n, keys, line_first = [], [], [], [], [], []
+        for raw in part.column(1).to_pylist():
+            begin, n_lines = len(words), 0
+            for line in (raw or b"").split(b"\n"):
+                own = line.split()
+                if len(own) >= LEAST_WORDS:
+                    n_lines += 1
+                    line_first.append(len(words))
+                    line_at.append(len(words) - begin)
+                    line_n.append(len(own))
+                    keys.append(xxhash.xxh3_128_digest(b" ".join(own)))
+                words += own
+            sizes.append(len(words) - begin)
+            line_counts.append(n_lines)
+        h = hashed_words(words)
+        bands = np.zeros((0, BANDS), dtype=np.int64)
+        if line_first:
+            every = shingles_of(h)
+            n = np.array(line_n) - SHINGLE + 1
+            starts = np.cumsum(n) - n
+            bands = bands_of(every[np.arange(n.sum()) - np.repeat(starts, n) + np.repeat(line_first, n)], starts)
+        banded = _lists(np.full(len(bands), BANDS), pa.array(bands.reshape(-1)))
+        lines = pa.StructArray.from_arrays([pa.array(line_at, pa.int64()), pa.array(line_n, pa.int64()), pa.array(keys, pa.binary()), banded], names=["at", "n", "key", "bands"])
+        each, *columns = pieces_of(h, np.array(sizes, dtype=np.int64))
+        start, size, key = columns
+        pieces = pa.StructArray.from_arrays([pa.array(start << PLACE_BITS | size, pa.int64()), pa.array(key, pa.int64())], names=["place", "key"])
+        texts = pa.array([xxhash.xxh3_128_digest(raw or b"") for raw in part.column(1).to_pylist()], pa.binary())
+        columns = [part.column(0), texts, pa.array(sizes, pa.int64()), _lists(line_counts, lines), _lists(each, pieces)]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "words", "lines", "pieces"])
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -164,7 +169,7 @@ def _looked_up(docs: DataFrame, wanted: DataFrame, name: str, find: Callable[[li
     per_doc = written(wanted.groupBy("doc_id").agg(F.collect_set(F.struct("id", "at", "n")).alias("items")), f"{name}-wanted")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _few(batches):
             ids, found = [], []
             for raw, items in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 h = hashed_words((raw or b"").split())
@@ -213,8 +218,9 @@ def similar_paragraphs(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     crowded = not large.isEmpty()
     if crowded:
         members = written(banded.join(_small(large), "bucket"), "members")
-        often = members.groupBy("key").agg(F.count("*").alias("often"))
-        hubs = members.join(often, "key").groupBy("bucket").agg(F.max("often").alias("often")).join(members.join(often, "key"), ["bucket", "often"]).groupBy("bucket").agg(F.max("key").alias("hub"))
+        often = members.groupBy("key").agg(F.collect_list("bucket").alias("own"))
+        often = often.select("key", F.size("own").alias("often"), F.explode("own").alias("bucket"))
+        hubs = often.groupBy("bucket").agg(F.max(F.struct("often", "key")).alias("hub")).select("bucket", F.col("hub.key").alias("hub"))
         pairs = pairs.union(members.join(hubs, "bucket").where("key <> hub").select(F.least("hub", "key").alias("u"), F.greatest("hub", "key").alias("v")))
     links = _verified(docs, distinct, pairs.distinct(), "near")
     if not crowded:
@@ -259,19 +265,19 @@ def _crowded_pairs(docs: DataFrame, distinct: DataFrame, nodes: DataFrame) -> Da
     ranked = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("df")), "token").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, len(b), 64):
-                keys, rows = [], []
-                for key, t in zip(b.column(0).slice(i, 64).to_pylist(), b.column(1).slice(i, 64).to_pylist()):
-                    own = _prefixes([x["token"] for x in t])
-                    keys += [key] * len(own)
-                    rows += own
-                columns = list(zip(*rows)) if rows else [[], [], [], []]
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["key", "token", "small", "large", "is_small"])
-
-    found = ranked.mapInArrow(entries, "key bigint, token bigint, small int, large int, is_small boolean")
-    found = written(found.select("key", F.xxhash64("token", "small", "large").alias("slot"), "is_small").join(nodes, "key"), "prefixes")
+        for b in _few(batches, 64):
+            keys, parts, rows = [], [], []
+            for key, part, t in zip(*(b.column(c).to_pylist() for c in range(3))):
+                own = _prefixes([x["token"] for x in t])
+                keys += [key] * len(own)
+                parts += [part] * len(own)
+                rows += own
+            columns = [keys, parts, *(zip(*rows) if rows else ([], [], [], []))]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["key", "part", "token", "small", "large", "is_small"])
+
+    found = ranked.join(nodes, "key").select("key", "part", "t").mapInArrow(entries, "key bigint, part bigint, token bigint, small int, large int, is_small boolean")
+    found = written(found.select("key", "part", F.xxhash64("token", "small", "large").alias("slot"), "is_small"), "prefixes")
     counts = found.groupBy("slot", "part").agg(F.count("*").alias("c"))
     main = counts.groupBy("slot").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     rest = found.join(main, "slot").where("part <> main")
@@ -374,9 +380,9 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts = [t if t is None or not s else cut_words(t, [(x["at"], x["n"]) for x in s]) for t, s in zip(b.column("_text").to_pylist(), b.column("_spans").to_pylist())]
-        at = b.schema.get_field_index("_text")
+    for b in _few(batches):
+        texts = [t if t is None or not s else cut_words(t, [(x["at"], x["n"]) for x in s]) for t, s in zip(b.column("_lodscape_text").to_pylist(), b.column("_lodscape_spans").to_pylist())]
+        at = b.schema.get_field_index("_lodscape_text")
         yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
 
 
@@ -402,13 +408,13 @@ def cut_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     copies = _copies(units)
     units = units.join(_small(copies.select("doc_id")), "doc_id", "left_anti")
     cuts = copies.union(_paragraph_cuts(own, units)).union(_passage_cuts(own, units))
-    spans = cuts.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("at", "n", "source"))).alias("_spans"))
-    spans = written(spans, "cuts").withColumnRenamed("doc_id", "_id")
-    keyed = docs.select(*[docs[c] for c in kept], docs[doc_id].cast("long").alias("_id"), docs[text].cast("string").alias("_text"))
-    joined = keyed.join(_small(spans), "_id", "left")
+    spans = cuts.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("at", "n", "source"))).alias("_lodscape_spans"))
+    spans = written(spans, "cuts").withColumnRenamed("doc_id", "_lodscape_id")
+    keyed = docs.select(*[docs[c] for c in kept], docs[doc_id].cast("long").alias("_lodscape_id"), docs[text].cast("string").alias("_lodscape_text"))
+    joined = keyed.join(_small(spans), "_lodscape_id", "left")
     fields = joined.schema
-    out = joined.where("_spans is null").unionByName(joined.where("_spans is not null").mapInArrow(_cut, fields))
-    words = F.expr("""aggregate(coalesce(_spans, array()), named_struct('end', 0L, 'n', 0L),
+    out = joined.where("_lodscape_spans is null").unionByName(joined.where("_lodscape_spans is not null").mapInArrow(_cut, fields))
+    words = F.expr("""aggregate(coalesce(_lodscape_spans, array()), named_struct('end', 0L, 'n', 0L),
         (acc, x) -> named_struct('end', greatest(acc.end, x.at + x.n), 'n', acc.n + greatest(0L, x.at + x.n - greatest(acc.end, x.at))), acc -> acc.n)""")
-    sources = F.array_sort(F.array_distinct(F.coalesce(F.transform("_spans", lambda s: s["source"]), F.array().cast("array<bigint>"))))
-    return out.select(*[F.col("_text").alias(c) if c == text else F.col(c) for c in kept], words.alias("n_cut_words"), sources.alias("repeats_of"))
+    sources = F.array_sort(F.array_distinct(F.coalesce(F.transform("_lodscape_spans", lambda s: s["source"]), F.array().cast("array<bigint>"))))
+    return out.select(*[F.col("_lodscape_text").alias(c) if c == text else F.col(c) for c in kept], words.alias("n_cut_words"), sources.alias("repeats_of"))
