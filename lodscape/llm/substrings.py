@@ -35,10 +35,9 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-@functools.lru_cache(maxsize=1)
-def _permutations() -> tuple[np.ndarray, np.ndarray]:
+@functools.lru_cache(maxsize=2)
+def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
     r = np.random.default_rng(2024)
-    n = BANDS * ROWS
     return r.integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), r.integers(0, 1 << 63, n, dtype=np.uint64)
 
 
@@ -62,14 +61,14 @@ def shingles_of(hashes: np.ndarray) -> np.ndarray:
     return h
 
 
-def bands_of(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def bands_of(shingles: np.ndarray, starts: np.ndarray, bands: int = BANDS) -> np.ndarray:
     """A row of band hashes for each paragraph; ``starts``: where its shingles begin."""
-    a, b = _permutations()
+    a, b = _permutations(bands * ROWS)
     rows = np.empty((len(a), len(starts)), dtype=np.uint64)
     for k in range(len(a)):
         rows[k] = np.minimum.reduceat((shingles * a[k] + b[k]) >> np.uint64(20), starts)
-    rows = rows.reshape(BANDS, ROWS, -1)
-    h = np.repeat(np.arange(BANDS, dtype=np.uint64)[:, None], len(starts), axis=1)
+    rows = rows.reshape(bands, ROWS, -1)
+    h = np.repeat(np.arange(bands, dtype=np.uint64)[:, None], len(starts), axis=1)
     for k in range(ROWS):
         h = _mixed(h * _MULTIPLIER + rows[:, k])
     return np.ascontiguousarray(h.T).view(np.int64)
@@ -163,7 +162,7 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _looked_up(docs: DataFrame, wanted: DataFrame, name: str, find: Callable[[list[bytes], np.ndarray, dict], list[int]]) -> DataFrame:
+def _looked_up(docs: DataFrame, wanted: DataFrame, name: str, find: Callable[[np.ndarray, dict], list[int]], words: Callable[[bytes], list[bytes]] = bytes.split) -> DataFrame:
     """``(id, found)`` for rows ``(doc_id, id, at, n)`` of ``wanted``, found in the words of their documents."""
     kind = wanted.schema["id"].dataType.simpleString()
     per_doc = written(wanted.groupBy("doc_id").agg(F.collect_set(F.struct("id", "at", "n")).alias("items")), f"{name}-wanted")
@@ -172,7 +171,7 @@ def _looked_up(docs: DataFrame, wanted: DataFrame, name: str, find: Callable[[li
         for b in _few(batches):
             ids, found = [], []
             for raw, items in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                h = hashed_words((raw or b"").split())
+                h = hashed_words(words(raw or b""))
                 for item in items:
                     ids.append(item["id"])
                     found.append(find(h, item))
@@ -199,10 +198,10 @@ def _context(h: np.ndarray, item: dict) -> list[int]:
     return side.view(np.int64).tolist()
 
 
-def similar_paragraphs(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+def similar_paragraphs(docs: DataFrame, distinct: DataFrame, words: Callable[[bytes], list[bytes]] = bytes.split) -> DataFrame:
     """``(u, v)`` links between keys of different paragraphs of which the Jaccard similarity is 0.8 or more.
 
-    ``distinct``: ``(key, first, at, n, bands)``, its keys numbers. Paragraphs that share a band are candidates. In
+    ``distinct``: ``(key, first, at, n, bands)``, its keys numbers; ``words`` cuts a text. Paragraphs that share a band are candidates. In
     buckets of up to :data:`BUCKET` all are compared. In larger ones each is compared with one hub, the
     member that lies in most of them; :func:`_crowded_pairs` finds the links that are still missing
     between components, so copies of one paragraph cost a comparison each and no link is lost.
@@ -222,12 +221,12 @@ def similar_paragraphs(docs: DataFrame, distinct: DataFrame) -> DataFrame:
         often = often.select("key", F.size("own").alias("often"), F.explode("own").alias("bucket"))
         hubs = often.groupBy("bucket").agg(F.max(F.struct("often", "key")).alias("hub")).select("bucket", F.col("hub.key").alias("hub"))
         pairs = pairs.union(members.join(hubs, "bucket").where("key <> hub").select(F.least("hub", "key").alias("u"), F.greatest("hub", "key").alias("v")))
-    links = _verified(docs, distinct, pairs.distinct(), "near")
+    links = _verified(docs, distinct, pairs.distinct(), "near", words)
     if not crowded:
         return links
     parts = connected_components(links)
     nodes = members.select("key").distinct().join(parts, F.col("key") == F.col("node"), "left").select("key", F.coalesce("component", "key").alias("part"))
-    return links.union(_verified(docs, distinct, _crowded_pairs(docs, distinct, written(nodes, "nodes")), "crowded"))
+    return links.union(_verified(docs, distinct, _crowded_pairs(docs, distinct, written(nodes, "nodes"), words), "crowded", words))
 
 
 def _size_class(n: int) -> int:
@@ -252,7 +251,7 @@ def _prefixes(tokens: list[int]) -> list[tuple[int, int, int, bool]]:
     return out
 
 
-def _crowded_pairs(docs: DataFrame, distinct: DataFrame, nodes: DataFrame) -> DataFrame:
+def _crowded_pairs(docs: DataFrame, distinct: DataFrame, nodes: DataFrame, words: Callable[[bytes], list[bytes]]) -> DataFrame:
     """``(u, v)`` candidates for links between different components among ``nodes`` (``key, part``).
 
     Shingles are ordered by how few of the nodes have them, the rarest first; two nodes so similar
@@ -260,7 +259,7 @@ def _crowded_pairs(docs: DataFrame, distinct: DataFrame, nodes: DataFrame) -> Da
     only nodes that are not in the component that holds most of the group are paired with the rest of it.
     """
     wanted = distinct.join(nodes.select("key"), "key").select(F.col("first").alias("doc_id"), F.col("key").alias("id"), "at", "n")
-    sets = _looked_up(docs, wanted, "crowded-shingles", _paragraph)
+    sets = _looked_up(docs, wanted, "crowded-shingles", _paragraph, words)
     tokens = sets.select(F.col("id").alias("key"), F.explode("found").alias("token"))
     ranked = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("df")), "token").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
 
@@ -286,11 +285,11 @@ def _crowded_pairs(docs: DataFrame, distinct: DataFrame, nodes: DataFrame) -> Da
     return pairs.select(F.least("x.key", "y.key").alias("u"), F.greatest("x.key", "y.key").alias("v")).distinct()
 
 
-def _verified(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+def _verified(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, name: str, words: Callable[[bytes], list[bytes]]) -> DataFrame:
     pairs = written(pairs, f"{name}-pairs")
     keys = pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct()
     wanted = distinct.join(keys, "key").select(F.col("first").alias("doc_id"), F.col("key").alias("id"), "at", "n")
-    sets = _looked_up(docs, wanted, f"{name}-shingles", _paragraph)
+    sets = _looked_up(docs, wanted, f"{name}-shingles", _paragraph, words)
     both = pairs.join(sets.select(F.col("id").alias("u"), F.col("found").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("found").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
     both = both.select("u", "v", shared.alias("s"), (F.size("a") + F.size("b") - shared).alias("t"))

@@ -88,6 +88,30 @@ def test_simhash_odd_rows(spark):
     assert simhash.simhash_classes(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bucket", [24, 3])
+def test_near_copies_of_the_pipeline_stage(spark, monkeypatch, bucket):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    monkeypatch.setattr(substrings, "BUCKET", bucket)
+    r = random.Random(77)
+    base = [sentence(r, 150) for _ in range(30)]
+    texts = [None, "", " \n", "one two", "ONE  two", "one three"] + base
+    for k, b in enumerate(base):  # 1 to 6 edits: similarities on both sides of 0.8
+        for edits in (1, 2, 3, 4, 6):
+            w = b.split()
+            for e in range(edits):
+                w[10 + e * 22] = f"edit{k}-{edits}-{e}"
+            texts.append(" ".join(w).upper() if k % 5 == 0 else "\n".join(w))
+    sets = [shingle_set((t or "").lower().split()) for t in texts]
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    bits = [bin(slow_fingerprint(texts[a]) ^ slow_fingerprint(texts[b])).count("1") for a, b in links]
+    assert sum(x > 2 for x in bits) > 50
+    want = set(roots(range(len(texts)), links).values())
+    assert 30 + 30 <= len(want) < len(texts) - 60
+    docs = spark.createDataFrame([(k, t, None, None, 0) for k, t in enumerate(texts)] + [(None, base[0], None, None, 0)], DOC)
+    kept = [x["doc_id"] for x in pipeline.drop_near_copies(spark, docs, None).collect()]
+    assert None in kept and set(kept) - {None} == want
+
+
 # --- 3: substrings -----------------------------------------------------------------------------
 
 
