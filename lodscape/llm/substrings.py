@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, written
@@ -20,14 +20,9 @@ from .components import connected_components
 SHINGLE, SIMILARITY, LEAST_WORDS = 5, 0.8, 50
 #: 14 bands of 4 rows: a pair at similarity 0.8 shares a band with probability 0.9994, one at 0.2 with 0.02.
 BANDS, ROWS = 14, 4
-#: A piece begins where a word pair's hash is the least among so many neighbours on either side.
-REACH = 3
-#: Longer pieces (one word again and again) are cut into pieces of so many words.
-PIECE = 16
-#: A piece's place is its first word, shifted by so many bits, and its number of words, at most twice the above.
-PLACE_BITS = 6
-#: Whole pieces must cover so many words before a run is looked at, and it is then extended by so many words on either side.
-LEAST_COVER, EXTENT = 16, 17
+#: Words of a gram, and of how many neighbouring grams the one with the least hash is an anchor: any 50 words hold one.
+GRAM = 26
+REACH = LEAST_WORDS - GRAM + 1
 #: Up to so many paragraphs in a band's bucket are compared with each other; beyond it see :func:`similar_paragraphs`.
 BUCKET = 24
 
@@ -74,42 +69,50 @@ def bands_of(shingles: np.ndarray, starts: np.ndarray, bands: int = BANDS) -> np
     return np.ascontiguousarray(h.T).view(np.int64)
 
 
-def pieces_of(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(pieces of each document, first word, words, key) for documents of so many words each, their words in one row.
-    Pieces lie between content-defined cuts: equal runs of words are cut alike but at their ends."""
-    n = len(hashes)
-    if not n:
-        none = np.zeros(0, dtype=np.int64)
-        return np.zeros(len(sizes), dtype=np.int64), none, none, none
-    most = np.iinfo(np.uint64).max
-    begin = np.cumsum(sizes) - sizes
-    full = sizes > 0
-    following = np.append(hashes[1:], np.uint64(0))
-    following[(begin + sizes - 1)[full]] = 0
-    # documents are kept apart by so many places of the greatest hash
-    gap = np.repeat(np.arange(len(sizes)), sizes) * REACH
-    place = np.arange(n) + gap + REACH
-    wide = np.full(n + (len(sizes) + 1) * REACH, most, dtype=np.uint64)
-    pair = _mixed(hashes * _MULTIPLIER + following)
-    wide[place] = pair
-    cut = np.ones(n, dtype=bool)
-    for k in range(1, REACH + 1):
-        cut &= (pair < wide[place - k]) & (pair <= wide[place + k])
-    cut[begin[full]] = True
-    start = np.flatnonzero(cut)
-    size = np.diff(np.append(start, n))
-    long = np.repeat(size > 2 * PIECE, size)
-    if long.any():
-        cut[long & ((np.arange(n) - np.repeat(start, size)) % PIECE == 0)] = True
-        start = np.flatnonzero(cut)
-        size = np.diff(np.append(start, n))
-    at = np.arange(n) - np.repeat(start, size)
-    terms = _mixed(hashes + (at.astype(np.uint64) + np.uint64(1)) * _MULTIPLIER)
-    key = _mixed(np.add.reduceat(terms, start) + size.astype(np.uint64))
-    owner = np.searchsorted(begin[full], start, side="right") - 1
-    each = np.zeros(len(sizes), dtype=np.int64)
-    each[full] = np.bincount(owner, minlength=int(full.sum()))
-    return each, start - begin[full][owner], size, key.view(np.int64)
+def _runs_of(hashes: np.ndarray, words: int) -> np.ndarray:
+    """A hash for each run of so many words."""
+    h, width, done = hashes, 1, np.zeros(max(len(hashes) - words + 1, 0), dtype=np.uint64)
+    at = 0
+    while len(done):
+        if words & width:
+            done = _mixed(done * _MULTIPLIER + h[at : at + len(done)] + np.uint64(width))
+            at += width
+        if 2 * width > words:
+            break
+        h = _mixed(h[:-width] * _MULTIPLIER + h[width:])
+        width *= 2
+    return done
+
+
+def anchors_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, key) of a document's anchors: of each REACH neighbouring grams the one with the least hash, the
+    last of equal ones. Which they are depends on the words alone, so equal runs of 50 words share an anchor."""
+    grams = _runs_of(hashes, GRAM)
+    if len(grams) < REACH:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    found = [np.zeros(0, dtype=np.int64)]
+    for k in range(0, len(grams) - REACH + 1, 1 << 16):
+        near = np.lib.stride_tricks.sliding_window_view(grams[k : k + (1 << 16) + REACH - 1], REACH)
+        found.append(np.arange(k, k + len(near)) + REACH - 1 - np.argmin(near[:, ::-1], axis=1))
+    at = np.unique(np.concatenate(found))
+    return at, grams[at].view(np.int64)
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of 50 words that hold one of a document's given anchors."""
+    for part in _few(batches, 32):
+        owners, places, keys = [], [], []
+        for owner, raw, anchors in zip(*(part.column(c).to_pylist() for c in range(3))):
+            every = _runs_of(hashed_words((raw or b"").split()), LEAST_WORDS)
+            first = np.array(anchors, dtype=np.int64)
+            change = np.zeros(len(every) + 1, dtype=np.int64)
+            np.add.at(change, np.minimum(np.maximum(first - REACH + 1, 0), len(every)), 1)
+            np.add.at(change, np.minimum(first + 1, len(every)), -1)
+            at = np.flatnonzero(np.cumsum(change[:-1]) > 0)
+            owners.append(np.full(len(at), owner, dtype=np.int64))
+            places.append(at)
+            keys.append(every[at].view(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (owners, places, keys)], names=["doc_id", "at", "key"])
 
 
 def _lists(counts: list[int] | np.ndarray, values: pa.Array) -> pa.ListArray:
@@ -149,12 +152,13 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bands = bands_of(every[np.arange(n.sum()) - np.repeat(starts, n) + np.repeat(line_first, n)], starts)
         banded = _lists(np.full(len(bands), BANDS), pa.array(bands.reshape(-1)))
         lines = pa.StructArray.from_arrays([pa.array(line_at, pa.int64()), pa.array(line_n, pa.int64()), pa.array(keys, pa.binary()), banded], names=["at", "n", "key", "bands"])
-        each, *columns = pieces_of(h, np.array(sizes, dtype=np.int64))
-        start, size, key = columns
-        pieces = pa.StructArray.from_arrays([pa.array(start << PLACE_BITS | size, pa.int64()), pa.array(key, pa.int64())], names=["place", "key"])
+        ends = np.cumsum(sizes)
+        found = [anchors_of(h[end - size : end]) for end, size in zip(ends, sizes)]
+        start, key = (np.concatenate([f[k] for f in found]) for k in range(2))
+        anchors = pa.StructArray.from_arrays([pa.array(start), pa.array(key)], names=["at", "key"])
         texts = pa.array([xxhash.xxh3_128_digest(raw or b"") for raw in part.column(1).to_pylist()], pa.binary())
-        columns = [part.column(0), texts, pa.array(sizes, pa.int64()), _lists(line_counts, lines), _lists(each, pieces)]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "words", "lines", "pieces"])
+        columns = [part.column(0), texts, pa.array(sizes, pa.int64()), _lists(line_counts, lines), _lists([len(at) for at, _ in found], anchors)]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "words", "lines", "anchors"])
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -184,20 +188,6 @@ def _paragraph(h: np.ndarray, item: dict) -> list[int]:
     return np.unique(shingles_of(h[item["at"] : item["at"] + item["n"]])).view(np.int64).tolist()
 
 
-def _context(h: np.ndarray, item: dict) -> list[int]:
-    """The words next to a piece, the nearest first: before it if n is 0, else after it. The piece begins at word
-    ``at``, or, if that is negative, is the document's first with the key that the id names."""
-    at, size = item["at"] >> PLACE_BITS, item["at"] & (1 << PLACE_BITS) - 1
-    if item["at"] < 0:
-        _, start, sizes, keys = pieces_of(h, np.array([len(h)]))
-        found = np.flatnonzero(keys == item["id"]["key"])
-        if not len(found):
-            return []
-        at, size = int(start[found[0]]), int(sizes[found[0]])
-    side = h[max(0, at - EXTENT) : at][::-1] if not item["n"] else h[at + size : at + size + EXTENT]
-    return side.view(np.int64).tolist()
-
-
 def similar_paragraphs(docs: DataFrame, distinct: DataFrame, words: Callable[[bytes], list[bytes]] = bytes.split) -> DataFrame:
     """``(u, v)`` links between keys of different paragraphs of which the Jaccard similarity is 0.8 or more.
 
@@ -318,40 +308,21 @@ def _paragraph_cuts(docs: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def _passage_cuts(docs: DataFrame, units: DataFrame) -> DataFrame:
-    """``(doc_id, at, n, source)``: passages within or across paragraphs to cut."""
-    pieces = units.select("doc_id", F.explode("pieces").alias("x")).select("doc_id", "x.place", "x.key")
-    repeated = pieces.groupBy("key").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source <> last").select("key", "source")
-    hits = pieces.join(repeated, "key").where("doc_id <> source").select("doc_id", "place", "key", "source")
-    # a document's hits, merged into runs of pieces that follow each other, with the first and the last piece of each
-    piece = "struct<place:bigint,key:bigint,source:bigint>"
-    runs = F.expr(
-        f"""aggregate(array_sort(collect_list(struct(place, key, source))), cast(array() as array<struct<end:bigint,head:{piece},tail:{piece}>>),
-             (acc, x) -> case when size(acc) > 0 and element_at(acc, -1).end = shiftright(x.place, {PLACE_BITS})
-               then concat(slice(acc, 1, size(acc) - 1), array(named_struct('end', shiftright(x.place, {PLACE_BITS}) + (x.place & {(1 << PLACE_BITS) - 1}), 'head', element_at(acc, -1).head, 'tail', x)))
-               else concat(acc, array(named_struct('end', shiftright(x.place, {PLACE_BITS}) + (x.place & {(1 << PLACE_BITS) - 1}), 'head', x, 'tail', x))) end)"""
-    )
-    found = hits.groupBy("doc_id").agg(runs.alias("runs")).select("doc_id", F.explode("runs").alias("r")).select("doc_id", F.shiftright("r.head.place", PLACE_BITS).alias("at"), "r.*")
-    found = written(found.where(F.col("end") - F.col("at") >= LEAST_COVER), "runs")
-    none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    place = lambda doc, key, at, n: F.struct(doc.alias("doc_id"), F.struct(doc.alias("doc_id"), key.alias("key"), at.alias("at"), n.alias("n")).alias("id"), at.alias("at"), n.alias("n"))
-    sides = {
-        "own_before": place(F.col("doc_id"), none, F.col("head.place"), none),
-        "its_before": place(F.col("head.source"), F.col("head.key"), F.lit(-1).cast("long"), none),
-        "own_after": place(F.col("doc_id"), none, F.col("tail.place"), one),
-        "its_after": place(F.col("tail.source"), F.col("tail.key"), F.lit(-1).cast("long"), one),
-    }
-    wanted = found.select(F.explode(F.array(*sides.values())).alias("p")).select("p.*").distinct()
-    contexts = _looked_up(docs, wanted, "contexts", _context)
-    for name, side in sides.items():
-        found = found.withColumn("_k", F.xxhash64(side["id"])).join(contexts.select(F.xxhash64("id").alias("_k"), F.col("found").alias(name)), "_k").drop("_k")
-    alike = lambda x, y: F.expr(f"coalesce(nullif(array_position(zip_with({x}, {y}, (a, b) -> a <=> b), false), 0) - 1, least(size({x}), size({y})))")
-    wide = found.select(
-        "doc_id",
-        (F.col("at") - alike("own_before", "its_before")).alias("at"),
-        (F.col("end") + alike("own_after", "its_after")).alias("end"),
-        F.col("head.source").alias("source"),
-    )
-    return wide.select("doc_id", "at", (F.col("end") - F.col("at")).alias("n"), "source").where(F.col("n") >= LEAST_WORDS)
+    """``(doc_id, at, n, source)``: passages within or across paragraphs to cut, each held as a whole by its source.
+
+    Equal runs of 50 words share an anchor, so only runs that hold an anchor of several documents are listed; of
+    these each that an earlier document has is a hit, and hits of one source that follow each other are a passage.
+    """
+    anchors = units.select("doc_id", F.explode("anchors").alias("x")).select("doc_id", "x.at", "x.key")
+    repeated = anchors.groupBy("key").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source <> last").select("key")
+    wanted = written(anchors.join(repeated, "key", "left_semi").groupBy("doc_id").agg(F.collect_set("at").alias("anchors")), "anchors")
+    windows = docs.join(_small(wanted), "doc_id").select("doc_id", "raw", "anchors").mapInArrow(_windows, "doc_id bigint, at bigint, key bigint")
+    windows = written(windows, "windows")
+    firsts = windows.groupBy("key").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source <> last").select("key", "source")
+    hits = windows.join(firsts, "key").where("doc_id <> source").select("doc_id", "source", "at")
+    rank = F.dense_rank().over(Window.partitionBy("doc_id", "source").orderBy("at"))
+    runs = hits.withColumn("run", F.col("at") - rank).groupBy("doc_id", "source", "run").agg(F.min("at").alias("at"), F.max("at").alias("end"))
+    return runs.select("doc_id", "at", (F.col("end") - F.col("at") + LEAST_WORDS).alias("n"), "source")
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
@@ -391,8 +362,8 @@ def cut_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
 
     Paragraphs (lines of 50 words or more) are banded by MinHash of five-word shingles; those that
     share a band and have a Jaccard similarity of 0.8 or more are one component. Passages that are no
-    whole paragraph are found by content-defined pieces: runs of pieces that an earlier document holds
-    too, extended word by word, of 50 words or more. Whole copies are found by their text first, so that
+    whole paragraph are found by the hashes of all runs of 50 words that hold a content-defined anchor
+    of several documents: each run that an earlier document holds too is cut. Whole copies are found by their text first, so that
     they take part as one document. A component or passage stays in the document with
     the smallest id, wherever it stands there, and is cut from all others.
 
@@ -402,7 +373,7 @@ def cut_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     """
     kept = [c for c in docs.columns if c.lower() not in ("n_cut_words", "repeats_of")]
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("raw")).where("doc_id is not null")
-    schema = "doc_id bigint, text_key binary, words bigint, lines array<struct<at:bigint,n:bigint,key:binary,bands:array<bigint>>>, pieces array<struct<place:bigint,key:bigint>>"
+    schema = "doc_id bigint, text_key binary, words bigint, lines array<struct<at:bigint,n:bigint,key:binary,bands:array<bigint>>>, anchors array<struct<at:bigint,key:bigint>>"
     units = written(own.mapInArrow(_units, schema), "units")
     copies = _copies(units)
     units = units.join(_small(copies.select("doc_id")), "doc_id", "left_anti")

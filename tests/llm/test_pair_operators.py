@@ -180,6 +180,40 @@ def test_cut_repeats(spark, shared_passages):
     assert got[24]["text"] is None and got[0]["text"] == texts[0] and got[31]["text"] == "intro line"
 
 
+def cut_counts(spark, texts):
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in texts.items()], DOC)
+    return {x["doc_id"]: x["n_cut_words"] for x in substrings.cut_repeats(docs).collect()}
+
+
+def test_passages_whose_parts_stand_in_other_documents_too(spark):
+    r = random.Random(31)
+    texts, passages = {}, []
+    for k in range(40):
+        words = sentence(r, 50 + k % 13).split()
+        passages.append(" ".join(words))
+        # parts of the passage in still earlier documents, one of them in the middle of other words
+        texts[3 * k] = f"{sentence(r, 12)} {' '.join(words[:30])} {sentence(r, 9)}\n{sentence(r, 5)} {' '.join(words[-30:])}"
+        texts[3 * k + 1] = f"{sentence(r, 8)} {' '.join(words[10:45])} {sentence(r, 4)} {' '.join(words[5:20])}"
+        texts[3 * k + 2] = f"{sentence(r, 20)} {passages[-1]} {sentence(r, 20)}"
+        texts[500 + k] = f"{sentence(r, 7)} {passages[-1]} {sentence(r, 3)}"
+    texts[600] = "same " * 120
+    texts[601] = sentence(r, 5) + " " + "same " * 90
+    gone = expected_cuts(texts)
+    assert all(len(gone[500 + k]) >= 50 + k % 13 for k in range(40))
+    assert cut_counts(spark, texts) == {k: len(g) for k, g in gone.items()}
+
+
+def test_any_fifty_words_share_an_anchor():
+    r = np.random.default_rng(8)
+    for _ in range(300):
+        shared, n = r.integers(0, 1 << 63, 50, dtype=np.uint64), r.integers(0, 90, 4)
+        if r.random() < 0.3:
+            shared[:] = shared[np.arange(50) % r.integers(1, 5)]
+        x, y = (np.concatenate([r.integers(0, 1 << 63, a, dtype=np.uint64), shared, r.integers(0, 1 << 63, b, dtype=np.uint64)]) for a, b in (n[:2], n[2:]))
+        own = [{(int(at - begin), int(key)) for at, key in zip(*substrings.anchors_of(h)) if begin <= at <= begin + 24} for h, begin in ((x, n[0]), (y, n[2]))]
+        assert own[0] & own[1]
+
+
 def test_crowded_buckets_lose_no_link(spark, shared_passages, monkeypatch):
     monkeypatch.setattr(substrings, "BUCKET", 3)
     monkeypatch.setattr(substrings, "BROADCAST_ROWS", 0)
