@@ -203,6 +203,17 @@ def test_passages_whose_parts_stand_in_other_documents_too(spark):
     assert cut_counts(spark, texts) == {k: len(g) for k, g in gone.items()}
 
 
+def test_chains_of_common_phrases_stay(spark):
+    r = random.Random(41)
+    words = sentence(r, 130).split()
+    texts = {k: f"{sentence(r, 10)} {' '.join(words[20 * k : 20 * k + 40])} {sentence(r, 10)}" for k in range(6)}  # each overlaps the next
+    texts[100] = " ".join(words)
+    texts[101] = " ".join(words[30:100])
+    gone = expected_cuts(texts)
+    assert not gone[100] and len(gone[101]) == 70
+    assert cut_counts(spark, texts) == {k: len(g) for k, g in gone.items()}
+
+
 def test_any_fifty_words_share_an_anchor():
     r = np.random.default_rng(8)
     for _ in range(300):
