@@ -87,8 +87,13 @@ class PieceCodec:
         return left + right not in self._whole and self._merged(left + right) == [left, right]
 
     def _unit(self, unit: str) -> bytes:
-        if len(unit) > 1 and unit[-2:] not in self._joined:
-            return self._known[unit[:-1]] + self._known[unit[-1]]
+        joined, parts, begin = self._joined, [], 0
+        for k in range(1, len(unit)):
+            if unit[k - 1 : k + 1] not in joined:
+                parts.append(unit[begin:k])
+                begin = k
+        if parts:
+            return b"".join(map(self._known.__getitem__, [*parts, unit[begin:]]))
         return b"".join(self.stream([unit]))
 
     def stream(self, chunks: Iterable[str]) -> Iterator[bytes]:

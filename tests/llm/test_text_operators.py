@@ -270,6 +270,17 @@ def processor():
     return SentencePieceProcessor(model_file=public_vocabulary("piece_bpe_32k.model"))
 
 
+def test_long_texts_without_spaces():
+    from sentencepiece import SentencePieceProcessor
+
+    model = public_vocabulary("piece_bpe_32k.model")
+    own, library = sentencepieces.PieceCodec(model), SentencePieceProcessor(model_file=model)
+    for characters in ("日本語文字列中国人民大学生活", "ไทยภาษากขคงจฉชซ", "🙂🙃🚀🌍🎉"):
+        short, long = ("".join(characters[k * k % len(characters)] for k in range(n)) for n in (1000, 100_000))
+        assert np.frombuffer(own.encode(short), "<u4").tolist() == library.encode(short)
+        assert own.decode(own.encode(long)) == long
+
+
 PIECES = [" ", "  ", " a", "a ", "\n", "\n\na", "a\tb\nc", "▁▁x", "aaaaaaaaaaaaaaaa" * 30, "lalala" * 90, "0000000123", "========----====", "x  y\n  z ", "\x00\x01", "é🙂日本", "it's  code      here"]
 
 
