@@ -61,30 +61,50 @@ class Scoring:
 
 
 _SPANS = "array<struct<kind:string,start:bigint,end:bigint,text:string,score:double>>"
+_NUMBERS = "cast(array() as array<bigint>)"
+#: Characters of a block that texts are cut into where spans are replaced.
+_BLOCK = 1024
 
 
 def _quoted(pattern: str) -> str:
     return pattern.replace("\\", "\\\\").replace("'", "\\'")
 
 
-def _matches(text: str, pattern: str, hint: str) -> Column:
-    """All leftmost non-overlapping matches, as strings."""
-    return F.expr(f"case when {text} rlike '{_quoted(hint)}' then regexp_extract_all({text}, '{_quoted(pattern)}', 0) else cast(array() as array<string>) end")
+def _let(name: str, value: str, body: str) -> str:
+    """SQL: body, in which a name stands for a value that is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def _placed(text: str, kind: str, pattern: str, matches: str) -> Column:
-    """The matches with their code point positions, from the gaps between them."""
-    return F.expr(
-        f"""case when size({matches}) > 0 then aggregate(
-              zip_with({matches}, slice(split({text}, '{_quoted(pattern)}', -1), 1, size({matches})), (m, gap) -> named_struct('m', m, 'gap', gap)),
-              named_struct('at', 0L, 'out', cast(array() as {_SPANS})),
-              (acc, x) -> named_struct(
-                'at', acc.at + length(x.gap) + length(x.m),
-                'out', concat(acc.out, array(named_struct('kind', '{kind}', 'start', acc.at + length(x.gap), 'end', acc.at + length(x.gap) + length(x.m), 'text', x.m, 'score', 0.0D)))),
-              acc -> acc.out) else cast(array() as {_SPANS}) end"""
+def _before(values: str, both: str) -> str:
+    """SQL: for each of an array of numbers, what ``both`` (of ``p`` and ``q``) makes of all before it, 0 for the first.
+    The array is cut into about as many parts as a part has numbers, so that the work grows with the 1.5th power of their number."""
+    total = f"aggregate(part, 0L, (p, q) -> {both})"
+    offsets = f"aggregate(transform(parts, part -> {total}), named_struct('p', 0L, 'out', {_NUMBERS}), (a, q) -> {_let('p', 'a.p', f"named_struct('p', {both}, 'out', concat(a.out, array(p)))")}, a -> a.out)"
+    each = f"aggregate(part, named_struct('p', o, 'out', {_NUMBERS}), (a, q) -> {_let('p', 'a.p', f"named_struct('p', {both}, 'out', concat(a.out, array(p)))")}, a -> a.out)"
+    return _let(
+        "n",
+        values,
+        f"case when size(n) = 0 then {_NUMBERS} else "
+        + _let("wide", "greatest(64, int(sqrt(size(n))))", _let("parts", "transform(sequence(1, size(n), wide), k -> slice(n, k, wide))", f"flatten(zip_with(parts, {offsets}, (part, o) -> {each}))"))
+        + " end",
     )
 
 
+def _searched(text: str, kind: str, pattern: str, hint: str, reach: int) -> str:
+    """SQL: all leftmost non-overlapping matches, with their code points and up to ``reach`` characters before and after each."""
+    q, near = _quoted(pattern), reach // 2 + 1  # so many matches, of two characters or more, are beyond reach
+    empty = "cast(array() as array<struct<kind:string,start:bigint,end:bigint,text:string,before:string,after:string>>)"
+    before = f"concat(array_join(flatten(zip_with(slice(tails, low, i - low), slice(m, low, i - low), (x, y) -> array(x, y))), ''), element_at(tails, i))"
+    after = f"concat(element_at(heads, i + 1), array_join(flatten(zip_with(slice(m, i + 1, {near}), slice(heads, i + 2, {near}), (x, y) -> array(x, y))), ''))"
+    found = (
+        f"transform(sequence(1, size(m)), i -> named_struct('kind', '{kind}', 'start', element_at(starts, i), 'end', element_at(starts, i) + length(element_at(m, i)), 'text', element_at(m, i), "
+        f"'before', {_let('low', f'greatest(1, i - {near})', f'right({before}, {reach})')}, 'after', left({after}, {reach})))"
+    )
+    starts = f"zip_with({_before('zip_with(slice(g, 1, size(m)), m, (x, y) -> bigint(length(x) + length(y)))', 'p + q')}, slice(g, 1, size(m)), (x, y) -> x + length(y))"
+    with_gaps = _let("g", f"split({text}, '{q}', -1)", _let("starts", starts, _let("tails", f"transform(g, x -> right(x, {reach}))", _let("heads", f"transform(g, x -> left(x, {reach}))", found))))
+    return f"case when {text} rlike '{_quoted(hint)}' then {_let('m', f"regexp_extract_all({text}, '{q}', 0)", f'case when size(m) = 0 then {empty} else {with_gaps} end')} else {empty} end"
+
+
 def _digits(text: str) -> str:
     return f"regexp_replace({text}, '[^0-9]', '')"
 
@@ -126,64 +146,44 @@ def find_personal_data(docs: DataFrame, *, text: str = "text", scoring: Scoring
     """All columns of ``docs`` plus ``pii_base`` and ``pii`` (kind, start, end, text, score; code points, end exclusive).
 
     ``pii_base``: valid matches of the base patterns (email, ip, card, phone), by kind, then start.
-    ``pii``: these with score 1, and proposals that do not overlap one of their own kind: cards in
-    one or four groups and numbers with a plus that a base match had run together with what follows
-    them, account numbers (mod-97), and, only where a context word stands near, national ids and
-    phone numbers without a plus. Null texts count as empty and give empty arrays; columns of these
-    two names are replaced; texts of any length are searched whole.
+    ``pii``: these with score 1, and further proposals: cards in one or four groups and numbers with a
+    plus inside base matches that fail, account numbers (mod-97), and, only where a context word
+    stands near, national ids and phone numbers without a plus outside of base matches of phones.
+
+    Null texts count as empty and give empty arrays; texts of any length are searched whole, in time
+    that grows with the 1.5th power of the number of matches at most; repeated rows are searched one by one; columns of
+    these two names are replaced, all others kept; an empty table stays empty. Spans of one kind
+    never overlap, so there are no ties but spans of different kinds.
     """
     s = scoring
-    kept = [c for c in docs.columns if c.lower() not in ("pii", "pii_base", "_t")]
-    base = docs.select(*[docs[c] for c in kept], F.coalesce(docs[text].cast("string"), F.lit("")).alias("_t"))
-    matched = base.select(
-        *kept,
-        "_t",
-        *[_matches("_t", p, HINT[k]).alias(f"_mb_{k}") for k, p in BASE.items()],
-        *[_matches("_t", p, HINT[k]).alias(f"_mp_{k}") for k, p in PROPOSED.items()],
-    )
-    found = matched.select(
-        *kept,
-        "_t",
-        *[_placed("_t", k, p, f"_mb_{k}").alias(f"_b_{k}") for k, p in BASE.items()],
-        *[_placed("_t", "phone" if k == "local_phone" else k, p, f"_mp_{k}").alias(f"_p_{k}") for k, p in PROPOSED.items()],
-    )
-    more = found.select(*kept, "_t", *[f"_p_{k}" for k in PROPOSED], *[F.expr(f"filter(_b_{k}, x -> {_VALID[k]})").alias(f"_v_{k}") for k in BASE])
-    scored = []
-    for k in PROPOSED:
-        own = "phone" if k == "local_phone" else k
-        clear = f"not exists(_v_{own}, y -> y.start < x.end and x.start < y.end)" if own in BASE else "true"
-        near = f"substring(_t, int(greatest(x.start - {s.reach}, 0L)) + 1, int(least(x.start, {s.reach}L)))"
-        after = f"substring(_t, int(x.end) + 1, {s.reach})"
-        word = CONTEXT[own].replace("\\", "\\\\")
-        against = AGAINST.replace("\\", "\\\\")
-        sure = "false" if k in ("national_id", "local_phone") else "true"
-        score = (
-            f"{s.start}D + case when {sure} then {s.confirmed}D else 0D end + case when {near} rlike '{word}' or {after} rlike '{word}' then {s.nearby}D else 0D end"
-            f" - case when {near} rlike '{against}' then {s.against}D else 0D end"
-        )
-        scored.append(
-            F.expr(
-                f"filter(transform(filter(_p_{k}, x -> {clear} and {_VALID[k]}), x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end, 'text', x.text, 'score', {score})), x -> x.score >= {s.least}D)"
-            ).alias(f"_s_{k}")
-        )
-    with_scores = more.select(*kept, "_t", *[f"_v_{k}" for k in BASE], *scored)
-    # phone numbers without a plus must not lie within an accepted one with a plus
-    local = "filter(_s_local_phone, x -> not exists(_s_phone, y -> y.start < x.end and x.start < y.end))"
-    full = lambda k: f"transform(_v_{k}, x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end, 'text', x.text, 'score', 1.0D))"
+    kept = [c for c in docs.columns if c.lower() not in ("pii", "pii_base")]
+    own = docs.select(F.struct(*[docs[c] for c in kept]).alias("_lodscape_row"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("t"))
+    found = own.select("_lodscape_row", "t", *[F.expr(_searched("t", k, p, HINT[k], s.reach)).alias(f"b_{k}") for k, p in BASE.items()])
+
+    def counted(k: str, before: str, after: str, at: str) -> str:
+        kind = "phone" if k == "local_phone" else k
+        near, later = f"right({before}, {s.reach})", f"left({after}, {s.reach})"
+        word, against = _quoted(CONTEXT[kind]), _quoted(AGAINST)
+        sure = 0.0 if k in ("national_id", "local_phone") else s.confirmed
+        score = f"{s.start}D + {sure}D + case when {near} rlike '{word}' or {later} rlike '{word}' then {s.nearby}D else 0D end - case when {near} rlike '{against}' then {s.against}D else 0D end"
+        return f"named_struct('kind', '{kind}', 'start', {at} + x.start, 'end', {at} + x.end, 'text', x.text, 'score', {score})"
+
+    def proposals(where: str, k: str, before: str = "x.before", after: str = "x.after", at: str = "0L") -> str:
+        valid = f"filter({_searched(where, k, PROPOSED[k], HINT[k], s.reach)}, x -> {_VALID[k]})"
+        return f"filter(transform({valid}, x -> {counted(k, before, after, at)}), x -> x.score >= {s.least}D)"
+
+    within = lambda k: f"""flatten(transform(filter(b_{k}, x -> not ({_VALID[k]})), b -> {_let("whole", "b.text", proposals("whole", k, "concat(b.before, x.before)", "concat(x.after, b.after)", "b.start"))}))"""
+    # the gaps between base matches of phones, each with where it begins and what stands around it
+    gaps = f"""zip_with(split(t, '{_quoted(BASE["phone"])}', -1), concat(array(cast(null as struct<end:bigint,before:string>)), transform(b_phone, b -> named_struct('end', b.end, 'before', concat(b.before, b.text)))),
+        (gap, b) -> named_struct('gap', gap, 'at', coalesce(b.end, 0L), 'before', coalesce(b.before, '')))"""
+    gaps = f"case when t rlike '{_quoted(HINT['local_phone'])}' then zip_with({gaps}, transform(b_phone, b -> concat(b.text, b.after)), (gap, a) -> named_struct('gap', gap.gap, 'at', gap.at, 'before', gap.before, 'after', coalesce(a, ''))) end"
+    outside = f"""coalesce(flatten(transform({gaps}, b -> {_let("whole", "b.gap", proposals("whole", "local_phone", "concat(b.before, x.before)", "concat(x.after, b.after)", "b.at"))})), cast(array() as {_SPANS}))"""
+    full = lambda k: f"transform(filter(b_{k}, x -> {_VALID[k]}), x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end, 'text', x.text, 'score', 1.0D))"
+    more = {"card": within("card"), "phone": within("phone"), "local": outside, "iban": proposals("t", "iban"), "national_id": proposals("t", "national_id")}
+    spans = found.select("_lodscape_row", *[F.expr(full(k)).alias(f"v_{k}") for k in BASE], *[F.expr(e).alias(f"s_{k}") for k, e in more.items()])
     by_start = "(a, b) -> case when a.start < b.start then -1 when a.start > b.start then 1 else 0 end"
-    parts = [
-        full("email"),
-        full("ip"),
-        f"array_sort(concat({full('card')}, _s_card), {by_start})",
-        f"array_sort(concat({full('phone')}, _s_phone, {local}), {by_start})",
-        "_s_iban",
-        "_s_national_id",
-    ]
-    return with_scores.select(
-        *kept,
-        F.expr(f"concat({', '.join(full(k) for k in BASE)})").alias("pii_base"),
-        F.expr(f"concat({', '.join(parts)})").alias("pii"),
-    )
+    parts = ["v_email", "v_ip", f"array_sort(concat(v_card, s_card), {by_start})", f"array_sort(concat(v_phone, s_phone, s_local), {by_start})", "s_iban", "s_national_id"]
+    return spans.select("_lodscape_row.*", F.expr(f"concat({', '.join(f'v_{k}' for k in BASE)})").alias("pii_base"), F.expr(f"concat({', '.join(parts)})").alias("pii"))
 
 
 def personal_data_digest(found: DataFrame) -> DataFrame:
@@ -194,17 +194,17 @@ def personal_data_digest(found: DataFrame) -> DataFrame:
 
 def mask_personal_data(docs: DataFrame, *, text: str = "text", scoring: Scoring = Scoring()) -> DataFrame:
     """``docs`` with every span of personal data in ``text`` replaced by its kind in angle brackets;
-    overlapping spans are merged and named by the first. Null texts stay null."""
-    names = docs.columns
-    found = find_personal_data(docs, text=text, scoring=scoring).withColumn(
-        "_cut",
-        F.expr("array_sort(pii, (a, b) -> case when a.start < b.start then -1 when a.start > b.start then 1 when a.end > b.end then -1 when a.end < b.end then 1 else 0 end)"),
-    )
-    masked = F.expr(
-        f"""aggregate(_cut, named_struct('at', 0L, 'out', cast(array() as array<string>)),
-             (acc, x) -> case when x.start >= acc.at
-               then named_struct('at', x.end, 'out', concat(acc.out, array(substring(`{text}`, int(acc.at) + 1, int(x.start - acc.at)), concat('<', upper(x.kind), '>'))))
-               else named_struct('at', greatest(acc.at, x.end), 'out', acc.out) end,
-             acc -> concat(array_join(acc.out, ''), substring(`{text}`, int(acc.at) + 1)))"""
-    )
-    return found.withColumn(text, F.when(F.size("_cut") > 0, masked).otherwise(F.col(text))).select(*names)
+    overlapping spans are merged and named by the first (the longer of two that begin together).
+
+    Null texts stay null, texts without spans as they are; texts of any length are masked whole; rows, repeated
+    ones too, and all other columns, whatever their names, are kept; an empty table stays empty.
+    """
+    by_place = "(a, b) -> case when a.start < b.start then -1 when a.start > b.start then 1 when a.end > b.end then -1 when a.end < b.end then 1 else 0 end"
+    row = docs.select(F.struct(*docs.columns).alias("_lodscape_doc"), docs[text].cast("string").alias("t"))
+    found = find_personal_data(row, text="t", scoring=scoring).select("_lodscape_doc", "t", F.expr(f"array_sort(pii, {by_place})").alias("spans"))
+    found = found.select("*", F.expr(_before("transform(spans, x -> x.end)", "greatest(p, q)")).alias("done"), F.when(F.size("spans") > 0, F.expr(f"regexp_extract_all(t, '(?s).{{1,{_BLOCK}}}', 0)")).alias("blocks"))
+    piece = lambda a, b: f"case when {b} > {a} then substring(array_join(slice(blocks, int({a} div {_BLOCK}) + 1, int(({b} - 1) div {_BLOCK} - {a} div {_BLOCK}) + 1), ''), int({a} % {_BLOCK}) + 1, int({b} - {a})) else '' end"
+    masked = f"""concat(array_join(zip_with(spans, done, (x, d) -> case when x.start >= d then concat({piece("d", "x.start")}, '<', upper(x.kind), '>') else '' end), ''),
+        {_let("z", "array_max(transform(spans, x -> x.end))", piece("z", "length(t)"))})"""
+    masked_text = F.when(F.size("spans") > 0, F.expr(masked)).otherwise(F.col("t"))
+    return found.select("_lodscape_doc", masked_text.alias("t")).select(*[F.col("t").alias(c) if c == text else F.col("_lodscape_doc")[c].alias(c) for c in docs.columns])
