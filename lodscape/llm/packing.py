@@ -17,6 +17,11 @@ from .common import Memo, written
 _SIMPLE = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 _CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
 
+#: Rounds of packing at most. Every one but the first and the last has saved a bin; the last closes all bins.
+_ROUNDS = 64
+#: Words whose ids a worker keeps at most.
+_KNOWN = 100_000
+
 
 @functools.lru_cache(maxsize=2)
 def word_encoder(path: str) -> Callable[[bytes | None], bytes]:
@@ -39,7 +44,7 @@ def word_encoder(path: str) -> Callable[[bytes | None], bytes]:
             piece = as_bytes.pre_tokenize_str(piece)[0][0]
         return b"".join([packed[t.id] for t in model.tokenize(piece)])
 
-    pieces = Memo(of_piece)
+    pieces = Memo(of_piece, most=_KNOWN)
 
     def of_word(raw: bytes) -> bytes:
         word = raw.decode("utf-8", "replace")
@@ -47,7 +52,7 @@ def word_encoder(path: str) -> Callable[[bytes | None], bytes]:
             return b"".join(map(pieces.__getitem__, _CUT.findall(word.lower())))
         return b"".join([packed[i] for i in tokenizer.encode(word, add_special_tokens=False).ids])
 
-    known = Memo(of_word)
+    known = Memo(of_word, most=_KNOWN)
     return lambda text: b"".join(map(known.__getitem__, text.split())) if text else b""
 
 
@@ -152,13 +157,17 @@ def fill_bins(lengths: list[int], capacity: int) -> list[list[int]]:
             held = sum(1 << n for n in donors)
             while room[a] and held:
                 gap, best = room[a], None
-                own: dict[int, list[int]] = {0: []}
+                alike: dict[int, list[int]] = {}  # different lengths in a bin are few, so all their pairs are too
                 for i in bins[a]:
-                    own.setdefault(lengths[i], [i])
+                    alike.setdefault(lengths[i], []).append(i)
+                own: dict[int, list[int]] = {0: []} | {n: same[:1] for n, same in alike.items()}
                 singles = sorted(own)
-                for x, i in enumerate(bins[a][:48]):
-                    for j in bins[a][:x]:
-                        own.setdefault(lengths[i] + lengths[j], [i, j])
+                for m, same in alike.items():
+                    for n, others in alike.items():
+                        if n < m:
+                            own.setdefault(m + n, [same[0], others[0]])
+                    if len(same) > 1:
+                        own.setdefault(2 * m, same[:2])
                 for n, out in own.items():
                     y = largest(n + gap)
                     if y > n and (best is None or y - n > best[0]):
@@ -200,19 +209,19 @@ def pack(pieces: DataFrame, *, size: int = 2048, length: str = "length", group_r
     """All columns of ``pieces`` plus ``sequence_id`` and ``offset`` (gapless from 0 in each sequence).
 
     Rows are dealt evenly into groups of about ``group_rows``, each packed by :func:`fill_bins` in one
-    task. What a group leaves in bins that are not nearly full is dealt anew with the leavings of the
-    others, until one group is left; so the result wastes about what one group wastes, whatever the
-    number of rows. A row longer than ``size`` or without a length is an error of the caller.
-    Repeated rows are packed one by one; columns named like the results are replaced; an empty table
-    stays empty.
+    task. What a group leaves in bins that are not full is dealt anew with the leavings of the others,
+    until one group is left or a round saves no bin; so the result wastes about what one group
+    wastes, whatever the number of rows. A row longer than ``size`` or without a length is an error of the caller.
+    Repeated rows are packed one by one; equal lengths go in the order of the rows; columns named like
+    the results are replaced; other columns, whatever their names or nulls, are kept; an empty table stays empty.
     """
-    kept = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset", "_group", "_left", "_row")]
+    kept = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
     schema = ", ".join(f"`{c}` {t}" for c, t in pieces.select(*kept).dtypes)
-    fields = f"{schema}, sequence_id long, offset long, _left boolean"
+    fields = f"{schema}, sequence_id long, offset long, _lodscape_left boolean"
 
     def packer(round_no: int, last: bool) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
         def packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values("_row", ignore_index=True)
+            rows = rows.sort_values("_lodscape_row", ignore_index=True)
             n = [int(x) for x in rows[length]]
             bins = fill_bins(n, size)
             sequence, offset, left, order = [], [], [], []
@@ -221,34 +230,37 @@ def pack(pieces: DataFrame, *, size: int = 2048, length: str = "length", group_r
                 at = 0
                 for i in members:
                     order.append(i)
-                    sequence.append(((round_no << 40) + int(key[0])) << 20 | b)
+                    sequence.append((round_no << 36 | int(key[0])) << 20 | b)
                     offset.append(at)
-                    left.append(not last and fill < size - size // 256)
+                    left.append(not last and fill < size)
                     at += n[i]
             out = rows.iloc[order][kept].reset_index(drop=True)
-            out["sequence_id"], out["offset"], out["_left"] = sequence, offset, left
+            out["sequence_id"], out["offset"], out["_lodscape_left"] = sequence, offset, left
             return out
 
         return packed
 
-    rest, done, rows_left = pieces.select(*kept), None, None
-    for round_no in range(64):
-        n = rest.count()
-        last = n <= 2 * group_rows or rows_left is not None and 2 * n > rows_left
-        groups = max(1, -(-n // group_rows))
-        dealt = rest.withColumn("_row", F.monotonically_increasing_id()).withColumn("_group", F.pmod(F.xxhash64("_row"), F.lit(groups)))
-        out = written(dealt.groupBy("_group").applyInPandas(packer(round_no, last), fields), f"packed-{round_no}")
-        ready = out.where("not _left").drop("_left")
+    rest, done, bins_left, last, round_no = pieces.select(*kept), None, None, False, 0
+    while not last:
+        groups = max(1, -(-rest.count() // group_rows))
+        last = groups <= 2 or round_no == _ROUNDS - 1
+        groups = 1 if last and groups <= 2 else groups
+        dealt = rest.withColumn("_lodscape_row", F.monotonically_increasing_id()).withColumn("_lodscape_group", F.pmod(F.xxhash64("_lodscape_row"), F.lit(groups)))
+        out = written(dealt.groupBy("_lodscape_group").applyInPandas(packer(round_no, last), fields), f"packed-{round_no}")
+        if not last:
+            full, open_ = out.agg(F.count_distinct(F.when(~F.col("_lodscape_left"), F.col("sequence_id"))), F.count_distinct(F.when(F.col("_lodscape_left"), F.col("sequence_id")))).first()
+            last = bins_left is not None and full + open_ >= bins_left
+            bins_left = open_
+        ready = (out if last else out.where("not _lodscape_left")).drop("_lodscape_left")
         done = ready if done is None else done.unionByName(ready)
-        if last:
-            break
-        rest, rows_left = out.where("_left").select(*kept), n
+        rest, round_no = out.where("_lodscape_left").select(*kept), round_no + 1
     return done
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, *, size: int = 2048, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, piece, start, length, ids, sequence_id, offset)`` for every piece of every document.
-    Ids are written once and moved once; what is packed in rounds is only the pieces' lengths."""
+    Ids are written once and moved once; what is packed in rounds is only the pieces' lengths.
+    Nulls, empty and very long texts, repeated rows, other columns and empty tables: as in :func:`token_pieces`."""
     pieces = token_pieces(docs, tokenizer, size=size, end_id=end_id, doc_id=doc_id, text=text)
     pieces = written(pieces.withColumn("_piece", F.monotonically_increasing_id()), "pieces")
     plan = pack(pieces.select("_piece", "length"), size=size)
