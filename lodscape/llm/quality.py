@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,17 +12,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType
 
+from .common import Memo
+
 #: Words in a passage; a shorter rest joins the passage before it.
 PASSAGE_WORDS = 128
 #: Labelled rows that are learned from at most (those with the least hashes of their ids).
 SAMPLE_ROWS = 4_000
+#: Rows of features that a document is learned from at most: neighbouring passages of longer ones are averaged into so many.
+SAMPLE_PASSAGES = 32
+#: Buckets that words are hashed to.
+HASHED = 64
 _CLASSES = 9
 # Byte classes (other, lower, upper, digit, stop, other punctuation, symbol, shout or bar, beyond ASCII); 255 is not counted.
 _CLASS = np.zeros(256, dtype=np.uint8)
 for _bytes, _c in ((range(97, 123), 1), (range(65, 91), 2), (range(48, 58), 3), (b".,", 4), (b"'\"()-:;?/@_", 5), (b"#$%&*+<=>[]\\^`{}~", 6), (b"!|", 7), (range(192, 256), 8), (range(128, 192), 255)):
     for _b in _bytes:
         _CLASS[_b] = _c
-FEATURES = _CLASSES * _CLASSES + 8
+FEATURES = _CLASSES * _CLASSES + 8 + HASHED
+_bucket = Memo(lambda w: zlib.crc32(w.lower()) % HASHED, most=100_000)
 
 
 def passages_of(text: str | None) -> list[list[bytes]]:
@@ -33,7 +41,7 @@ def passages_of(text: str | None) -> list[list[bytes]]:
 
 
 def encode_passage(words: list[bytes]) -> np.ndarray:
-    """How often each byte class follows each other, and how varied, long and repetitive the words are."""
+    """How often each byte class follows each other, how varied, long and repetitive the words are, and which hashed words there are."""
     out = np.zeros(FEATURES, dtype=np.float32)
     if not words:
         return out
@@ -44,7 +52,7 @@ def encode_passage(words: list[bytes]) -> np.ndarray:
     n = len(words)
     distinct = len(set(words))
     pairs = list(zip(words, words[1:]))
-    out[-8:] = (
+    out[_CLASSES * _CLASSES : -HASHED] = (
         1.0,
         min(np.log1p(n) / 5, 2.0),
         distinct / n,
@@ -54,6 +62,7 @@ def encode_passage(words: list[bytes]) -> np.ndarray:
         max(map(len, words)) / 50 if max(map(len, words)) < 500 else 10.0,
         distinct / n * (n >= 40),
     )
+    out[-HASHED:] = np.sqrt(np.bincount([_bucket[w] for w in words], minlength=HASHED) / n)
     return out
 
 
@@ -62,6 +71,14 @@ def encode_document(text: str | None) -> np.ndarray:
     return np.stack([encode_passage(p) for p in passages_of(text)])
 
 
+def pooled(x: np.ndarray, most: int = SAMPLE_PASSAGES) -> np.ndarray:
+    """The rows of a document, neighbours averaged so that ``most`` are left; all its passages take part."""
+    if len(x) <= most:
+        return x
+    edges = np.arange(most) * len(x) // most
+    return (np.add.reduceat(x, edges, axis=0) / np.diff(np.append(edges, len(x)))[:, None]).astype(np.float32)
+
+
 @dataclass(frozen=True)
 class PassageModel:
     """Passages x: z = tanh(x W + b); weights softmax over the document of (tanh(z V) * sigmoid(z U)) w; score sigmoid(sum(weight z) c + d)."""
@@ -88,8 +105,26 @@ class PassageModel:
         return self.forward(np.concatenate(documents).astype(np.float64), starts)["score"]
 
 
-def fit(documents: list[np.ndarray], labels: np.ndarray, *, hidden: int = 24, attention: int = 12, steps: int = 900, batch: int = 192, rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> PassageModel:
-    """The model learned from whole documents' labels by Adam; the same input gives the same model."""
+def _mixed(parts: list[np.ndarray], y: np.ndarray, r: np.random.Generator, n: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Up to n bags more: passages of a document labelled 1 with one or two of a document labelled 0 among them, labelled 0."""
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    if not len(good) or not len(bad):
+        return parts, y
+    more = []
+    for g, b in zip(r.choice(good, n), r.choice(bad, n)):
+        own, odd = parts[g], parts[b][r.permutation(len(parts[b]))[: r.integers(1, 3)]]
+        at = r.integers(0, len(own) + 1)
+        more.append(np.concatenate([own[:at], odd, own[at:]]))
+    return parts + more, np.append(y, np.zeros(n))
+
+
+def fit(documents: list[np.ndarray], labels: np.ndarray, *, hidden: int = 24, attention: int = 12, steps: int = 900, batch: int = 192, mixed: float = 0.25, rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> PassageModel:
+    """The model learned from whole documents' labels by Adam; the same input gives the same model.
+
+    Labelled documents are mostly good or bad throughout, which teaches no attention. So each batch also
+    has a share ``mixed`` of bags in which a bad document's passages stand among a good one's: to call
+    these bad, the weights have to find the bad passages.
+    """
     r = np.random.default_rng(seed)
     flat = np.concatenate(documents).astype(np.float64)
     mean, scale = flat.mean(axis=0), flat.std(axis=0) + 0.02
@@ -99,10 +134,10 @@ def fit(documents: list[np.ndarray], labels: np.ndarray, *, hidden: int = 24, at
     y = labels.astype(np.float64)
     for step in range(1, steps + 1):
         chosen = r.choice(len(documents), min(batch, len(documents)), replace=False)
-        parts = [documents[i] for i in chosen]
+        parts, own = _mixed([documents[i] for i in chosen], y[chosen], r, int(mixed * len(chosen)))
         starts = np.cumsum([0, *map(len, parts[:-1])])
         f = PassageModel(mean, scale, p).forward(np.concatenate(parts).astype(np.float64), starts)
-        d_out = (f["score"] - y[chosen]) / len(chosen)
+        d_out = (f["score"] - own) / len(own)
         grad = {"c": f["doc"].T @ d_out, "d": d_out.sum()}
         d_doc = np.repeat(d_out[:, None] * p["c"], f["sizes"], axis=0)
         d_a = (d_doc * f["z"]).sum(axis=1)
@@ -127,15 +162,17 @@ def is_held_out(doc_id: Column) -> Column:
 
 @F.pandas_udf(BinaryType())
 def _encoded(texts: pd.Series) -> pd.Series:
-    return pd.Series([encode_document(t).tobytes() for t in texts], dtype="object")
+    return pd.Series([pooled(encode_document(t)).tobytes() for t in texts], dtype="object")
 
 
 def learn_quality(docs: DataFrame, labels: DataFrame, *, label: str = "quality", sample_rows: int = SAMPLE_ROWS, doc_id: str = "doc_id", text: str = "text") -> PassageModel | None:
     """The model learned from the labelled rows of ``docs`` that are not held out.
 
-    At most ``sample_rows`` labels are used, those with the least hash of their id, so what comes to
-    the driver is bounded: that many ids, then the passages' features of these documents. Labels that
-    are null, or 0 and 1 for the same id, are left out. None if there are no labels of both kinds.
+    At most ``sample_rows`` labels are used, those with the least hash of their id, and at most
+    :data:`SAMPLE_PASSAGES` rows of features for each of these documents, so what comes to the driver
+    is bounded whatever the number and length of texts. Labels that are null, or 0 and 1 for the same
+    id, are left out; of rows that repeat an id the least text counts; null texts count as empty. None
+    if there are no labels of both kinds.
     """
     known = (
         labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
@@ -146,8 +183,9 @@ def learn_quality(docs: DataFrame, labels: DataFrame, *, label: str = "quality",
         .limit(sample_rows)
         .select("_id", "_y")
     )
-    chosen = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").alias("_text")).join(F.broadcast(known), "_id")
-    rows = sorted(chosen.select("_id", "_y", _encoded("_text").alias("x")).limit(2 * sample_rows).collect(), key=lambda r: (r["_id"], bytes(r["x"])))
+    chosen = docs.select(F.col(doc_id).cast("long").alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")).join(F.broadcast(known), "_id")
+    chosen = chosen.groupBy("_id").agg(F.first("_y").alias("_y"), F.min("_text").alias("_text"))
+    rows = sorted(chosen.select("_id", "_y", _encoded("_text").alias("x")).collect(), key=lambda r: r["_id"])
     y = np.array([r["_y"] for r in rows])
     if len(set(y.tolist())) < 2:
         return None
