@@ -41,6 +41,8 @@ BOILERPLATE = frozenset(
     "promoted promotion recommended related respond share sharing shoutbox sidebar sidebars signup skip social sponsor sponsored subscribe subscription "
     "toolbar widget widgets alert contentinfo complementary search form discussion replies adbox adslot adunit adwrap".split()
 )
+# Those of them that name parts of an article as well; what they mark goes only if it doesn't read like prose.
+AMBIGUOUS = frozenset("alert discussion form header notice notices pager promotion related recommended respond replies search share sharing social sponsored widget widgets".split())
 # Fixed values: "has-sidebar" and the like say something about the rest of the page.
 NEGATED = frozenset("has with no without not".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -114,6 +116,7 @@ class _Node:
     tag: str
     parent: int
     dropped: bool
+    doubtful: int = 0
     marked: bool = False
     score: float = 0.0
     scored: bool = False
@@ -123,26 +126,27 @@ class _Node:
     children: list[int] = field(default_factory=list)
 
 
-def _marks(tag: str) -> tuple[bool, bool]:
-    """(names boilerplate or is hidden, names the article)."""
-    bad = good = False
+def _marks(tag: str) -> tuple[bool, int, bool]:
+    """(is hidden, names boilerplate: 0 not, 1 by ambiguous words only, 2 for sure, names the article)."""
+    hidden, doubtful, good = False, 0, False
     for m in _MARKS.finditer(tag):
         if m[5]:
-            bad = True
+            hidden = True
             continue
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "style":
-            bad |= "display:none" in value.replace(" ", "").lower()
+            hidden |= "display:none" in value.replace(" ", "").lower()
         elif key == "aria-hidden":
-            bad |= value.lower() == "true"
+            hidden |= value.lower() == "true"
         elif key == "itemprop":
             good |= value.lower() == "articlebody"
         else:
             for one in value.split():
                 words = {w.lower() for w in _WORDS.findall(one)}
-                bad |= not words.isdisjoint(BOILERPLATE) and words.isdisjoint(NEGATED)
+                if words.isdisjoint(NEGATED):
+                    doubtful = max(doubtful, 2 * bool(words & BOILERPLATE - AMBIGUOUS), bool(words & AMBIGUOUS))
             good |= key == "role" and value.lower() == "main"
-    return bad, good
+    return hidden, doubtful, good
 
 
 def _read(page: str) -> tuple[list[_Node], list[tuple[int, str, int]]]:
@@ -218,11 +222,15 @@ def _read(page: str) -> tuple[list[_Node], list[tuple[int, str, int]]]:
                 pop()
         if name in VOID or tag.endswith("/>") and name not in RAW:
             continue
-        bad, good = _marks(tag) if "=" in tag or "hidden" in tag else (False, False)
-        dropped = stack[-1][2] or name in DROPPED or bad and name not in ROOTS and name not in HEADINGS
+        hidden, doubtful, good = _marks(tag) if "=" in tag or "hidden" in tag else (False, 0, False)
+        dropped = stack[-1][2] or name in DROPPED or hidden and name not in ROOTS
+        if name in ROOTS or name in HEADINGS:
+            doubtful = 0
+        elif name in INLINE:
+            dropped |= doubtful > 0
         node = stack[-1][1]
         if name not in INLINE:
-            nodes.append(_Node(name, node, dropped, marked=good or name in ("article", "main")))
+            nodes.append(_Node(name, node, dropped, doubtful, marked=good or name in ("article", "main")))
             nodes[node].children.append(len(nodes) - 1)
             node = len(nodes) - 1
         elif name == "a":
@@ -236,19 +244,61 @@ def _read(page: str) -> tuple[list[_Node], list[tuple[int, str, int]]]:
     return nodes, blocks
 
 
+def _points(text: str, linked: int) -> float:
+    """What a block gives to its container: for its length and its commas, less its share in links; none if most of it is links."""
+    density = linked / len(text)
+    if density > 0.5:
+        return 0.0
+    return ((1.0 if len(text) >= 25 else 0.0) + text.count(",") + min(len(text) / 100.0, 3.0)) * (1 - density)
+
+
+def _summed(nodes: list[_Node], values: list[float]) -> list[float]:
+    """For each element the sum of its own value and those of all elements in it."""
+    out = list(values)
+    for i in range(len(nodes) - 1, 0, -1):
+        out[nodes[i].parent] += out[i]
+    return out
+
+
+def _settle_doubts(nodes: list[_Node], blocks: list[tuple[int, str, int]]) -> None:
+    """Drops what class words mark, now that all text is scored; but never all of a page's text: not what is marked for
+    sure if next to nothing stands outside of such marks, and not, if the words are ambiguous, what holds half of
+    the page's points or reads like prose inside an article."""
+    own, chars, linked = ([0.0] * len(nodes) for _ in range(3))
+    for node, text, in_links in blocks:
+        own[node] += _points(text, in_links)
+        chars[node] += len(text)
+        linked[node] += in_links
+    total, chars, linked = _summed(nodes, own), _summed(nodes, chars), _summed(nodes, linked)
+    outside, sure, within = 0.0, [False] * len(nodes), [False] * len(nodes)
+    for i, x in enumerate(nodes[1:], 1):
+        sure[i] = x.doubtful == 2 or sure[x.parent]
+        within[i] = x.tag == "article" or within[x.parent]
+        outside += 0.0 if sure[i] else own[i]
+    for i, x in enumerate(nodes[1:], 1):
+        if nodes[x.parent].dropped:
+            x.dropped = True
+        elif x.doubtful == 2 and not x.dropped:
+            x.dropped = not (outside + own[0] < 2.0 <= total[i] and 2 * total[i] >= total[0])
+        elif x.doubtful and not x.dropped:
+            prose = chars[i] >= 80 and linked[i] <= 0.2 * chars[i] and total[i] >= 2.0
+            x.dropped = not (total[i] > 0 and 2 * total[i] >= total[0] or prose and within[i])
+
+
 def main_text(page: str | None) -> str:
     """The main text of one page; see :func:`extract_main_text`."""
     if not page:
         return ""
-    nodes, blocks = _read(page)
+    nodes, found = _read(page)
+    _settle_doubts(nodes, found)
+    blocks = [b for b in found if not nodes[b[0]].dropped]
     if not blocks:
         return ""
     for node, text, linked in blocks:
         nodes[node].chars += len(text)
         nodes[node].linked += linked
-        density = linked / len(text)
-        points = (1.0 if len(text) >= 25 else 0.0) + text.count(",") + min(len(text) / 100.0, 3.0)
-        if density > 0.5:
+        points = _points(text, linked)
+        if not points:
             continue
         up = node if nodes[node].tag in ("div", "section", "article", "main", "body", "td", "#root", "html") else nodes[node].parent
         share = 1.0
@@ -258,7 +308,7 @@ def main_text(page: str | None) -> str:
             if not nodes[up].scored:
                 nodes[up].scored = True
                 nodes[up].score += START_SCORE.get(nodes[up].tag, 0.0) + (10.0 if nodes[up].marked else 0.0)
-            nodes[up].score += points * share * (1 - density)
+            nodes[up].score += points * share
             up, share = nodes[up].parent, share / 2
     for i in range(len(nodes) - 1, 0, -1):
         up = nodes[nodes[i].parent]
