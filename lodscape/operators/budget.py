@@ -13,7 +13,7 @@ from ..functions.projection import cell, dbl
 from ..functions.viewport import Viewport
 from .best_first import DEFAULT_BUDGET
 from .pyramid import SHALLOW, deep_cells, levels, placed
-from .render import folded
+from .render import cell_picture, folded
 
 
 def exact_level(v: Viewport) -> int:
@@ -91,11 +91,11 @@ def traversal_sample(points: DataFrame, v: Viewport, percent: int, *, draw_with:
     """
     share, level = percent / 100, exact_level(v)
     cells = detail(points, level, depth)
-    each = placed(points).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(level))))
+    each = placed(points).select("point_id", "mx", "my").withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(level))))
     for c, m in (("ci", "mx"), ("cj", "my")):
         each = each.withColumn(c, F.floor(F.col(m) * F.pow(dbl(2), F.col("level"))).cast("long"))
 
-    lists = folded(each, ["level", "ci", "cj"], lambda k: ((k[1] + 0.5) * 2.0 ** -k[0], (k[2] + 0.5) * 2.0 ** -k[0], 2.0 ** -k[0] / 2), draw_with)
+    lists = folded(each, ["level", "ci", "cj"], cell_picture(lambda k: ((k[1] + 0.5) * 2.0 ** -k[0], (k[2] + 0.5) * 2.0 ** -k[0], 2.0 ** -k[0] / 2), draw_with))
     lists = lists.withColumn("at", F.row_number().over(Window.partitionBy("level", "ci", "cj").orderBy("point_id")))
     sized = lists.groupBy("level", "ci", "cj").agg(F.count("*").alias("n")).join(cells, ["level", "ci", "cj"])
     sized = sized.withColumn("share", F.least(F.col("n") / F.col("exact"), dbl(1)))

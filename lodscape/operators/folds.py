@@ -1,12 +1,13 @@
 """Reducers that draw points one after the other and keep those that change the picture.
 
 The order of drawing is the order of arrival (``point_id``); pictures of different cells or tiles
-are independent, so each is one group of an Arrow function.
+are independent, so each is folded by itself (:func:`~lodscape.operators.render.folded`).
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,17 +15,14 @@ from ..functions.predicates import cell_meets, in_viewport
 from ..functions.projection import cell, dbl, with_mercator
 from ..functions.viewport import Viewport
 from .pyramid import SHALLOW, placed, quadtree
-from .render import DiscRenderer, folded
-
-_OUT = "point_id long, x double, y double"
+from .render import DiscRenderer, cell_picture, folded
 
 
 def drawn_points(points: DataFrame, v: Viewport, tile: int = 64, radius: int = 1) -> DataFrame:
     """``(point_id, x, y)``: points inside the viewport that change its picture when drawn in turn.
 
     The screen is cut into tiles, each of which draws all discs that reach into it, so a tile's own
-    pixels see just what the whole screen's would; a point stays if it changes any tile. A tile's
-    points are at most the distinct positions in it, since equal positions after a few draws change nothing.
+    pixels see just what the whole screen's would; a point stays if it changes any tile.
     """
     x0, y0, x1, y1 = v.mercator
     p = with_mercator(points).where(in_viewport(F.col("mx"), F.col("my"), v))
@@ -33,28 +31,28 @@ def drawn_points(points: DataFrame, v: Viewport, tile: int = 64, radius: int = 1
     span = lambda c: F.sequence(F.floor((F.col(c) - reach) / tile).cast("long"), F.floor((F.col(c) + reach) / tile).cast("long"))
     tiled = p.withColumn("ti", F.explode(span("sx"))).withColumn("tj", F.explode(span("sy")))
 
-    def draw(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("point_id", kind="stable")
+    def picture(key: tuple) -> Callable[[float, float], bool]:
         wide, disc = tile + 4 * reach, DiscRenderer(radius)
-        image = disc.blank(wide)
-        margin, low = radius + 1, 2 * reach + radius + 1
+        image, low = disc.blank(wide), 2 * reach + radius + 1
+        own = image[low : low + tile, low : low + tile]
         cx, cy = (key[0] + 0.5) * tile, (key[1] + 0.5) * tile
-        kept = []
-        for sx, sy in zip(rows["sx"], rows["sy"]):
-            i, j, alpha = disc._disc(cx, cy, wide / 2, wide, sx, sy)
-            before = image[low : low + tile, low : low + tile].copy() if alpha.any() else None
+
+        def change(sx: float, sy: float) -> bool:
+            before = own.copy()
             disc.draw(image, cx, cy, wide / 2, wide, sx, sy)
-            kept.append(before is not None and bool((before != image[low : low + tile, low : low + tile]).any()))
-        return rows.loc[kept, ["point_id", "mx", "my"]].rename(columns={"mx": "x", "my": "y"})
+            return bool((before != own).any())
+
+        return change
 
-    return tiled.groupBy("ti", "tj").applyInPandas(draw, _OUT).distinct()
+    return folded(tiled, ["ti", "tj"], picture, ("sx", "sy")).select("point_id", F.col("mx").alias("x"), F.col("my").alias("y")).distinct()
 
 
 def cell_samples(points: DataFrame, level: int, *, draw_with: str = "disc", depth: int = SHALLOW) -> DataFrame:
     """``(point_id, x, y, ci, cj)``: for each cell of a level, the points that change its one-pixel picture; all of them at the deepest level."""
     p = placed(points).withColumns({"ci": cell(F.col("mx"), level), "cj": cell(F.col("my"), level)})
     w = 2.0**-level
-    kept = p if level == depth else folded(p, ["ci", "cj"], lambda k: ((k[0] + 0.5) * w, (k[1] + 0.5) * w, w / 2), draw_with)
+    p = p.select("point_id", "mx", "my", "ci", "cj")
+    kept = p if level == depth else folded(p, ["ci", "cj"], cell_picture(lambda k: ((k[0] + 0.5) * w, (k[1] + 0.5) * w, w / 2), draw_with))
     return kept.select("point_id", F.col("mx").alias("x"), F.col("my").alias("y"), "ci", "cj")
 
 

@@ -137,25 +137,39 @@ def metric(name: str, error: str = "l1") -> ErrorMetric:
     return GrayError(1 if error == "l1" else 2) if name == "disc" else SnapError()
 
 
-def folded(rows: DataFrame, keys: list[str], place: Callable[[tuple], tuple[float, float, float]], draw_with: str) -> DataFrame:
-    """Those of ``rows`` (``keys, point_id, mx, my``) that change the one-pixel picture of their cell when drawn by arrival.
-
-    ``place`` gives a cell's centre and half width from its keys. Cells are dealt by key and sorted, so
-    a task draws one picture at a time, whatever the number of points in a cell.
+def folded(rows: DataFrame, keys: list[str], picture: Callable[[tuple], Callable[[float, float], bool]], at: tuple[str, str] = ("mx", "my")) -> DataFrame:
+    """Those of ``rows`` (``keys, point_id`` and places) that change the picture of their key when drawn by arrival.
+
+    ``picture`` gives, for a key, a function that draws a place and tells whether that changed anything. Discs
+    of one colour only ever bring a pixel closer to it, so what changes nothing after some of the earlier
+    points changes nothing after all of them. So every partition first draws its own points and passes on
+    only those that change its own pictures, a number that a picture bounds and not the points; these are then
+    dealt by key, sorted and drawn again. A task draws one picture at a time, a batch of points at a time.
     """
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        renderer_, now, image, at = renderer(draw_with), None, None, None
+        now, change = None, None
         for b in batches:
             keep = []
-            for *key, x, y in zip(*(b[k] for k in keys), b["mx"], b["my"]):
+            for *key, x, y in zip(*(b[k] for k in keys), b[at[0]], b[at[1]]):
                 if key != now:
-                    now, image, at = key, renderer_.blank(1), place(tuple(key))
-                keep.append(renderer_.draw(image, *at, 1, x, y))
+                    now, change = key, picture(tuple(key))
+                keep.append(change(x, y))
             yield b[keep]
 
-    own = rows.select(*keys, "point_id", "mx", "my").repartition(*keys).sortWithinPartitions(*keys, "point_id")
-    return own.mapInPandas(draw, own.schema)
+    own = rows.sortWithinPartitions(*keys, "point_id").mapInPandas(draw, rows.schema)
+    return own.repartition(*keys).sortWithinPartitions(*keys, "point_id").mapInPandas(draw, rows.schema)
+
+
+def cell_picture(place: Callable[[tuple], tuple[float, float, float]], draw_with: str) -> Callable[[tuple], Callable[[float, float], bool]]:
+    """One-pixel pictures for :func:`folded`; ``place`` gives a cell's centre and half width from its keys."""
+
+    def of(key: tuple) -> Callable[[float, float], bool]:
+        renderer_, where = renderer(draw_with), place(key)
+        image = renderer_.blank(1)
+        return lambda x, y: renderer_.draw(image, *where, 1, x, y)
+
+    return of
 
 
 def disc_pixels(x: Column, y: Column, radius: int = 1) -> Column:

@@ -95,23 +95,31 @@ _NODE = "level int, ci long, cj long, cnt long, point_id long, x double, y doubl
 def error_nodes(points: DataFrame, depth: int = DEEP, *, kind: str = "disc", error: str = "l2") -> DataFrame:
     """``(level, ci, cj, cnt, point_id, x, y, children, errors)`` for every non-empty cell, built upwards level by level.
 
-    A cell with one child takes its sample with error 0 by plain columns; only cells that branch are
-    drawn, in Arrow batches of families of at most four. Every level is written
-    once, as the next one and the result both read it.
+    Below the deepest level at which any cell branches, all cells are chains over one deepest cell and
+    follow from it at once. From there upwards a cell with one child takes its sample with error 0 by
+    plain columns; only cells that branch are drawn, in Arrow batches of families of at most four.
+    Every level is written once, as the next one and the result both read it.
     """
     zero = F.array(*[F.lit(0.0)] * ZOOMS)
-    at = deep_cells(points, depth)
-    at = at.select(
-        F.lit(depth).alias("level"), "ci", "cj", "cnt", F.col("first.point_id").alias("point_id"), F.col("first.mx").alias("x"), F.col("first.my").alias("y"), F.lit(0).alias("children"), zero.alias("errors")
-    )
-    at = settled(at, f"level-{depth}")
-    out = at
-    for level in range(depth - 1, -1, -1):
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    deep = settled(deep_cells(points, depth), "deepest")
+    up = lambda c, k: F.expr(f"shiftright({c}, {depth} - {k})")
+    each = deep.select("ci", "cj", F.explode(F.sequence(F.lit(1), F.lit(depth))).alias("level")).select("level", up("ci", "level").alias("ci"), up("cj", "level").alias("cj")).distinct()
+    branching = each.groupBy((F.col("level") - 1).alias("level"), F.shiftright("ci", 1).alias("ci"), F.shiftright("cj", 1).alias("cj")).agg(F.count("*").alias("n")).where("n > 1")
+    last = branching.agg(F.max("level")).first()[0]
+    top = depth if last is None else last + 1  # at this level and below it no cell branches
+    own = deep.select("ci", "cj", "cnt", F.col("first.point_id").alias("point_id"), F.col("first.mx").alias("x"), F.col("first.my").alias("y"))
+    fields = ["level", "ci", "cj", "cnt", "point_id", "x", "y", "children", "errors"]
+    out = own.withColumn("level", F.explode(F.sequence(F.lit(0 if last is None else top), F.lit(depth)))).withColumns(
+        {"ci": up("ci", "level"), "cj": up("cj", "level"), "children": (F.col("level") < depth).cast("int"), "errors": zero}
+    ).select(*fields)
+    at = out.where(F.col("level") == top)
+    for level in range(top - 1, -1, -1) if last is not None else ():
         families = at.groupBy(F.shiftright("ci", 1).alias("pi"), F.shiftright("cj", 1).alias("pj")).agg(F.collect_list(F.struct("ci", "cj", "cnt", "point_id", "x", "y")).alias("f"))
         single = families.where("size(f) = 1").select(
             F.lit(level).alias("level"), F.col("pi").alias("ci"), F.col("pj").alias("cj"), F.col("f")[0]["cnt"].alias("cnt"), F.col("f")[0]["point_id"].alias("point_id"), F.col("f")[0]["x"].alias("x"), F.col("f")[0]["y"].alias("y"), F.lit(1).alias("children"), zero.alias("errors")
         )
-        at = single.unionByName(families.where("size(f) > 1").mapInPandas(_picked(level, kind, error), _NODE))
+        at = single.unionByName(families.where("size(f) > 1").repartition(tasks).mapInPandas(_picked(level, kind, error), _NODE))
         at = settled(at, f"level-{level}")
         out = out.unionByName(at)
     return out

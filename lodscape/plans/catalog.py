@@ -22,8 +22,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 COUNTRY, REGION, CITY, WRAP, WORLD, ODD = (VIEWPORTS[k] for k in ("country", "region", "city", "wrap", "world", "odd"))
-#: Depths used by queries whose SQL twin has to list all levels.
-DEPTH, NODES = 16, 12
+#: The depth of the trees in all queries: the operators' own.
+DEPTH = NODES = pyramid.DEEP
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -266,6 +266,13 @@ def op_c1_text_phrase(spark, sf_dir):
     return docs.where(P.text_matches(docs["text"], "(erin & !worthless) | hes <-> anti")).select("doc_id")
 
 
+@query("SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^a-z0-9])worthless([^a-z0-9]|$)') OR regexp_matches(lower(text), '(^|[^a-z0-9])idiot(s|ic|ics|ed|ing)?([^a-z0-9]|$)')")
+def op_c1_stemmed_match(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    source = PointSource(docs.select("doc_id", "text", *[F.lit(0.0).alias(c) for c in ("ts", "lng", "lat")]), point_id="doc_id", text="text")
+    return source.scan("worthless | idiots").select(F.col("point_id").alias("doc_id"))
+
+
 @query(f"WITH {O.POINTS} SELECT keyword, count(*) AS n FROM pts GROUP BY 1")
 def op_c2_wildcard(spark, sf_dir):
     p = points(spark, sf_dir)
@@ -488,23 +495,23 @@ def op_f1_snap_samples(spark, sf_dir):
 
 @query()
 def op_f2_error_nodes(spark, sf_dir):
-    return samples.error_nodes(points(spark, sf_dir), 10)
+    return samples.error_nodes(points(spark, sf_dir))
 
 
 @query()
 def op_f3_error_benefit(spark, sf_dir):
-    return samples.error_nodes(points(spark, sf_dir), 10).select("level", "ci", "cj", centroids.error_benefit(2, 10).alias("benefit"))
+    return samples.error_nodes(points(spark, sf_dir)).select("level", "ci", "cj", centroids.error_benefit(2).alias("benefit"))
 
 
 @query()
 def op_f6_query_time_benefit(spark, sf_dir):
-    return samples.error_nodes(points(spark, sf_dir), 10).select("level", "ci", "cj", centroids.plain_error_benefit(2, 10).alias("benefit"))
+    return samples.error_nodes(points(spark, sf_dir)).select("level", "ci", "cj", centroids.plain_error_benefit(2).alias("benefit"))
 
 
 @query()
 def op_f7_error_best_first(spark, sf_dir):
     nodes = samples.error_nodes(points(spark, sf_dir), NODES)
-    return best_first.best_first(nodes, centroids.error_benefit(REGION.zoom, NODES), REGION, 200)
+    return best_first.best_first(nodes, centroids.error_benefit(REGION.zoom, NODES), REGION)
 
 
 _MAX = num(centroids.MOST)
@@ -529,8 +536,21 @@ def op_f5_screen_benefit(spark, sf_dir):
     return n.select("level", "ci", "cj", F.when(F.col("b") == centroids.MOST, F.col("b")).otherwise(F.round("b", 4) + dbl(0)).alias("benefit"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {O.PLACED}, {O.centroids(DEPTH)}, s AS (SELECT *, greatest(pow(2, {REGION.zoom + 8} - level), 1) AS r FROM ce WHERE {O.meets(REGION)}),
+    bn AS MATERIALIZED (SELECT level, ci, cj, x, y, CASE WHEN cnt = 1 OR level = {DEPTH} THEN 0 WHEN level < 8 THEN {_MAX} WHEN level >= {REGION.zoom + 8} THEN 0 WHEN children = 1 THEN {_MAX}
+      ELSE (error / cnt * r * r - child_mean * greatest(floor(r / 2), 1) * greatest(floor(r / 2), 1) / 4) / (children - 1) END AS benefit FROM s),
+    reached AS (SELECT * FROM bn WHERE level = 0 UNION ALL SELECT c.* FROM reached p JOIN bn c ON c.level = p.level + 1 AND c.ci >> 1 = p.ci AND c.cj >> 1 = p.cj WHERE p.benefit > 0)
+    SELECT level, ci, cj, round(x, 9) AS x, round(y, 9) AS y FROM reached WHERE benefit <= 0"""
+)
 def op_f7_best_first(spark, sf_dir):
+    nodes = centroids.centroid_nodes(points(spark, sf_dir), DEPTH)
+    found = best_first.best_first(nodes, centroids.screen_benefit(REGION.zoom, DEPTH), REGION)
+    return found.select("level", "ci", "cj", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
+
+
+@query()
+def op_f7_small_budget(spark, sf_dir):
     nodes = centroids.centroid_nodes(points(spark, sf_dir), DEPTH)
     return best_first.best_first(nodes, centroids.screen_benefit(REGION.zoom, DEPTH), REGION, 500)
 

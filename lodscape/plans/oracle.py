@@ -56,12 +56,11 @@ def pixels(v: Viewport) -> str:
 def tree(depth: int, bottom: int | None = None) -> str:
     """deep (deepest cells), lv (all cells of all levels) and nd (nodes of the tree, with is_leaf)."""
     bottom = depth if bottom is None else bottom
-    return f"""deep AS (SELECT CAST(floor(mx * {2**depth}) AS BIGINT) AS ci, CAST(floor(my * {2**depth}) AS BIGINT) AS cj, count(*) AS cnt, min(point_id) AS first
+    return f"""deep AS MATERIALIZED (SELECT CAST(floor(mx * {2**depth}) AS BIGINT) AS ci, CAST(floor(my * {2**depth}) AS BIGINT) AS cj, count(*) AS cnt, min(point_id) AS first
       FROM m WHERE mx >= 0 AND mx < 1 AND my >= 0 AND my < 1 GROUP BY 1, 2),
     lev AS (SELECT CAST(unnest(generate_series(0, {bottom})) AS INT) AS level),
-    lv AS (SELECT level, ci >> ({depth} - level) AS ci, cj >> ({depth} - level) AS cj, CAST(sum(cnt) AS BIGINT) AS cnt, min(first) AS first FROM deep, lev GROUP BY 1, 2, 3),
-    nd AS (SELECT c.*, (c.cnt = 1 OR c.level = {depth}) AS is_leaf FROM lv c LEFT JOIN lv p ON p.level = c.level - 1 AND p.ci = c.ci >> 1 AND p.cj = c.cj >> 1
-      WHERE c.level = 0 OR p.cnt >= 2)"""
+    lv AS MATERIALIZED (SELECT level, ci >> ({depth} - level) AS ci, cj >> ({depth} - level) AS cj, CAST(sum(cnt) AS BIGINT) AS cnt, min(first) AS first FROM deep, lev GROUP BY 1, 2, 3),
+    nd AS (SELECT level, ci, cj, cnt, first, (cnt = 1 OR level = {depth}) AS is_leaf FROM (SELECT *, sum(cnt) OVER (PARTITION BY level, ci >> 1, cj >> 1) AS family FROM lv) WHERE level = 0 OR family >= 2)"""
 
 
 def meets(v: Viewport, level: str = "level") -> str:
@@ -85,10 +84,10 @@ def centroids(depth: int) -> str:
     """cn(level, ci, cj, cnt, x, y), fam (by parent), er (with error, children) and ce (with child_error, child_mean)."""
     return f"""{tree(depth)},
     wd AS (SELECT deep.ci, deep.cj, deep.cnt, deep.cnt * m.mx AS wx, deep.cnt * m.my AS wy FROM deep JOIN m ON m.point_id = deep.first),
-    cn AS (SELECT level, ci >> ({depth} - level) AS ci, cj >> ({depth} - level) AS cj, CAST(sum(cnt) AS BIGINT) AS cnt, sum(wx) / sum(cnt) AS x, sum(wy) / sum(cnt) AS y FROM wd, lev GROUP BY 1, 2, 3),
+    cn AS MATERIALIZED (SELECT level, ci >> ({depth} - level) AS ci, cj >> ({depth} - level) AS cj, CAST(sum(cnt) AS BIGINT) AS cnt, sum(wx) / sum(cnt) AS x, sum(wy) / sum(cnt) AS y FROM wd, lev GROUP BY 1, 2, 3),
     fam AS (SELECT p.level, p.ci, p.cj, CAST(count(*) AS INT) AS children, sum(c.cnt * sqrt((c.x - p.x) * (c.x - p.x) + (c.y - p.y) * (c.y - p.y))) AS far
       FROM cn p JOIN cn c ON c.level = p.level + 1 AND c.ci >> 1 = p.ci AND c.cj >> 1 = p.cj GROUP BY 1, 2, 3),
-    er AS (SELECT cn.*, CASE WHEN cn.cnt > 1 THEN coalesce(far, 0) ELSE 0 END AS error, coalesce(children, 0) AS children FROM cn LEFT JOIN fam USING (level, ci, cj)),
+    er AS MATERIALIZED (SELECT cn.*, CASE WHEN cn.cnt > 1 THEN coalesce(far, 0) ELSE 0 END AS error, coalesce(children, 0) AS children FROM cn LEFT JOIN fam USING (level, ci, cj)),
     up AS (SELECT level - 1 AS level, ci >> 1 AS ci, cj >> 1 AS cj, sum(error) AS child_error, sum(error / cnt) AS child_mean FROM er WHERE level > 0 GROUP BY 1, 2, 3),
     ce AS (SELECT er.*, coalesce(child_error, 0) AS child_error, coalesce(child_mean, 0) AS child_mean FROM er LEFT JOIN up USING (level, ci, cj))"""
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.predicates import in_slice, keyword_is, text_matches
+from ..functions.stemming import ENGLISH
 
 
 def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +23,8 @@ def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 class PointSource:
     """A table of points and the names of its columns; scans give ``(point_id, ts, lng, lat, ...)``.
 
-    ``keyword``: a column with one keyword; ``text``: a column for word queries. ``%`` asks for everything.
+    ``keyword``: a column with one keyword; ``text``: a column for word queries, which compare English stems
+    unless ``stemmed`` is false. ``%`` asks for everything.
     """
 
     table: DataFrame
@@ -32,6 +34,7 @@ class PointSource:
     lat: str = "lat"
     keyword: str | None = "keyword"
     text: str | None = None
+    stemmed: bool = True
 
     @staticmethod
     def jdbc(spark: SparkSession, url: str, table: str, *, partition_column: str, bounds: tuple[int, int], partitions: int, properties: dict | None = None, **names: str) -> PointSource:
@@ -42,7 +45,7 @@ class PointSource:
     def _matching(self, keyword: str):
         if keyword == "%":
             return F.lit(True)
-        return text_matches(F.col(self.text), keyword) if self.text else keyword_is(F.col(self.keyword), keyword)
+        return text_matches(F.col(self.text), keyword, ENGLISH if self.stemmed else None) if self.text else keyword_is(F.col(self.keyword), keyword)
 
     def scan(self, keyword: str = "%", start: str | None = None, end: str | None = None, *, closed: bool = False) -> DataFrame:
         """Points of a keyword and a time slice; rows without a place are dropped."""
