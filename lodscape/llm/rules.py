@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from .common import written
 
@@ -91,19 +92,18 @@ def _profiles(texts: pd.Series) -> pd.DataFrame:
 
 
 def text_profiles(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` plus the counts and histograms of :func:`profile_of`."""
-    names = {f.name for f in _PROFILE}
-    kept = [c for c in docs.columns if c.lower() not in names]
-    return docs.select(*[docs[c] for c in kept], _profiles(docs[text].cast("string")).alias("_profile")).select(*kept, "_profile.*")
+    """All columns of ``docs`` plus ``_lodscape_profile``, the counts and histograms of :func:`profile_of`."""
+    return docs.select(*docs.columns, _profiles(docs[text].cast("string")).alias("_lodscape_profile"))
 
 
 def language_references(profiles: DataFrame, *, lang: str = "lang") -> list[tuple[str, list[float], list[float]]]:
     """(language, character classes, common words), as shares, over all documents of each language in
     :data:`COMMON_WORDS`; a document counts by its shares, so that long ones don't outweigh the others.
     What comes to the driver is one row for each of these languages."""
-    shares = lambda c, n: [F.avg(F.element_at(c, i + 1) / F.greatest(F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(1))) for i in range(n)]
+    p = F.col("_lodscape_profile")
+    shares = lambda c, n: [F.avg(F.element_at(p[c], i + 1) / F.greatest(F.aggregate(p[c], F.lit(0).cast("long"), lambda a, x: a + x), F.lit(1))) for i in range(n)]
     rows = (
-        profiles.where(F.col(lang).isin(*COMMON_WORDS) & (F.col("n_words") > 0))
+        profiles.where(F.col(lang).isin(*COMMON_WORDS) & (p["n_words"] > 0))
         .groupBy(F.col(lang).alias("_lang"))
         .agg(F.array(*shares("classes", CLASSES)).alias("c"), F.array(*shares("common", len(VOCABULARY) + 1)).alias("w"))
         .collect()
@@ -111,14 +111,26 @@ def language_references(profiles: DataFrame, *, lang: str = "lang") -> list[tupl
     return [(r["_lang"], list(r["c"]), list(r["w"])) for r in sorted(rows, key=lambda r: r["_lang"])]
 
 
-def jensen_shannon(counts: str, reference: list[float]) -> Column:
-    """The square root of the Jensen-Shannon divergence (base 2) of a column of counts and fixed shares; 0 for no counts."""
-    total = sum(reference) or 1.0
-    q = F.array(*[F.lit(float(x / total)) for x in reference])
-    p = f"transform({counts}, x -> x / greatest(aggregate({counts}, 0L, (a, x) -> a + x), 1L))"
-    half = lambda a, b: F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(0.0)
-    terms = F.zip_with(F.expr(p), q, lambda a, b: half(a, b) + half(b, a))
-    return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
+def jensen_shannon(counts: np.ndarray, reference: list[float]) -> np.ndarray:
+    """The square root of the Jensen-Shannon divergence (base 2) of each row of counts and fixed shares; 0 for no counts."""
+    total = counts.sum(axis=1, keepdims=True)
+    p, q = counts / np.maximum(total, 1), np.asarray(reference, dtype=np.float64)[None, :] / (sum(reference) or 1.0)
+    part = lambda a, b: np.where(a > 0, a * np.log2(2 * a / np.where(a > 0, a + b, 1.0), where=a > 0, out=np.zeros(np.broadcast_shapes(a.shape, b.shape))), 0.0)
+    both = part(p, q) + part(np.broadcast_to(q, p.shape), p)
+    return np.where(total[:, 0] > 0, np.sqrt(np.maximum(both.sum(axis=1) / 2, 0.0)), 0.0)
+
+
+def _nearest(references: list[list[float]]) -> Callable[[Column], Column]:
+    """Of a column of counts, the distance to the nearest of some references; 0 if there are none."""
+    if not references:
+        return lambda c: F.lit(0.0)
+
+    def nearest(counts: pd.Series) -> pd.Series:
+        rows = np.stack(counts.to_numpy()).astype(np.float64) if len(counts) else np.zeros((0, len(references[0])))
+        return pd.Series(np.min([jensen_shannon(rows, r) for r in references], axis=0))
+
+    nearest.__annotations__ = {"counts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(nearest, DoubleType())
 
 
 def judge_quality(
@@ -134,20 +146,23 @@ def judge_quality(
 
     References come from all documents of each language. Null texts count as empty; a null or unknown
     language is judged like the others and adds to no reference; without any reference distances are
-    0; repeated rows are judged one by one; columns named like the results are replaced; an empty
-    table stays empty.
+    0; repeated rows are judged one by one; texts of any length are counted whole; columns named like
+    the results are replaced, all others kept; a distance just at a limit is kept; an empty table stays empty.
     """
-    ours = ("class_distance", "word_distance", "base_failed", "kept")
+    numbers = [f.name for f in _PROFILE if f.name not in ("classes", "common")]
+    ours = (*numbers, "class_distance", "word_distance", "base_failed", "kept")
     kept = [c for c in docs.columns if c.lower() not in ours]
     profiles = written(text_profiles(docs.select(*[docs[c] for c in kept]), text=text), "profiles")
     references = language_references(profiles, lang=lang)
-    nearest = lambda c, which: F.least(*[jensen_shannon(c, r[which]) for r in references], F.lit(1.0)) if references else F.lit(0.0)
+    classes, common = (_nearest([r[k] for r in references])(F.col(f"_lodscape_profile.{c}")) for k, c in ((1, "classes"), (2, "common")))
     n = F.col("n_words")
-    out = profiles.select(
-        "*",
-        F.when(F.col("word_chars") >= least_chars, nearest("classes", 1)).otherwise(0.0).alias("class_distance"),
-        F.when(n >= least_words, nearest("common", 2)).otherwise(0.0).alias("word_distance"),
-        ((n < 20) | (100 * F.col("n_repeat_words") > 30 * n)).alias("base_failed"),
-    ).drop("classes", "common")
+    out = profiles.select(*kept, *[F.col(f"_lodscape_profile.{c}").alias(c) for c in numbers], classes.alias("class_distance"), common.alias("word_distance"))
+    out = out.withColumns(
+        {
+            "class_distance": F.when(F.col("word_chars") >= least_chars, F.col("class_distance")).otherwise(0.0),
+            "word_distance": F.when(n >= least_words, F.col("word_distance")).otherwise(0.0),
+            "base_failed": (n < 20) | (100 * F.col("n_repeat_words") > 30 * n),
+        }
+    )
     fits = (F.col("class_distance") <= most_classes) & (F.col("word_distance") <= most_words)
     return out.withColumn("kept", ~F.col("base_failed") & fits)
