@@ -17,7 +17,7 @@ from .common import Memo, written
 _SIMPLE = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 _CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
 
-#: Rounds of packing at most. Every one but the first and the last has saved a bin; the last closes all bins.
+#: Rounds of packing at most: every one but the first and the last has saved a bin or halved the rows; the last closes all bins.
 _ROUNDS = 64
 #: Words whose ids a worker keeps at most.
 _KNOWN = 100_000
@@ -209,9 +209,9 @@ def pack(pieces: DataFrame, *, size: int = 2048, length: str = "length", group_r
     """All columns of ``pieces`` plus ``sequence_id`` and ``offset`` (gapless from 0 in each sequence).
 
     Rows are dealt evenly into groups of about ``group_rows``, each packed by :func:`fill_bins` in one
-    task. What a group leaves in bins that are not full is dealt anew with the leavings of the others,
-    until one group is left or a round saves no bin; so the result wastes about what one group
-    wastes, whatever the number of rows. A row longer than ``size`` or without a length is an error of the caller.
+    task. What a group leaves in bins that lack more than a 256th is dealt anew with the leavings of the others,
+    until one group is left, or a round neither saves a bin nor halves the rows; so the result wastes about what one
+    group wastes and at most a 256th more, whatever the number of rows. A row longer than ``size`` or without a length is an error of the caller.
     Repeated rows are packed one by one; equal lengths go in the order of the rows; columns named like
     the results are replaced; other columns, whatever their names or nulls, are kept; an empty table stays empty.
     """
@@ -232,7 +232,7 @@ def pack(pieces: DataFrame, *, size: int = 2048, length: str = "length", group_r
                     order.append(i)
                     sequence.append((round_no << 36 | int(key[0])) << 20 | b)
                     offset.append(at)
-                    left.append(not last and fill < size)
+                    left.append(not last and fill < size - size // 256)
                     at += n[i]
             out = rows.iloc[order][kept].reset_index(drop=True)
             out["sequence_id"], out["offset"], out["_lodscape_left"] = sequence, offset, left
@@ -242,15 +242,18 @@ def pack(pieces: DataFrame, *, size: int = 2048, length: str = "length", group_r
 
     rest, done, bins_left, last, round_no = pieces.select(*kept), None, None, False, 0
     while not last:
-        groups = max(1, -(-rest.count() // group_rows))
+        rows = rest.count()
+        groups = max(1, -(-rows // group_rows))
         last = groups <= 2 or round_no == _ROUNDS - 1
         groups = 1 if last and groups <= 2 else groups
         dealt = rest.withColumn("_lodscape_row", F.monotonically_increasing_id()).withColumn("_lodscape_group", F.pmod(F.xxhash64("_lodscape_row"), F.lit(groups)))
         out = written(dealt.groupBy("_lodscape_group").applyInPandas(packer(round_no, last), fields), f"packed-{round_no}")
         if not last:
-            full, open_ = out.agg(F.count_distinct(F.when(~F.col("_lodscape_left"), F.col("sequence_id"))), F.count_distinct(F.when(F.col("_lodscape_left"), F.col("sequence_id")))).first()
-            last = bins_left is not None and full + open_ >= bins_left
-            bins_left = open_
+            full, bins, n = out.agg(
+                F.count_distinct(F.when(~F.col("_lodscape_left"), F.col("sequence_id"))), F.count_distinct(F.when(F.col("_lodscape_left"), F.col("sequence_id"))), F.count_if("_lodscape_left")
+            ).first()
+            last = n == 0 or bins_left is not None and full + bins >= bins_left and 2 * n > rows
+            bins_left = bins
         ready = (out if last else out.where("not _lodscape_left")).drop("_lodscape_left")
         done = ready if done is None else done.unionByName(ready)
         rest, round_no = out.where("_lodscape_left").select(*kept), round_no + 1
