@@ -100,21 +100,26 @@ class PassageModel:
         score = 1 / (1 + np.exp(-np.clip(doc @ p["c"] + p["d"], -30, 30)))
         return {"x": x, "z": z, "t": t, "g": g, "a": a, "doc": doc, "score": score, "sizes": sizes}
 
+    def passage_score(self, x: np.ndarray) -> np.ndarray:
+        """What each passage would give to the score if it had all the weight."""
+        p = self.weights
+        return np.tanh(((x - self.mean) / self.scale) @ p["W"] + p["b"]) @ p["c"]
+
     def score(self, documents: list[np.ndarray]) -> np.ndarray:
         starts = np.cumsum([0, *map(len, documents[:-1])])
         return self.forward(np.concatenate(documents).astype(np.float64), starts)["score"]
 
 
-def _mixed(parts: list[np.ndarray], y: np.ndarray, r: np.random.Generator, n: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Up to n bags more: passages of a document labelled 1 with one or two of a document labelled 0 among them, labelled 0."""
+def _mixed(parts: list[np.ndarray], y: np.ndarray, model: PassageModel, r: np.random.Generator, n: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Up to n bags more, labelled 0: the passages of a document labelled 1, and among them that passage
+    of a document labelled 0 which the model so far finds the worst."""
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if not len(good) or not len(bad):
         return parts, y
     more = []
     for g, b in zip(r.choice(good, n), r.choice(bad, n)):
-        own, odd = parts[g], parts[b][r.permutation(len(parts[b]))[: r.integers(1, 3)]]
-        at = r.integers(0, len(own) + 1)
-        more.append(np.concatenate([own[:at], odd, own[at:]]))
+        worst = np.argmin(model.passage_score(parts[b])) if len(parts[b]) > 1 else 0
+        more.append(np.insert(parts[g], r.integers(0, len(parts[g]) + 1), parts[b][worst], axis=0))
     return parts + more, np.append(y, np.zeros(n))
 
 
@@ -134,7 +139,7 @@ def fit(documents: list[np.ndarray], labels: np.ndarray, *, hidden: int = 24, at
     y = labels.astype(np.float64)
     for step in range(1, steps + 1):
         chosen = r.choice(len(documents), min(batch, len(documents)), replace=False)
-        parts, own = _mixed([documents[i] for i in chosen], y[chosen], r, int(mixed * len(chosen)))
+        parts, own = _mixed([documents[i] for i in chosen], y[chosen], PassageModel(mean, scale, p), r, int(mixed * len(chosen)))
         starts = np.cumsum([0, *map(len, parts[:-1])])
         f = PassageModel(mean, scale, p).forward(np.concatenate(parts).astype(np.float64), starts)
         d_out = (f["score"] - own) / len(own)
