@@ -2,39 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, DataType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, DataType, LongType, StringType, StructField, StructType
 
-#: Tables counted to have at most so many rows of an id and little else may be broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 200_000
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+from ..sources.scratch import settled as written  # noqa: F401
 
-    Only where the session names none (local tests) a temporary folder is taken and set.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="lodscape-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written once as Parquet in the shared folder and read again: lineage ends here,
-    so a lost executor costs at most a re-read."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Tables counted to hold at most so many rows, or so many entries of an array column in all rows, may be broadcast (some 10 MB);
+#: larger ones are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -78,11 +58,11 @@ class Memo(dict):
 
 
 def with_computed(df: DataFrame, name: str, kind: DataType, source: Column, make: Callable[[], Callable]) -> DataFrame:
-    """``df`` and a column ``name`` (string or binary): ``make()``, called once for each task, gives the function of
+    """``df`` and a column ``name`` (string, binary or long): ``make()``, called once for each task, gives the function of
     ``source``'s values. Rows go through Arrow a few at a time, so a worker holds few of them as Python objects."""
     wide = df.select("*", source.alias("_source"))
     fields = StructType([*df.schema.fields, StructField(name, kind)])
-    arrow = {StringType(): pa.string(), BinaryType(): pa.binary()}[kind]
+    arrow = {StringType(): pa.string(), BinaryType(): pa.binary(), LongType(): pa.int64()}[kind]
 
     def computed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = make()

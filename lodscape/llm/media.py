@@ -227,7 +227,11 @@ def read_media(stored: DataFrame, *, media: str = "media") -> DataFrame:
 
 
 def media_digest(docs: DataFrame) -> DataFrame:
-    """Sizes and checksums of each document's stored and re-read bytes, and the features of its stream."""
+    """Sizes and checksums of each document's stored and re-read bytes, and the features of its stream.
+
+    Null texts count as empty; texts of any length are stored whole; equal texts, repeated rows too, give equal
+    values; other columns, whatever their names, are left out; an empty table gives an empty result.
+    """
     read = read_media(store_media(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))))
     marked = F.filter("units", lambda u: u["random_access"])
     feature = F.concat_ws(

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from . import substrings
-from .common import BROADCAST_ROWS, written
+from .common import shuffle_width, with_computed, written
 from .components import connected_components
 
 #: A-Z to a-z in bytes of UTF-8.
@@ -39,12 +38,6 @@ def fingerprint_of(text: str | None, words: int = 3, seed: int = 42) -> int:
     return int(np.packbits((2 * ones > len(h)).astype(np.uint8), bitorder="little").view("<i8")[0])
 
 
-@F.pandas_udf(LongType())
-def fingerprint(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for t in texts:
-        yield pd.Series([fingerprint_of(x) for x in t], dtype="int64")
-
-
 def one_wildcard_keys(fp: str) -> Column:
     """64 keys of a fingerprint: each 32-bit half with one of its bits wiped, tagged by half and bit."""
     return F.expr(
@@ -68,7 +61,7 @@ def fingerprint_links(prints: DataFrame, bucket: int = 1024) -> DataFrame:
     fingerprints are left out of the join; the fingerprints on them are linked by two-wildcard keys
     instead, whose equality is already proof, as a star around the smallest: linear and exact too.
     """
-    keyed = prints.select("fp", "node", F.explode(one_wildcard_keys("fp")).alias("key"))
+    keyed = prints.repartition(shuffle_width(prints.sparkSession), "fp").select("fp", "node", F.explode(one_wildcard_keys("fp")).alias("key"))
     hot = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket).select("key"), "hot-keys")
     crowded = not hot.isEmpty()
     cold = keyed.join(hot, "key", "left_anti") if crowded else keyed
@@ -89,10 +82,13 @@ def simhash_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     Copies share a fingerprint and are one node, named by their smallest id; null texts count as
     empty (fingerprint 0). Rows whose id is null keep their place, and get a null component only if
-    no row of their fingerprint has an id. Repeated rows come back as often as they came in.
+    no row of their fingerprint has an id. Repeated rows come back as often as they came in. Texts of any
+    length are read whole, a block of shingles at a time; other columns, whatever their names, are
+    left out; ties can't come up, as the smallest id names a class; an empty table gives an empty result.
     """
-    prints = written(docs.select(F.col(doc_id).cast("long").alias("doc_id"), fingerprint(F.col(text).cast("string")).alias("fp")), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("node"))
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    prints = written(with_computed(own, "fp", LongType(), F.col("text"), lambda: fingerprint_of).select("doc_id", "fp"), "fingerprints")
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
     parts = connected_components(fingerprint_links(nodes.where("node is not null"), bucket))
     classes = nodes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return prints.join(written(classes, "classes"), "fp").select("doc_id", "fp", "component_id")
@@ -100,10 +96,16 @@ def simhash_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
 def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bucket: int = 1024) -> DataFrame:
     """The rows of ``docs``, one document for each class of near-duplicates: the one with the smallest id.
-    Rows without an id are kept; rows that repeat an id are one document and stay or go together."""
+    Rows without an id are kept; rows that repeat an id are one document and stay or go together; all columns are kept."""
     cls = simhash_classes(docs, doc_id=doc_id, text=text, bucket=bucket)
-    gone = written(cls.groupBy("doc_id").agg(F.min("component_id").alias("first")).where("doc_id <> first").select(F.col("doc_id").alias("_lodscape_id")), "near-copies")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, docs[doc_id].cast("long") == gone["_lodscape_id"], "left_anti")
+    gone = written(cls.groupBy("doc_id").agg(F.min("component_id").alias("first")).where("doc_id <> first").select("doc_id"), "near-copies")
+    return _without(docs, doc_id, gone)
+
+
+def _without(docs: DataFrame, doc_id: str, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` but those whose id is among ``gone``; an anti-join, so columns of any names may be there."""
+    ids = gone.select(F.col("doc_id").alias("_lodscape_gone"))
+    return docs.join(substrings.small(ids), docs[doc_id].cast("long") == ids["_lodscape_gone"], "left_anti")
 
 
 def _lower_words(raw: bytes) -> list[bytes]:
@@ -130,7 +132,8 @@ def drop_similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str
 
     Such pairs differ in about 10 of 64 fingerprint bits and now and then in 18, where no key of a fingerprint is
     both sure and rare. So candidates are documents that share a MinHash band, and their shingle sets
-    are compared. Null texts count as empty; rows without an id are kept; rows that repeat an id are one document.
+    are compared. Null texts count as empty; texts of any length are compared whole; rows without an id are kept; rows
+    that repeat an id are one document; all columns, whatever their names, are kept; an empty table stays empty.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("raw")).where("doc_id is not null")
     own = own.select("doc_id", F.xxhash64("doc_id", "raw").alias("place"), "raw")
@@ -143,6 +146,5 @@ def drop_similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str
     grouped = distinct.select("key", "text", "doc_id", "last").join(parts, distinct["key"] == parts["node"], "left").select("text", "doc_id", "last", F.coalesce("component", "key").alias("part"))
     sources = grouped.groupBy("part").agg(F.min("doc_id").alias("source"))
     repeated = written(grouped.join(sources, "part").where("last <> source").select("text", "source"), "repeated-texts")
-    gone = units.select("doc_id", "text").join(substrings._small(repeated), "text").where("doc_id <> source").select(F.col("doc_id").alias("_lodscape_id")).distinct()
-    gone = written(gone, "near-copies")
-    return docs.join(substrings._small(gone), docs[doc_id].cast("long") == gone["_lodscape_id"], "left_anti")
+    gone = units.select("doc_id", "text").join(substrings.small(repeated), "text").where("doc_id <> source").select("doc_id").distinct()
+    return _without(docs, doc_id, written(gone, "near-copies"))

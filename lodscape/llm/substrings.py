@@ -161,9 +161,11 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "words", "lines", "anchors"])
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A written table, marked for broadcast if it was counted to be small; larger ones are joined by a shuffle."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def small(df: DataFrame, entries: str | None = None) -> DataFrame:
+    """A written table, marked for broadcast if it was counted to be small (its rows, or the entries of an array column);
+    larger ones are joined by a shuffle."""
+    held = df.agg(F.sum(F.size(entries)) if entries else F.count("*")).first()[0] or 0
+    return F.broadcast(df) if held <= BROADCAST_ROWS else df
 
 
 def _looked_up(docs: DataFrame, wanted: DataFrame, name: str, find: Callable[[np.ndarray, dict], list[int]], words: Callable[[bytes], list[bytes]] = bytes.split) -> DataFrame:
@@ -181,7 +183,7 @@ def _looked_up(docs: DataFrame, wanted: DataFrame, name: str, find: Callable[[np
                     found.append(find(h, item))
             yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(1).type.value_type.field("id").type), pa.array(found, pa.list_(pa.int64()))], names=["id", "found"])
 
-    return written(docs.join(_small(per_doc), "doc_id").select("raw", "items").mapInArrow(look, f"id {kind}, found array<bigint>"), name)
+    return written(docs.join(small(per_doc, "items"), "doc_id").select("raw", "items").mapInArrow(look, f"id {kind}, found array<bigint>"), name)
 
 
 def _paragraph(h: np.ndarray, item: dict) -> list[int]:
@@ -200,13 +202,13 @@ def similar_paragraphs(docs: DataFrame, distinct: DataFrame, words: Callable[[by
     buckets = banded.groupBy("bucket").agg(F.count("*").alias("size"), F.min("key").alias("u"), F.max("key").alias("v")).where("size > 1")
     buckets = written(buckets, "buckets")
     pairs = buckets.where("size = 2").select("u", "v")
-    small = banded.join(_small(buckets.where(F.col("size").between(3, BUCKET)).select("bucket")), "bucket")
-    a, b = small.alias("a"), small.alias("b")
+    few = banded.join(small(buckets.where(F.col("size").between(3, BUCKET)).select("bucket")), "bucket")
+    a, b = few.alias("a"), few.alias("b")
     pairs = pairs.union(a.join(b, F.expr("a.bucket = b.bucket and a.key < b.key")).select(F.col("a.key").alias("u"), F.col("b.key").alias("v")))
     large = buckets.where(F.col("size") > BUCKET).select("bucket")
     crowded = not large.isEmpty()
     if crowded:
-        members = written(banded.join(_small(large), "bucket"), "members")
+        members = written(banded.join(small(large), "bucket"), "members")
         often = members.groupBy("key").agg(F.collect_list("bucket").alias("own"))
         often = often.select("key", F.size("own").alias("often"), F.explode("own").alias("bucket"))
         hubs = often.groupBy("bucket").agg(F.max(F.struct("often", "key")).alias("hub")).select("bucket", F.col("hub.key").alias("hub"))
@@ -316,7 +318,7 @@ def _passage_cuts(docs: DataFrame, units: DataFrame) -> DataFrame:
     anchors = units.select("doc_id", F.explode("anchors").alias("x")).select("doc_id", "x.at", "x.key")
     repeated = anchors.groupBy("key").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source <> last").select("key")
     wanted = written(anchors.join(repeated, "key", "left_semi").groupBy("doc_id").agg(F.collect_set("at").alias("anchors")), "anchors")
-    windows = docs.join(_small(wanted), "doc_id").select("doc_id", "raw", "anchors").mapInArrow(_windows, "doc_id bigint, at bigint, key bigint")
+    windows = docs.join(small(wanted, "anchors"), "doc_id").select("doc_id", "raw", "anchors").mapInArrow(_windows, "doc_id bigint, at bigint, key bigint")
     windows = written(windows, "windows")
     firsts = windows.groupBy("key").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source <> last").select("key", "source")
     hits = windows.join(firsts, "key").where("doc_id <> source").select("doc_id", "source", "at")
@@ -376,12 +378,12 @@ def cut_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     schema = "doc_id bigint, text_key binary, words bigint, lines array<struct<at:bigint,n:bigint,key:binary,bands:array<bigint>>>, anchors array<struct<at:bigint,key:bigint>>"
     units = written(own.mapInArrow(_units, schema), "units")
     copies = _copies(units)
-    units = units.join(_small(copies.select("doc_id")), "doc_id", "left_anti")
+    units = units.join(small(copies.select("doc_id")), "doc_id", "left_anti")
     cuts = copies.union(_paragraph_cuts(own, units)).union(_passage_cuts(own, units))
     spans = cuts.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("at", "n", "source"))).alias("_lodscape_spans"))
     spans = written(spans, "cuts").withColumnRenamed("doc_id", "_lodscape_id")
     keyed = docs.select(*[docs[c] for c in kept], docs[doc_id].cast("long").alias("_lodscape_id"), docs[text].cast("string").alias("_lodscape_text"))
-    joined = keyed.join(_small(spans), "_lodscape_id", "left")
+    joined = keyed.join(small(spans, "_lodscape_spans"), "_lodscape_id", "left")
     fields = joined.schema
     out = joined.where("_lodscape_spans is null").unionByName(joined.where("_lodscape_spans is not null").mapInArrow(_cut, fields))
     words = F.expr("""aggregate(coalesce(_lodscape_spans, array()), named_struct('end', 0L, 'n', 0L),

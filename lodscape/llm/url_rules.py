@@ -39,8 +39,10 @@ def apply_url_rules(
     entry is active while the page's key still has it as a prefix. Pages are dealt evenly over salts
     (a host with a third of the pages is split), the few rule rows go to every salt.
 
-    Null and odd urls have an empty host and path and get the default; repeated pages are judged
-    one by one; columns of ``pages`` named like the results are replaced; an empty table stays empty.
+    Null and odd urls have an empty host and path and get the default; urls of any length are judged
+    whole; repeated pages are judged one by one; of two rules with the same string the one with the
+    greater verdict wins (block over allow); columns of ``pages`` named like the results are replaced,
+    all others kept; an empty table stays empty.
     """
     spark = pages.sparkSession
     by_host: dict[str, list[tuple[str, str, str]]] = {}
