@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -80,6 +81,13 @@ def test_simhash_classes(spark, bucket):
     assert kept == set(want.values())
 
 
+def test_simhash_of_long_texts_and_any_names(spark):
+    texts = ["日本語 " * 70_000, "word " * 70_000, "x" * 300_000, None]
+    docs = spark.createDataFrame([(k, t, 1, 2) for k, t in enumerate(texts)], "doc_id long, text string, _lodscape_id int, fp int")
+    assert {r["doc_id"]: r["fp"] % (1 << 64) for r in simhash.simhash_classes(docs).collect()} == {k: slow_fingerprint(t) for k, t in enumerate(texts)}
+    assert simhash.drop_near_duplicates(docs).columns == simhash.drop_similar_documents(docs).columns == docs.columns
+
+
 def test_simhash_odd_rows(spark):
     docs = spark.createDataFrame([(1, "a b c d", None, None, 0), (1, "a b c d", None, None, 0), (None, "a b c d", None, None, 0), (2, "A b c d", None, None, 0)], DOC)
     rows = sorted((x["doc_id"] or 0, x["component_id"]) for x in simhash.simhash_classes(docs).collect())
@@ -288,6 +296,52 @@ def test_classifier_gradient_and_attention():
     assert f["a"][ends][many].mean() > 0.5
 
 
+def test_forward_pass_is_the_formula():
+    r = np.random.default_rng(3)
+    docs = [r.normal(0, 1, (n, quality.FEATURES)) for n in (1, 3, 7)]
+    model = quality.fit(docs * 4, np.array([0, 1, 1] * 4), steps=5)
+    p, sigmoid = model.weights, lambda v: 1 / (1 + np.exp(-v))
+    for x, got in zip(docs, model.score(docs)):
+        z = [np.tanh(((row - model.mean) / model.scale) @ p["W"] + p["b"]) for row in x]
+        e = [float(sum(np.tanh(v @ p["V"])[k] * sigmoid(v @ p["U"])[k] * p["w"][k] for k in range(len(p["w"])))) for v in z]
+        a = [np.exp(v) / sum(np.exp(w) for w in e) for v in e]
+        assert abs(got - sigmoid(sum(w * v for w, v in zip(a, z)) @ p["c"] + p["d"])) < 1e-9
+
+
+def test_attention_finds_the_bad_passage_of_a_text(spark):
+    """Documents of the corpus with one passage of a rejected document put among theirs."""
+    sf = "/root/testdata/sf0.1"
+    texts = {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("doc_id", "text", "quality").collect()}
+    rows = {k: quality.encode_document(x["text"]) for k, x in texts.items()}
+    held = {k for k in rows if zlib.crc32(str(k).encode()) % 5 == 0}
+    learned = sorted(rows.keys() - held)
+    model = quality.fit([quality.pooled(rows[k]) for k in learned], np.array([texts[k]["quality"] for k in learned]))
+    good, bad = ([rows[k] for k in sorted(held) if texts[k]["quality"] == q] for q in (1, 0))
+    r, mixed, places = np.random.default_rng(5), [], []
+    for g in [g for g in good if len(g) >= 4][:100]:
+        places.append(r.integers(len(g) + 1))
+        mixed.append(np.insert(g, places[-1], bad[r.integers(len(bad))][0], axis=0))
+    starts = np.cumsum([0, *map(len, mixed[:-1])])
+    f = model.forward(np.concatenate(mixed).astype(np.float64), starts)
+    assert np.median(f["a"][starts + np.array(places)]) > 0.5 > 2 * np.median([1 / len(m) for m in mixed])
+    uniform = quality.PassageModel(model.mean, model.scale, model.weights | {"w": 0 * model.weights["w"]})
+    assert (f["score"] < 0.3).mean() > 0.9 > 0.5 > (uniform.score(mixed) < 0.3).mean()
+    assert (model.score(good) >= 0.3).mean() > 0.99
+
+
+def test_long_documents_are_learned_from_bounded_rows():
+    x = np.arange(1000 * quality.FEATURES, dtype=np.float32).reshape(1000, -1)
+    p, edges = quality.pooled(x), [1000 * k // quality.SAMPLE_PASSAGES for k in range(quality.SAMPLE_PASSAGES)] + [1000]
+    assert np.allclose(p, [x[a:b].mean(axis=0) for a, b in zip(edges, edges[1:])]) and len(quality.pooled(x[:5])) == 5
+
+
+def test_rows_that_repeat_an_id_are_learned_from_once(spark):
+    docs = spark.createDataFrame([(k % 6, f"{'good words here ' * 9 if k % 2 else '### $$$ %%% '} {k}") for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(6)], "doc_id long, quality int")
+    models = [quality.learn_quality(docs.repartition(n), labels) for n in (1, 5)]
+    assert all(np.array_equal(models[0].weights[k], models[1].weights[k]) for k in models[0].weights)
+
+
 def test_classifier_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, None, None, 0), (2, "", None, None, 0), (None, "x", None, None, 0), (3, "y " * 20_000, None, None, 0), (3, "y " * 20_000, None, None, 0)], DOC).withColumn("score", F.lit("clash"))
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -310,8 +364,9 @@ def test_pipeline_against_brute_force(spark, sf):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     scores = {r["doc_id"]: r["predicted"] for r in queries.op6_quality_classifier(spark, sf).collect()}
     texts = {k: t for k, t in texts.items() if scores[k]}
-    prints = {k: slow_fingerprint(t) for k, t in texts.items()}
-    root = roots(texts, [(a, b) for a in texts for b in texts if b < a and bin(prints[a] ^ prints[b]).count("1") <= 2])
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = {k: shingle_set(re.findall(r"[^\x20\x09-\x0D]+", t.translate(lower))) for k, t in texts.items()}
+    root = roots(texts, [(a, b) for a in texts for b in texts if b < a and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
     texts = {k: t for k, t in texts.items() if root[k] == k}
     for k, gone in expected_cuts(texts).items():
         spans = [(i, 1) for i in sorted(gone)]

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import html as entities
+import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -57,6 +59,12 @@ def test_url_rules(spark):
     assert url_rules.apply_url_rules(pages.limit(0), queries.URL_RULES).count() == 0
 
 
+def test_equal_rules_and_long_urls(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/x" + "y" * 200_000), (2, "http://" + "a." * 50_000 + "org/x"), (3, "http://b.org/x")], "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"], len(r["host"])) for r in url_rules.apply_url_rules(pages, [("allow", "a.org/x"), ("block", "a.org/x")]).collect()}
+    assert got == {1: ("a.org/x", "block", 5), 2: ("a.org/x", "block", 100_003), 3: (None, "allow", 5)}
+
+
 def test_nested_hosts(spark):
     nested = [("allow", "a.b.c/"), ("block", "b.c/"), ("allow", "c/"), ("block", "z.b.c/x/")]
     pages = spark.createDataFrame([(k, f"http://{h}/{p}") for k, (h, p) in enumerate([("a.b.c", "1"), ("q.a.b.c", ""), ("z.b.c", "x/1"), ("z.b.c", "y"), ("c", ""), ("cc", ""), ("d", "")])], "page_id long, url string")
@@ -84,6 +92,27 @@ def test_main_text(page):
     assert html_text.main_text(page) == EXPECTED
 
 
+P = "<p>One, two, three: a long paragraph that goes on, and on, until its end is reached, at last.</p>"
+
+
+@pytest.mark.parametrize(
+    "page,paragraphs",
+    [
+        (f'<div class="search-results">{P}{P}</div>', 2),
+        (f'<div class="discussion form-page">{P}{P}</div>', 2),
+        (f'<article>{P}{P}{P}<section class="related-work">{P}</section></article>', 4),
+        (f'<div class="newsletter-archive"><article>{P}{P}</article></div>', 2),
+        (f'<div class="cookie-banner">{P}</div>', 1),
+        (f'<article>{P}<div class="comments">{P}{P}{P}</div></article>', 1),
+        (f'<div class="post">{P}{P}</div><div id="comments">{P}{P}{P}{P}</div>', 2),
+        (f'<article>{P}{P}<div class="related"><a href=x>More, of, this, long, link, text, for, you</a></div></article>', 2),
+        (f'<article>{P}{P}<div class="ad">Buy, buy, buy this now, it is a bargain</div></article>', 2),
+    ],
+)
+def test_class_words_never_empty_a_page(page, paragraphs):
+    assert html_text.main_text(page) == "\n".join([re.sub("<.*?>", "", P)] * paragraphs)
+
+
 @pytest.mark.parametrize("page,expected", [(None, ""), ("", ""), ("<nav>menu</nav>", ""), ("plain &lt;text&gt;  here\n", "plain <text> here"), ("<p>a < b and c", "a < b and c"), ("<p>a<br>b<p title='x>y'>c", "a b\nc"), ("<b><i></b></i></x>", "")])
 def test_odd_pages(page, expected):
     assert html_text.main_text(page) == expected
@@ -155,6 +184,45 @@ def test_bins(lengths):
     assert len(bins) <= max(-(-sum(lengths) // 64), int(11 / 9 * -(-sum(lengths) // 64)) + 4, sum(2 * n > 64 for n in lengths) + 2) + len(lengths) // 6
 
 
+def fewest_bins(lengths, capacity):
+    """By trying every way to fill one bin after the other."""
+    lengths = sorted(lengths, reverse=True)
+    best = len(lengths)
+
+    def go(i, room):
+        nonlocal best
+        if len(room) >= best:
+            return
+        if i == len(lengths):
+            best = len(room)
+            return
+        for b in range(len(room)):
+            if room[b] >= lengths[i] and room[b] not in room[:b]:
+                go(i + 1, room[:b] + [room[b] - lengths[i]] + room[b + 1 :])
+        go(i + 1, [*room, capacity - lengths[i]])
+
+    go(0, [])
+    return best
+
+
+def test_bins_are_close_to_the_fewest():
+    r, more = random.Random(17), 0
+    for _ in range(120):
+        lengths = [r.randint(1, 64) for _ in range(r.randint(1, 11))]
+        got, least = len(packing.fill_bins(lengths, 64)), fewest_bins(lengths, 64)
+        assert least <= got <= least + 1
+        more += got - least
+    assert more <= 3
+
+
+def test_packing_keeps_columns_of_any_name(spark):
+    rows = [(k, 1 + k % 7, "g", None, k) for k in range(300)]
+    pieces = spark.createDataFrame(rows, "doc_id long, length long, _group string, _left string, _row long")
+    out = packing.pack(pieces, size=10, group_rows=50)
+    assert out.columns == [*pieces.columns, "sequence_id", "offset"] and sorted((x["doc_id"], x["length"], x["_group"], x["_left"], x["_row"]) for x in out.collect()) == rows
+    assert packing.pack(pieces.limit(0)).count() == 0
+
+
 def test_small_documents_fill_their_bins():
     r = random.Random(8)
     lengths = [r.choice([r.randint(1, 60), r.randint(100, 2048)]) for _ in range(3000)]
@@ -248,6 +316,41 @@ def test_base_patterns_on_any_text(spark, texts):
         assert r["s"] == base_spans(r["text"]), r["text"]
 
 
+LONG = ["1.2.3.4 ", "tel 555-123-4567 ", "4785 3805 9239 1139 x", "+49 30 1234567 x", "a@b.cd "]
+
+
+def test_many_spans_in_long_texts(spark):
+    for part in LONG:
+        began = time.monotonic()
+        found = pii.find_personal_data(spark.createDataFrame([(1, part * 20_000)], "doc_id long, text string"))
+        assert found.select(F.size("pii")).first()[0] == 20_000
+        masked = pii.mask_personal_data(spark.createDataFrame([(1, part * 20_000)], "doc_id long, text string")).first()["text"]
+        assert masked.count("<") == 20_000 and not re.search("[0-9]|@", masked)
+        assert time.monotonic() - began < 40
+
+
+def test_personal_data_keeps_rows_and_columns(spark):
+    docs = spark.createDataFrame([(k, t, "p", "q", "r", "s") for k, t in [(1, PII[0]), (1, PII[0]), (2, None), (None, PII[1])]], "doc_id long, text string, t string, pii string, _t string, spans string")
+    out = pii.find_personal_data(docs)
+    assert out.columns == ["doc_id", "text", "t", "_t", "spans", "pii_base", "pii"] and out.count() == 4 and {(x["t"], x["_t"], x["spans"]) for x in out.collect()} == {("p", "r", "s")}
+    assert pii.mask_personal_data(docs).columns == docs.columns and {tuple(x)[2:] for x in pii.mask_personal_data(docs).collect()} == {("p", "q", "r", "s")}
+    assert pii.find_personal_data(docs.limit(0)).count() == pii.mask_personal_data(docs.limit(0)).count() == 0
+
+
+def test_masks_replace_the_merged_spans(spark):
+    r = random.Random(4)
+    texts = [" ".join(r.choice([*PII[:8], "é🙂 words", "+4785380592391139", "x@1.2.3.4"]) for _ in range(r.randint(1, 60))) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {x["doc_id"]: x["pii"] for x in pii.find_personal_data(docs).collect()}
+    for x in pii.mask_personal_data(docs).collect():
+        out, at, t = "", 0, texts[x["doc_id"]]
+        for s in sorted(spans[x["doc_id"]], key=lambda s: (s["start"], -s["end"])):
+            if s["start"] >= at:
+                out += t[at : s["start"]] + f"<{s['kind'].upper()}>"
+            at = max(at, s["end"])
+        assert x["text"] == out + t[at:]
+
+
 def test_masking(spark):
     docs = corpus(spark, ["mail me@x.org and +49 30 1234567 now", None, "nothing", "4785380592391139"])
     got = {r["doc_id"]: r["text"] for r in pii.mask_personal_data(docs).collect()}
@@ -292,6 +395,14 @@ def test_pieces_are_the_models(codec, processor):
         assert codec.decode(codec.encode(t)) == t.replace("▁", " ")
 
 
+def test_long_units_commit_as_their_paths_meet(processor, monkeypatch):
+    own, met = sentencepieces.PieceCodec(public_vocabulary("piece_bpe_32k.model")), []
+    real = own._meeting
+    monkeypatch.setattr(own, "_meeting", lambda sizes, committed: met.append(real(sizes, committed)) or met[-1])
+    text = "".join(random.Random(2).choice("thelongword") for _ in range(20_000))
+    assert np.frombuffer(own.encode(text), "<u4").tolist() == processor.encode(text) and len(met) > 100
+
+
 def test_stream_commits_early_and_alike(codec):
     text = "▁" + "thelongword" * 500
     parts = list(codec.stream(text[i : i + 7] for i in range(0, len(text), 7)))
@@ -336,6 +447,45 @@ def test_rule_counts(spark):
     assert rules.judge_quality(corpus(spark).limit(0)).count() == 0
 
 
+def slow_distance(counts, reference):
+    total, whole = sum(counts), sum(reference)
+    if not total:
+        return 0.0
+    out = 0.0
+    for c, r in zip(counts, reference):
+        p, q = c / total, r / whole
+        m = (p + q) / 2
+        out += (p * math.log2(p / m) if p else 0) / 2 + (q * math.log2(q / m) if q else 0) / 2
+    return math.sqrt(max(out, 0))
+
+
+def test_distances(spark, sf):
+    r = random.Random(3)
+    for _ in range(50):
+        rows = [[r.choice([0, 0, 1, 5, 90]) for _ in range(9)] for _ in range(4)] + [[0] * 9]
+        reference = [r.random() * r.choice([0, 1]) + 1e-9 for _ in range(9)]
+        assert np.allclose(rules.jensen_shannon(np.array(rows, float), reference), [slow_distance(x, reference) for x in rows], atol=1e-7)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    profiles = {x["doc_id"]: (x["lang"], rules.profile_of(x["text"])) for x in docs.collect()}
+    shares = {}
+    for lang, p in profiles.values():
+        if lang in rules.COMMON_WORDS and p[0]:
+            shares.setdefault(lang, []).append([np.array(p[k]) / max(1, sum(p[k])) for k in (5, 6)])
+    references = [[np.mean([s[k] for s in v], axis=0) for v in shares.values()] for k in (0, 1)]
+    for x in rules.judge_quality(docs).collect():
+        p = profiles[x["doc_id"]][1]
+        want = [min(slow_distance(p[5 + k], q) for q in references[k]) for k in (0, 1)]
+        assert abs(x["class_distance"] - (want[0] if p[1] >= 200 else 0)) < 1e-6 and abs(x["word_distance"] - (want[1] if p[0] >= 60 else 0)) < 1e-6
+        assert x["kept"] == (not x["base_failed"] and x["class_distance"] <= 0.27 and x["word_distance"] <= 0.40)
+
+
+def test_rules_keep_rows_and_columns(spark):
+    docs = spark.createDataFrame([(1, "a b " * 100_000, "en", "p", "q", 5), (2, None, None, "p", "q", 5), (2, None, None, "p", "q", 5)], "doc_id long, text string, lang string, classes string, common string, n_words int")
+    out = rules.judge_quality(docs)
+    assert out.columns[:5] == ["doc_id", "text", "lang", "classes", "common"] and out.columns.count("n_words") == 1
+    assert {(x["classes"], x["common"]) for x in out.collect()} == {("p", "q")} and out.count() == 3
+
+
 def test_rules_keep_the_clean_and_drop_noise(spark, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     judged_ = rules.judge_quality(spark.read.parquet(f"{sf}/documents.parquet")).join(labels, "doc_id").where("not base_failed")
@@ -356,6 +506,12 @@ def test_streams_round_trip(payload):
     assert [u[3] for u in read.units] == [k % media.RANDOM_ACCESS_EVERY == 0 for k in range(len(read.units))]
 
 
+def test_media_of_no_rows_and_any_columns(spark):
+    docs = spark.createDataFrame([(1, None, "a", "b"), (1, None, "a", "b"), (2, "", "a", "b")], "doc_id long, text string, media string, units string")
+    rows = [tuple(x)[1:] for x in media.media_digest(docs).collect()]
+    assert len(rows) == 3 and len(set(rows)) == 1 and media.media_digest(docs.limit(0)).count() == 0
+
+
 def test_damage_is_counted():
     stored = media.to_transport_stream(b"x" * 100_000)
     lost = media.read_transport_stream(stored[: 188 * 5] + stored[188 * 6 :])
