@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from .common import written
 
+#: Edges that one task holds (some 5 MB): a round over few edges has few tasks, and one over no more than these no shuffle.
+EDGES_A_TASK = 200_000
+
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(u, v)`` edges -> ``(node, component)``, component being the smallest node reachable.
 
     Alternating large-star and small-star rounds (each a group-by and a join) contract every
     component to a star around its smallest node in about log(n) rounds; each round is
-    written to the shared folder. Rows with a null end and self-loops are ignored;
+    written to the shared folder. The number of tasks follows that of the edges. Rows with a null end and self-loops are ignored;
     an empty edge list gives an empty result. Nodes without an edge do not appear.
     """
 
@@ -27,6 +30,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not seen[0]:
             break
+        e = e.coalesce(seen[0] // EDGES_A_TASK + 1)
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
