@@ -25,6 +25,8 @@ GRAM = 26
 REACH = LEAST_WORDS - GRAM + 1
 #: Up to so many paragraphs in a band's bucket are compared with each other; beyond it see :func:`similar_paragraphs`.
 BUCKET = 24
+#: Shingles are counted by so many leading bits of their hash: 262,144 counters (2 MB) at any size of the input.
+COUNTER_BITS = 18
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -243,37 +245,63 @@ def _prefixes(tokens: list[int]) -> list[tuple[int, int, int, bool]]:
     return out
 
 
+def _counter(tokens: np.ndarray) -> np.ndarray:
+    """The counter of each shingle."""
+    return tokens.view(np.uint64) >> np.uint64(64 - COUNTER_BITS)
+
+
+def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of a task's sets have a shingle of each counter."""
+    n = np.zeros(1 << COUNTER_BITS, dtype=np.int64)
+    for b in batches:
+        n += np.bincount(_counter(b.column(0).flatten().to_numpy(zero_copy_only=False)).astype(np.int64), minlength=len(n))
+    at = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["counter", "n"])
+
+
+def _first_tokens(tokens: np.ndarray, counts: np.ndarray) -> list[int]:
+    """The shingles of :func:`_prefixes`, each once and in order, those of the lowest counters first."""
+    order = np.lexsort((tokens, counts[_counter(tokens)]))
+    return list(dict.fromkeys(t for t, *_ in _prefixes(tokens[order].tolist())))
+
+
 def _crowded_pairs(docs: DataFrame, distinct: DataFrame, nodes: DataFrame, words: Callable[[bytes], list[bytes]]) -> DataFrame:
     """``(u, v)`` candidates for links between different components among ``nodes`` (``key, part``).
 
-    Shingles are ordered by how few of the nodes have them, the rarest first; two nodes so similar
-    share one of their first few (:func:`_prefixes`). In each group of a shingle and two size classes,
-    only nodes that are not in the component that holds most of the group are paired with the rest of it.
+    Shingles are ordered by how few of the nodes have them, the rarest first, as counters tell that shingles of one hash prefix
+    share (a table of fixed size; any order is right). A node is listed once for each of its first few (:func:`_prefixes`), with its place.
+    Two sets of sizes a and b so similar have at least 0.8 / 1.8 * (a + b) shingles in common, so at the first of these
+    at least as many are left in each of them; other pairs are dropped in the join. Of the nodes that have a shingle
+    among their first ones, only those that are not in the component that holds most of them are paired with the rest.
     """
     wanted = distinct.join(nodes.select("key"), "key").select(F.col("first").alias("doc_id"), F.col("key").alias("id"), "at", "n")
     sets = _looked_up(docs, wanted, "crowded-shingles", _paragraph, words)
-    tokens = sets.select(F.col("id").alias("key"), F.explode("found").alias("token"))
-    ranked = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("df")), "token").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+    tally = sets.select("found").mapInArrow(_tallied, "counter bigint, n bigint").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << COUNTER_BITS, dtype=np.int64)
+    counts[tally.column("counter").to_numpy()] = tally.column("n").to_numpy()
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _few(batches, 64):
-            keys, parts, rows = [], [], []
+            keys, parts, sizes, tokens, places = [], [], [], [], []
             for key, part, t in zip(*(b.column(c).to_pylist() for c in range(3))):
-                own = _prefixes([x["token"] for x in t])
-                keys += [key] * len(own)
-                parts += [part] * len(own)
-                rows += own
-            columns = [keys, parts, *(zip(*rows) if rows else ([], [], [], []))]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["key", "part", "token", "small", "large", "is_small"])
-
-    found = ranked.join(nodes, "key").select("key", "part", "t").mapInArrow(entries, "key bigint, part bigint, token bigint, small int, large int, is_small boolean")
-    found = written(found.select("key", "part", F.xxhash64("token", "small", "large").alias("slot"), "is_small"), "prefixes")
-    counts = found.groupBy("slot", "part").agg(F.count("*").alias("c"))
-    main = counts.groupBy("slot").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    rest = found.join(main, "slot").where("part <> main")
+                first = _first_tokens(np.array(t, dtype=np.int64), counts)
+                keys += [key] * len(first)
+                parts += [part] * len(first)
+                sizes += [len(t)] * len(first)
+                tokens += first
+                places += range(len(first))
+            columns = [pa.array(keys, pa.int64()), pa.array(parts, pa.int64()), pa.array(sizes, pa.int32()), pa.array(tokens, pa.int64()), pa.array(places, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "part", "n", "token", "at"])
+
+    found = sets.withColumnRenamed("id", "key").join(nodes, "key").select("key", "part", "found")
+    found = written(found.mapInArrow(entries, "key bigint, part bigint, n int, token bigint, at int"), "prefixes")
+    counted = found.groupBy("token", "part").agg(F.count("*").alias("c"))
+    main = counted.groupBy("token").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("token", "main")
+    rest = found.join(main, "token").where("part <> main")
     x, y = rest.alias("x"), found.alias("y")
-    pairs = x.join(y, F.expr("x.slot = y.slot and x.is_small <> y.is_small and x.part <> y.part"))
+    common = f"{SIMILARITY / (1 + SIMILARITY)!r}D * (x.n + y.n) - 1e-9D"
+    once = "x.part <> y.part and (y.part = x.main or x.key < y.key)"
+    pairs = x.join(y, F.expr(f"x.token = y.token and {once} and x.n - x.at >= {common} and y.n - y.at >= {common}"))
     return pairs.select(F.least("x.key", "y.key").alias("u"), F.greatest("x.key", "y.key").alias("v")).distinct()
 
 
