@@ -27,6 +27,8 @@ REACH = LEAST_WORDS - GRAM + 1
 BUCKET = 24
 #: Shingles are counted by so many leading bits of their hash: 262,144 counters (2 MB) at any size of the input.
 COUNTER_BITS = 18
+#: Longs of a set's parity bits: what two sets have in common cancels out in them.
+PARITY_LONGS = 8
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -259,6 +261,13 @@ def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["counter", "n"])
 
 
+def _parities(tokens: np.ndarray) -> np.ndarray:
+    """Whether an odd number of a set's shingles fall on each of 512 bits. Two sets' parities differ in no more bits than
+    there are shingles in just one of them."""
+    bits = np.bincount((tokens.view(np.uint64) % np.uint64(64 * PARITY_LONGS)).astype(np.int64), minlength=64 * PARITY_LONGS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _first_tokens(tokens: np.ndarray, counts: np.ndarray) -> list[int]:
     """The shingles of :func:`_prefixes`, each once and in order, those of the lowest counters first."""
     order = np.lexsort((tokens, counts[_counter(tokens)]))
@@ -271,7 +280,8 @@ def _crowded_pairs(docs: DataFrame, distinct: DataFrame, nodes: DataFrame, words
     Shingles are ordered by how few of the nodes have them, the rarest first, as counters tell that shingles of one hash prefix
     share (a table of fixed size; any order is right). A node is listed once for each of its first few (:func:`_prefixes`), with its place.
     Two sets of sizes a and b so similar have at least 0.8 / 1.8 * (a + b) shingles in common, so at the first of these
-    at least as many are left in each of them; other pairs are dropped in the join. Of the nodes that have a shingle
+    at least as many are left in each of them, and at most 0.2 / 1.8 * (a + b) shingles are in just one of them, so that no more
+    of their parity bits differ; other pairs are dropped in the join. Of the nodes that have a shingle
     among their first ones, only those that are not in the component that holds most of them are paired with the rest.
     """
     wanted = distinct.join(nodes.select("key"), "key").select(F.col("first").alias("doc_id"), F.col("key").alias("id"), "at", "n")
@@ -280,28 +290,35 @@ def _crowded_pairs(docs: DataFrame, distinct: DataFrame, nodes: DataFrame, words
     counts = np.zeros(1 << COUNTER_BITS, dtype=np.int64)
     counts[tally.column("counter").to_numpy()] = tally.column("n").to_numpy()
 
+    parity = [f"parity{i}" for i in range(PARITY_LONGS)]
+
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _few(batches, 64):
-            keys, parts, sizes, tokens, places = [], [], [], [], []
+            keys, parts, sizes, tokens, places, parities = [], [], [], [], [], [np.zeros((0, PARITY_LONGS), dtype=np.int64)]
             for key, part, t in zip(*(b.column(c).to_pylist() for c in range(3))):
-                first = _first_tokens(np.array(t, dtype=np.int64), counts)
+                own = np.array(t, dtype=np.int64)
+                first = _first_tokens(own, counts)
                 keys += [key] * len(first)
                 parts += [part] * len(first)
                 sizes += [len(t)] * len(first)
                 tokens += first
                 places += range(len(first))
+                parities.append(np.tile(_parities(own), (len(first), 1)))
             columns = [pa.array(keys, pa.int64()), pa.array(parts, pa.int64()), pa.array(sizes, pa.int32()), pa.array(tokens, pa.int64()), pa.array(places, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "part", "n", "token", "at"])
+            columns += [pa.array(c) for c in np.concatenate(parities).T]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "part", "n", "token", "at", *parity])
 
     found = sets.withColumnRenamed("id", "key").join(nodes, "key").select("key", "part", "found")
-    found = written(found.mapInArrow(entries, "key bigint, part bigint, n int, token bigint, at int"), "prefixes")
+    found = written(found.mapInArrow(entries, "key bigint, part bigint, n int, token bigint, at int, " + ", ".join(f"{p} bigint" for p in parity)), "prefixes")
     counted = found.groupBy("token", "part").agg(F.count("*").alias("c"))
     main = counted.groupBy("token").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("token", "main")
     rest = found.join(main, "token").where("part <> main")
     x, y = rest.alias("x"), found.alias("y")
     common = f"{SIMILARITY / (1 + SIMILARITY)!r}D * (x.n + y.n) - 1e-9D"
     once = "x.part <> y.part and (y.part = x.main or x.key < y.key)"
-    pairs = x.join(y, F.expr(f"x.token = y.token and {once} and x.n - x.at >= {common} and y.n - y.at >= {common}"))
+    apart = " + ".join(f"bit_count(x.{p} ^ y.{p})" for p in parity)
+    near = f"{apart} <= {(1 - SIMILARITY) / (1 + SIMILARITY)!r}D * (x.n + y.n) + 1e-9D"
+    pairs = x.join(y, F.expr(f"x.token = y.token and {once} and x.n - x.at >= {common} and y.n - y.at >= {common} and {near}"))
     return pairs.select(F.least("x.key", "y.key").alias("u"), F.greatest("x.key", "y.key").alias("v")).distinct()
 
 
