@@ -336,8 +336,8 @@ def _verified(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, name: str,
 def _copies(units: DataFrame) -> DataFrame:
     """``(doc_id, at, n, source)``: whole documents to cut, since an earlier one has the same text."""
     texts = units.where(F.col("words") >= LEAST_WORDS).select("doc_id", "text_key", "words")
-    firsts = texts.groupBy("text_key").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source <> last")
-    copies = texts.join(firsts, "text_key").where("doc_id <> source").groupBy("doc_id").agg(F.max("words").alias("n"), F.min("source").alias("source"))
+    firsts = texts.groupBy("text_key").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source <> last").select("text_key", "source")
+    copies = texts.join(small(written(firsts, "repeated-texts")), "text_key").where("doc_id <> source").groupBy("doc_id").agg(F.max("words").alias("n"), F.min("source").alias("source"))
     return written(copies.select("doc_id", F.lit(0).cast("long").alias("at"), "n", "source"), "copies")
 
 
@@ -351,6 +351,7 @@ def _paragraph_cuts(docs: DataFrame, units: DataFrame) -> DataFrame:
     grouped = distinct.select("key", "text", "first", "last").join(parts, distinct["key"] == parts["node"], "left").select("text", "first", "last", F.coalesce("component", "key").alias("part"))
     sources = grouped.groupBy("part").agg(F.min("first").alias("source"))
     repeated = grouped.join(sources, "part").where("last <> source").select("text", "source")
+    repeated = small(written(repeated, "repeated-paragraphs"))
     return lines.select("doc_id", "at", "n", F.col("key").alias("text")).join(repeated, "text").where("doc_id <> source").select("doc_id", "at", "n", "source")
 
 
@@ -362,11 +363,12 @@ def _passage_cuts(docs: DataFrame, units: DataFrame) -> DataFrame:
     """
     anchors = units.select("doc_id", F.explode("anchors").alias("x")).select("doc_id", "x.at", "x.key")
     repeated = anchors.groupBy("key").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source <> last").select("key")
+    repeated = small(written(repeated, "repeated-anchors"))
     wanted = written(anchors.join(repeated, "key", "left_semi").groupBy("doc_id").agg(F.collect_set("at").alias("anchors")), "anchors")
     windows = docs.join(small(wanted, "anchors"), "doc_id").select("doc_id", "raw", "anchors").mapInArrow(_windows, "doc_id bigint, at bigint, key bigint")
     windows = written(windows, "windows")
     firsts = windows.groupBy("key").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source <> last").select("key", "source")
-    hits = windows.join(firsts, "key").where("doc_id <> source").select("doc_id", "source", "at")
+    hits = windows.join(small(written(firsts, "repeated-runs")), "key").where("doc_id <> source").select("doc_id", "source", "at")
     rank = F.dense_rank().over(Window.partitionBy("doc_id", "source").orderBy("at"))
     runs = hits.withColumn("run", F.col("at") - rank).groupBy("doc_id", "source", "run").agg(F.min("at").alias("at"), F.max("at").alias("end"))
     return runs.select("doc_id", "at", (F.col("end") - F.col("at") + LEAST_WORDS).alias("n"), "source")
