@@ -255,6 +255,34 @@ def test_prefixes_meet():
             assert any((t, a, b, not small) in other for t, a, b, small in substrings._prefixes(sorted(x, key=order)))
 
 
+def test_parities_differ_in_no_more_bits_than_sets():
+    r = np.random.default_rng(5)
+    for n in (1, 4, 83, 700):
+        x = r.integers(-(1 << 63), 1 << 63, n)
+        for changed in (0, 1, n // 3, n):
+            y = np.concatenate([x[changed:], r.integers(-(1 << 63), 1 << 63, changed + 2)])
+            apart = sum(int(a ^ b).bit_count() if a ^ b >= 0 else 64 - int(~(a ^ b)).bit_count() for a, b in zip(substrings._parities(x).tolist(), substrings._parities(y).tolist()))
+            assert apart <= len(np.setxor1d(x, y)) and (changed or apart in (0, 2))
+
+
+def test_variants_of_a_template_lose_no_link_and_make_few_candidates(spark):
+    r = random.Random(8)
+    template = [f"w{i}" for i in range(87)]
+    texts = {}
+    for i in range(240):
+        words = list(template)
+        for place in r.sample(range(87), r.choice((1, 2, 3))):
+            words[place] = f"v{i}x{place}"
+        texts[i] = " ".join(words)
+    docs = spark.createDataFrame([(i, bytearray(t.encode())) for i, t in texts.items()], "doc_id long, raw binary")
+    sets = {i: set(zip(*(t.split()[k:] for k in range(5)))) for i, t in texts.items()}
+    links = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    nodes = spark.createDataFrame([(i, i) for i in texts], "key long, part long")
+    distinct = spark.createDataFrame([(i, i, 0, 87) for i in texts], "key long, first long, at long, n long")
+    found = {(p["u"], p["v"]) for p in substrings._crowded_pairs(docs, distinct, nodes, bytes.split).collect()}
+    assert links <= found and len(found) < 2 * len(links) < len(texts) * (len(texts) - 1) / 2
+
+
 def test_cut_words():
     cut = substrings.cut_words
     assert cut("a b c\nd e\n\nf", [(1, 1)]) == "a c\nd e\n\nf"
