@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, media, packing, pii, quality, rules, sentencepieces, simhash, substrings, url_rules
+from . import collocations, html_text, media, packing, pii, quality, rules, sentencepieces, simhash, substrings, url_rules
 from .common import public_vocabulary, table, written
 
 # The rules of the url query.
@@ -82,8 +82,12 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_collocations(table(spark, sf_dir, "documents", "text", "lang"), least=100, longest=5, top=2000)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_url_filters, op2_html_text, op3_substring_dedup, op4_simhash, op5_packing, op6_quality_classifier, op7_pii, op8_sentencepieces, op9_quality_rules, op10_media]
+    found = [op1_url_filters, op2_html_text, op3_substring_dedup, op4_simhash, op5_packing, op6_quality_classifier, op7_pii, op8_sentencepieces, op9_quality_rules, op10_media, op11_collocations]
     return {f.__name__: f for f in found}
 
 
@@ -103,6 +107,32 @@ GROUP BY page_id, q.host, q.path
 """
 
 
+_PHRASES_SQL = r"""
+WITH pieces AS (
+  SELECT lang, row_number() OVER () AS piece, string_split_regex(piece, '[\x20\x09]+') AS ws
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents WHERE text IS NOT NULL)
+),
+w AS (SELECT lang, list_filter(ws, lambda x: x <> '') AS ws FROM pieces),
+n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY 1),
+f AS MATERIALIZED (
+  SELECT lang, k, phrase, count(*) AS f
+  FROM (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM w, (SELECT unnest(range(1, 6)) AS k) WHERE len(ws) >= k)
+  GROUP BY 1, 2, 3 HAVING count(*) >= 100
+),
+inside AS (
+  SELECT DISTINCT lang, unnest([array_to_string(string_split(phrase, ' ')[1:k - 1], ' '), array_to_string(string_split(phrase, ' ')[2:k], ' ')]) AS phrase, f FROM f WHERE k > 2
+),
+kept AS (SELECT * FROM f WHERE k >= 2 AND NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = f.lang AND i.phrase = f.phrase AND i.f = f.f)),
+cuts AS (SELECT *, array_to_string(string_split(phrase, ' ')[1:cut], ' ') AS first, array_to_string(string_split(phrase, ' ')[cut + 1:k], ' ') AS rest FROM (SELECT *, unnest(range(1, k)) AS cut FROM kept)),
+scored AS (
+  SELECT c.lang, c.phrase, c.f AS a, x.f AS l, y.f AS r, n.n, c.cut, CAST(CAST(1000 AS HUGEINT) * c.f * n.n // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.first JOIN f y ON y.lang = c.lang AND y.phrase = c.rest JOIN n ON n.lang = c.lang
+),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS BIGINT) AS rank, phrase, a, l, r, n, score FROM best QUALIFY rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     rules = ", ".join(f"('{v}', '{h}', '/{p}', '{h}/{p}')" for v, rule in URL_RULES for h, _, p in [rule.partition("/")])
-    return {"op1_url_filters": _URL_SQL.format(rules=rules)}
+    return {"op1_url_filters": _URL_SQL.format(rules=rules), "op11_collocations": _PHRASES_SQL}
