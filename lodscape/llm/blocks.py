@@ -16,17 +16,27 @@ from .common import BROADCAST_ROWS
 
 
 def packed(numbers: np.ndarray) -> bytes:
-    """Whole numbers below 2^31, compressed."""
-    raw = np.ascontiguousarray(numbers, dtype="<i4").tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    """Whole numbers from 0 to 2^31, compressed: first all their lowest bytes, then the next, as those have few different values."""
+    planes = np.ascontiguousarray(numbers, dtype="<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True), dtype="<i4")
+    planes = np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<i4").ravel()
+
+
+def packed_places(places: np.ndarray) -> bytes:
+    """Growing whole numbers, by what each is more than the one before."""
+    return packed(np.diff(places, prepend=0))
+
+
+def unpacked_places(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data), dtype=np.int64)
 
 
 def looked_up(blocks: DataFrame, items: str, table: DataFrame, keys: list[str], answer: str) -> DataFrame:
-    """``blocks`` and ``found``: for those of each block's ``items`` whose keys stand in ``table``, a list of (at, answer).
+    """``blocks`` without ``items``, and ``found``: for those of each block's ``items`` whose keys stand in ``table``, a list of (at, answer).
 
     Keys are fields of the items or else columns of the blocks; ``table`` has a row for each key at most. It is broadcast if it was
     counted to be small, else joined by a shuffle of the items, of which a block has each one once.
@@ -36,7 +46,7 @@ def looked_up(blocks: DataFrame, items: str, table: DataFrame, keys: list[str],
     each = each.select("block", "at", *[F.col("item")[k].alias(k) if k in fields else k for k in keys])
     small = table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     hits = each.join(F.broadcast(table) if small else table, keys).groupBy("block").agg(F.collect_list(F.struct("at", answer)).alias("found"))
-    return blocks.join(hits, "block", "left")
+    return blocks.drop(items).join(hits, "block", "left")
 
 
 def answers(found: pa.StructScalar | None, n: int, blank: int = -1) -> np.ndarray:

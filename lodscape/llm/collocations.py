@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import answers, looked_up, packed, unpacked
+from .blocks import answers, looked_up, packed, packed_places, unpacked, unpacked_places
 from .common import written
 
 #: Words of a block, by whole texts; bytes of a text that are split into words at once.
@@ -27,7 +27,8 @@ BLOCK_WORDS, SLICE = 1 << 19, 1 << 20
 _CAPITALS, _SMALL, _ENDS, _BLANKS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b".,;:!?\n\x0b\x0c\r", b"\t"
 _TABLE = bytes.maketrans(_CAPITALS + _ENDS + _BLANKS, _SMALL + b"." * len(_ENDS) + b" " * len(_BLANKS))
 
-_LISTS = "block long, lang string, at binary, item binary, "
+_LISTS = "block long, lang string, at binary, item binary, n_items long, "
+_ARROW = [("block", pa.int64()), ("lang", pa.string()), ("at", pa.binary()), ("item", pa.binary()), ("n_items", pa.int64())]
 
 
 class _Numbers(dict):
@@ -46,9 +47,15 @@ def words_and_ends(text: bytes) -> Iterator[list[bytes]]:
         start = end
 
 
+def _row(schema: pa.Schema, values: list, entries: pa.StructArray, *more: int) -> pa.RecordBatch:
+    """One block with its list of entries and what comes after it."""
+    lists = pa.ListArray.from_arrays(pa.array([0, len(entries)], pa.int32()), entries)
+    return pa.RecordBatch.from_arrays([*[pa.array([v], f.type) for v, f in zip(values, schema)], lists, *[pa.array([v]) for v in more]], schema=schema)
+
+
 def _word_blocks(docs: DataFrame) -> DataFrame:
-    """``(block, lang, at, item, entries(phrase, n), n_words)``: position and word of each occurrence; pieces are a position apart."""
-    schema = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("at", pa.binary()), ("item", pa.binary()), ("entries", pa.list_(pa.struct([("phrase", pa.string()), ("n", pa.int64())]))), ("n_words", pa.int64())])
+    """``(block, lang, at, item, n_items, entries(phrase, n), n_words)``: position and word of each occurrence; pieces are a position apart."""
+    schema = pa.schema([*_ARROW, ("entries", pa.list_(pa.struct([("phrase", pa.string()), ("n", pa.int64())]))), ("n_words", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[_Numbers, list[np.ndarray]]] = {}
@@ -62,8 +69,8 @@ def _word_blocks(docs: DataFrame) -> DataFrame:
             item = seq[at] - 1
             n = np.bincount(item, minlength=len(names) - 1)
             number += 1
-            row = {"block": number, "lang": lang, "at": packed(at), "item": packed(item), "entries": [{"phrase": w.decode(), "n": int(k)} for w, k in zip(list(names)[1:], n)], "n_words": len(at)}
-            return pa.RecordBatch.from_pylist([row], schema)
+            entries = pa.StructArray.from_arrays([pa.array(list(names)[1:], pa.binary()).cast(pa.string()), pa.array(n.astype(np.int64))], names=["phrase", "n"])
+            return _row(schema, [number, lang, packed_places(at), packed(item), len(n)], entries, len(at))
 
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary())):
@@ -86,14 +93,14 @@ def _word_blocks(docs: DataFrame) -> DataFrame:
 
 def _grown(lists: DataFrame) -> DataFrame:
     """Lists of phrases a word longer: where a frequent phrase starts and another at the next position, entries (a, b) name both."""
-    schema = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("at", pa.binary()), ("item", pa.binary()), ("entries", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])))])
+    schema = pa.schema([*_ARROW, ("entries", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])))])
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(len(b)):
                 block, lang, at, item, n, found = (c[k] for c in b.columns)
                 ids = answers(found, n.as_py())
-                at, item = unpacked(at.as_py()), unpacked(item.as_py())
+                at, item = unpacked_places(at.as_py()), unpacked(item.as_py())
                 frequent = ids[item] >= 0
                 at, item = at[frequent], item[frequent]
                 # lists are sorted by position, so the merge with the next position's lists looks at neighbours only
@@ -101,10 +108,9 @@ def _grown(lists: DataFrame) -> DataFrame:
                 pair, place, count = np.unique(item[meet].astype(np.int64) * len(ids) + item[meet + 1], return_inverse=True, return_counts=True)
                 if len(pair):
                     entries = pa.StructArray.from_arrays([pa.array(ids[pair // len(ids)]), pa.array(ids[pair % len(ids)]), pa.array(count.astype(np.int64))], names=["a", "b", "n"])
-                    lists = pa.ListArray.from_arrays(pa.array([0, len(entries)], pa.int32()), entries)
-                    yield pa.RecordBatch.from_arrays([pa.array([block.as_py()]), pa.array([lang.as_py()]), pa.array([packed(at[meet])]), pa.array([packed(place)]), lists], schema=schema)
+                    yield _row(schema, [block.as_py(), lang.as_py(), packed_places(at[meet]), packed(place), len(pair)], entries)
 
-    return lists.select("block", "lang", "at", "item", F.size("entries").alias("n"), "found").mapInArrow(grow, _LISTS + "entries array<struct<a:long,b:long,n:long>>")
+    return lists.select("block", "lang", "at", "item", "n_items", "found").mapInArrow(grow, _LISTS + "entries array<struct<a:long,b:long,n:long>>")
 
 
 def frequent_phrases(docs: DataFrame, least: int, longest: int) -> tuple[DataFrame, DataFrame]:
