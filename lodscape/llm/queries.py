@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, html_text, media, packing, pii, quality, rules, sentencepieces, simhash, substrings, url_rules
+from . import alignment, collocations, html_text, licenses, media, packing, pii, quality, rules, sentencepieces, simhash, substrings, url_rules
 from .common import public_vocabulary, table, written
 
 # The rules of the url query.
@@ -86,8 +86,21 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine_collocations(table(spark, sf_dir, "documents", "text", "lang"), least=100, longest=5, top=2000)
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    aligned = alignment.align_texts(docs, public_vocabulary("byte_bpe_50k.json"), public_vocabulary("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256)).alias("groups_sha256")
+    blocks = alignment.link_blocks(aligned.select("doc_id", "n_a", "n_b", "n_groups", digest, "links"))
+    scored = alignment.link_scores(blocks, alignment.link_counts(blocks))
+    return scored.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_digest(licenses.scan_licenses(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_url_filters, op2_html_text, op3_substring_dedup, op4_simhash, op5_packing, op6_quality_classifier, op7_pii, op8_sentencepieces, op9_quality_rules, op10_media, op11_collocations]
+    found = [op1_url_filters, op2_html_text, op3_substring_dedup, op4_simhash, op5_packing, op6_quality_classifier, op7_pii, op8_sentencepieces, op9_quality_rules, op10_media, op11_collocations, op12_alignment, op13_licenses]
     return {f.__name__: f for f in found}
 
 
