@@ -53,20 +53,23 @@ def grid_level(v: Viewport) -> int:
     return max(0, math.ceil(-math.log2(v.cell_scale)))
 
 
-def _frontier(points: DataFrame, v: Viewport, level: int, depth: int) -> DataFrame:
-    """Where a descent to ``level`` ends: leaves on the way, and cells of that level; only those that meet the viewport."""
-    level = min(level, depth)
-    nodes = quadtree(points, depth, level)
-    ends = nodes.where(F.col("is_leaf") | (F.col("level") == level))
+def frontier(nodes: DataFrame, v: Viewport, level: int) -> DataFrame:
+    """Where a descent in a tree to ``level`` ends: leaves on the way, and cells of that level; only those that meet the viewport."""
+    ends = nodes.where((F.col("level") == level) | ((F.col("level") < level) & F.col("is_leaf")))
     return ends.where(cell_meets(F.col("level"), F.col("ci"), F.col("cj"), v))
 
 
 def grid_points(points: DataFrame, v: Viewport, depth: int = DEEP) -> DataFrame:
     """``(level, ci, cj, cnt, x, y)``: a lone point as itself, a crowded cell of the pixel's size as its centre."""
+    return grid_of(quadtree(points, depth, min(grid_level(v), depth)), v, depth)
+
+
+def grid_of(nodes: DataFrame, v: Viewport, depth: int = DEEP) -> DataFrame:
+    """:func:`grid_points` from a tree of at least its depth."""
     w = F.pow(dbl(0.5), F.col("level"))
     single = F.col("is_leaf")
     x, y = F.when(single, F.col("first.mx")).otherwise((F.col("ci") + 0.5) * w), F.when(single, F.col("first.my")).otherwise((F.col("cj") + 0.5) * w)
-    return _frontier(points, v, grid_level(v), depth).select("level", "ci", "cj", "cnt", x.alias("x"), y.alias("y"))
+    return frontier(nodes, v, min(grid_level(v), depth)).select("level", "ci", "cj", "cnt", x.alias("x"), y.alias("y"))
 
 
 def grid_bitmap(points: DataFrame, v: Viewport, depth: int = DEEP) -> DataFrame:
@@ -78,7 +81,12 @@ def grid_bitmap(points: DataFrame, v: Viewport, depth: int = DEEP) -> DataFrame:
 
 def first_arrivals(points: DataFrame, v: Viewport, depth: int = SHALLOW) -> DataFrame:
     """``(level, ci, cj, cnt, point_id, x, y)``: the first point of every cell of the pixel's level, and lone points above it."""
-    ends = _frontier(points, v, 8 + v.zoom, depth)
+    return arrivals_of(quadtree(points, depth, min(8 + v.zoom, depth)), v, depth)
+
+
+def arrivals_of(nodes: DataFrame, v: Viewport, depth: int = SHALLOW) -> DataFrame:
+    """:func:`first_arrivals` from a tree of at least its depth."""
+    ends = frontier(nodes, v, min(8 + v.zoom, depth))
     return ends.select("level", "ci", "cj", "cnt", F.col("first.point_id").alias("point_id"), F.col("first.mx").alias("x"), F.col("first.my").alias("y"))
 
 

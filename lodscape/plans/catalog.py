@@ -11,11 +11,14 @@ from ..functions import predicates as P
 from ..functions import projection as J
 from ..functions.projection import dbl
 from ..functions.viewport import VIEWPORTS, pixel_matrix, screen_xy
-from ..operators import best_first, budget, centroids, folds, pyramid, reducers, render, samples
+from ..operators import best_first, budget, centroids, folds, pyramid, reducers, render, samples, zorder
 from ..sources import messages
-from ..sources.points import PointSource, event_points, pairs_from_json
-from ..streaming import progressive
+from ..sources.index_store import TreeStore
+from ..sources.points import PointSource, event_points, event_points_of, pairs_from_json
+from ..sources.scratch import new_folder, settled
+from ..streaming import progressive, tree_log
 from . import oracle as O
+from .engine import Engine
 from .oracle import num
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -367,6 +370,58 @@ def op_d5_duplicates(spark, sf_dir):
     return points(spark, sf_dir).groupBy("lng", "lat").agg(F.count("*").alias("n"), F.min("point_id").alias("first")).select(r6("lng").alias("lng"), r6("lat").alias("lat"), "n", "first")
 
 
+@query(f"WITH {O.PLACED}, {O.tree(12, 12)} SELECT ci, cj, cnt FROM lv WHERE level = 12 AND {O.meets(REGION)}")
+def op_d1_z_cover(spark, sf_dir):
+    cells = pyramid.deep_cells(points(spark, sf_dir), 12).withColumn("z", pyramid.morton(F.col("ci"), F.col("cj"), 12))
+    cells = settled(cells.repartitionByRange(8, "z").sortWithinPartitions("z"), "z-cells")
+    return zorder.covered_cells(cells, REGION, 12).select("ci", "cj", "cnt")
+
+
+@query(f"WITH {O.PLACED} SELECT point_id, {_r('lng', 'lng')}, {_r('lat', 'lat')} FROM m WHERE {O.inside(REGION)}")
+def op_d3_z_table(spark, sf_dir):
+    table = zorder.PointTable(new_folder(spark, "z-table")).write(points(spark, sf_dir), 8)
+    return table.read(spark, REGION).select("point_id", r6("lng").alias("lng"), r6("lat").alias("lat"))
+
+
+def _far(spark, sf_dir) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select(F.col("event_id").alias("point_id"), (F.col("event_id") * 37 % 360 - 180).cast("double").alias("lng"), (F.col("event_id") * 53 % 150 - 75).cast("double").alias("lat"))
+
+
+@query(f"{_W}, m AS (SELECT event_id, {O.lng_x('lng')} AS mx, {O.lat_y('lat')} AS my FROM far) SELECT event_id AS point_id FROM m WHERE {O.inside(WRAP)}")
+def op_c5_z_wrapped(spark, sf_dir):
+    return zorder.PointTable(new_folder(spark, "z-table")).write(_far(spark, sf_dir), 8).read(spark, WRAP).select("point_id")
+
+
+# --- trees that are kept -----------------------------------------------------------------------
+
+
+@query(f"WITH {O.PLACED}, {O.grid(REGION, DEPTH)} SELECT level, ci, cj, cnt, round(x, 9) AS x, round(y, 9) AS y FROM g")
+def op_a6_stored_tree(spark, sf_dir):
+    store = TreeStore(new_folder(spark, "trees"), "events")
+    store.write(pyramid.quadtree(points(spark, sf_dir)), "counts")
+    nodes = store.read(spark, "counts", REGION, reducers.grid_level(REGION))
+    return reducers.grid_of(nodes, REGION).select("level", "ci", "cj", "cnt", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
+
+
+_REQUEST = {"type": "query", "keyword": "click", "query": {"algorithm": "QuadTree", "zoom": REGION.zoom, "bbox": [REGION.west, REGION.south, REGION.east, REGION.north], "resX": REGION.res_x, "resY": REGION.res_y}}
+
+
+@query(
+    f"""WITH {O.placed("keyword = 'click'")}, {O.grid(REGION, DEPTH)} SELECT step, {_r(O.x_lng('x'), 'lng')}, {_r(O.y_lat('y'), 'lat')}
+    FROM g, (SELECT unnest(['1 built', '2 cached', '3 stored']) AS step)"""
+)
+def op_j4_query_order(spark, sf_dir):
+    store = TreeStore(new_folder(spark, "trees"), "events")
+    first, later = (Engine(PointSource(points(spark, sf_dir)), store=store) for _ in range(2))
+    out = None
+    for k, engine in enumerate((first, first, later), 1):
+        found = engine.handle(_REQUEST)["result"]
+        found = found.select(F.lit(f"{k} {engine.last_step}").alias("step"), r6("lng").alias("lng"), r6("lat").alias("lat"))
+        out = found if out is None else out.union(found)
+    return out
+
+
 # --- level of detail ---------------------------------------------------------------------------
 
 
@@ -689,6 +744,49 @@ def op_i4_deltas(spark, sf_dir):
     return progressive.deltas(points(spark, sf_dir), START, END, 7).select("point_id", "slice")
 
 
+_IN_TIME = f"ts >= '{START}' AND ts < '{END}'"
+
+
+def _log(spark) -> tree_log.TreeLog:
+    return tree_log.TreeLog(spark, new_folder(spark, "tree-log"))
+
+
+def _slices(spark, sf_dir):
+    each = progressive.deltas(points(spark, sf_dir), START, END, 7)
+    return ((k, each.where(F.col("slice") == k)) for k in range(5))
+
+
+@query(f"WITH {O.placed(_IN_TIME)}, {O.tree(DEPTH)} SELECT level, ci, cj, cnt, first, is_leaf FROM nd")
+def op_i5_incremental_tree(spark, sf_dir):
+    store = TreeStore(new_folder(spark, "trees"), "events")
+    tree_log.grow(_log(spark), _slices(spark, sf_dir), on_finish=lambda log: log.save(store, "counts"))
+    return store.read(spark, "counts").select("level", "ci", "cj", "cnt", F.col("first.point_id").alias("first"), "is_leaf")
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT CAST({k} AS BIGINT) AS slice, level, count(*) AS nodes, CAST(sum(cnt) AS BIGINT) AS points FROM (WITH {O.placed(f'{_IN_TIME} AND epoch(ts) < epoch(TIMESTAMP {START!r}) + {(k + 1) * 604800}')}, {O.frontier(COUNTRY, 12, 27)} SELECT level, cnt FROM fr) GROUP BY 2"
+        for k in range(5)
+    )
+)
+def op_i3_incremental_answers(spark, sf_dir):
+    log = tree_log.grow(_log(spark), _slices(spark, sf_dir))
+    out = None
+    for k in range(5):
+        ends = reducers.frontier(log.nodes(COUNTRY, 12, upto=k), COUNTRY, 12)
+        counts = ends.groupBy("level").agg(F.count("*").alias("nodes"), F.sum("cnt").alias("points")).select(F.lit(k).cast("long").alias("slice"), "level", "nodes", "points")
+        out = counts if out is None else out.union(counts)
+    return out
+
+
+@query(f"WITH {O.PLACED}, {O.tree(DEPTH)} SELECT level, ci, cj, cnt, first, is_leaf FROM nd WHERE level <= 14")
+def op_i6_streamed_tree(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    arriving = event_points_of(spark.readStream.schema(e.schema).parquet(f"{sf_dir}/events*.parquet"))
+    log = tree_log.grow_from_stream(_log(spark), arriving, new_folder(spark, "checkpoint"))
+    return log.nodes(bottom=14).select("level", "ci", "cj", "cnt", F.col("first.point_id").alias("first"), "is_leaf")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op_e5_grid_points(spark, sf_dir)
 

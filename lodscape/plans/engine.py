@@ -6,15 +6,17 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field, fields
 from typing import Protocol
+from urllib.parse import quote
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.projection import x_lng, y_lat
 from ..functions.viewport import Viewport
-from ..operators import best_first, budget, centroids, folds, reducers, samples
-from ..operators.pyramid import DEEP
+from ..operators import best_first, budget, centroids, folds, pyramid, reducers, samples
+from ..operators.pyramid import DEEP, SHALLOW
 from ..sources import messages
+from ..sources.index_store import TreeStore
 from ..sources.points import PointSource
 
 
@@ -62,31 +64,47 @@ def aggregate(points: DataFrame, q: Query) -> DataFrame:
     return reducers.pixel_points(points, q.viewport).select("lng", "lat")
 
 
-def grid(points: DataFrame, q: Query) -> DataFrame:
-    return _degrees(reducers.grid_points(points, q.viewport))
+@dataclass(frozen=True)
+class Tree:
+    """A reducer that answers from a tree, so that the tree can be kept: built once for all viewports, read for one down to a level.
+
+    Trees of the same ``kind`` are the same table.
+    """
+
+    kind: str
+    build: Callable[[DataFrame], DataFrame]
+    answer: Callable[[DataFrame, Query], DataFrame]
+    bottom: Callable[[Query], int] = lambda q: DEEP
+
+    def __call__(self, points: DataFrame, query: Query) -> DataFrame:
+        return self.answer(self.build(points), query)
+
+
+grid = Tree("counts", pyramid.quadtree, lambda nodes, q: _degrees(reducers.grid_of(nodes, q.viewport)), lambda q: reducers.grid_level(q.viewport))
 
 
 def rendered(points: DataFrame, q: Query) -> DataFrame:
     return _degrees(folds.rendered_cells(points, q.viewport))
 
 
-def by_error(points: DataFrame, q: Query) -> DataFrame:
-    nodes = samples.error_nodes(points)
-    return _degrees(best_first.best_first(nodes, centroids.error_benefit(q.zoom), q.viewport, q.sampleSize))
+def _by_arrival(nodes: DataFrame, q: Query) -> DataFrame:
+    return _degrees(reducers.arrivals_of(nodes, q.viewport))
 
 
-def by_arrival(points: DataFrame, q: Query) -> DataFrame:
-    if 1 <= q.samplePercentage <= 99:
-        return _degrees(budget.percentage_sample(points, q.viewport, q.samplePercentage))
-    return _degrees(reducers.first_arrivals(points, q.viewport))
+def _search(benefit: Callable[[Query], Column]) -> Callable[[DataFrame, Query], DataFrame]:
+    return lambda nodes, q: _degrees(best_first.best_first(nodes, benefit(q), q.viewport, q.sampleSize))
 
 
-def by_distance(points: DataFrame, q: Query) -> DataFrame:
-    return _degrees(best_first.best_first(centroids.centroid_nodes(points), centroids.distance_benefit(DEEP), q.viewport, q.sampleSize))
+by_error = Tree("errors", samples.error_nodes, _search(lambda q: centroids.error_benefit(q.zoom)))
+first_of_cells = Tree("counts", pyramid.quadtree, _by_arrival, lambda q: min(8 + q.zoom, SHALLOW))
+by_distance = Tree("centroids", centroids.centroid_nodes, _search(lambda q: centroids.distance_benefit(DEEP)))
+by_screen_distance = Tree("centroids", centroids.centroid_nodes, _search(lambda q: centroids.screen_benefit(q.zoom, DEEP)), lambda q: min(q.zoom + 8, DEEP))
 
 
-def by_screen_distance(points: DataFrame, q: Query) -> DataFrame:
-    return _degrees(best_first.best_first(centroids.centroid_nodes(points), centroids.screen_benefit(q.zoom, DEEP), q.viewport, q.sampleSize))
+def by_arrival(points: DataFrame, q: Query) -> DataFrame:
+    if 1 <= q.samplePercentage <= 99:
+        return _degrees(budget.percentage_sample(points, q.viewport, q.samplePercentage))
+    return first_of_cells(points, q)
 
 
 def sampled(points: DataFrame, q: Query) -> DataFrame:
@@ -98,7 +116,7 @@ ALGORITHMS: dict[str, Reducer] = {}
 for _names, _reducer in (
     (("dataexplorer", "de"), explore),
     (("dataaggregator", "da"), aggregate),
-    (("quadtreeaggregator", "qt"), grid),
+    (("quadtreeaggregator", "quadtree", "qt"), grid),
     (("gquadtree", "gqt"), rendered),
     (("raquadtree", "raqt"), by_error),
     (("raquadtreesnap", "raqts"), by_arrival),
@@ -117,30 +135,75 @@ def reducer(name: str) -> Reducer:
         raise ValueError(f"no algorithm named {name}") from None
 
 
+def tree_of(q: Query) -> Tree | None:
+    """The tree that a query is answered from, None if it is answered from points."""
+    found = reducer(q.algorithm)
+    if found is by_arrival and not 1 <= q.samplePercentage <= 99:
+        return first_of_cells
+    return found if isinstance(found, Tree) else None
+
+
 @dataclass
 class Engine:
-    """Answers requests on a source; the points of up to ``most_cached`` keywords stay persisted, the least asked go first."""
+    """Answers requests on a source: from what is cached, else from a stored tree, else from one that is built now.
+
+    The points and trees of up to ``most_cached`` keywords stay cached, the least asked go first. With a ``store`` built trees are
+    written there and what is cached of one is its list of files: a request reads the levels and folders that its viewport
+    needs. Without a store, trees are persisted.
+    """
 
     source: PointSource
     start: str | None = None
     end: str | None = None
     most_cached: int = 30
+    store: TreeStore | None = None
     _cache: dict[str, DataFrame] = field(default_factory=dict)
     _hits: dict[str, int] = field(default_factory=dict)
+    #: How the last query came by its data: "cached", "stored" or "built".
+    last_step: str = ""
+
+    def _cached(self, key: str) -> DataFrame | None:
+        if key in self._cache:
+            self._hits[key] += 1
+            self.last_step = "cached"
+        return self._cache.get(key)
+
+    def _remember(self, key: str, df: DataFrame, step: str, *, persist: bool = True) -> DataFrame:
+        while len(self._cache) >= self.most_cached:
+            least = min(self._cache, key=lambda k: self._hits[k])
+            self._cache.pop(least).unpersist()
+            self._hits.pop(least)
+        self._cache[key], self._hits[key], self.last_step = df.persist() if persist else df, 1, step
+        return df
+
+    def _scan(self, keyword: str) -> DataFrame:
+        return self.source.scan(keyword, self.start, self.end)
 
     def points(self, keyword: str) -> DataFrame:
-        if keyword not in self._cache:
-            while len(self._cache) >= self.most_cached:
-                least = min(self._cache, key=lambda k: self._hits[k])
-                self._cache.pop(least).unpersist()
-                self._hits.pop(least)
-            self._cache[keyword] = self.source.scan(keyword, self.start, self.end).persist()
-            self._hits[keyword] = 0
-        self._hits[keyword] += 1
-        return self._cache[keyword]
+        found = self._cached(keyword)
+        return self._remember(keyword, self._scan(keyword), "built") if found is None else found
+
+    def nodes(self, tree: Tree, keyword: str, q: Query) -> DataFrame:
+        """What a query needs of a keyword's tree."""
+        key, bottom = f"{tree.kind}-{quote(keyword, safe='')}", tree.bottom(q)
+        found = self._cached(key)
+        if self.store is None:
+            found = self._remember(key, tree.build(self._scan(keyword)), "built") if found is None else found
+            return found.where(F.col("level") <= bottom)
+        if found is None:
+            found, step = self.store.table(self.source.table.sparkSession, key), "stored"
+            if found is None:
+                self.store.write(tree.build(self._scan(keyword)), key)
+                found, step = self.store.table(self.source.table.sparkSession, key), "built"
+                if found is None:  # a tree without nodes has no files
+                    self.last_step = step
+                    return tree.build(self._scan(keyword))
+            self._remember(key, found, step, persist=False)
+        return self.store.part(found, q.viewport, bottom)
 
     def query(self, q: Query, keyword: str = "%") -> DataFrame:
-        return reducer(q.algorithm)(self.points(keyword), q)
+        tree = tree_of(q)
+        return tree.answer(self.nodes(tree, keyword, q), q) if tree else reducer(q.algorithm)(self.points(keyword), q)
 
     def message(self, q: Query, keyword: str = "%", *, bitmap: bool = False) -> bytes:
         """The answer as a client's binary message, with its timings."""

@@ -37,7 +37,11 @@ def y_lat(c: str) -> str:
     return f"({num(360)} * atan(exp(({num(180)} - {num(360)} * {c}) * {num(math.pi / 180)})) / {num(math.pi)} - {num(90)})"
 
 
-PLACED = f"{POINTS}, m AS (SELECT *, {lng_x('lng')} AS mx, {lat_y('lat')} AS my FROM pts)"
+def placed(where: str = "true") -> str:
+    return f"{POINTS}, m AS (SELECT *, {lng_x('lng')} AS mx, {lat_y('lat')} AS my FROM pts WHERE {where})"
+
+
+PLACED = placed()
 
 
 def inside(v: Viewport, x: str = "mx", y: str = "my") -> str:

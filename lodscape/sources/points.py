@@ -13,7 +13,11 @@ from ..functions.stemming import ENGLISH
 
 def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(point_id, ts, keyword, lng, lat)`` derived from ``events`` by arithmetic that any engine repeats."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return event_points_of(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def event_points_of(e: DataFrame) -> DataFrame:
+    """The points of rows of ``events``, which may be a stream."""
     lng = (F.col("user_id") * 37 % 59 - 125).cast("double") + (F.col("event_id") * 31 % 1000).cast("double") / F.lit(250.0)
     lat = (F.col("user_id") * 53 % 24 + 25).cast("double") + (F.col("event_id") * 17 % 1000).cast("double") / F.lit(250.0)
     return e.select(F.col("event_id").alias("point_id"), "ts", F.col("event_type").alias("keyword"), lng.alias("lng"), lat.alias("lat"))

@@ -24,9 +24,14 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The name of a folder in the shared one that nothing else uses."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
     """df, written once as Parquet in the shared folder and read again: what comes after neither repeats
     its work nor carries its lineage, and a lost executor costs at most a re-read."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -195,7 +195,7 @@ def test_engine(spark, sf):
         reply = engine.handle({"type": "query", "keyword": "click", "query": raw | {"algorithm": name}})
         assert reply["status"] == "done" and reply["result"].columns == ["lng", "lat"]
         assert reply["result"].count() > 0
-    assert len(ALGORITHMS) == 18
+    assert len(ALGORITHMS) == 19
     with pytest.raises(ValueError):
         engine.query(Query(algorithm="none"))
     assert engine.handle({"type": "what"})["status"] == "unknown"
