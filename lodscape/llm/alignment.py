@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
-from .blocks import answers, looked_up, packed, unpacked
+from .blocks import Lookup, packed, unpacked
 from .common import written
 
 #: Chunks that a worker remembers; a longer one is aligned anew each time. Characters of the texts aligned at once. Links of a block, by whole texts.
@@ -180,14 +180,14 @@ def link_blocks(aligned: DataFrame) -> DataFrame:
     docs = aligned.select(*[c for c in aligned.columns if c not in ("groups", "links")], "links")
     entries = ArrayType(StructType([StructField("pair", LongType()), StructField("n", LongType())]))
     inner = StructType([*docs.schema.fields[:-1], StructField("_links", LongType())])
-    schema = StructType([StructField("block", LongType()), StructField("docs", ArrayType(inner)), StructField("item", BinaryType()), StructField("n_items", LongType()), StructField("entries", entries)])
+    schema = StructType([StructField("block", LongType()), StructField("docs", ArrayType(inner)), StructField("item", BinaryType()), StructField("entries", entries)])
     arrow = to_arrow_schema(schema)
 
     def block(number: int, rows: list[pa.StructArray], links: list[np.ndarray]) -> pa.RecordBatch:
         pair, item, n = np.unique(np.concatenate(links), return_inverse=True, return_counts=True)
         all_rows, all_pairs = pa.concat_arrays(rows), pa.StructArray.from_arrays([pa.array(pair, pa.int64()), pa.array(n.astype(np.int64))], names=["pair", "n"])
         lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (all_rows, all_pairs)]
-        return pa.RecordBatch.from_arrays([pa.array([number]), lists[0].cast(arrow.field("docs").type), pa.array([packed(item)]), pa.array([len(pair)]), lists[1].cast(arrow.field("entries").type)], schema=arrow)
+        return pa.RecordBatch.from_arrays([pa.array([number]), lists[0].cast(arrow.field("docs").type), pa.array([packed(item)]), lists[1].cast(arrow.field("entries").type)], schema=arrow)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, rows, links, size = TaskContext.get().partitionId() << 32, [], [], 0
@@ -226,15 +226,15 @@ def link_scores(blocks: DataFrame, counts: DataFrame) -> DataFrame:
     inner = blocks.schema["docs"].dataType.elementType
     schema = StructType([*inner.fields[:-1], *[StructField(n, LongType()) for n in ("n_links", "n_best", "count_sum")]])
 
+    lookup = Lookup(blocks, "entries", table, ["pair"], "answer")
+
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(len(b)):
-                docs, item, n, found = (c[k] for c in b.columns)
-                each = np.concatenate([[0], answers(found, n.as_py())[unpacked(item.as_py())]])
-                columns = docs.values.flatten()
+                columns, each = b["docs"][k].values.flatten(), np.concatenate([[0], lookup.answers(b, k)[unpacked(b["item"][k].as_py())]])
                 ends = np.cumsum(columns[-1].to_numpy())
                 total = lambda v: np.diff(np.cumsum(v)[ends], prepend=0)
                 sums = [columns[-1], *[pa.array(total(v)) for v in (each & 1, each >> 1)]]
                 yield pa.RecordBatch.from_arrays([*columns[:-1], *sums], names=schema.names)
 
-    return looked_up(blocks, "entries", table, ["pair"], "answer").select("docs", "item", "n_items", "found").mapInArrow(scored, schema)
+    return lookup.rows.mapInArrow(scored, schema)

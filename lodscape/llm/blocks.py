@@ -35,23 +35,39 @@ def unpacked_places(data: bytes) -> np.ndarray:
     return np.cumsum(unpacked(data), dtype=np.int64)
 
 
-def looked_up(blocks: DataFrame, items: str, table: DataFrame, keys: list[str], answer: str) -> DataFrame:
-    """``blocks`` without ``items``, and ``found``: for those of each block's ``items`` whose keys stand in ``table``, a list of (at, answer).
+class Lookup:
+    """What a table says of the different items of each block: whole numbers from 0 on, -1 for items it doesn't have.
 
-    Keys are fields of the items or else columns of the blocks; ``table`` has a row for each key at most. It is broadcast if it was
-    counted to be small, else joined by a shuffle of the items, of which a block has each one once.
+    Keys are fields of the items or else columns of the blocks; ``table`` has a row for each set of keys at most. If it was counted to
+    have at most ``BROADCAST_ROWS`` rows, tasks get it as a dictionary and ``rows`` are the blocks as they are; else it is joined by a
+    shuffle of the items, of which a block has each one once, and ``rows`` have the answers instead of the items.
     """
-    fields = blocks.schema[items].dataType.elementType.names
-    each = blocks.select("block", *[k for k in keys if k not in fields], F.posexplode(items).alias("at", "item"))
-    each = each.select("block", "at", *[F.col("item")[k].alias(k) if k in fields else k for k in keys])
-    small = table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    hits = each.join(F.broadcast(table) if small else table, keys).groupBy("block").agg(F.collect_list(F.struct("at", answer)).alias("found"))
-    return blocks.drop(items).join(hits, "block", "left")
-
-
-def answers(found: pa.StructScalar | None, n: int, blank: int = -1) -> np.ndarray:
-    """The answers of ``looked_up`` by place in the block's list of n items, ``blank`` where there is none."""
-    out = np.full(n, blank, dtype=np.int64)
-    if found is not None and found.values is not None:
-        out[found.values.field(0).to_numpy()] = found.values.field(1).to_numpy()
-    return out
+
+    def __init__(self, blocks: DataFrame, items: str, table: DataFrame, keys: list[str], answer: str):
+        fields = blocks.schema[items].dataType.elementType.names
+        self._outer, self._inner = [k for k in keys if k not in fields], [k for k in keys if k in fields]
+        self._items, self._known = items, None
+        order = [*self._outer, *self._inner]
+        if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            got = table.select(*order, answer).toArrow().to_pydict()
+            known = dict(zip(zip(*[got[k] for k in order]), got[answer]))
+            self._known, self.rows = blocks.sparkSession.sparkContext.broadcast(known), blocks
+            return
+        each = blocks.select("block", *self._outer, F.posexplode(items).alias("at", "item"))
+        each = each.select("block", "at", *self._outer, *[F.col("item")[k].alias(k) for k in self._inner])
+        hits = each.join(table, keys).groupBy("block").agg(F.collect_list(F.struct("at", answer)).alias("found"))
+        self.rows = blocks.withColumn("_n", F.size(items)).drop(items).join(hits, "block", "left")
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "rows"}
+
+    def answers(self, batch: pa.RecordBatch, k: int) -> np.ndarray:
+        """Of the k-th of some ``rows``: its items' answers in order."""
+        if self._known is None:
+            found, out = batch["found"][k], np.full(batch["_n"][k].as_py(), -1, dtype=np.int64)
+            if found.is_valid:
+                out[found.values.field("at").to_numpy()] = found.values.field(1).to_numpy()
+            return out
+        items, outer, known = batch[self._items][k].values, tuple(batch[c][k].as_py() for c in self._outer), self._known.value
+        inner = zip(*[items.field(c).to_pylist() for c in self._inner])
+        return np.fromiter((known.get(outer + i, -1) for i in inner), dtype=np.int64, count=len(items))

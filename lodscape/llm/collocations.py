@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import answers, looked_up, packed, packed_places, unpacked, unpacked_places
+from .blocks import Lookup, packed, packed_places, unpacked, unpacked_places
 from .common import written
 
 #: Words of a block, by whole texts; bytes of a text that are split into words at once.
@@ -27,8 +27,8 @@ BLOCK_WORDS, SLICE = 1 << 19, 1 << 20
 _CAPITALS, _SMALL, _ENDS, _BLANKS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b".,;:!?\n\x0b\x0c\r", b"\t"
 _TABLE = bytes.maketrans(_CAPITALS + _ENDS + _BLANKS, _SMALL + b"." * len(_ENDS) + b" " * len(_BLANKS))
 
-_LISTS = "block long, lang string, at binary, item binary, n_items long, "
-_ARROW = [("block", pa.int64()), ("lang", pa.string()), ("at", pa.binary()), ("item", pa.binary()), ("n_items", pa.int64())]
+_LISTS = "block long, lang string, at binary, item binary, "
+_ARROW = [("block", pa.int64()), ("lang", pa.string()), ("at", pa.binary()), ("item", pa.binary())]
 
 
 class _Numbers(dict):
@@ -54,7 +54,7 @@ def _row(schema: pa.Schema, values: list, entries: pa.StructArray, *more: int) -
 
 
 def _word_blocks(docs: DataFrame) -> DataFrame:
-    """``(block, lang, at, item, n_items, entries(phrase, n), n_words)``: position and word of each occurrence; pieces are a position apart."""
+    """``(block, lang, at, item, entries(phrase, n), n_words)``: position and word of each occurrence; pieces are a position apart."""
     schema = pa.schema([*_ARROW, ("entries", pa.list_(pa.struct([("phrase", pa.string()), ("n", pa.int64())]))), ("n_words", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,7 +70,7 @@ def _word_blocks(docs: DataFrame) -> DataFrame:
             n = np.bincount(item, minlength=len(names) - 1)
             number += 1
             entries = pa.StructArray.from_arrays([pa.array(list(names)[1:], pa.binary()).cast(pa.string()), pa.array(n.astype(np.int64))], names=["phrase", "n"])
-            return _row(schema, [number, lang, packed_places(at), packed(item), len(n)], entries, len(at))
+            return _row(schema, [number, lang, packed_places(at), packed(item)], entries, len(at))
 
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary())):
@@ -91,26 +91,26 @@ def _word_blocks(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(cut, _LISTS + "entries array<struct<phrase:string,n:long>>, n_words long")
 
 
-def _grown(lists: DataFrame) -> DataFrame:
+def _grown(lists: DataFrame, frequent: DataFrame, keys: list[str]) -> DataFrame:
     """Lists of phrases a word longer: where a frequent phrase starts and another at the next position, entries (a, b) name both."""
     schema = pa.schema([*_ARROW, ("entries", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])))])
+    lookup = Lookup(lists.drop("n_words"), "entries", frequent.select(*keys, "id"), keys, "id")
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(len(b)):
-                block, lang, at, item, n, found = (c[k] for c in b.columns)
-                ids = answers(found, n.as_py())
-                at, item = unpacked_places(at.as_py()), unpacked(item.as_py())
-                frequent = ids[item] >= 0
-                at, item = at[frequent], item[frequent]
+                ids = lookup.answers(b, k)
+                at, item = unpacked_places(b["at"][k].as_py()), unpacked(b["item"][k].as_py())
+                known = ids[item] >= 0
+                at, item = at[known], item[known]
                 # lists are sorted by position, so the merge with the next position's lists looks at neighbours only
                 meet = np.flatnonzero(at[1:] == at[:-1] + 1)
                 pair, place, count = np.unique(item[meet].astype(np.int64) * len(ids) + item[meet + 1], return_inverse=True, return_counts=True)
                 if len(pair):
                     entries = pa.StructArray.from_arrays([pa.array(ids[pair // len(ids)]), pa.array(ids[pair % len(ids)]), pa.array(count.astype(np.int64))], names=["a", "b", "n"])
-                    yield _row(schema, [block.as_py(), lang.as_py(), packed_places(at[meet]), packed(place), len(pair)], entries)
+                    yield _row(schema, [b["block"][k].as_py(), b["lang"][k].as_py(), packed_places(at[meet]), packed(place)], entries)
 
-    return lists.select("block", "lang", "at", "item", "n_items", "found").mapInArrow(grow, _LISTS + "entries array<struct<a:long,b:long,n:long>>")
+    return lookup.rows.mapInArrow(grow, _LISTS + "entries array<struct<a:long,b:long,n:long>>")
 
 
 def frequent_phrases(docs: DataFrame, least: int, longest: int) -> tuple[DataFrame, DataFrame]:
@@ -125,7 +125,7 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int) -> tuple[DataFra
     level = written(counts.select(F.monotonically_increasing_id().alias("id"), "lang", F.lit(1).alias("words"), "phrase", F.col("phrase").alias("last"), "f"), "phrases-1")
     levels, keys = [level], ["lang", "phrase"]
     for words in range(2, longest + 1):
-        lists = written(_grown(looked_up(lists, "entries", level.select(*keys, "id"), keys, "id")), f"phrase-lists-{words}")
+        lists = written(_grown(lists, level, keys), f"phrase-lists-{words}")
         keys = ["a", "b"]
         counts = lists.select(F.explode("entries").alias("e")).groupBy("e.a", "e.b").agg(F.sum("e.n").alias("f")).where(F.col("f") >= least)
         head, tail = level.select(F.col("id").alias("a"), "lang", "phrase"), level.select(F.col("id").alias("b"), "last")
