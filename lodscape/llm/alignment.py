@@ -1,7 +1,7 @@
 """Two tokenizers' cuts of the same texts, aligned: where both end a token, what lies between, and which ids go together.
 
-Both tokenizers begin a new token at each single blank before a word, so a text is the sum of such chunks. A chunk's tokens
-are merged by their cumulative ends once and remembered. Links are counted over the whole corpus by Spark, in
+Both tokenizers begin a new token at each single blank before a word, so long texts are cut there and encoded part by part.
+The cumulative ends of both sides' tokens, two sorted lists, are merged. Links are counted over the whole corpus by Spark, in
 blocks of documents, and what a link's count and its sides' maxima are comes back to each block once.
 """
 
@@ -22,13 +22,14 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, Struc
 from .blocks import Lookup, packed, unpacked
 from .common import written
 
-#: Chunks that a worker remembers; a longer one is aligned anew each time. Characters of the texts aligned at once. Links of a block, by whole texts.
-REMEMBERED, LONGEST, AT_ONCE, BLOCK_LINKS = 200_000, 64, 1 << 20, 1 << 19
+#: Characters that are encoded at once, of one text and of several; links of a block, by whole texts.
+PART, AT_ONCE, BLOCK_LINKS = 1 << 16, 1 << 19, 1 << 19
 
 # How byte-level vocabularies split a text before their merges, and how piece vocabularies write a blank.
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLANK = "▁"
 
+_NONE = np.empty(0, dtype=np.int64)
 _NEW = [StructField("n_a", LongType()), StructField("n_b", LongType()), StructField("n_groups", LongType()), StructField("groups", StringType()), StructField("links", BinaryType())]
 
 
@@ -52,7 +53,7 @@ def byte_level(path: str):
     if order != sorted(order) or whole["pre_tokenizer"]["type"] != "ByteLevel" or whole["normalizer"]:
         raise ValueError(f"{path} is not a byte-level vocabulary whose ids follow its merges")
     encoding = tiktoken.Encoding("byte-level", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return (lambda texts: [encoding.encode_ordinary(t) for t in texts]), {k: b for b, k in ranks.items()}
+    return (lambda texts: [encoding.encode_to_numpy(t, disallowed_special=()) for t in texts]), _by_id({k: b for b, k in ranks.items()})
 
 
 def pieces(path: str):
@@ -61,83 +62,76 @@ def pieces(path: str):
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     spelled = {k: bytes([int(p[3:5], 16)]) if model.is_byte(k) else p.replace(BLANK, " ").encode() for k in range(model.get_piece_size()) for p in [model.id_to_piece(k)]}
-    return (lambda texts: model.encode(texts, num_threads=1)), spelled
-
-
-def chunks(text: str) -> list[str]:
-    """A text that begins with a blank, cut before each blank that neither follows a blank nor precedes white space."""
-    out, chunk, last = [], "", ""
-    for part in text.split(" ")[1:]:
-        if last and part and not part[0].isspace():
-            out.append(chunk)
-            chunk = " " + part
-        else:
-            chunk += " " + part
-        last = part
-    out.append(chunk)
-    return out
-
-
-def merged_ends(a: list[int], b: list[int], a_bytes: dict[int, bytes], b_bytes: dict[int, bytes]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]]:
-    """Groups and links of two token lists that spell the same bytes: two pointers go over the tokens' cumulative ends, and
-    wherever both ends are equal a group closes, whose last two tokens are linked."""
-    groups, links = [], []
-    i = j = from_i = from_j = end_a = end_b = 0
-    while i < len(a):
-        end_a += len(a_bytes[a[i]])
-        i += 1
-        while end_b < end_a:
-            end_b += len(b_bytes[b[j]])
-            j += 1
-        if end_a == end_b:
-            groups.append((a[from_i:i], b[from_j:j]))
-            links.append((a[i - 1], b[j - 1]))
-            from_i, from_j = i, j
-    return groups, links
+    return (lambda texts: model.encode(texts, num_threads=1)), _by_id(spelled)
+
+
+def _by_id(spelled: dict[int, bytes]) -> list[bytes]:
+    return [spelled.get(k, b"") for k in range(max(spelled) + 1)]
+
+
+def parts(text: str, size: int | None = None) -> list[str]:
+    """A text that begins with a blank, cut after every ``size`` characters or more before a blank that neither follows a blank nor
+    precedes white space; where there is no such blank it goes on."""
+    size, out, start, at = size or PART, [], 0, 0
+    while (at := text.find(" ", max(at + 1, start + size))) >= 0:
+        if text[at - 1] != " " and at + 1 < len(text) and not text[at + 1].isspace():
+            out.append(text[start:at])
+            start = at
+    return [*out, text[start:]]
+
+
+def merged_ends(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where two growing lists of token ends meet: positions in the one and in the other. For each end of B a pointer
+    into A goes on to the first end that is no smaller."""
+    at = np.searchsorted(a_ends, b_ends)
+    meet = a_ends[np.minimum(at, len(a_ends) - 1)] == b_ends
+    return at[meet], np.flatnonzero(meet)
 
 
 class Aligner:
-    """Aligns chunks and remembers those met twice; the ones not asked for lately go first."""
+    """Aligns some texts at a time."""
 
     def __init__(self, a_path: str, b_path: str):
-        self.encode_a, self.a_bytes = byte_level(a_path)
-        self.encode_b, self.b_bytes = pieces(b_path)
-        self.known: dict[str, tuple] = {}
-        self.older: dict[str, tuple] = {}
-        self.once: set[str] = set()
-
-    def _aligned(self, asked: list[str]) -> Iterator[tuple]:
-        """(A tokens, B tokens, links, groups as text, links as bytes) of each chunk; of one that either side doesn't spell, False first."""
-        for chunk, a, b in zip(asked, self.encode_a(asked), self.encode_b([c[1:] for c in asked])):
-            spelled = chunk.encode()
-            if b"".join([self.a_bytes[t] for t in a]) != spelled or b"".join([self.b_bytes[t] for t in b]) != spelled:
-                yield False, 0, 0, "", b""
-                continue
-            groups, links = merged_ends(a, b, self.a_bytes, self.b_bytes)
-            text = ";".join([f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups])
-            yield len(a), len(b), len(links), text, np.array([x << 32 | y for x, y in links], dtype="<i8").tobytes()
+        (self.encode_a, self.a_bytes), (self.encode_b, self.b_bytes) = byte_level(a_path), pieces(b_path)
+        self.a_length, self.b_length = (np.array([len(x) for x in t], dtype=np.int64) for t in (self.a_bytes, self.b_bytes))
+        # an id with what follows it: of A within and at the end of a group, then of B
+        self.written = [f"{k}{c}" for t, within, last in ((self.a_bytes, ",", "|"), (self.b_bytes, ",", ";")) for k in range(len(t)) for c in (within, last)]
+
+    def _encoded(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Both sides' ids, none if a side doesn't spell the text."""
+        cut = parts(" " + text) if text else []
+        b = [t for p in self.encode_b([p[1:] for p in cut]) for t in p] if len(cut) != 1 else self.encode_b([text])[0]
+        a = [np.asarray(x, dtype=np.int64) for x in self.encode_a(cut)]
+        ids = np.concatenate([_NONE, *a]), np.array(b, dtype=np.int64)
+        spelled = (" " + text).encode() if text else b""
+        # A is made of bytes, so its tokens can only fail to spell a text by their number of bytes
+        same = self.a_length[ids[0]].sum() == len(spelled) and b"".join(map(self.b_bytes.__getitem__, b)) == spelled
+        return ids if same else (_NONE, _NONE)
 
     def texts(self, batch: list[str | None]) -> list[tuple]:
         """(n_a, n_b, n_groups, groups, links) of each text."""
-        cut = [chunks(" " + t) if t else [] for t in batch]
-        found = [list(map(self.known.get, c)) for c in cut]
-        missing = {c for cs, vs in zip(cut, found) if None in vs for c, v in zip(cs, vs) if v is None}
-        now = {c: self.older[c] for c in missing if c in self.older}
-        asked = [c for c in missing if c not in now]
-        aligned = dict(zip(asked, self._aligned(asked)))
-        again = [c for c in asked if c in self.once]
-        self.once.update(c for c in asked if len(c) <= LONGEST)
-        if len(self.once) > 2 * REMEMBERED:
-            self.once.clear()
-        if len(self.known) + len(now) + len(again) > REMEMBERED // 2:
-            self.known, self.older = {}, self.known
-        self.known |= now | {c: aligned[c] for c in again}
-        aligned |= now
-        out = []
-        for cs, vs in zip(cut, found):
-            each = [aligned[c] if v is None else v for c, v in zip(cs, vs)]
-            n_a, n_b, n_links, groups, links = zip(*each) if each else ((False,), (), (), (), ())
-            out.append((0, 0, 0, "", b"") if False in n_a else (sum(n_a), sum(n_b), sum(n_links), ";".join(groups), b"".join(links)))
+        found = [self._encoded(t) for t in batch]
+        a_ids, b_ids = (np.concatenate([f[side] for f in found]) for side in (0, 1))
+        if not len(a_ids):
+            return [(0, 0, 0, "", b"")] * len(batch)
+        # the texts lie one after the other, so one merge serves all of them and each ends with a group
+        a_ends, b_ends = np.cumsum(self.a_length[a_ids]), np.cumsum(self.b_length[b_ids])
+        a_last, b_last = merged_ends(a_ends, b_ends)
+        links = (a_ids[a_last] << 32 | b_ids[b_last]).astype("<i8")
+        a_is_last, b_is_last = np.zeros(len(a_ids), dtype=np.int64), np.zeros(len(b_ids), dtype=np.int64)
+        a_is_last[a_last] = b_is_last[b_last] = 1
+        a_group, b_group = np.cumsum(a_is_last) - a_is_last, np.cumsum(b_is_last) - b_is_last
+        # before an A token stand the B tokens of earlier groups, before a B token the A tokens up to its own
+        order = np.empty(len(a_ids) + len(b_ids), dtype=np.int64)
+        order[np.arange(len(a_ids)) + np.concatenate([[0], b_last + 1])[a_group]] = 2 * a_ids + a_is_last
+        order[np.arange(len(b_ids)) + a_last[b_group] + 1] = 2 * (b_ids + len(self.a_bytes)) + b_is_last
+        out, a, b, g = [], 0, 0, 0
+        written = list(map(self.written.__getitem__, order.tolist()))
+        a_text, b_text = np.cumsum([len(x) for x, _ in found]), np.cumsum([len(y) for _, y in found])
+        closed = np.searchsorted(a_last, a_text)  # groups up to each text's end
+        for a_end, b_end, g_end in zip(a_text.tolist(), b_text.tolist(), closed.tolist()):
+            out.append((a_end - a, b_end - b, g_end - g, "".join(written[a + b : a_end + b_end])[:-1], links[g:g_end].tobytes()))
+            a, b, g = a_end, b_end, g_end
         return out
 
 
@@ -155,7 +149,7 @@ def align_texts(docs: DataFrame, a_path: str, b_path: str, text: str = "text") -
 
     A text that is null or empty, or that a side doesn't spell byte by byte (B writes U+2581 for a blank), has no tokens: zeros and empty
     values. Rows are taken one by one, repeated ones too; an empty table gives an empty result; columns with the new
-    names are replaced. Long texts are aligned chunk by chunk; a chunk of any length, a text without blanks say, is one.
+    names are replaced. Long texts are encoded part by part; one without blanks is a single part.
     """
     kept = docs.select(*[c for c in docs.columns if c not in {f.name for f in _NEW}])
     schema = StructType([*kept.schema.fields, *_NEW])

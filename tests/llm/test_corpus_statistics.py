@@ -150,22 +150,22 @@ def test_alignment_against_brute_force(spark, sf, tmp_path, monkeypatch):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.text(alphabet=st.sampled_from(list("ab A'.,\n\t 　▁é日🙂1s \0\x1c")), max_size=60))
-def test_chunks_have_the_tokens_of_the_whole(text):
-    aligner, out = alignment._aligner(A_PATH, B_PATH), ""
-    assert "".join(alignment.chunks(" " + text)) == " " + text
+@given(st.text(alphabet=st.sampled_from(list("ab A'.,\n\t 　▁é日🙂1s \0\x1c")), max_size=60), st.integers(1, 9))
+def test_parts_have_the_tokens_of_the_whole(text, size):
+    aligner, cut = alignment._aligner(A_PATH, B_PATH), alignment.parts(" " + text, size)
+    assert "".join(cut) == " " + text
     if text:
-        parts = alignment.chunks(" " + text)
-        assert [t for p in aligner.encode_a(parts) for t in p] == aligner.encode_a([" " + text])[0]
-        assert [t for p in aligner.encode_b([p[1:] for p in parts]) for t in p] == aligner.encode_b([text])[0]
+        assert [t for p in aligner.encode_a(cut) for t in p] == list(aligner.encode_a([" " + text])[0])
+        assert [t for p in aligner.encode_b([p[1:] for p in cut]) for t in p] == aligner.encode_b([text])[0]
 
 
-def test_alignment_forgets_and_clashes(spark, monkeypatch):
-    monkeypatch.setattr(alignment, "REMEMBERED", 6)
-    aligner = alignment.Aligner(A_PATH, B_PATH)
-    texts = [" ".join(f"word{i % 7}{'x' * (i % 3)}" for i in range(k)) for k in range(1, 30)]
-    once = [aligner.texts([t])[0] for t in texts]
-    assert once == alignment.Aligner(A_PATH, B_PATH).texts(texts) and aligner.older
+def test_alignment_of_long_and_no_texts(spark, monkeypatch):
+    aligner = alignment._aligner(A_PATH, B_PATH)
+    texts = [None, "", " ".join(f"word{i % 7}{'x' * (i % 3)}" for i in range(300)), "▁", "y" * 50_000 + " z " * 9, "end"]
+    once = aligner.texts(texts)
+    assert once == [aligner.texts([t])[0] for t in texts] and once[0] == once[1] == once[3] == (0, 0, 0, "", b"")
+    monkeypatch.setattr(alignment, "PART", 10)
+    assert aligner.texts(texts) == once
     empty = spark.createDataFrame([], "doc_id long, text string")
     blocks = alignment.link_blocks(alignment.align_texts(empty, A_PATH, B_PATH).drop("text"))
     assert alignment.link_scores(blocks, alignment.link_counts(blocks)).count() == 0
