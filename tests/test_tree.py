@@ -112,6 +112,18 @@ def test_best_first_is_the_heap_search(some, n):
     assert len(keys) <= n + 2
 
 
+@pytest.mark.parametrize("n,most", [(7, 1), (60, 1), (60, 3), (150, 10)])
+def test_best_first_without_a_heap(some, monkeypatch, n, most):
+    _, points = some
+    monkeypatch.setattr(best_first, "HEAP_NODES", most)
+    v, depth = VIEWPORTS["region"], 12
+    nodes = centroids.centroid_nodes(points, depth).cache()
+    for benefit in (centroids.screen_benefit(v.zoom, depth), (F.col("level") * 7 + F.col("ci") * 5 + F.col("cj") * 3) % 4 + 0.0):
+        rows = nodes.select("level", "ci", "cj", benefit.alias("b")).collect()
+        got = best_first.best_first(nodes, benefit, v, n).collect()
+        assert {(r["level"], r["ci"], r["cj"]) for r in got} == searched(rows, v, n)
+
+
 def test_drawn_points_are_those_of_one_big_picture(some):
     rows, points = some
     v = Viewport(-110, 30, -80, 45, 5, 101, 53)
