@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
-from .blocks import Lookup, packed, unpacked
+from .blocks import Lookup, few_rows_at_once, packed, unpacked
 from .common import written
 
 #: Characters that are encoded at once, of one text and of several; links of a block, by whole texts.
@@ -207,7 +207,8 @@ def link_blocks(aligned: DataFrame) -> DataFrame:
 def link_counts(blocks: DataFrame) -> DataFrame:
     """``(pair, a, b, n, a_most, b_most)``: how many links of the corpus hold two ids linked, and the most that a link of either id counts."""
     counts = blocks.select(F.explode("entries").alias("e")).groupBy("e.pair").agg(F.sum("e.n").alias("n"))
-    counts = written(counts.select("pair", F.shiftright("pair", 32).alias("a"), F.expr("pair & 4294967295L").alias("b"), "n"), "link-counts")
+    with few_rows_at_once(blocks.sparkSession):
+        counts = written(counts.select("pair", F.shiftright("pair", 32).alias("a"), F.expr("pair & 4294967295L").alias("b"), "n"), "link-counts")
     for side in ("a", "b"):
         counts = counts.join(counts.groupBy(side).agg(F.max("n").alias(f"{side}_most")), side)
     return counts.select("pair", "a", "b", "n", "a_most", "b_most")
@@ -231,4 +232,5 @@ def link_scores(blocks: DataFrame, counts: DataFrame) -> DataFrame:
                 sums = [columns[-1], *[pa.array(total(v)) for v in (each & 1, each >> 1)]]
                 yield pa.RecordBatch.from_arrays([*columns[:-1], *sums], names=schema.names)
 
-    return lookup.rows.mapInArrow(scored, schema)
+    with few_rows_at_once(blocks.sparkSession):
+        return written(lookup.rows.mapInArrow(scored, schema), "link-scores")

@@ -7,9 +7,13 @@ item has one row for each block that holds it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS
@@ -35,11 +39,44 @@ def unpacked_places(data: bytes) -> np.ndarray:
     return np.cumsum(unpacked(data), dtype=np.int64)
 
 
+@contextmanager
+def few_rows_at_once(spark: SparkSession) -> Iterator[None]:
+    """What runs inside reads and passes on few rows at a time, as a block is a row of some MB."""
+    few = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4", "spark.sql.parquet.columnarReaderBatchSize": "64"}
+    before = {k: spark.conf.get(k) for k in few}
+    try:
+        for k, v in few.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+class _Known:
+    """Rows of keys in columns, each with an answer: finds the answers of other rows, -1 where there is none."""
+
+    def __init__(self, columns: list[pa.Array], answers: np.ndarray):
+        self._unique, self._answers = [c.unique() for c in columns], answers
+        self._codes = self._coded(columns)
+
+    def _coded(self, columns: list[pa.Array]) -> pa.Array:
+        code = np.zeros(len(columns[0]), dtype=np.int64)
+        for c, unique in zip(columns, self._unique):
+            at = pc.index_in(c, value_set=unique).fill_null(-1).to_numpy(zero_copy_only=False)
+            code = np.where((code < 0) | (at < 0), -1, code * len(unique) + at)
+        return pa.array(code)
+
+    def find(self, columns: list[pa.Array]) -> np.ndarray:
+        at = pc.index_in(self._coded(columns), value_set=self._codes).fill_null(-1).to_numpy(zero_copy_only=False)
+        return np.where(at < 0, -1, self._answers[at])
+
+
 class Lookup:
     """What a table says of the different items of each block: whole numbers from 0 on, -1 for items it doesn't have.
 
     Keys are fields of the items or else columns of the blocks; ``table`` has a row for each set of keys at most. If it was counted to
-    have at most ``BROADCAST_ROWS`` rows, tasks get it as a dictionary and ``rows`` are the blocks as they are; else it is joined by a
+    have at most ``BROADCAST_ROWS`` rows, tasks get it and ``rows`` are the blocks as they are; else it is joined by a
     shuffle of the items, of which a block has each one once, and ``rows`` have the answers instead of the items.
     """
 
@@ -47,10 +84,14 @@ class Lookup:
         fields = blocks.schema[items].dataType.elementType.names
         self._outer, self._inner = [k for k in keys if k not in fields], [k for k in keys if k in fields]
         self._items, self._known = items, None
-        order = [*self._outer, *self._inner]
         if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-            got = table.select(*order, answer).toArrow().to_pydict()
-            known = dict(zip(zip(*[got[k] for k in order]), got[answer]))
+            whole = table.select(*self._outer, *self._inner, answer).toArrow().combine_chunks()
+            outer = list(zip(*[whole[k].to_pylist() for k in self._outer])) or [()] * len(whole)
+            places: dict[tuple, list[int]] = {}
+            for k, o in enumerate(outer):
+                places.setdefault(o, []).append(k)
+            arrays = {o: whole.take(at).combine_chunks() for o, at in places.items()}
+            known = {o: _Known([t[k].combine_chunks() for k in self._inner], t[answer].to_numpy()) for o, t in arrays.items()}
             self._known, self.rows = blocks.sparkSession.sparkContext.broadcast(known), blocks
             return
         each = blocks.select("block", *self._outer, F.posexplode(items).alias("at", "item"))
@@ -68,6 +109,5 @@ class Lookup:
             if found.is_valid:
                 out[found.values.field("at").to_numpy()] = found.values.field(1).to_numpy()
             return out
-        items, outer, known = batch[self._items][k].values, tuple(batch[c][k].as_py() for c in self._outer), self._known.value
-        inner = zip(*[items.field(c).to_pylist() for c in self._inner])
-        return np.fromiter((known.get(outer + i, -1) for i in inner), dtype=np.int64, count=len(items))
+        items, known = batch[self._items][k].values, self._known.value.get(tuple(batch[c][k].as_py() for c in self._outer))
+        return np.full(len(items), -1, dtype=np.int64) if known is None else known.find([items.field(c) for c in self._inner])

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import Lookup, packed, packed_places, unpacked, unpacked_places
+from .blocks import Lookup, few_rows_at_once, packed, packed_places, unpacked, unpacked_places
 from .common import written
 
 #: Words of a block, by whole texts; bytes of a text that are split into words at once.
@@ -58,12 +58,12 @@ def _word_blocks(docs: DataFrame) -> DataFrame:
     schema = pa.schema([*_ARROW, ("entries", pa.list_(pa.struct([("phrase", pa.string()), ("n", pa.int64())]))), ("n_words", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[_Numbers, list[np.ndarray]]] = {}
-        number, size = TaskContext.get().partitionId() << 32, 0
+        held: dict[str, list] = {}  # of each language its words' numbers, its texts' words, and their number
+        number = TaskContext.get().partitionId() << 32
 
         def block(lang: str) -> pa.RecordBatch:
             nonlocal number
-            names, parts = held[lang]
+            names, parts, _ = held.pop(lang)
             seq = np.concatenate(parts)
             at = np.flatnonzero(seq)
             item = seq[at] - 1
@@ -75,17 +75,18 @@ def _word_blocks(docs: DataFrame) -> DataFrame:
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary())):
                 if lang not in held:
-                    held[lang] = _Numbers({b".": 0}), [np.zeros(1, dtype=np.int32)]
-                names, parts = held[lang]
+                    held[lang] = [_Numbers({b".": 0}), [np.zeros(1, dtype=np.int32)], 0]
+                own = held[lang]
                 for words in words_and_ends(text.as_py()):
-                    parts.append(np.fromiter(map(names.__getitem__, words), dtype=np.int32, count=len(words)))
-                    size += len(words)
-                parts.append(np.zeros(1, dtype=np.int32))
-                size += 1
-                if size >= BLOCK_WORDS:
-                    yield from (block(k) for k in held)
-                    held, size = {}, 0
-        yield from (block(k) for k in held)
+                    own[1].append(np.fromiter(map(own[0].__getitem__, words), dtype=np.int32, count=len(words)))
+                    own[2] += len(words)
+                own[1].append(np.zeros(1, dtype=np.int32))
+                own[2] += 1
+                if own[2] >= BLOCK_WORDS:
+                    yield block(lang)
+                elif sum(o[2] for o in held.values()) >= 4 * BLOCK_WORDS:  # many languages with little each
+                    yield from (block(k) for k in list(held))
+        yield from (block(k) for k in list(held))
 
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(cut, _LISTS + "entries array<struct<phrase:string,n:long>>, n_words long")
@@ -124,15 +125,16 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int) -> tuple[DataFra
     counts = lists.select("lang", F.explode("entries").alias("e")).groupBy("lang", F.col("e.phrase").alias("phrase")).agg(F.sum("e.n").alias("f")).where(F.col("f") >= least)
     level = written(counts.select(F.monotonically_increasing_id().alias("id"), "lang", F.lit(1).alias("words"), "phrase", F.col("phrase").alias("last"), "f"), "phrases-1")
     levels, keys = [level], ["lang", "phrase"]
-    for words in range(2, longest + 1):
-        lists = written(_grown(lists, level, keys), f"phrase-lists-{words}")
-        keys = ["a", "b"]
-        counts = lists.select(F.explode("entries").alias("e")).groupBy("e.a", "e.b").agg(F.sum("e.n").alias("f")).where(F.col("f") >= least)
-        head, tail = level.select(F.col("id").alias("a"), "lang", "phrase"), level.select(F.col("id").alias("b"), "last")
-        named = counts.join(head, "a").join(tail, "b")
-        phrase = F.concat_ws(" ", "phrase", "last").alias("phrase")
-        level = written(named.select(F.monotonically_increasing_id().alias("id"), "lang", F.lit(words).alias("words"), phrase, "last", "f", "a", "b"), f"phrases-{words}")
-        levels.append(level.drop("a", "b"))
+    with few_rows_at_once(docs.sparkSession):
+        for words in range(2, longest + 1):
+            lists = written(_grown(lists, level, keys), f"phrase-lists-{words}")
+            keys = ["a", "b"]
+            counts = lists.select(F.explode("entries").alias("e")).groupBy("e.a", "e.b").agg(F.sum("e.n").alias("f")).where(F.col("f") >= least)
+            head, tail = level.select(F.col("id").alias("a"), "lang", "phrase"), level.select(F.col("id").alias("b"), "last")
+            named = counts.join(head, "a").join(tail, "b")
+            phrase = F.concat_ws(" ", "phrase", "last").alias("phrase")
+            level = written(named.select(F.monotonically_increasing_id().alias("id"), "lang", F.lit(words).alias("words"), phrase, "last", "f", "a", "b"), f"phrases-{words}")
+            levels.append(level.drop("a", "b"))
     return reduce(DataFrame.unionByName, levels), n
 
 
