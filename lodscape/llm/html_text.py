@@ -16,8 +16,8 @@ from pyspark.sql.types import StringType
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
 DROPPED = frozenset(
-    "head nav header footer aside form script style textarea title xmp iframe noembed noframes noscript template button select dialog "
-    "menu svg object video audio canvas map input datalist".split()
+    "head nav header footer aside script style textarea title xmp iframe noembed noframes noscript template button select dialog "
+    "menu svg object video audio canvas map input datalist label legend".split()
 )
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter q rp rt ruby s samp small span strike strong sub sup time tt u var img wbr br".split()
@@ -42,7 +42,9 @@ BOILERPLATE = frozenset(
     "toolbar widget widgets alert contentinfo complementary search form discussion replies adbox adslot adunit adwrap".split()
 )
 # Those of them that name parts of an article as well; what they mark goes only if it doesn't read like prose.
-AMBIGUOUS = frozenset("alert discussion form header notice notices pager promotion related recommended respond replies search share sharing social sponsored widget widgets".split())
+AMBIGUOUS = frozenset("discussion form header related search".split())
+# Those of them that name what readers wrote.
+COMMENTS = frozenset("comment comments commentlist disqus replies respond shoutbox".split())
 # Fixed values: "has-sidebar" and the like say something about the rest of the page.
 NEGATED = frozenset("has with no without not".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -127,7 +129,7 @@ class _Node:
 
 
 def _marks(tag: str) -> tuple[bool, int, bool]:
-    """(is hidden, names boilerplate: 0 not, 1 by ambiguous words only, 2 for sure, names the article)."""
+    """(is hidden, names boilerplate: 0 not, 1 by ambiguous words only, 2 for sure, 3 readers' comments, names the article)."""
     hidden, doubtful, good = False, 0, False
     for m in _MARKS.finditer(tag):
         if m[5]:
@@ -144,7 +146,7 @@ def _marks(tag: str) -> tuple[bool, int, bool]:
             for one in value.split():
                 words = {w.lower() for w in _WORDS.findall(one)}
                 if words.isdisjoint(NEGATED):
-                    doubtful = max(doubtful, 2 * bool(words & BOILERPLATE - AMBIGUOUS), bool(words & AMBIGUOUS))
+                    doubtful = max(doubtful, 3 * bool(words & COMMENTS), 2 * bool(words & BOILERPLATE - AMBIGUOUS), bool(words & AMBIGUOUS))
             good |= key == "role" and value.lower() == "main"
     return hidden, doubtful, good
 
@@ -226,6 +228,8 @@ def _read(page: str) -> tuple[list[_Node], list[tuple[int, str, int]]]:
         dropped = stack[-1][2] or name in DROPPED or hidden and name not in ROOTS
         if name in ROOTS or name in HEADINGS:
             doubtful = 0
+        elif name == "form":
+            doubtful = max(doubtful, 1)
         elif name in INLINE:
             dropped |= doubtful > 0
         node = stack[-1][1]
@@ -261,28 +265,29 @@ def _summed(nodes: list[_Node], values: list[float]) -> list[float]:
 
 
 def _settle_doubts(nodes: list[_Node], blocks: list[tuple[int, str, int]]) -> None:
-    """Drops what class words mark, now that all text is scored; but never all of a page's text: not what is marked for
-    sure if next to nothing stands outside of such marks, and not, if the words are ambiguous, what holds half of
-    the page's points or reads like prose inside an article."""
+    """Drops what class words mark and forms, now that all text is scored. What ambiguous words mark stays if it holds half of the
+    page's points or reads like prose inside an article, a form only if it holds half of them. What is marked for sure
+    stays only if it holds half of them and no text but headings and links would be left; readers' comments never do."""
     own, chars, linked = ([0.0] * len(nodes) for _ in range(3))
     for node, text, in_links in blocks:
         own[node] += _points(text, in_links)
         chars[node] += len(text)
         linked[node] += in_links
-    total, chars, linked = _summed(nodes, own), _summed(nodes, chars), _summed(nodes, linked)
-    outside, sure, within = 0.0, [False] * len(nodes), [False] * len(nodes)
+    total, all_chars, all_linked = _summed(nodes, own), _summed(nodes, chars), _summed(nodes, linked)
+    sure, gone, within, left = ([False] * len(nodes) for _ in range(4))
     for i, x in enumerate(nodes[1:], 1):
-        sure[i] = x.doubtful == 2 or sure[x.parent]
+        half = total[i] > 0 and 2 * total[i] >= total[0]
         within[i] = x.tag == "article" or within[x.parent]
-        outside += 0.0 if sure[i] else own[i]
+        prose = all_chars[i] >= 80 and all_linked[i] <= 0.2 * all_chars[i] and total[i] >= 2.0
+        sure[i] = x.doubtful >= 2 or sure[x.parent]
+        gone[i] = gone[x.parent] or x.doubtful == 1 and not (half or prose and within[i] and x.tag != "form")
+        left[i] = not sure[i] and not gone[i] and x.tag not in HEADINGS and chars[i] > 2 * linked[i]
+    empty = not any(left) and chars[0] <= 2 * linked[0]
     for i, x in enumerate(nodes[1:], 1):
-        if nodes[x.parent].dropped:
+        if nodes[x.parent].dropped or gone[i]:
             x.dropped = True
-        elif x.doubtful == 2 and not x.dropped:
-            x.dropped = not (outside + own[0] < 2.0 <= total[i] and 2 * total[i] >= total[0])
-        elif x.doubtful and not x.dropped:
-            prose = chars[i] >= 80 and linked[i] <= 0.2 * chars[i] and total[i] >= 2.0
-            x.dropped = not (total[i] > 0 and 2 * total[i] >= total[0] or prose and within[i])
+        elif x.doubtful >= 2 and not x.dropped:
+            x.dropped = not (x.doubtful == 2 and empty and total[i] >= 2.0 and 2 * total[i] >= total[0])
 
 
 def main_text(page: str | None) -> str:
@@ -351,11 +356,11 @@ def _main_texts(pages: pd.Series) -> pd.Series:
 def extract_main_text(pages: DataFrame, *, html: str = "html") -> DataFrame:
     """All columns of ``pages`` plus ``text`` and ``n_chars`` (code points).
 
-    Each page becomes a tree of its block elements. Menus, headers, footers, sidebars, forms, scripts
+    Each page becomes a tree of its block elements. Menus, headers, footers, sidebars, forms (but for one around the page), scripts
     and what class, id or role name as adverts, notices, comments and the like are left out. Every
     other block gives points for its length and commas to its container and, halved at each step, to
     the three above it, less the share of its characters in links. The container with the most
-    points, its enclosing article if any, and siblings that score a fifth of it are kept, without
+    points (the first of equal ones), its enclosing article if any, and siblings that score a fifth of it are kept, without
     lists of links inside them. Character references are decoded, white space within a block becomes
     one space, blocks are joined by one line feed in page order.
 

@@ -113,6 +113,22 @@ def test_class_words_never_empty_a_page(page, paragraphs):
     assert html_text.main_text(page) == "\n".join([re.sub("<.*?>", "", P)] * paragraphs)
 
 
+@pytest.mark.parametrize(
+    "page,expected",
+    [
+        (f'<article>{P}<div class="notice">{P}</div>{P}</article>', [P, P]),
+        (f'<article>{P}<div class="sponsored">{P}</div><div class="share-box">{P}</div><form class="contact">{P}</form></article>', [P]),
+        (f'<article><p>Short note, one line.</p></article><div class="comments">{P}{P}</div>', ["Short note, one line."]),
+        (f'<article><p>Short note, one line.</p></article><div class="sidebar">{P}{P}</div>', ["Short note, one line."]),
+        (f'<body><form id="aspnetForm"><div class="top"><label>Find</label><input><button>Go</button></div><div class="page">{P}{P}</div></form></body>', [P, P]),
+        (f'<div class="comments">{P}{P}</div>', []),
+        (f'<h1>Head</h1><div class="newsletter-archive">{P}{P}</div>', [P, P]),
+    ],
+)
+def test_notices_comments_and_forms(page, expected):
+    assert html_text.main_text(page) == "\n".join(re.sub("<.*?>", "", p) for p in expected)
+
+
 @pytest.mark.parametrize("page,expected", [(None, ""), ("", ""), ("<nav>menu</nav>", ""), ("plain &lt;text&gt;  here\n", "plain <text> here"), ("<p>a < b and c", "a < b and c"), ("<p>a<br>b<p title='x>y'>c", "a b\nc"), ("<b><i></b></i></x>", "")])
 def test_odd_pages(page, expected):
     assert html_text.main_text(page) == expected
