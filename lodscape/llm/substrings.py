@@ -355,8 +355,9 @@ def _paragraph_cuts(docs: DataFrame, units: DataFrame) -> DataFrame:
     return lines.select("doc_id", "at", "n", F.col("key").alias("text")).join(repeated, "text").where("doc_id <> source").select("doc_id", "at", "n", "source")
 
 
-def _passage_cuts(docs: DataFrame, units: DataFrame) -> DataFrame:
-    """``(doc_id, at, n, source)``: passages within or across paragraphs to cut, each held as a whole by its source.
+def _passage_cuts(docs: DataFrame, units: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """``(doc_id, at, n, source)``: passages within or across paragraphs to cut, each held as a whole by its source, and
+    there outside of ``paragraphs``, which are cut themselves for being similar to others and so may hold words of their own.
 
     Equal runs of 50 words share an anchor, so only runs that hold an anchor of several documents are listed; of
     these each that an earlier document has is a hit, and hits of one source that follow each other are a passage.
@@ -367,8 +368,12 @@ def _passage_cuts(docs: DataFrame, units: DataFrame) -> DataFrame:
     wanted = written(anchors.join(repeated, "key", "left_semi").groupBy("doc_id").agg(F.collect_set("at").alias("anchors")), "anchors")
     windows = docs.join(small(wanted, "anchors"), "doc_id").select("doc_id", "raw", "anchors").mapInArrow(_windows, "doc_id bigint, at bigint, key bigint")
     windows = written(windows, "windows")
-    firsts = windows.groupBy("key").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source <> last").select("key", "source")
-    hits = windows.join(small(written(firsts, "repeated-runs")), "key").where("doc_id <> source").select("doc_id", "source", "at")
+    gone = written(paragraphs.groupBy("doc_id").agg(F.collect_set(F.struct("at", "n")).alias("gone")), "paragraph-spans")
+    inside = F.exists("gone", lambda g: (F.col("at") < g["at"] + g["n"]) & (g["at"] < F.col("at") + LEAST_WORDS))
+    stays = windows.join(small(gone, "gone"), "doc_id", "left").where(F.col("gone").isNull() | ~inside)
+    firsts = stays.groupBy("key").agg(F.min("doc_id").alias("source")).join(windows.groupBy("key").agg(F.max("doc_id").alias("last")), "key")
+    firsts = firsts.where("source < last").select("key", "source")
+    hits = windows.join(small(written(firsts, "repeated-runs")), "key").where("doc_id > source").select("doc_id", "source", "at")
     rank = F.dense_rank().over(Window.partitionBy("doc_id", "source").orderBy("at"))
     runs = hits.withColumn("run", F.col("at") - rank).groupBy("doc_id", "source", "run").agg(F.min("at").alias("at"), F.max("at").alias("end"))
     return runs.select("doc_id", "at", (F.col("end") - F.col("at") + LEAST_WORDS).alias("n"), "source")
@@ -412,7 +417,7 @@ def cut_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     Paragraphs (lines of 50 words or more) are banded by MinHash of five-word shingles; those that
     share a band and have a Jaccard similarity of 0.8 or more are one component. Passages that are no
     whole paragraph are found by the hashes of all runs of 50 words that hold a content-defined anchor
-    of several documents: each run that an earlier document holds too is cut. Whole copies are found by their text first, so that
+    of several documents: each run that an earlier document holds too, and keeps, is cut. Whole copies are found by their text first, so that
     they take part as one document. A component or passage stays in the document with
     the smallest id, wherever it stands there, and is cut from all others.
 
@@ -426,7 +431,8 @@ def cut_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     units = written(own.mapInArrow(_units, schema), "units")
     copies = _copies(units)
     units = units.join(small(copies.select("doc_id")), "doc_id", "left_anti")
-    cuts = copies.union(_paragraph_cuts(own, units)).union(_passage_cuts(own, units))
+    paragraphs = written(_paragraph_cuts(own, units), "paragraph-cuts")
+    cuts = copies.union(paragraphs).union(_passage_cuts(own, units, paragraphs))
     spans = cuts.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("at", "n", "source"))).alias("_lodscape_spans"))
     spans = written(spans, "cuts").withColumnRenamed("doc_id", "_lodscape_id")
     keyed = docs.select(*[docs[c] for c in kept], docs[doc_id].cast("long").alias("_lodscape_id"), docs[text].cast("string").alias("_lodscape_text"))

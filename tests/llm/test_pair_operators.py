@@ -283,6 +283,26 @@ def test_variants_of_a_template_lose_no_link_and_make_few_candidates(spark):
     assert links <= found and len(found) < 2 * len(links) < len(texts) * (len(texts) - 1) / 2
 
 
+def test_no_word_is_lost_altogether(spark):
+    r = random.Random(77)
+    base = sentence(r, 120).split()
+    near = [*base[:60], "changed", *base[61:]]
+    texts = {1: " ".join(base), 2: " ".join(near), 3: f"{sentence(r, 20)} {' '.join(near[20:100])} {sentence(r, 20)}", 4: f"{sentence(r, 30)} {' '.join(near[20:100])}"}
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in texts.items()], DOC)
+    got = {x["doc_id"]: x for x in substrings.cut_repeats(docs).collect()}
+    assert got[1]["text"] == texts[1] and got[2]["text"] == "" and got[2]["repeats_of"] == [1]
+    assert got[3]["text"] == texts[3] and got[4]["repeats_of"] == [3] and got[4]["n_cut_words"] == 80
+    # each run that is cut as equal stands in a text that a named document keeps
+    kept = {k: x["text"].split() for k, x in got.items()}
+    for k in (3, 4):
+        words = texts[k].split()
+        for i in range(len(words) - 49):
+            if not any(words[i : i + 50] == kept[k][j : j + 50] for j in range(len(kept[k]) - 49)):
+                cut = [w for w in words[i : i + 50]]
+                assert any(w in kept[s] for s in [k, *got[k]["repeats_of"]] for w in cut)
+    assert "changed" in kept[3]
+
+
 def test_cut_words():
     cut = substrings.cut_words
     assert cut("a b c\nd e\n\nf", [(1, 1)]) == "a c\nd e\n\nf"
