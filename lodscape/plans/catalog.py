@@ -11,7 +11,7 @@ from ..functions import predicates as P
 from ..functions import projection as J
 from ..functions.projection import dbl
 from ..functions.viewport import VIEWPORTS, pixel_matrix, screen_xy
-from ..operators import best_first, budget, centroids, folds, pyramid, reducers, render, samples, zorder
+from ..operators import agreement, best_first, boxes, budget, centroids, folds, heat, pyramid, reducers, render, samples, zorder
 from ..sources import messages
 from ..sources.index_store import TreeStore
 from ..sources.points import PointSource, event_points, event_points_of, pairs_from_json
@@ -106,12 +106,14 @@ def op_a13_pairs(spark, sf_dir):
     return pairs.select("point_id", r6(F.col("pair")[0]).alias("first"), r6(F.col("pair")[1]).alias("second"), "progress")
 
 
-@query(f"WITH {O.POINTS} SELECT user_id, count(*) AS n, {_r('min(lng)', 'west')}, {_r('max(lat)', 'north')} FROM pts JOIN events ON event_id = point_id GROUP BY 1")
+@query(
+    f"""WITH {O.POINTS}, o AS (SELECT row_number() OVER (PARTITION BY user_id ORDER BY lat, lng) - 1 AS k, lng, lat FROM pts JOIN events ON event_id = point_id)
+    SELECT CAST(k AS BIGINT) AS point_id, count(*) AS n, {_r('min(lng)', 'west')}, {_r('max(lat)', 'north')} FROM o GROUP BY 1"""
+)
 def op_a14_json_pairs(spark, sf_dir):
     users = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("point_id"), "user_id")
-    files = points(spark, sf_dir).join(users, "point_id").groupBy("user_id").agg(F.to_json(F.collect_list(F.array("lat", "lng"))).alias("value"))
-    each = files.select("user_id", F.explode(F.from_json("value", "array<array<double>>")).alias("p"))
-    return each.groupBy("user_id").agg(F.count("*").alias("n"), r6(F.min(F.col("p")[1])).alias("west"), r6(F.max(F.col("p")[0])).alias("north"))
+    files = points(spark, sf_dir).join(users, "point_id").groupBy("user_id").agg(F.to_json(F.array_sort(F.collect_list(F.array("lat", "lng")))).alias("value"))
+    return pairs_from_json(files).groupBy("point_id").agg(F.count("*").alias("n"), r6(F.min("lng")).alias("west"), r6(F.max("lat")).alias("north"))
 
 
 # --- projections -------------------------------------------------------------------------------
@@ -193,14 +195,14 @@ def op_b13_shading(spark, sf_dir):
     )
 
 
-@query("SELECT zoom, level, CAST(floor(pow(2, 8 + zoom - level) + 0.5) AS BIGINT) AS resolution FROM (SELECT CAST(unnest(generate_series(0, 18)) AS INT) AS zoom), (SELECT CAST(unnest(generate_series(0, 27)) AS INT) AS level)")
+@query(
+    f"""WITH {O.PLACED}, {O.tree(DEPTH)} SELECT zoom, level, CAST(floor(pow(2, 8 + zoom - level) + 0.5) AS BIGINT) AS resolution, count(*) AS nodes
+    FROM nd, (SELECT CAST(unnest(generate_series(0, 18)) AS INT) AS zoom) GROUP BY 1, 2"""
+)
 def op_b16_node_resolution(spark, sf_dir):
-    level = F.col("id").cast("int")
-    each = [spark.range(28).select(F.lit(z).alias("zoom"), level.alias("level"), J.node_resolution(z, level).alias("resolution")) for z in range(19)]
-    out = each[0]
-    for x in each[1:]:
-        out = out.union(x)
-    return out
+    per_level = pyramid.quadtree(points(spark, sf_dir), DEPTH).groupBy("level").agg(F.count("*").alias("nodes"))
+    by_zoom = F.array(*[F.struct(F.lit(z).alias("zoom"), J.node_resolution(z, F.col("level")).alias("resolution")) for z in range(19)])
+    return per_level.select("level", "nodes", F.explode(by_zoom).alias("r")).select("r.zoom", "level", "r.resolution", "nodes")
 
 
 _WX = f"({num(512)} * (radians(lng) + {num(J.math.pi)}) / {num(2 * J.math.pi)})"
@@ -393,6 +395,49 @@ def op_c5_z_wrapped(spark, sf_dir):
     return zorder.PointTable(new_folder(spark, "z-table")).write(_far(spark, sf_dir), 8).read(spark, WRAP).select("point_id")
 
 
+_BOXES = """b AS (SELECT event_id, CAST(event_id * 37 % 360 AS DOUBLE) / 360 AS x0, CAST(event_id * 53 % 150 AS DOUBLE) / 150 AS y0,
+      CAST(event_id * 37 % 360 AS DOUBLE) / 360 + CAST(event_id % 13 AS DOUBLE) / 2000 AS x1, CAST(event_id * 53 % 150 AS DOUBLE) / 150 + CAST(event_id % 7 AS DOUBLE) / 1000 AS y1 FROM events)"""
+
+
+def _boxes(spark, sf_dir) -> DataFrame:
+    n, d = F.col("event_id"), lambda c: c.cast("double")
+    x, y = d(n * 37 % 360) / dbl(360), d(n * 53 % 150) / dbl(150)
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select("event_id", x.alias("x0"), y.alias("y0"), (x + d(n % 13) / dbl(2000)).alias("x1"), (y + d(n % 7) / dbl(1000)).alias("y1"))
+
+
+@query(
+    f"""WITH {_BOXES}, lv AS (SELECT CAST(unnest(generate_series(0, 6)) AS INT) AS level),
+    c AS (SELECT *, pow(2, level) AS n, CAST(greatest(ceil(x0 * pow(2, level)) - 1, 0) AS BIGINT) AS ci, CAST(greatest(ceil(y0 * pow(2, level)) - 1, 0) AS BIGINT) AS cj FROM b, lv),
+    f AS MATERIALIZED (SELECT * FROM c WHERE level = 0 OR (x1 <= 1 AND y1 <= 1 AND x1 * n <= ci + 1 AND y1 * n <= cj + 1)),
+    sp AS (SELECT level, ci, cj FROM f WHERE level < 6 GROUP BY 1, 2, 3 HAVING count(*) > 6),
+    ok AS (SELECT f.event_id, f.level, f.ci, f.cj FROM f LEFT JOIN sp ON sp.level = f.level - 1 AND sp.ci = f.ci >> 1 AND sp.cj = f.cj >> 1 WHERE f.level = 0 OR sp.level IS NOT NULL)
+    SELECT event_id, level, ci, cj FROM ok QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY level DESC) = 1"""
+)
+def op_d7_box_tree(spark, sf_dir):
+    return boxes.box_tree(_boxes(spark, sf_dir)).select("event_id", "level", "ci", "cj")
+
+
+@query(f"WITH {_BOXES} SELECT event_id FROM b WHERE x0 <= 0.25 AND x1 >= 0.2 AND y0 <= 0.5 AND y1 >= 0.4")
+def op_d7_boxes_in_bounds(spark, sf_dir):
+    return boxes.overlapping(boxes.box_tree(_boxes(spark, sf_dir)), 0.2, 0.4, 0.25, 0.5).select("event_id")
+
+
+@query(
+    f"""WITH {O.PLACED}, l AS (SELECT keyword AS a, CAST(floor(mx * 16) AS BIGINT) * 16 + CAST(floor(my * 16) AS BIGINT) AS b FROM m),
+    x AS (SELECT (SELECT sum(c * (c - 1) / 2) FROM (SELECT count(*) AS c FROM l GROUP BY a, b)) AS together, (SELECT sum(c * (c - 1) / 2) FROM (SELECT count(*) AS c FROM l GROUP BY a)) AS sa,
+      (SELECT sum(c * (c - 1) / 2) FROM (SELECT count(*) AS c FROM l GROUP BY b)) AS sb, (SELECT count(*) FROM l) AS n),
+    y AS (SELECT *, CAST(n AS DOUBLE) * (n - 1) / 2 AS pairs FROM x)
+    SELECT n, CAST(pairs AS BIGINT) AS pairs, CAST(together AS BIGINT) AS together, CAST(pairs + together - sa - sb AS BIGINT) AS apart, {_r('(pairs + 2 * together - sa - sb) / pairs', 'rand')},
+      {_r('(together - sa * sb / pairs) / ((sa + sb) / 2 - sa * sb / pairs)', 'adjusted')} FROM y"""
+)
+def op_j6_rand_index(spark, sf_dir):
+    p = mercator(spark, sf_dir)
+    labelled = p.select(F.col("keyword").alias("a"), (J.cell(F.col("mx"), 4) * 16 + J.cell(F.col("my"), 4)).alias("b"))
+    r = agreement.rand_index(labelled, "a", "b")
+    return r.select("n", "pairs", "together", "apart", r6("rand").alias("rand"), r6("adjusted").alias("adjusted"))
+
+
 # --- trees that are kept -----------------------------------------------------------------------
 
 
@@ -528,6 +573,19 @@ def op_e17_heatmap(spark, sf_dir):
     return h.select("gx", "gy", (F.round("x", 4) + dbl(0)).alias("x"), (F.round("y", 4) + dbl(0)).alias("y"), r6("w").alias("w"))
 
 
+_BELL = ", ".join(num(w) for w in heat.stencil(5, 3))
+_STEPS = f"st AS (SELECT d, list_extract([{_BELL}], CAST(abs(d) + 1 AS INT)) AS k FROM (SELECT unnest(generate_series(-8, 8)) AS d))"
+
+
+@query(
+    f"""WITH {O.PLACED}, {O.pixels(ODD)}, {_STEPS}, c AS (SELECT i, j, least(count(*) * {num(10 * 2.0**-12)}, 1) AS w FROM px GROUP BY 1, 2)
+    SELECT i + a.d AS i, j + b.d AS j, {_r('least(sum(w * a.k * b.k), 1)', 'heat')} FROM c, st a, st b
+    WHERE i + a.d BETWEEN 0 AND {ODD.res_x - 1} AND j + b.d BETWEEN 0 AND {ODD.res_y - 1} GROUP BY 1, 2"""
+)
+def op_e17_heat_picture(spark, sf_dir):
+    return heat.heat_picture(points(spark, sf_dir), ODD, 5, 3).select("i", "j", r6("heat").alias("heat"))
+
+
 @query(f"WITH {O.PLACED}, {O.pixels(COUNTRY)} SELECT count(*) AS points, count(DISTINCT i * 100000 + j) AS pixels FROM px")
 def op_e18_result_count(spark, sf_dir):
     return reducers.snapped(points(spark, sf_dir), COUNTRY).agg(F.count("*").alias("points"), F.count_distinct("i", "j").alias("pixels"))
@@ -604,10 +662,29 @@ def op_f7_best_first(spark, sf_dir):
     return found.select("level", "ci", "cj", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
 
 
-@query()
+def _searched(v, n: int) -> str:
+    """A search step by step: the frontier as a list sorted by benefit, level and place, and what is left of the budget."""
+    return f"""s AS (SELECT *, greatest(pow(2, {v.zoom + 8} - level), 1) AS r FROM ce WHERE {O.meets(v)}),
+    bn AS MATERIALIZED (SELECT level, ci, cj, x, y, CASE WHEN cnt = 1 OR level = {DEPTH} THEN 0 WHEN level < 8 THEN {_MAX} WHEN level >= {v.zoom + 8} THEN 0 WHEN children = 1 THEN {_MAX}
+      ELSE (error / cnt * r * r - child_mean * greatest(floor(r / 2), 1) * greatest(floor(r / 2), 1) / 4) / (children - 1) END AS benefit FROM s),
+    fm AS MATERIALIZED (SELECT level - 1 AS level, ci >> 1 AS ci, cj >> 1 AS cj, list({{'b': -benefit, 'l': level, 'i': ci, 'j': cj}}) AS kids FROM bn WHERE level > 0 GROUP BY 1, 2, 3),
+    go AS (
+      SELECT [{{'b': -benefit, 'l': level, 'i': ci, 'j': cj}}] AS q, {n - 1} AS free FROM bn WHERE level = 0
+      UNION ALL
+      SELECT list_sort(list_concat(q[2:], coalesce(kids, []))), free + 1 - coalesce(len(kids), 0)
+      FROM go LEFT JOIN fm ON fm.level = q[1].l AND fm.ci = q[1].i AND fm.cj = q[1].j WHERE free > 0 AND len(q) > 0 AND q[1].b < 0
+    ),
+    ends AS (SELECT unnest(q) AS e FROM (SELECT q FROM go WHERE free <= 0 OR q[1].b >= 0 LIMIT 1))"""
+
+
+@query(
+    f"""WITH RECURSIVE {O.PLACED}, {O.centroids(DEPTH)}, {_searched(REGION, 60)}
+    SELECT level, ci, cj, round(x, 9) AS x, round(y, 9) AS y FROM bn JOIN ends ON level = e.l AND ci = e.i AND cj = e.j"""
+)
 def op_f7_small_budget(spark, sf_dir):
     nodes = centroids.centroid_nodes(points(spark, sf_dir), DEPTH)
-    return best_first.best_first(nodes, centroids.screen_benefit(REGION.zoom, DEPTH), REGION, 500)
+    found = best_first.best_first(nodes, centroids.screen_benefit(REGION.zoom, DEPTH), REGION, 60)
+    return found.select("level", "ci", "cj", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
 
 
 @query(
@@ -725,9 +802,10 @@ def op_g6_gray_error(spark, sf_dir):
 START, END = "2024-01-01 00:00:00", "2024-01-31 00:00:00"
 
 
-@query("SELECT CAST(k AS BIGINT) AS slice, TIMESTAMP '2024-01-01' + to_days(CAST(k * 7 AS INT)) AS slice_start, TIMESTAMP '2024-01-01' + to_days(CAST(k * 7 + 7 AS INT)) AS slice_end, CAST(least(100, (k + 1) * 700 // 30) AS BIGINT) AS progress FROM (SELECT unnest(generate_series(0, 4)) AS k)")
+@query("SELECT CAST(k AS BIGINT) AS slice, TIMESTAMP '2024-01-01' + to_days(CAST(k * 7 AS INT)) AS slice_start, TIMESTAMP '2024-01-01' + to_days(CAST(k * 7 + 7 AS INT)) AS slice_end, CAST(least(100, (k + 1) * 700 // 30) AS BIGINT) AS progress, (SELECT count(*) FROM events WHERE ts >= '2024-01-01' AND ts < '2024-01-31' AND floor((epoch(ts) - epoch(TIMESTAMP '2024-01-01')) / 604800) = k) AS points FROM (SELECT unnest(generate_series(0, 4)) AS k)")
 def op_i1_slices(spark, sf_dir):
-    return progressive.slices(spark, START, END, 7)
+    arrived = progressive.deltas(points(spark, sf_dir), START, END, 7).groupBy("slice").agg(F.count("*").alias("points"))
+    return progressive.slices(spark, START, END, 7).join(arrived, "slice", "left").withColumn("points", F.coalesce("points", F.lit(0)))
 
 
 @query(f"WITH {O.PLACED}, {O.pixels(REGION)}, f AS (SELECT i, j, min(CAST(floor((epoch(ts) - epoch(TIMESTAMP '2024-01-01')) / 604800) AS BIGINT)) AS s FROM px GROUP BY 1, 2) SELECT CAST(k AS BIGINT) AS slice, count(*) AS pixels FROM f, (SELECT unnest(generate_series(0, 4)) AS k) WHERE s <= k GROUP BY 1")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field, fields
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.projection import x_lng, y_lat
 from ..functions.viewport import Viewport
-from ..operators import best_first, budget, centroids, folds, pyramid, reducers, samples
+from ..operators import agreement, best_first, budget, centroids, folds, pyramid, reducers, samples
 from ..operators.pyramid import DEEP, SHALLOW
 from ..sources import messages
 from ..sources.index_store import TreeStore
@@ -232,5 +233,10 @@ class Engine:
 
     def _analysis(self, request: dict) -> dict:
         asked = request.get("analysis") or {}
-        a = [float(x) for x in asked.get("arguments") or []] if asked.get("objective") == "distance" else []
-        return {"type": "analysis", "status": "done", "value": ((a[0] - a[2]) ** 2 + (a[1] - a[3]) ** 2) ** 0.5 if len(a) == 4 else 0.0}
+        given, value = asked.get("arguments") or [], 0.0
+        if asked.get("objective") == "distance" and len(given) == 4:
+            x0, y0, x1, y1 = (float(v) for v in given)
+            value = math.hypot(x0 - x1, y0 - y1)
+        elif asked.get("objective") == "rand-index" and len(given) == 2:  # two columns of the source
+            value = agreement.rand_index(self.source.table, *given).first()["rand"]
+        return {"type": "analysis", "status": "done", "value": value}
