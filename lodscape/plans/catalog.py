@@ -11,7 +11,7 @@ from ..functions import predicates as P
 from ..functions import projection as J
 from ..functions.projection import dbl
 from ..functions.viewport import VIEWPORTS, pixel_matrix, screen_xy
-from ..operators import agreement, best_first, boxes, budget, centroids, folds, heat, pyramid, reducers, render, samples, zorder
+from ..operators import agreement, best_first, boxes, budget, centroids, folds, heat, pyramid, reducers, render, samples, tilted, zorder
 from ..sources import messages
 from ..sources.index_store import TreeStore
 from ..sources.points import PointSource, event_points, event_points_of, pairs_from_json
@@ -19,6 +19,7 @@ from ..sources.scratch import new_folder, settled
 from ..streaming import progressive, tree_log
 from . import oracle as O
 from .engine import Engine
+from .engine import Query as EngineQuery
 from .oracle import num
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +75,12 @@ def op_a3_time_scan(spark, sf_dir):
     return PointSource(points(spark, sf_dir)).scan("%", "2024-01-05 00:00:00", "2024-01-15 00:00:00").select("point_id", r6("lng").alias("lng"), r6("lat").alias("lat"))
 
 
+@query(f"WITH {O.PLACED} SELECT {_r('lng', 'lng')}, {_r('lat', 'lat')} FROM m WHERE {O.inside(REGION)}")
+def op_a9_point_blocks(spark, sf_dir):
+    blocks = messages.point_blocks(reducers.raw_points(points(spark, sf_dir), REGION))
+    return messages.points_of_blocks(blocks).select(r6("lng").alias("lng"), r6("lat").alias("lat"))
+
+
 @query(f"WITH {O.PLACED}, {O.pixels(ODD)} SELECT i, j // 8 AS byte_no, CAST(bit_or(1 << CAST(7 - j % 8 AS INT)) AS BIGINT) AS byte FROM (SELECT DISTINCT i, j FROM px) GROUP BY 1, 2")
 def op_a10_bitmap_bytes(spark, sf_dir):
     return messages.bitmap_bytes(reducers.pixel_bitmap(points(spark, sf_dir), ODD))
@@ -449,6 +456,15 @@ def op_a6_stored_tree(spark, sf_dir):
     return reducers.grid_of(nodes, REGION).select("level", "ci", "cj", "cnt", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
 
 
+@query(f"WITH {O.PLACED}, {O.centroids(NODES)} SELECT level, ci, cj, cnt, {_r('error', 'error')}, {_r('child_error', 'child_error')} FROM ce WHERE level <= 13 AND {O.meets(REGION)}")
+def op_a7_stored_centroids(spark, sf_dir):
+    store = TreeStore(new_folder(spark, "trees"), "events")
+    store.write(centroids.centroid_nodes(points(spark, sf_dir)), "centroids")
+    nodes = store.read(spark, "centroids", REGION, 13)
+    met = nodes.where(P.cell_meets(F.col("level"), F.col("ci"), F.col("cj"), REGION))
+    return met.select("level", "ci", "cj", "cnt", r6("error").alias("error"), r6("child_error").alias("child_error"))
+
+
 _REQUEST = {"type": "query", "keyword": "click", "query": {"algorithm": "QuadTree", "zoom": REGION.zoom, "bbox": [REGION.west, REGION.south, REGION.east, REGION.north], "resX": REGION.res_x, "resY": REGION.res_y}}
 
 
@@ -716,9 +732,20 @@ def op_f12_random_sample(spark, sf_dir):
     return budget.random_sample(budget.pixel_cells(points(spark, sf_dir), COUNTRY), 500).select("point_id")
 
 
-@query()
+@query(
+    f"""WITH {O.PLACED}, {O.detail(budget.exact_level(COUNTRY), 19)}, cut AS (
+      SELECT c.* FROM dt c LEFT JOIN dt p ON p.level = c.level - 1 AND p.ci = c.ci >> 1 AND p.cj = c.cj >> 1 WHERE c.exact <= {num(1 / 0.2)} AND (c.level = 0 OR p.exact > {num(1 / 0.2)}))
+    SELECT first AS point_id, round(mx, 9) AS x, round(my, 9) AS y FROM cut JOIN m ON m.point_id = cut.first WHERE {O.meets(COUNTRY)}"""
+)
 def op_f13_traversal_sample(spark, sf_dir):
-    return budget.traversal_sample(points(spark, sf_dir), COUNTRY, 20)
+    return budget.traversal_sample(points(spark, sf_dir), COUNTRY, 20).select("point_id", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
+
+
+@query(f"WITH {O.PLACED}, {_CELLS} SELECT point_id FROM cl WHERE {O.hash_unit('point_id')} < CAST(300 AS DOUBLE) / (SELECT count(*) FROM cl)")
+def op_f18_sampling_switch(spark, sf_dir):
+    engine = Engine(PointSource(points(spark, sf_dir)))
+    q = EngineQuery(algorithm="sampling", aggregator="random", zoom=COUNTRY.zoom, bbox=(COUNTRY.west, COUNTRY.south, COUNTRY.east, COUNTRY.north), resX=COUNTRY.res_x, resY=COUNTRY.res_y, sampleSize=300)
+    return budget.sampled(engine.points("%"), q.viewport, budget=q.sampleSize, method=q.aggregator).select("point_id")
 
 
 def _shown(v) -> str:
@@ -797,6 +824,34 @@ def op_g6_gray_error(spark, sf_dir):
     return l1.select(F.round("error", 1).alias("l1")).join(F.broadcast(l2.select(F.round("error", 0).alias("l2"))))
 
 
+_THERE, _BACK = tilted.ground_matrices(_SHOWN)
+
+
+def _row(m, r: int, x: str, y: str) -> str:
+    return f"({num(m[r, 0])} * {x} + {num(m[r, 1])} * {y} + {num(m[r, 2])})"
+
+
+def _footprints(radius: float, zoom: int, width: int, height: int) -> str:
+    reach = num((radius + 0.5) / 2.0**zoom)
+    corners = [(f"(x {a} {reach})", f"(y {b} {reach})") for a in "-+" for b in "-+"]
+    side = [[f"{_row(_THERE, r, x, y)} / {_row(_THERE, 2, x, y)}" for x, y in corners] for r in (0, 1)]
+    ends = ", ".join(f"{f}({', '.join(side[r])}) AS {n}" for r, f, n in ((0, "least", "x0"), (0, "greatest", "x1"), (1, "least", "y0"), (1, "greatest", "y1")))
+    clip = lambda c, most: f"CAST(least(greatest(floor({c}), 0), {most}) AS BIGINT)"
+    gx, gy = (f"{_row(_BACK, r, '(i + 0.5)', '(j + 0.5)')} / {_row(_BACK, 2, '(i + 0.5)', '(j + 0.5)')}" for r in (0, 1))
+    return f"""w AS (SELECT point_id, {_WX} AS x, {_WY} AS y FROM pts),
+    bx AS (SELECT *, {ends} FROM w WHERE least({', '.join(_row(_THERE, 2, x, y) for x, y in corners)}) > 0),
+    ri AS (SELECT point_id, x, y, y0, y1, unnest(generate_series({clip('x0', width - 1)}, {clip('x1', width - 1)})) AS i FROM bx WHERE x1 >= 0 AND x0 < {width} AND y1 >= 0 AND y0 < {height}),
+    rj AS (SELECT point_id, x, y, i, unnest(generate_series({clip('y0', height - 1)}, {clip('y1', height - 1)})) AS j FROM ri),
+    fa AS (SELECT point_id, i, j, sqrt(({gx} - x) * ({gx} - x) + ({gy} - y) * ({gy} - y)) * {num(2.0**zoom)} AS d FROM rj),
+    ft AS (SELECT *, least(1, greatest(0, {num(radius)} - d + 0.5)) AS t FROM fa)"""
+
+
+@query(f"WITH {O.POINTS}, {_footprints(2.0, 5, 1920, 978)} SELECT i, j, count(*) AS discs, round(sum(t * t * (3 - 2 * t)), 3) + 0 AS alpha FROM ft WHERE t * t * (3 - 2 * t) > {num(tilted.LEAST_ALPHA)} GROUP BY 1, 2")
+def op_g5_tilted_discs(spark, sf_dir):
+    drawn = tilted.disc_footprints(points(spark, sf_dir), _SHOWN, 5, 1920, 978, 2.0)
+    return drawn.groupBy("i", "j").agg(F.count("*").alias("discs"), (F.round(F.sum("alpha"), 3) + dbl(0)).alias("alpha"))
+
+
 # --- progressive answers -----------------------------------------------------------------------
 
 START, END = "2024-01-01 00:00:00", "2024-01-31 00:00:00"

@@ -44,6 +44,19 @@ def point_message(reduced: DataFrame, header: Header = Header()) -> bytes:
     return header.bytes(0) + b"".join(bytes(r["block"]) for r in point_blocks(reduced).toLocalIterator())
 
 
+def points_of_blocks(blocks: DataFrame) -> DataFrame:
+    """``(lat, lng)`` of blocks as :func:`point_blocks` makes them, in any order; decoded where the blocks are."""
+
+    def unpack(batches):
+        import pandas as pd
+
+        for b in batches:
+            for block in b["block"]:
+                yield pd.DataFrame(np.frombuffer(block, ">f8").reshape(-1, 2).astype(float), columns=["lat", "lng"])
+
+    return blocks.select("block").mapInPandas(unpack, "lat double, lng double")
+
+
 def bitmap_bytes(pixels: DataFrame) -> DataFrame:
     """``(i, byte_no, byte)``: each column's pixels, eight rows to a byte, the uppermost in the highest bit."""
     return pixels.groupBy("i", F.floor(F.col("j") / 8).cast("long").alias("byte_no")).agg(F.bit_or(F.expr("shiftleft(1L, cast(7 - j % 8 as int))")).alias("byte"))

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodscape.functions.viewport import Viewport
-from lodscape.operators import agreement, boxes, heat
+from lodscape.functions.viewport import Viewport, pixel_matrix
+from lodscape.operators import agreement, boxes, heat, tilted
 from lodscape.operators.reducers import snapped
 from lodscape.plans.engine import Engine
 from lodscape.sources.points import PointSource, event_points
@@ -95,3 +97,34 @@ def test_analysis_requests(spark, sf):
     engine = Engine(PointSource(event_points(spark, sf)))
     ask = lambda o, a: engine.handle({"type": "analysis", "analysis": {"objective": o, "arguments": a}})["value"]
     assert ask("distance", [0, 0, 3, 4]) == 5.0 and ask("rand-index", ["keyword", "keyword"]) == 1.0 and ask("other", []) == 0.0
+
+
+@pytest.mark.parametrize("pitch,bearing", [(0, 0), (0, 40), (45, -20), (60, 100)])
+def test_footprints_are_those_of_all_pixels(spark, sf, pitch, bearing):
+    width, height, zoom, radius = 60, 40, 6, 2.5
+    m = pixel_matrix(width, height, -98.0, 38.0, zoom, pitch, bearing)
+    points = event_points(spark, sf).limit(1000)
+    rows = [*[tuple(r) for r in points.select("point_id", "lng", "lat").collect()], (-1, None, 1.0), (-2, -98.0, 38.0), (-3, 400.0, 0.0), (-4, 82.0, -38.0)]
+    got = {(r["point_id"], r["i"], r["j"]): r["alpha"] for r in tilted.disc_footprints(spark.createDataFrame(rows, "point_id long, lng double, lat double"), m, zoom, width, height, radius).collect()}
+    back = tilted.ground_matrices(m)[1]
+    i, j = np.meshgrid(np.arange(width) + 0.5, np.arange(height) + 0.5, indexing="ij")
+    g = np.tensordot(back, np.stack([i, j, np.ones_like(i)]), 1)
+    gx, gy, w = g[0] / g[2], g[1] / g[2], 1 / g[2]
+    want = {}
+    for k, lng, lat in rows:
+        if lng is None or abs(lng) > 180:
+            continue
+        x, y = 512 * (math.radians(lng) + math.pi) / (2 * math.pi), 512 * (math.pi + math.log(math.tan(math.pi / 4 + math.radians(lat) / 2))) / (2 * math.pi)
+        t = np.clip(radius - np.hypot(gx - x, gy - y) * 2.0**zoom + 0.5, 0, 1)
+        alpha = np.where(w > 0, t * t * (3 - 2 * t), 0)
+        want |= {(k, int(a), int(b)): alpha[a, b] for a, b in zip(*np.nonzero(alpha > tilted.LEAST_ALPHA))}
+    assert len(want) > 20 and set(got) == set(want) and all(got[p] == pytest.approx(want[p], abs=1e-6) for p in want)
+
+
+def test_a_pixel_in_the_golden_view(spark):
+    m = pixel_matrix(1920, 978, -96.328125, 39.50404070558415, 3)
+    drawn = tilted.disc_footprints(spark.createDataFrame([(1, -118.26517425999998, 34.04450895999999)], "point_id long, lng double, lat double"), m, 3, 1920, 978, 1.0).collect()
+    assert {(r["i"], r["j"]) for r in drawn} >= {(710, 566)} and all(abs(r["i"] + 0.5 - 710.4051284195557) < 2 and abs(r["j"] + 0.5 - 566.6119216363259) < 2 for r in drawn)
+    x, y = tilted.ground_xy(F.lit(710.4051284195557 - 0.5), F.lit(566.6119216363259 - 0.5), m)
+    back = spark.range(1).select(x.alias("x"), y.alias("y")).first()
+    assert back["x"] == pytest.approx(512 * (180 - 118.26517425999998) / 360, abs=1e-5)
