@@ -114,6 +114,15 @@ def _grown(lists: DataFrame, frequent: DataFrame, keys: list[str]) -> DataFrame:
     return lookup.rows.mapInArrow(grow, _LISTS + "entries array<struct<a:long,b:long,n:long>>")
 
 
+def _numbered(counts: DataFrame, name: str) -> DataFrame:
+    """``counts`` with ``id`` 0, 1, 2, ...: the most frequent phrases have the smallest numbers, which take the fewest bytes in shuffles."""
+    laid = counts.repartitionByRange(F.desc("f")).sortWithinPartitions(F.desc("f")).withColumn("_id", F.monotonically_increasing_id())
+    laid = written(laid, name).withColumn("_task", F.shiftright("_id", 33))  # a number in its task below the task's own
+    earlier = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
+    offsets = laid.groupBy("_task").agg(F.count("*").alias("_n")).select("_task", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return laid.join(F.broadcast(offsets), "_task").select(*counts.columns, F.expr("(_id & 8589934591L) + _before").alias("id"))
+
+
 def frequent_phrases(docs: DataFrame, least: int, longest: int) -> tuple[DataFrame, DataFrame]:
     """``(id, lang, words, phrase, last, f)`` of all phrases of up to ``longest`` words that occur ``least`` times, and ``(lang, n)``.
 
@@ -123,7 +132,7 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int) -> tuple[DataFra
     lists = written(_word_blocks(docs), "word-lists")
     n = lists.groupBy("lang").agg(F.sum("n_words").alias("n"))
     counts = lists.select("lang", F.explode("entries").alias("e")).groupBy("lang", F.col("e.phrase").alias("phrase")).agg(F.sum("e.n").alias("f")).where(F.col("f") >= least)
-    level = written(counts.select(F.monotonically_increasing_id().alias("id"), "lang", F.lit(1).alias("words"), "phrase", F.col("phrase").alias("last"), "f"), "phrases-1")
+    level = _numbered(counts.select("lang", F.lit(1).alias("words"), "phrase", F.col("phrase").alias("last"), "f"), "phrases-1")
     levels, keys = [level], ["lang", "phrase"]
     with few_rows_at_once(docs.sparkSession):
         for words in range(2, longest + 1):
@@ -133,7 +142,7 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int) -> tuple[DataFra
             head, tail = level.select(F.col("id").alias("a"), "lang", "phrase"), level.select(F.col("id").alias("b"), "last")
             named = counts.join(head, "a").join(tail, "b")
             phrase = F.concat_ws(" ", "phrase", "last").alias("phrase")
-            level = written(named.select(F.monotonically_increasing_id().alias("id"), "lang", F.lit(words).alias("words"), phrase, "last", "f", "a", "b"), f"phrases-{words}")
+            level = _numbered(named.select("lang", F.lit(words).alias("words"), phrase, "last", "f", "a", "b"), f"phrases-{words}")
             levels.append(level.drop("a", "b"))
     return reduce(DataFrame.unionByName, levels), n
 
