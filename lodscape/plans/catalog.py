@@ -11,7 +11,7 @@ from ..functions import predicates as P
 from ..functions import projection as J
 from ..functions.projection import dbl
 from ..functions.viewport import VIEWPORTS, pixel_matrix, screen_xy
-from ..operators import agreement, best_first, boxes, budget, centroids, folds, heat, pyramid, reducers, render, samples, tilted, zorder
+from ..operators import agreement, best_first, boxes, budget, centroids, folds, heat, preorder, pyramid, reducers, render, samples, tilted, zorder
 from ..sources import messages
 from ..sources.index_store import TreeStore
 from ..sources.points import PointSource, event_points, event_points_of, pairs_from_json
@@ -456,6 +456,22 @@ def op_a6_stored_tree(spark, sf_dir):
     return reducers.grid_of(nodes, REGION).select("level", "ci", "cj", "cnt", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
 
 
+def _first_deepest(depth: int) -> str:
+    return " + ".join(f"((((ci << ({depth} - level)) >> {b}) & 1) << {2 * b}) + ((((cj << ({depth} - level)) >> {b}) & 1) << {2 * b + 1})" for b in range(depth))
+
+
+@query(f"WITH {O.PLACED}, {O.tree(DEPTH)}, k AS (SELECT *, {_first_deepest(DEPTH)} AS z FROM nd) SELECT CAST(row_number() OVER (ORDER BY z, level) - 1 AS BIGINT) AS n, level, ci, cj, CAST((ci & 1) + 2 * (cj & 1) AS INT) AS quadrant, cnt FROM k")
+def op_a5_preorder(spark, sf_dir):
+    return preorder.preorder(pyramid.quadtree(points(spark, sf_dir))).select("n", "level", "ci", "cj", "quadrant", "cnt")
+
+
+@query(f"WITH {O.PLACED}, {O.tree(DEPTH)} SELECT level, ci, cj, cnt FROM nd")
+def op_a6_tree_lines(spark, sf_dir):
+    path = new_folder(spark, "tree-lines")
+    preorder.write_lines(pyramid.quadtree(points(spark, sf_dir)).select("level", "ci", "cj", "cnt"), path)
+    return preorder.read_lines(spark, path).select("level", "ci", "cj", "cnt")
+
+
 @query(f"WITH {O.PLACED}, {O.centroids(NODES)} SELECT level, ci, cj, cnt, {_r('error', 'error')}, {_r('child_error', 'child_error')} FROM ce WHERE level <= 13 AND {O.meets(REGION)}")
 def op_a7_stored_centroids(spark, sf_dir):
     store = TreeStore(new_folder(spark, "trees"), "events")

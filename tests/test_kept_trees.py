@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodscape.functions.predicates import rectangles
 from lodscape.functions.viewport import VIEWPORTS, Viewport
-from lodscape.operators import pyramid, reducers, zorder
+from lodscape.operators import preorder, pyramid, reducers, zorder
 from lodscape.plans.engine import Engine, Query
 from lodscape.sources.index_store import TreeStore
 from lodscape.sources.points import PointSource, event_points, event_points_of
@@ -151,3 +151,24 @@ def test_tree_from_a_stream_goes_on_where_it_was(spark, sf, tmp_path):
     tree_log.grow_from_stream(log, stream(), str(tmp_path / "check"), lambda k, _: numbers.append(k))
     assert numbers == [0, 1] and ends == [0, 1]
     assert bare(log.nodes(bottom=12)) == bare(pyramid.quadtree(event_points(spark, sf)).where("level <= 12"))
+
+
+@pytest.mark.parametrize("part", [7, 1 << 16])
+def test_lines_in_preorder_and_back(spark, sf, tmp_path, monkeypatch, part):
+    monkeypatch.setattr(preorder, "PART", part)
+    nodes = pyramid.quadtree(event_points(spark, sf)).select("level", "ci", "cj", "cnt").cache()
+    want = {tuple(r) for r in nodes.collect()}
+    lines = sorted((tuple(r) for r in preorder.preorder(nodes).select("n", "level", "ci", "cj", "cnt").collect()))
+    assert [r[0] for r in lines] == list(range(len(want)))
+    kids = {}
+    for level, ci, cj, _ in want:
+        kids.setdefault((level - 1, ci >> 1, cj >> 1), []).append((level, ci, cj))
+    walked, todo = [], [(0, 0, 0)]
+    while todo:
+        node = todo.pop()
+        walked.append(node)
+        todo += sorted(kids.get(node, []), key=lambda c: (c[2], c[1]), reverse=True)
+    assert [r[1:4] for r in lines] == walked
+    preorder.write_lines(nodes, str(tmp_path / "lines"))
+    assert {tuple(r) for r in preorder.read_lines(spark, str(tmp_path / "lines")).select("level", "ci", "cj", "cnt").collect()} == want
+    assert preorder.cells_of(preorder.preorder(nodes.limit(0)).drop("ci", "cj")).count() == 0
