@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
@@ -20,6 +20,7 @@ from ..streaming import progressive, tree_log
 from . import oracle as O
 from .engine import Engine
 from .engine import Query as EngineQuery
+from .replay import replayed
 from .oracle import num
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,6 +124,21 @@ def op_a14_json_pairs(spark, sf_dir):
     return pairs_from_json(files).groupBy("point_id").agg(F.count("*").alias("n"), r6(F.min("lng")).alias("west"), r6(F.max("lat")).alias("north"))
 
 
+@query(
+    f"""WITH {O.PLACED}, c AS (SELECT keyword, round(avg(lng)) AS a, round(avg(lat)) AS b FROM pts GROUP BY 1),
+    l AS (SELECT CAST(row_number() OVER (ORDER BY keyword) - 1 AS INT) AS action, keyword, a - {num(15)} AS west, b - {num(7.5)} AS south, a + {num(15)} AS east, b + {num(7.5)} AS north FROM c)
+    SELECT action, l.keyword, CAST(5 AS INT) AS zoom, count(*) AS rows FROM l JOIN m ON m.keyword = l.keyword
+    AND mx > {O.lng_x('west')} AND mx < {O.lng_x('east')} AND my > {O.lat_y('north')} AND my < {O.lat_y('south')} GROUP BY 1, 2"""
+)
+def op_a15_replayed_actions(spark, sf_dir):
+    p = points(spark, sf_dir)
+    centres = p.groupBy("keyword").agg(F.round(F.avg("lng")).alias("lng"), F.round(F.avg("lat")).alias("lat"))
+    log = centres.select((F.row_number().over(Window.orderBy("keyword")) - 1).alias("action"), "keyword", "lng", "lat", F.lit(5).alias("zoom"))
+    # so many pixels are 30 by 15 degrees at zoom 5
+    wide = 2 * 15 * 256 * 2**5 / 360
+    return replayed(Engine(PointSource(p)), log, EngineQuery(algorithm="DataExplorer", resX=wide, resY=wide)).select("action", "keyword", "zoom", "rows")
+
+
 # --- projections -------------------------------------------------------------------------------
 
 

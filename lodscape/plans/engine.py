@@ -9,7 +9,7 @@ from dataclasses import dataclass, field, fields
 from typing import Protocol
 from urllib.parse import quote
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.projection import x_lng, y_lat
@@ -207,14 +207,28 @@ class Engine:
         return tree.answer(self.nodes(tree, keyword, q), q) if tree else reducer(q.algorithm)(self.points(keyword), q)
 
     def message(self, q: Query, keyword: str = "%", *, bitmap: bool = False) -> bytes:
-        """The answer as a client's binary message, with its timings."""
+        """The answer as a client's binary message, with how long its tree took and then the answer itself, run and packed."""
         began = time.monotonic()
         answer = self.query(q, keyword)
-        built = time.monotonic()
+        ready = time.monotonic()
         if bitmap:
-            pixels = reducers.pixel_bitmap(answer.withColumn("point_id", F.lit(0)), q.viewport)
-            return messages.bitmap_message(pixels, q.viewport, messages.Header(100, time.monotonic() - began, built - began, 0.0))
-        return messages.point_message(answer, messages.Header(100, time.monotonic() - began, built - began, 0.0))
+            body = messages.bitmap_body(reducers.pixel_bitmap(answer.withColumn("point_id", F.lit(0)), q.viewport), q.viewport)
+        else:
+            body = messages.point_body(answer)
+        done = time.monotonic()
+        return messages.Header(100, done - began, ready - began, done - ready).bytes(int(bitmap)) + body
+
+    def observed(self, q: Query, keyword: str = "%") -> dict:
+        """A query run to its end without keeping its answer: rows, seconds for its tree and for itself, how it came by its data,
+        and MB of memory that the driver's Spark then used."""
+        began = time.monotonic()
+        answer, seen = self.query(q, keyword), Observation()
+        ready = time.monotonic()
+        answer.observe(seen, F.count(F.lit(1)).alias("rows")).write.format("noop").mode("overwrite").save()
+        done = time.monotonic()
+        runtime = self.source.table.sparkSession.sparkContext._jvm.java.lang.Runtime.getRuntime()
+        used = (runtime.totalMemory() - runtime.freeMemory()) / 1e6
+        return {"rows": seen.get["rows"], "tree_seconds": ready - began, "run_seconds": done - ready, "step": self.last_step, "used_mb": used}
 
     def handle(self, request: dict) -> dict:
         """A request by its type: query, transfer, cmd or analysis; anything else has status "unknown"."""

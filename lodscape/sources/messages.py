@@ -39,9 +39,14 @@ def point_blocks(reduced: DataFrame) -> DataFrame:
     return reduced.select("lat", "lng").mapInPandas(pack, "block binary")
 
 
+def point_body(reduced: DataFrame) -> bytes:
+    """What a point message holds; for results of a bounded size."""
+    return b"".join(bytes(r["block"]) for r in point_blocks(reduced).toLocalIterator())
+
+
 def point_message(reduced: DataFrame, header: Header = Header()) -> bytes:
-    """A whole point message; for results of a bounded size."""
-    return header.bytes(0) + b"".join(bytes(r["block"]) for r in point_blocks(reduced).toLocalIterator())
+    """A whole point message."""
+    return header.bytes(0) + point_body(reduced)
 
 
 def points_of_blocks(blocks: DataFrame) -> DataFrame:
@@ -63,12 +68,17 @@ def bitmap_bytes(pixels: DataFrame) -> DataFrame:
 
 
 def bitmap_message(pixels: DataFrame, v: Viewport, header: Header = Header()) -> bytes:
-    """A whole bitmap message: its size depends on the screen alone."""
+    """A whole bitmap message."""
+    return header.bytes(1) + bitmap_body(pixels, v)
+
+
+def bitmap_body(pixels: DataFrame, v: Viewport) -> bytes:
+    """What a bitmap message holds: its size depends on the screen alone."""
     width = -(-v.res_y // 8)
     body = np.zeros(v.res_x * width, dtype=np.uint8)
     for r in bitmap_bytes(pixels).toLocalIterator():
         body[r["i"] * width + r["byte_no"]] = r["byte"]
-    return header.bytes(1) + BITMAP_HEADER.pack(v.res_x, v.res_y, v.west, v.south, v.east, v.north) + body.tobytes()
+    return BITMAP_HEADER.pack(v.res_x, v.res_y, v.west, v.south, v.east, v.north) + body.tobytes()
 
 
 def decoded_bitmap(packed: DataFrame, v: Viewport) -> DataFrame:

@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from lodscape.functions.viewport import Viewport, pixel_matrix
 from lodscape.operators import agreement, boxes, heat, tilted
 from lodscape.operators.reducers import snapped
-from lodscape.plans.engine import Engine
+from lodscape.plans.engine import Engine, Query
+from lodscape.plans.replay import Action, Recorder, replayed
+from lodscape.sources import messages
+from lodscape.sources.index_store import TreeStore
 from lodscape.sources.points import PointSource, event_points
 
 
@@ -128,3 +131,17 @@ def test_a_pixel_in_the_golden_view(spark):
     x, y = tilted.ground_xy(F.lit(710.4051284195557 - 0.5), F.lit(566.6119216363259 - 0.5), m)
     back = spark.range(1).select(x.alias("x"), y.alias("y")).first()
     assert back["x"] == pytest.approx(512 * (180 - 118.26517425999998) / 360, abs=1e-5)
+
+
+def test_a_session_is_logged_and_replayed(spark, sf, tmp_path):
+    points = event_points(spark, sf)
+    recorder = Recorder()
+    for zoom in (3, 4, 4):
+        recorder.record(Action("click", -100.0, 40.0, zoom))
+    recorder.write(spark, str(tmp_path / "log"))
+    engine, base = Engine(PointSource(points), store=TreeStore(str(tmp_path), "d")), Query(algorithm="QuadTree", resX=300, resY=200)
+    got = [r.asDict() for r in replayed(engine, spark.read.parquet(str(tmp_path / "log")), base).orderBy("action").collect()]
+    assert [r["step"] for r in got] == ["built", "cached", "cached"] and all(r["run_seconds"] > 0 and r["used_mb"] > 1 for r in got)
+    assert [r["rows"] for r in got] == [engine.query(a.query(base), "click").count() for a in recorder.actions]
+    header, found = messages.decode_message(engine.message(recorder.actions[0].query(base), "click"))
+    assert len(found) == got[0]["rows"] and 0 < header["aggregate"] <= header["total"] and header["tree"] <= header["total"]
