@@ -221,7 +221,8 @@ def read_media(stored: DataFrame, *, media: str = "media") -> DataFrame:
     """All columns of ``stored`` plus ``payload`` (the bytes read back), ``units`` (timestamp, offset,
     length and random-access mark of each access unit), ``packets``, ``discontinuities``, ``damaged``
     and ``stream_type``. Null or empty media give an empty payload; damage is counted, never raised;
-    columns named like the results are replaced."""
+    streams of any length are read whole, repeated rows one by one; columns named like the results are
+    replaced; an empty table stays empty."""
     kept = [c for c in stored.columns if c.lower() not in {f.name for f in _READ}]
     return stored.select(*[stored[c] for c in kept], _loaded(stored[media]).alias("_read")).select(*kept, "_read.*")
 

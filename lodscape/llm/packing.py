@@ -61,7 +61,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, size: int = 2048, end_id: i
 
     ``ids`` is binary, little-endian unsigned 32-bit numbers. Only documents longer than ``size`` are
     cut, the last piece may be shorter. Null and empty texts are the one id ``end_id``; repeated rows
-    give repeated pieces; rows whose id is null are kept; other columns are left out.
+    give repeated pieces; rows whose id is null are kept; other columns are left out; texts of any length are encoded
+    whole; an empty table gives no pieces. There are no ties: a piece's ids depend on its text alone.
     """
     closing = end_id.to_bytes(4, "little")
 

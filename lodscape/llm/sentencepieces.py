@@ -185,7 +185,8 @@ def encode_pieces(docs: DataFrame, model: str, *, text: str = "text") -> DataFra
 
 def decode_pieces(encoded: DataFrame, model: str, *, ids: str = "ids") -> DataFrame:
     """All columns of ``encoded`` plus ``decoded``, the text of its ids: the text that was encoded,
-    but for the character U+2581, which the model takes for a space. Null ids give the empty text."""
+    but for the character U+2581, which the model takes for a space. Null ids give the empty text; ids of any
+    number are decoded whole; repeated rows one by one; a column named ``decoded`` is replaced; an empty table stays empty."""
 
     kept = [c for c in encoded.columns if c.lower() != "decoded"]
     return with_computed(encoded.select(*kept), "decoded", StringType(), encoded[ids], lambda: codec(model).decode)
