@@ -117,10 +117,10 @@ def _grown(lists: DataFrame, frequent: DataFrame, keys: list[str]) -> DataFrame:
 def _numbered(counts: DataFrame, name: str) -> DataFrame:
     """``counts`` with ``id`` 0, 1, 2, ...: the most frequent phrases have the smallest numbers, which take the fewest bytes in shuffles."""
     laid = counts.repartitionByRange(F.desc("f")).sortWithinPartitions(F.desc("f")).withColumn("_id", F.monotonically_increasing_id())
-    laid = written(laid, name).withColumn("_task", F.shiftright("_id", 33))  # a number in its task below the task's own
+    laid = written(laid, f"{name}-counted").withColumn("_task", F.shiftright("_id", 33))  # a number in its task below the task's own
     earlier = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
     offsets = laid.groupBy("_task").agg(F.count("*").alias("_n")).select("_task", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    return laid.join(F.broadcast(offsets), "_task").select(*counts.columns, F.expr("(_id & 8589934591L) + _before").alias("id"))
+    return written(laid.join(F.broadcast(offsets), "_task").select(*counts.columns, F.expr("(_id & 8589934591L) + _before").alias("id")), name)
 
 
 def frequent_phrases(docs: DataFrame, least: int, longest: int) -> tuple[DataFrame, DataFrame]:
