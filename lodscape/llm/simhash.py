@@ -64,8 +64,9 @@ def fingerprint_links(prints: DataFrame, bucket: int = 1024) -> DataFrame:
     keyed = prints.repartition(shuffle_width(prints.sparkSession), "fp").select("fp", "node", F.explode(one_wildcard_keys("fp")).alias("key"))
     hot = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket).select("key"), "hot-keys")
     crowded = not hot.isEmpty()
+    hot = substrings.small(hot)
     cold = keyed.join(hot, "key", "left_anti") if crowded else keyed
-    a, b = cold.alias("a"), cold.alias("b")
+    a, b = cold.alias("a"), cold.alias("b").hint("merge")
     links = a.join(b, F.expr("a.key = b.key and a.fp < b.fp and bit_count(a.fp ^ b.fp) <= 2")).select(
         F.col("a.node").alias("u"), F.col("b.node").alias("v")
     )
@@ -73,7 +74,7 @@ def fingerprint_links(prints: DataFrame, bucket: int = 1024) -> DataFrame:
         packed = keyed.join(hot, "key", "left_semi").select("fp", "node").distinct()
         sure = packed.select("node", F.explode(two_wildcard_keys("fp")).alias("key"))
         star = sure.groupBy("key").agg(F.min("node").alias("u"))
-        links = links.union(sure.join(star, "key").select("u", F.col("node").alias("v")))
+        links = links.union(sure.join(star.hint("merge"), "key").select("u", F.col("node").alias("v")))
     return links.where("u <> v").distinct()
 
 
@@ -85,13 +86,14 @@ def simhash_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     no row of their fingerprint has an id. Repeated rows come back as often as they came in. Texts of any
     length are read whole, a block of shingles at a time; other columns, whatever their names, are
     left out; ties can't come up, as the smallest id names a class; an empty table gives an empty result.
+    The driver gets no table of more than ``BROADCAST_ROWS`` rows.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     prints = written(with_computed(own, "fp", LongType(), F.col("text"), lambda: fingerprint_of).select("doc_id", "fp"), "fingerprints")
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
     parts = connected_components(fingerprint_links(nodes.where("node is not null"), bucket))
-    classes = nodes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(written(classes, "classes"), "fp").select("doc_id", "fp", "component_id")
+    classes = nodes.join(parts.hint("merge"), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    return prints.join(substrings.small(written(classes, "classes")), "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bucket: int = 1024) -> DataFrame:

@@ -167,9 +167,9 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def small(df: DataFrame, entries: str | None = None) -> DataFrame:
     """A written table, marked for broadcast if it was counted to be small (its rows, or the entries of an array column);
-    larger ones are joined by a shuffle."""
+    larger ones are joined by a shuffle, whatever Spark guesses of their size."""
     held = df.agg(F.sum(F.size(entries)) if entries else F.count("*")).first()[0] or 0
-    return F.broadcast(df) if held <= BROADCAST_ROWS else df
+    return F.broadcast(df) if held <= BROADCAST_ROWS else df.hint("merge")
 
 
 def _looked_up(docs: DataFrame, wanted: DataFrame, name: str, find: Callable[[np.ndarray, dict], list[int]], words: Callable[[bytes], list[bytes]] = bytes.split) -> DataFrame:

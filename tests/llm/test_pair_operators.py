@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lodscape.llm import packing, pii, quality, queries, simhash, substrings
+from lodscape.llm import components, packing, pii, quality, queries, simhash, substrings
 from lodscape.llm.components import connected_components
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -47,6 +47,24 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+@pytest.mark.parametrize("few", [200_000, 1])
+def test_components_of_few_and_many_edges(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "EDGES_A_TASK", few)
+    r = random.Random(5)
+    links = [(r.randrange(400), r.randrange(400)) for _ in range(150)] + [(k, k + 1) for k in range(1000, 1060)]
+    nodes = {x for link in links if link[0] != link[1] for x in link}
+    got = {x["node"]: x["component"] for x in connected_components(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert got == roots(nodes, [(u, v) for u, v in links if u != v])
+
+
+def test_simhash_broadcasts_nothing_uncounted(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "BROADCAST_ROWS", 0)
+    docs = spark.createDataFrame([(k, f"text number {k // 2} of some", None, None, 0) for k in range(40)], DOC)
+    classes = simhash.simhash_classes(docs)
+    assert classes.count() == 40 and len({x["component_id"] for x in classes.collect()}) == 20
+    assert "BroadcastHashJoin" not in classes._jdf.queryExecution().executedPlan().toString()
+
+
 # --- 4: simhash --------------------------------------------------------------------------------
 
 
