@@ -31,7 +31,12 @@ def fingerprint_of(text: str | None, words: int = 3, seed: int = 42) -> int:
         return 0
     shingles = [b" ".join(w)] if len(w) < words else list(map(b" ".join, zip(*(w[i:] for i in range(words)))))
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(s, seed) for s in shingles), dtype="<u8", count=len(shingles)).view(np.uint8).reshape(-1, 8)
+    return majority_bits(np.fromiter((digest(s, seed) for s in shingles), dtype="<u8", count=len(shingles)))
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    """64 bits as a signed number: those that over half of some 64-bit hashes have."""
+    h = hashes.view(np.uint8).reshape(-1, 8)
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(h), _BLOCK):
         ones += np.unpackbits(h[i : i + _BLOCK], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -116,35 +121,41 @@ def _lower_words(raw: bytes) -> list[bytes]:
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in substrings._few(batches):
-        keys, sizes, shingles = [], [], []
+        keys, sizes, prints, shingles = [], [], [], []
         for raw in part.column(2).to_pylist():
             words = _lower_words(raw)
             keys.append(xxhash.xxh3_128_digest(b" ".join(words)))
             sizes.append(len(words))
             shingles.append(substrings.shingles_of(substrings.hashed_words(words)))
+            prints.append(majority_bits(shingles[-1]))
         each = np.array([len(s) for s in shingles])
         bands = substrings.bands_of(np.concatenate(shingles), np.cumsum(each) - each, _BANDS)
         banded = substrings._lists(np.full(len(bands), _BANDS), pa.array(bands.reshape(-1)))
-        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), banded], names=["doc_id", "place", "text", "n", "bands"])
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), banded], names=["doc_id", "place", "text", "n", "fp", "bands"])
 
 
 def drop_similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, one document for each component of those whose five-word shingles (A-Z as a-z) have a
     Jaccard similarity of 0.8 or more: the one with the smallest id.
 
-    Such pairs differ in about 10 of 64 fingerprint bits and now and then in 18, where no key of a fingerprint is
-    both sure and rare. So candidates are documents that share a MinHash band, and their shingle sets
-    are compared. Null texts count as empty; texts of any length are compared whole; rows without an id are kept; rows
+    Texts whose fingerprints (of these shingles) differ in at most 2 bits are found by :func:`fingerprint_links`. Pairs at
+    similarity 0.8 differ in about 10 of 64 bits and now and then in 18, where no key of a fingerprint is both sure and
+    rare; so what is not joined by then and shares a MinHash band are candidates too. The shingle sets of all candidates are compared. Null texts count as empty; texts of any length are compared whole; rows without an id are kept; rows
     that repeat an id are one document; all columns, whatever their names, are kept; an empty table stays empty.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("raw")).where("doc_id is not null")
     own = own.select("doc_id", F.xxhash64("doc_id", "raw").alias("place"), "raw")
-    units = written(own.mapInArrow(_banded, "doc_id bigint, place bigint, text binary, n bigint, bands array<bigint>"), "documents")
-    each = units.groupBy("text").agg(F.min(F.struct("doc_id", "place", "n")).alias("x"), F.max("doc_id").alias("last"), F.first("bands").alias("bands"))
-    each = each.select(F.monotonically_increasing_id().alias("key"), "text", F.col("x.place").alias("first"), F.lit(0).cast("long").alias("at"), "x.n", "bands", "x.doc_id", "last")
+    units = written(own.mapInArrow(_banded, "doc_id bigint, place bigint, text binary, n bigint, fp bigint, bands array<bigint>"), "documents")
+    each = units.groupBy("text").agg(F.min(F.struct("doc_id", "place", "n")).alias("x"), F.max("doc_id").alias("last"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    each = each.select(F.monotonically_increasing_id().alias("key"), "text", F.col("x.place").alias("first"), F.lit(0).cast("long").alias("at"), "x.n", "fp", "bands", "x.doc_id", "last")
     distinct = written(each, "texts")
     places = own.select(F.col("place").alias("doc_id"), "raw")
-    parts = connected_components(substrings.similar_paragraphs(places, distinct.select("key", "first", "at", "n", "bands"), _lower_words))
+    nodes = written(distinct.groupBy("fp").agg(F.min("key").alias("node"), F.max("key").alias("last")), "nodes")
+    equal = distinct.join(substrings.small(nodes.where("node <> last")), "fp").where("key <> node").select(F.col("node").alias("u"), F.col("key").alias("v"))
+    near = fingerprint_links(nodes.select("fp", "node")).union(equal)
+    paragraphs = distinct.select("key", "first", "at", "n", "bands")
+    near = substrings.verified_links(places, paragraphs, near.distinct(), "fingerprint", _lower_words)
+    parts = connected_components(near.union(substrings.similar_paragraphs(places, paragraphs, _lower_words, near)))
     grouped = distinct.select("key", "text", "doc_id", "last").join(parts, distinct["key"] == parts["node"], "left").select("text", "doc_id", "last", F.coalesce("component", "key").alias("part"))
     sources = grouped.groupBy("part").agg(F.min("doc_id").alias("source"))
     repeated = written(grouped.join(sources, "part").where("last <> source").select("text", "source"), "repeated-texts")

@@ -194,10 +194,11 @@ def _paragraph(h: np.ndarray, item: dict) -> list[int]:
     return np.unique(shingles_of(h[item["at"] : item["at"] + item["n"]])).view(np.int64).tolist()
 
 
-def similar_paragraphs(docs: DataFrame, distinct: DataFrame, words: Callable[[bytes], list[bytes]] = bytes.split) -> DataFrame:
+def similar_paragraphs(docs: DataFrame, distinct: DataFrame, words: Callable[[bytes], list[bytes]] = bytes.split, sure: DataFrame | None = None) -> DataFrame:
     """``(u, v)`` links between keys of different paragraphs of which the Jaccard similarity is 0.8 or more.
 
-    ``distinct``: ``(key, first, at, n, bands)``, its keys numbers; ``words`` cuts a text. Paragraphs that share a band are candidates. In
+    ``distinct``: ``(key, first, at, n, bands)``, its keys numbers; ``words`` cuts a text; ``sure``: links found before, a written
+    table, within whose components no more are looked for. Paragraphs that share a band are candidates. In
     buckets of up to :data:`BUCKET` all are compared. In larger ones each is compared with one hub, the
     member that lies in most of them; :func:`_crowded_pairs` finds the links that are still missing
     between components, so copies of one paragraph cost a comparison each and no link is lost.
@@ -217,12 +218,16 @@ def similar_paragraphs(docs: DataFrame, distinct: DataFrame, words: Callable[[by
         often = often.select("key", F.size("own").alias("often"), F.explode("own").alias("bucket"))
         hubs = often.groupBy("bucket").agg(F.max(F.struct("often", "key")).alias("hub")).select("bucket", F.col("hub.key").alias("hub"))
         pairs = pairs.union(members.join(hubs, "bucket").where("key <> hub").select(F.least("hub", "key").alias("u"), F.greatest("hub", "key").alias("v")))
-    links = _verified(docs, distinct, pairs.distinct(), "near", words)
+    if sure is not None:
+        parts = connected_components(sure)
+        known = lambda end: small(parts.select(F.col("node").alias(end), F.col("component").alias(f"{end}_part")))
+        pairs = pairs.distinct().join(known("u"), "u", "left").join(known("v"), "v", "left").where("u_part is null or v_part is null or u_part <> v_part").select("u", "v")
+    links = verified_links(docs, distinct, pairs.distinct(), "near", words)
     if not crowded:
         return links
-    parts = connected_components(links)
+    parts = connected_components(links if sure is None else links.union(sure))
     nodes = members.select("key").distinct().join(parts, F.col("key") == F.col("node"), "left").select("key", F.coalesce("component", "key").alias("part"))
-    return links.union(_verified(docs, distinct, _crowded_pairs(docs, distinct, written(nodes, "nodes"), words), "crowded", words))
+    return links.union(verified_links(docs, distinct, _crowded_pairs(docs, distinct, written(nodes, "nodes"), words), "crowded", words))
 
 
 def _size_class(n: int) -> int:
@@ -322,7 +327,8 @@ def _crowded_pairs(docs: DataFrame, distinct: DataFrame, nodes: DataFrame, words
     return pairs.select(F.least("x.key", "y.key").alias("u"), F.greatest("x.key", "y.key").alias("v")).distinct()
 
 
-def _verified(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, name: str, words: Callable[[bytes], list[bytes]]) -> DataFrame:
+def verified_links(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, name: str, words: Callable[[bytes], list[bytes]]) -> DataFrame:
+    """Those of some pairs of keys of which the Jaccard similarity is 0.8 or more, by their whole shingle sets; written once."""
     pairs = written(pairs, f"{name}-pairs")
     keys = pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct()
     wanted = distinct.join(keys, "key").select(F.col("first").alias("doc_id"), F.col("key").alias("id"), "at", "n")

@@ -138,6 +138,21 @@ def test_near_copies_of_the_pipeline_stage(spark, monkeypatch, bucket):
     assert None in kept and set(kept) - {None} == want
 
 
+def test_the_pipeline_stage_finds_near_copies_by_fingerprints(spark, monkeypatch):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    monkeypatch.setattr(substrings, "similar_paragraphs", lambda docs, distinct, words, sure: sure.limit(0))  # nothing by bands
+    r = random.Random(78)
+    base = [sentence(r, 400) for _ in range(20)]
+    texts = base + [b + f" more{k}" for k, b in enumerate(base)]
+    prints = [simhash.fingerprint_of(t, words=5) for t in texts]
+    assert all(len(shingle_set(b.split())) > 380 for b in base) and len(set(prints)) > 20
+    hashes = [substrings.shingles_of(substrings.hashed_words(t.encode().split())) for t in texts]
+    near = sum(bin((simhash.majority_bits(a) ^ simhash.majority_bits(b)) % (1 << 64)).count("1") <= 2 for a, b in zip(hashes, hashes[20:]))
+    docs = spark.createDataFrame([(k, t, None, None, 0) for k, t in enumerate(texts)], DOC)
+    kept = pipeline.drop_near_copies(spark, docs, None).count()
+    assert near >= 15 and kept == 40 - near
+
+
 # --- 3: substrings -----------------------------------------------------------------------------
 
 
