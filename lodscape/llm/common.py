@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -38,6 +39,23 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_kept: dict = {}
+
+
+def kept_alone(make: Callable) -> Callable:
+    """``make``, of which a worker keeps the last result, but one only of all functions so marked: what another made before is
+    let go. Workers live on from stage to stage, and what one of them remembers may take some 100 MB."""
+
+    @functools.wraps(make)
+    def get(*of):
+        if _kept.get("of") != (make, of):
+            _kept.clear()
+            _kept.update(of=(make, of), value=make(*of))
+        return _kept["value"]
+
+    return get
+
+
 class Memo(dict):
     """Answers of a function on short keys, kept in a worker: at least the last ``most / 2`` that were asked for, at most ``most``."""
 

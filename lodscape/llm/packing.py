@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Callable, Iterator
 
@@ -11,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, written
+from .common import Memo, kept_alone, written
 
 # Characters whose lower case and normal form are one character each, and how the tokenizer cuts words of them.
 _SIMPLE = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
@@ -20,10 +19,10 @@ _CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9
 #: Rounds of packing at most: every one but the first and the last has saved a bin or halved the rows; the last closes all bins.
 _ROUNDS = 64
 #: Words whose ids a worker keeps at most.
-_KNOWN = 100_000
+_KNOWN = 400_000
 
 
-@functools.lru_cache(maxsize=2)
+@kept_alone
 def word_encoder(path: str) -> Callable[[bytes | None], bytes]:
     """An encoder of texts (UTF-8) to ids (little-endian unsigned 32 bits), for a tokenizer that drops white space.
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType
 
-from .common import Memo
+from .common import Memo, kept_alone
 
 #: Words in a passage; a shorter rest joins the passage before it.
 PASSAGE_WORDS = 128
@@ -29,7 +29,11 @@ for _bytes, _c in ((range(97, 123), 1), (range(65, 91), 2), (range(48, 58), 3),
     for _b in _bytes:
         _CLASS[_b] = _c
 FEATURES = _CLASSES * _CLASSES + 8 + HASHED
-_bucket = Memo(lambda w: zlib.crc32(w.lower()) % HASHED, most=100_000)
+
+
+@kept_alone
+def _buckets() -> Memo:
+    return Memo(lambda w: zlib.crc32(w.lower()) % HASHED, most=100_000)
 
 
 def passages_of(text: str | None) -> list[list[bytes]]:
@@ -62,7 +66,7 @@ def encode_passage(words: list[bytes]) -> np.ndarray:
         max(map(len, words)) / 50 if max(map(len, words)) < 500 else 10.0,
         distinct / n * (n >= 40),
     )
-    out[-HASHED:] = np.sqrt(np.bincount([_bucket[w] for w in words], minlength=HASHED) / n)
+    out[-HASHED:] = np.sqrt(np.bincount(list(map(_buckets().__getitem__, words)), minlength=HASHED) / n)
     return out
 
 
