@@ -7,7 +7,6 @@ blocks of documents, and what a link's count and its sides' maxima are comes bac
 
 from __future__ import annotations
 
-import functools
 import json
 from collections.abc import Iterator
 
@@ -19,11 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
-from .blocks import Lookup, few_rows_at_once, packed, unpacked
-from .common import written
+from .blocks import Lookup, few_rows_at_once, packed, unpacked, written_blocks
+from .common import kept_alone, written
 
 #: Characters that are encoded at once, of one text and of several; links of a block, by whole texts.
 PART, AT_ONCE, BLOCK_LINKS = 1 << 16, 1 << 19, 1 << 19
+#: Documents that are passed to a worker at once while they are aligned: a document's groups and links are several times its text.
+ROWS = 256
 
 # How byte-level vocabularies split a text before their merges, and how piece vocabularies write a blank.
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -135,7 +136,7 @@ class Aligner:
         return out
 
 
-@functools.lru_cache(maxsize=1)
+@kept_alone
 def _aligner(a_path: str, b_path: str) -> Aligner:
     return Aligner(a_path, b_path)
 
@@ -201,7 +202,8 @@ def link_blocks(aligned: DataFrame) -> DataFrame:
         if links:
             yield block(number + 1, rows, links)
 
-    return written(docs.mapInArrow(cut, schema), "link-blocks")
+    with few_rows_at_once(docs.sparkSession, ROWS):
+        return written_blocks(docs.mapInArrow(cut, schema), "link-blocks")
 
 
 def link_counts(blocks: DataFrame) -> DataFrame:
