@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 from collections.abc import Callable, Iterator
 from contextlib import AbstractContextManager, contextmanager
@@ -76,13 +77,27 @@ def kept_alone(make: Callable) -> Callable:
     @functools.wraps(make)
     def get(*of):
         if _kept.get("of") != (make, of):
-            _kept.clear()
+            let_go()
             _kept.update(of=(make, of), value=make(*of))
         return _kept["value"]
 
     return get
 
 
+def let_go() -> None:
+    """What a worker keeps (:func:`kept_alone`) goes, and its memory with it."""
+    _kept.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Memory that a worker no longer uses goes back to the system: what one stage took would else add to the next one's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it, others needn't
+    if trim is not None:
+        trim(0)
+
+
 class Memo(dict):
     """Answers of a function on short keys, kept in a worker: at least the last ``most / 2`` that were asked for, at most ``most``."""
 
@@ -116,5 +131,6 @@ def with_computed(df: DataFrame, name: str, kind: DataType, source: Column, make
                 part = b.slice(i, 512)
                 values = pa.array([function(v) for v in part.column(part.num_columns - 1).to_pylist()], arrow)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], values], names=[*part.schema.names[:-1], name])
+        give_back()
 
     return wide.mapInArrow(computed, fields)

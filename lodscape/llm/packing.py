@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_characters, kept_alone, written
+from .common import byte_characters, give_back, kept_alone, written
 
 # Characters whose lower case and normal form are one character each, and how the tokenizer cuts words of them.
 _SIMPLE = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
@@ -23,7 +23,7 @@ _END, _SUFFIX = "\0", "</w>"
 
 #: Rounds of packing at most: every one but the first and the last has saved a bin or halved the rows; the last closes all bins.
 _ROUNDS = 64
-#: Words whose ids a worker keeps at most, their bytes at most, and bytes of texts (one text at least) that are encoded at once.
+#: Words whose ids a worker keeps at most (unless told otherwise), their bytes at most, and bytes of texts (one text at least) that are encoded at once.
 _KNOWN, _LONGEST, _AT_ONCE = 400_000, 64, 1 << 20
 
 
@@ -57,9 +57,10 @@ class WordEncoder:
     merges, all others go through the whole tokenizer, one by one.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int | None = None):
         from tokenizers import Tokenizer
 
+        self._most = remembered
         self._tokenizer, self._pieces = Tokenizer.from_file(path), _pieces_encoder(path)
         self._special = re.compile("|".join(re.escape(t.content) for t in self._tokenizer.get_added_tokens_decoder().values()) or "(?!)")
         self._line = self._pieces("\n" + _END)[0]
@@ -81,7 +82,7 @@ class WordEncoder:
 
     def _encoded(self, texts: list[list[bytes]]) -> list[bytes]:
         missing = set().union(*texts).difference(self._known)
-        if len(self._known) + len(missing) > _KNOWN // 2:
+        if len(self._known) + len(missing) > (_KNOWN if self._most is None else self._most) // 2:
             self._older, self._known = self._known, {}
             missing = set().union(*texts)
         again = missing.intersection(self._older)
@@ -107,23 +108,26 @@ class WordEncoder:
 
 
 @kept_alone
-def word_encoder(path: str) -> WordEncoder:
+def word_encoder(path: str, remembered: int | None = None) -> WordEncoder:
     """The encoder of a tokenizer's file; a worker makes one and keeps it."""
-    return WordEncoder(path)
+    encoder = WordEncoder(path, remembered)
+    give_back()
+    return encoder
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, *, size: int = 2048, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, *, size: int = 2048, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", remembered: int | None = None) -> DataFrame:
     """``(doc_id, piece, start, length, ids)``: every document's ids and ``end_id``, cut into pieces of ``size``.
 
     ``ids`` is binary, little-endian unsigned 32-bit numbers. Only documents longer than ``size`` are
     cut, the last piece may be shorter. Null and empty texts are the one id ``end_id``; repeated rows
     give repeated pieces; rows whose id is null are kept; other columns are left out; texts of any length are encoded
-    whole; an empty table gives no pieces. There are no ties: a piece's ids depend on its text alone.
+    whole; an empty table gives no pieces. There are no ties: a piece's ids depend on its text alone. ``remembered``: words whose
+    ids a worker keeps at most, which changes time and memory only.
     """
     closing = end_id.to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_encoder(tokenizer)
+        encoder = word_encoder(tokenizer, remembered)
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
         for b in batches:
             for at in range(0, len(b), 512):
@@ -135,6 +139,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, size: int = 2048, end_id: i
                         piece = ids[start : start + 4 * size]
                         rows.append((name, p, start // 4, len(piece) // 4, piece))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        give_back()
 
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text"))
     return given.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary")
@@ -317,11 +322,11 @@ def pack(pieces: DataFrame, *, size: int = 2048, length: str = "length", group_r
     return done
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, *, size: int = 2048, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, *, size: int = 2048, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", remembered: int | None = None) -> DataFrame:
     """``(doc_id, piece, start, length, ids, sequence_id, offset)`` for every piece of every document.
     Ids are written once and moved once; what is packed in rounds is only the pieces' lengths.
-    Nulls, empty and very long texts, repeated rows, other columns and empty tables: as in :func:`token_pieces`."""
-    pieces = token_pieces(docs, tokenizer, size=size, end_id=end_id, doc_id=doc_id, text=text)
+    Nulls, empty and very long texts, repeated rows, other columns, empty tables and ``remembered``: as in :func:`token_pieces`."""
+    pieces = token_pieces(docs, tokenizer, size=size, end_id=end_id, doc_id=doc_id, text=text, remembered=remembered)
     pieces = written(pieces.withColumn("_piece", F.monotonically_increasing_id()), "pieces")
     plan = pack(pieces.select("_piece", "length"), size=size)
     return pieces.join(plan.select("_piece", "sequence_id", "offset"), "_piece").drop("_piece")

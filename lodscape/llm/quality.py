@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType
 
-from .common import Memo, kept_alone
+from .common import Memo, give_back, kept_alone
 
 #: Words in a passage; a shorter rest joins the passage before it.
 PASSAGE_WORDS = 128
@@ -216,6 +216,7 @@ def score_quality(docs: DataFrame, model: PassageModel | None, *, least: float =
                 part = [encode_document(t) for t in b.iloc[i : i + 512]]
                 out.extend(model.score(part).tolist())
             yield pd.Series(out, dtype="float64")
+        give_back()
 
     scored.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     kept = [c for c in docs.columns if c.lower() not in ("score", "predicted")]

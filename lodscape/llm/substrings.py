@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, written
+from .common import BROADCAST_ROWS, give_back, let_go, written
 from .components import connected_components
 
 #: Words of a shingle, least similarity of two paragraphs, and least words of a passage or paragraph that is cut.
@@ -124,10 +124,12 @@ def _lists(counts: list[int] | np.ndarray, values: pa.Array) -> pa.ListArray:
 
 
 def _few(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
-    """The same rows, so few at a time that a worker holds little of them as Python objects."""
+    """The same rows, so few at a time that a worker holds little of them as Python objects, nor what other operators keep."""
+    let_go()
     for b in batches:
         for i in range(0, len(b), rows):
             yield b.slice(i, rows)
+    give_back()
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,12 +12,13 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodscape.llm import html_text, media, packing, pii, queries, rules, sentencepieces, url_rules
+from lodscape.llm import common, html_text, media, packing, pii, queries, rules, sentencepieces, substrings, url_rules
 from lodscape.llm.common import public_vocabulary
 
 TEXTS = [None, "", " ", "\n", "a", "Grüße aus Köln", "x " * 5000, "日本 語 🙂", "same text here", "same text here"]
@@ -191,6 +192,22 @@ def test_missing_words_are_encoded_at_once(tokenizer, monkeypatch):
     assert not [w for w in [*encoder._known, *encoder._older] if len(w) > 64]
 
 
+def test_remembered_words_change_no_ids():
+    path = public_vocabulary("word_bpe_49k.json")
+    few, many = packing.WordEncoder(path, 40), packing.WordEncoder(path)
+    for k in range(0, 2000, 20):
+        text = " ".join(f"w{i}x{i * i}" for i in range(k, k + 20)).encode()
+        assert few(text) == many(text)
+    assert len(few._known) + len(few._older) <= 40 < len(many._known)
+
+
+def test_later_stages_do_not_hold_what_earlier_ones_remembered():
+    packing.word_encoder(public_vocabulary("word_bpe_49k.json"), 1000)
+    assert "value" in common._kept
+    list(substrings._units(iter([pa.RecordBatch.from_pydict({"doc_id": [1], "text": [b"a b"]})])))
+    assert not common._kept
+
+
 def test_vocabulary_whose_merges_go_another_way_is_refused(tmp_path):
     whole = json.loads(Path(public_vocabulary("word_bpe_49k.json")).read_text())
     whole["model"]["merges"].reverse()
