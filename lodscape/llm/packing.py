@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import json
 import re
@@ -10,13 +11,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_characters, give_back, kept_alone, written
 
 # Characters whose lower case and normal form are one character each, and how the tokenizer cuts words of them.
-_SIMPLE = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_SIMPLE = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+_SIMPLE_LINES = re.compile("[\n!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
 _CUT = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\na-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
 #: What ends a piece of a word, as a byte that no simple word has and as the vocabulary writes it.
 _END, _SUFFIX = "\0", "</w>"
@@ -24,17 +27,25 @@ _END, _SUFFIX = "\0", "</w>"
 #: Rounds of packing at most: every one but the first and the last has saved a bin or halved the rows; the last closes all bins.
 _ROUNDS = 64
 #: Words whose ids a worker keeps at most (unless told otherwise), their bytes at most, and bytes of texts (one text at least) that are encoded at once.
-_KNOWN, _LONGEST, _AT_ONCE = 400_000, 64, 1 << 20
+_KNOWN, _LONGEST, _AT_ONCE = 400_000, 64, 1 << 22
 
 
-def _pieces_encoder(path: str) -> Callable[[str], np.ndarray]:
+def _sliced(values: pa.Array) -> list[bytes]:
+    """The values of a column of large binaries without nulls; much faster than to_pylist."""
+    _, offsets, raw = values.buffers()
+    if not len(values):
+        return []
+    at = np.frombuffer(offsets, dtype=np.int64)[values.offset : values.offset + len(values) + 1].tolist()
+    whole = b"" if raw is None else raw.to_pybytes()
+    return [whole[a:b] for a, b in zip(at, at[1:])]
+
+
+def _pieces_encoder(path: str, model: dict) -> Callable[[str], np.ndarray]:
     """Ids of pieces of words, each closed by :data:`_END`, by the file's merges, which tiktoken runs: a piece's last byte and
     its end are one symbol, as the file's suffix says, so they come first. The merges of a pair whose parts the file makes later,
     or of a token that it makes twice, could go another way, so such a file is refused."""
     import tiktoken
 
-    with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
     of, vocab = byte_characters(), model["vocab"]
     merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
     names = [*sorted(of, key=of.__getitem__), *(c + _SUFFIX for c in of if of[c]), *(a + b for a, b in merges)]
@@ -52,60 +63,86 @@ class WordEncoder:
     """Encodes texts (UTF-8) to ids (little-endian unsigned 32 bits), for a tokenizer that drops white space.
 
     Its pre-tokenizer never joins what white space parts, so the ids of a text are those of its
-    white-space-separated words in turn, and each word's are kept for its next occurrence. The words of some texts that are
+    white-space-separated words in turn, and each word's are kept for its next occurrence. The different words of some texts that are
     not kept are encoded at once: those of ASCII and Latin-1 letters are lower-cased and cut here and given to the tokenizer's
     merges, all others go through the whole tokenizer, one by one.
     """
 
     def __init__(self, path: str, remembered: int | None = None):
-        from tokenizers import Tokenizer
-
-        self._most = remembered
-        self._tokenizer, self._pieces = Tokenizer.from_file(path), _pieces_encoder(path)
-        self._special = re.compile("|".join(re.escape(t.content) for t in self._tokenizer.get_added_tokens_decoder().values()) or "(?!)")
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        self._path, self._most, self._pieces = path, remembered, _pieces_encoder(path, file["model"])
+        self._special = re.compile("|".join(re.escape(t["content"]) for t in file["added_tokens"]) or "(?!)")
         self._line = self._pieces("\n" + _END)[0]
         self._known: dict[bytes, bytes] = {}
         self._older: dict[bytes, bytes] = {}
 
+    @functools.cached_property
+    def _tokenizer(self):
+        """Read when the first word needs it: it takes as much memory as all the rest."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self._path)
+
     def __call__(self, text: bytes | None) -> bytes:
         return self.encode([text])[0]
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each of some texts."""
-        texts, out, begin, size = [t or b"" for t in texts], [], 0, 0
-        for k, text in enumerate(texts):
-            size += len(text)
-            if size >= _AT_ONCE or k == len(texts) - 1:
-                out += self._encoded([t.split() for t in texts[begin : k + 1]])
-                begin, size = k + 1, 0
-        return out
-
-    def _encoded(self, texts: list[list[bytes]]) -> list[bytes]:
-        missing = set().union(*texts).difference(self._known)
+        return [ids for part in self.encode_column(pa.array(texts, pa.large_binary())) for ids in part]
+
+    def encode_column(self, texts: pa.Array) -> Iterator[list[bytes]]:
+        """The ids of each of some texts (a binary or string column), some texts at once."""
+        texts = texts.cast(pa.large_binary()).fill_null(b"")
+        ends, begin = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)), 0
+        while begin < len(texts):
+            before = ends[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(ends, before + _AT_ONCE, "right")))
+            yield self._encoded(texts.slice(begin, end - begin).view(pa.large_string()))
+            begin = end
+
+    def _encoded(self, texts: pa.Array) -> list[bytes]:
+        """Arrow splits the texts, tells different words and sets their ids in turn; so a word is looked up once here, however often it occurs."""
+        parted = pc.ascii_split_whitespace(texts)
+        words = parted.flatten().dictionary_encode()
+        ids = pa.array(self._ids_of(_sliced(words.dictionary.view(pa.large_binary()))), pa.large_binary()).take(words.indices)
+        _, offsets, raw = ids.buffers()
+        of_words = np.frombuffer(offsets, dtype=np.int64) if len(ids) else np.zeros(1, dtype=np.int64)
+        at = pa.py_buffer(of_words[parted.offsets.to_numpy() - parted.offsets[0].as_py()])
+        return _sliced(pa.Array.from_buffers(pa.large_binary(), len(texts), [None, at, raw]))
+
+    def _ids_of(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each of some different words."""
+        out = list(map(self._known.get, words))
+        missing = [k for k, ids in enumerate(out) if ids is None]
         if len(self._known) + len(missing) > (_KNOWN if self._most is None else self._most) // 2:
-            self._older, self._known = self._known, {}
-            missing = set().union(*texts)
-        again = missing.intersection(self._older)
-        self._known.update(zip(again, map(self._older.__getitem__, again)))
-        new = list(missing.difference(again))
-        self._known.update(zip(new, self._of_words(new)))
-        out = [b"".join(map(self._known.__getitem__, words)) for words in texts]
-        for word in [w for w in new if len(w) > _LONGEST]:
-            del self._known[word]
+            self._older, self._known = self._known, {w: ids for w, ids in zip(words, out) if ids is not None}
+        for k in missing:
+            out[k] = self._older.get(words[k])
+        new = [k for k in missing if out[k] is None]
+        for k, ids in zip(new, self._of_words([words[k] for k in new])):
+            out[k] = ids
+        self._known.update((words[k], out[k]) for k in missing if len(words[k]) <= _LONGEST)
         return out
 
     def _of_words(self, words: list[bytes]) -> list[bytes]:
         if not words:
             return []
         whole = b"\n".join(words).decode("utf-8", "replace")
-        of, special = whole.split("\n"), self._special.search(whole) is not None
+        special = self._special.search(whole) is not None
+        if not special and _SIMPLE_LINES.fullmatch(whole):
+            return self._of_simple(whole)
+        of = whole.split("\n")
         simple = [bool(_SIMPLE.fullmatch(w)) and not (special and self._special.search(w)) for w in of]
-        lines = "\n".join(itertools.compress(of, simple)).lower()
-        ids = self._pieces(_END.join(_CUT.findall(lines)) + _END) if lines else np.zeros(0, dtype="<u4")
-        ends, raw = np.flatnonzero(ids == self._line) * 4, ids.tobytes()
-        cut = iter([raw[a:b] for a, b in zip([0, *(ends + 4).tolist()], [*ends.tolist(), len(raw)])])
+        cut = iter(self._of_simple("\n".join(itertools.compress(of, simple))))
         return [next(cut) if s else np.array(self._tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes() for w, s in zip(of, simple)]
 
+    def _of_simple(self, lines: str) -> list[bytes]:
+        """The ids of each line of simple words."""
+        ids = self._pieces(_END.join(_CUT.findall(lines.lower())) + _END) if lines else np.zeros(0, dtype="<u4")
+        ends, raw = np.flatnonzero(ids == self._line) * 4, ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *(ends + 4).tolist()], [*ends.tolist(), len(raw)])]
+
 
 @kept_alone
 def word_encoder(path: str, remembered: int | None = None) -> WordEncoder:
@@ -130,11 +167,11 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, size: int = 2048, end_id: i
         encoder = word_encoder(tokenizer, remembered)
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
         for b in batches:
-            for at in range(0, len(b), 512):
-                part = b.slice(at, 512)
+            names = iter(b.column(0).to_pylist())
+            for texts in encoder.encode_column(b.column(1)):
                 rows: list[tuple] = []
-                for name, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
-                    ids += closing
+                for ids in texts:
+                    name, ids = next(names), ids + closing
                     for p, start in enumerate(range(0, len(ids), 4 * size)):
                         piece = ids[start : start + 4 * size]
                         rows.append((name, p, start // 4, len(piece) // 4, piece))

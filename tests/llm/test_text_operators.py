@@ -201,6 +201,23 @@ def test_remembered_words_change_no_ids():
     assert len(few._known) + len(few._older) <= 40 < len(many._known)
 
 
+def test_words_are_looked_up_once_and_the_tokenizer_only_read_for_odd_ones(tokenizer, monkeypatch):
+    """However often a word occurs in texts encoded at once, it is looked up once; words beyond Latin-1 alone need the whole tokenizer."""
+    encoder, asked = packing.WordEncoder(public_vocabulary("word_bpe_49k.json")), []
+    ids_of = encoder._ids_of
+    monkeypatch.setattr(encoder, "_ids_of", lambda words: asked.extend(words) or ids_of(words))
+    texts = ["  same\t\tsame \x0bwords\x0c", "", "words we'll Été", None, "\x1fa\x1cb same"]
+    whole = pa.array(["cut off", *texts, "cut off"])
+    raw = whole.slice(1, len(texts)).cast(pa.binary())
+    for column in (whole.slice(1, len(texts)), raw):
+        got = [np.frombuffer(x, "<u4").tolist() for part in encoder.encode_column(column) for x in part]
+        assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    plain = packing.WordEncoder(public_vocabulary("word_bpe_49k.json"))
+    assert plain.encode([b" a b ", b"\xc3\x89t\xc3\xa9"]) and "_tokenizer" not in vars(plain)
+    assert plain.encode(["日本".encode()]) and "_tokenizer" in vars(plain)
+    assert len(asked) == 2 * len(set(asked)) and asked.count(b"same") == 2
+
+
 def test_later_stages_do_not_hold_what_earlier_ones_remembered():
     packing.word_encoder(public_vocabulary("word_bpe_49k.json"), 1000)
     assert "value" in common._kept
