@@ -52,10 +52,10 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """A row for each piece of each document: its ids, and its place in a training sequence of 2048 tokens.
 
     Null and empty texts are one end id; repeated rows are packed one by one; very long texts are cut into pieces of 2048; an
-    empty table gives an empty result. A worker remembers fewer words than the operator does alone: by this stage an executor's
+    empty table gives an empty result. A worker remembers fewer words and encodes less text at once than the operator does alone: by this stage an executor's
     heap and buffers have grown to what all stages before took.
     """
-    pieces = packing.pack_documents(docs, public_vocabulary("word_bpe_49k.json"), remembered=50_000)
+    pieces = packing.pack_documents(docs, public_vocabulary("word_bpe_49k.json"), remembered=50_000, at_once=1 << 18)
     return pieces.select("doc_id", "piece", "start", "length", "ids", "sequence_id", "offset")
 
 

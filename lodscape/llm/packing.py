@@ -26,7 +26,7 @@ _END, _SUFFIX = "\0", "</w>"
 
 #: Rounds of packing at most: every one but the first and the last has saved a bin or halved the rows; the last closes all bins.
 _ROUNDS = 64
-#: Words whose ids a worker keeps at most (unless told otherwise), their bytes at most, and bytes of texts (one text at least) that are encoded at once.
+#: Words whose ids a worker keeps at most, their bytes at most, and bytes of texts (one text at least) that are encoded at once (first and last unless told otherwise).
 _KNOWN, _LONGEST, _AT_ONCE = 400_000, 64, 1 << 22
 
 
@@ -68,10 +68,10 @@ class WordEncoder:
     merges, all others go through the whole tokenizer, one by one.
     """
 
-    def __init__(self, path: str, remembered: int | None = None):
+    def __init__(self, path: str, remembered: int | None = None, at_once: int | None = None):
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
-        self._path, self._most, self._pieces = path, remembered, _pieces_encoder(path, file["model"])
+        self._path, self._most, self._at_once, self._pieces = path, remembered, at_once, _pieces_encoder(path, file["model"])
         self._special = re.compile("|".join(re.escape(t["content"]) for t in file["added_tokens"]) or "(?!)")
         self._line = self._pieces("\n" + _END)[0]
         self._known: dict[bytes, bytes] = {}
@@ -97,7 +97,7 @@ class WordEncoder:
         ends, begin = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)), 0
         while begin < len(texts):
             before = ends[begin - 1] if begin else 0
-            end = max(begin + 1, int(np.searchsorted(ends, before + _AT_ONCE, "right")))
+            end = max(begin + 1, int(np.searchsorted(ends, before + (self._at_once or _AT_ONCE), "right")))
             yield self._encoded(texts.slice(begin, end - begin).view(pa.large_string()))
             begin = end
 
@@ -145,26 +145,26 @@ class WordEncoder:
 
 
 @kept_alone
-def word_encoder(path: str, remembered: int | None = None) -> WordEncoder:
+def word_encoder(path: str, remembered: int | None = None, at_once: int | None = None) -> WordEncoder:
     """The encoder of a tokenizer's file; a worker makes one and keeps it."""
-    encoder = WordEncoder(path, remembered)
+    encoder = WordEncoder(path, remembered, at_once)
     give_back()
     return encoder
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, *, size: int = 2048, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", remembered: int | None = None) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, *, size: int = 2048, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", remembered: int | None = None, at_once: int | None = None) -> DataFrame:
     """``(doc_id, piece, start, length, ids)``: every document's ids and ``end_id``, cut into pieces of ``size``.
 
     ``ids`` is binary, little-endian unsigned 32-bit numbers. Only documents longer than ``size`` are
     cut, the last piece may be shorter. Null and empty texts are the one id ``end_id``; repeated rows
     give repeated pieces; rows whose id is null are kept; other columns are left out; texts of any length are encoded
     whole; an empty table gives no pieces. There are no ties: a piece's ids depend on its text alone. ``remembered``: words whose
-    ids a worker keeps at most, which changes time and memory only.
+    ids a worker keeps at most, ``at_once``: bytes of texts (one text at least) that it encodes at once; both change time and memory only.
     """
     closing = end_id.to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_encoder(tokenizer, remembered)
+        encoder = word_encoder(tokenizer, remembered, at_once)
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
         for b in batches:
             names = iter(b.column(0).to_pylist())
@@ -359,11 +359,11 @@ def pack(pieces: DataFrame, *, size: int = 2048, length: str = "length", group_r
     return done
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, *, size: int = 2048, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", remembered: int | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, *, size: int = 2048, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", remembered: int | None = None, at_once: int | None = None) -> DataFrame:
     """``(doc_id, piece, start, length, ids, sequence_id, offset)`` for every piece of every document.
     Ids are written once and moved once; what is packed in rounds is only the pieces' lengths.
-    Nulls, empty and very long texts, repeated rows, other columns, empty tables and ``remembered``: as in :func:`token_pieces`."""
-    pieces = token_pieces(docs, tokenizer, size=size, end_id=end_id, doc_id=doc_id, text=text, remembered=remembered)
+    Nulls, empty and very long texts, repeated rows, other columns, empty tables, ``remembered`` and ``at_once``: as in :func:`token_pieces`."""
+    pieces = token_pieces(docs, tokenizer, size=size, end_id=end_id, doc_id=doc_id, text=text, remembered=remembered, at_once=at_once)
     pieces = written(pieces.withColumn("_piece", F.monotonically_increasing_id()), "pieces")
     plan = pack(pieces.select("_piece", "length"), size=size)
     return pieces.join(plan.select("_piece", "sequence_id", "offset"), "_piece").drop("_piece")
